@@ -25,24 +25,58 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "pos",
-                base: int = 1) -> DataFrame:
-    """Add ``name`` = position of each row under ``order`` (``base``-based)."""
-    cols = [c if isinstance(c, Column) else F.col(c) for c in order]
+                base: int = 1, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Add ``name`` = position of each row under ``order`` (``base``-based).
+
+    With ``partition_by`` the position restarts in every group, like
+    ``row_number() over (partition by g order by ...)``, but a hot group is
+    spread over many sorted range partitions instead of one task.
+    """
+    pb = list(partition_by)
+    cols = [F.col(c) for c in pb] + [c if isinstance(c, Column) else F.col(c) for c in order]
     tagged = (df.orderBy(*cols)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
-    per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per_part.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    # one row per shuffle partition: a proven size bound for the broadcast
-    return (tagged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(name, (F.col("_off") + F.col("_row") + F.lit(base)).cast("bigint"))
-                  .drop("_pid", "_row", "_off"))
-
-
-def with_count(df: DataFrame, name: str = "n") -> DataFrame:
-    """Attach the total row count as a column via a one-row aggregate join."""
-    total = df.agg(F.count(F.lit(1)).alias(name))
-    return df.crossJoin(F.broadcast(total))
+    if not pb:
+        per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+        offsets = per_part.select(
+            "_pid",
+            F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0)).alias("_off"))
+        # one row per shuffle partition: a proven size bound for the broadcast
+        return (tagged.join(F.broadcast(offsets), "_pid")
+                      .withColumn(name, (F.col("_off") + F.col("_row") + F.lit(base)).cast("bigint"))
+                      .drop("_pid", "_row", "_off"))
+    # rows of a group are contiguous inside a sorted partition: start = min(_row)
+    per = tagged.groupBy("_pid", *pb).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start"))
+    before = Window.partitionBy(*pb).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_pid", *pb, "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # at most (partitions + groups) rows; AQE broadcasts it when it is small
+    return (tagged.join(per, ["_pid", *pb])
+                  .withColumn(name, (F.col("_off") + F.col("_row") - F.col("_start") + F.lit(base)).cast("bigint"))
+                  .drop("_pid", "_row", "_off", "_start"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by: Sequence[str] = (),
+                    prefix: str = "q") -> DataFrame:
+    """Linear-interpolation quantiles (numpy's default) per group, exactly.
+
+    Instead of ``percentile`` (which holds a whole group in one buffer) the
+    values are ranked with a distributed sort; only the two order statistics
+    around each requested position are joined back.
+    """
+    gb = list(group_by)
+    vals = df.filter(F.col(value).isNotNull()).select(*gb, value)
+    ranked = global_rank(vals, [value], "_k", base=0, partition_by=gb) if gb else \
+        global_rank(vals, [value], "_k", base=0)
+    counts = vals.groupBy(*gb).agg(F.count(F.lit(1)).alias("_n"))
+    probe = counts.select(*gb, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
+    probe = probe.withColumn("_h", (F.col("_n") - 1) * F.col("_p")) \
+                 .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
+    lo = ranked.select(*gb, F.col("_k").alias("_lo"), F.col(value).alias("_vlo"))
+    hi = ranked.select(*gb, F.col("_k").alias("_hi"), F.col(value).alias("_vhi"))
+    j = probe.join(lo, [*gb, "_lo"]).join(hi, [*gb, "_hi"])
+    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo"))
+    j = j.withColumn("_q", q)
+    return j.groupBy(*gb).agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
+                                for p in probs])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["prices"]
+MODULES = ["prices", "biomarkers"]
 
 
 def load() -> None:
