@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["prices", "biomarkers"]
+MODULES = ["prices", "biomarkers", "modelprep"]
 
 
 def load() -> None:
