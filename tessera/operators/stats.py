@@ -60,10 +60,12 @@ def box_stats(df: DataFrame, value: str, group_by: Sequence[str] = (), whisker:
     return agg if group_by else agg.drop("_all")
 
 
-def confusion(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5,
+def confusion(df: DataFrame, y: str = "y", p: str = "p", threshold=0.5,
               group_by: Sequence[str] = ()) -> DataFrame:
-    """Binary confusion counts, precision, recall, accuracy (0 on an empty denominator)."""
-    pred = F.col(p) > F.lit(threshold)
+    """Binary confusion counts, precision, recall, accuracy (0 on an empty denominator).
+
+    ``threshold`` may be a column (e.g. one row per candidate threshold)."""
+    pred = F.col(p) > (threshold if isinstance(threshold, Column) else F.lit(threshold))
     truth = F.col(y) == 1
     agg = df.groupBy(*group_by).agg(
         F.count_if(pred & truth).alias("tp"), F.count_if(pred & ~truth).alias("fp"),
@@ -93,6 +95,17 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
+def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.agg(F.corr(x, y).alias("pearson"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson correlation of average ranks (ties share their mean rank)."""
+    rx = average_rank(df.select(x, y), x, "_rx")
+    rxy = average_rank(rx, y, "_ry")
+    return rxy.agg(F.corr("_rx", "_ry").alias("spearman"))
+
+
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Average rank (1-based; ties share the mean of their positions), distributed.
 

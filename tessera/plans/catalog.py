@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["prices", "biomarkers", "modelprep"]
+MODULES = ["prices", "biomarkers", "modelprep", "evaluation"]
 
 
 def load() -> None:
