@@ -33,7 +33,7 @@ def _html_metrics() -> str:
         val = _metric_value(j)
         if m == "Price/Sales":
             val = f"(CASE WHEN p_partkey % 10 = 0 THEN 'N/A' ELSE {val} END)"
-        row = f"('<tr><td>{m}</td><td><span>' || {val} || '</span></td></tr>')"
+        row = f"('<tr><td>{m}</td><td><span>' || {val} || '</span></td></tr>' || chr(10))"
         if m == "Revenue":
             row = f"(CASE WHEN p_partkey % 9 = 0 THEN '' ELSE {row} END)"
         if m == "Market Cap":
@@ -51,7 +51,7 @@ def _html_backup() -> str:
     for j, m in enumerate(METRICS):
         alias = BACKUP_ALIAS.get(m, m) or m
         val = f"(CASE WHEN p_partkey % 8 = 0 THEN '-' ELSE {_metric_value(j)} END)"
-        rows.append(f"('<tr><td>{alias}</td><td><b>' || {val} || '</b></td></tr>')")
+        rows.append(f"('<tr><td>{alias}</td><td><b>' || {val} || '</b></td></tr>' || chr(10))")
     body = " || ".join(["'<html><body><table>'"] + rows + ["'</table>'",
                        "(CASE WHEN p_partkey % 13 = 0 THEN '<p>Ticker not found</p>' ELSE '' END)",
                        "'</body></html>'"])

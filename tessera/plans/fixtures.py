@@ -203,7 +203,7 @@ def html_metrics(spark, sf_dir) -> DataFrame:
         val = _metric_value(j)
         if m == "Price/Sales":
             val = F.when(F.col("p_partkey") % 10 == 0, F.lit("N/A")).otherwise(val)
-        row = F.concat(F.lit(f"<tr><td>{m}</td><td><span>"), val, F.lit("</span></td></tr>"))
+        row = F.concat(F.lit(f"<tr><td>{m}</td><td><span>"), val, F.lit("</span></td></tr>\n"))
         if m == "Revenue":
             row = F.when(F.col("p_partkey") % 9 == 0, F.lit("")).otherwise(row)
         if m == "Market Cap":
@@ -222,7 +222,7 @@ def html_backup(spark, sf_dir) -> DataFrame:
     for j, m in enumerate(METRICS):
         alias = BACKUP_ALIAS.get(m, m) or m
         val = F.when(F.col("p_partkey") % 8 == 0, F.lit("-")).otherwise(_metric_value(j))
-        rows.append(F.concat(F.lit(f"<tr><td>{alias}</td><td><b>"), val, F.lit("</b></td></tr>")))
+        rows.append(F.concat(F.lit(f"<tr><td>{alias}</td><td><b>"), val, F.lit("</b></td></tr>\n")))
     bad = F.when(F.col("p_partkey") % 13 == 0, F.lit("<p>Ticker not found</p>")).otherwise(F.lit(""))
     body = F.concat(F.lit("<html><body><table>"), *rows, F.lit("</table>"), bad, F.lit("</body></html>"))
     return part.filter(F.col("p_partkey") % 5 != 1).select(F.col("p_partkey").cast("string").alias("ticker"),
