@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["prices", "biomarkers", "modelprep", "evaluation", "fundamentals"]
+MODULES = ["prices", "biomarkers", "modelprep", "evaluation", "fundamentals", "language"]
 
 
 def load() -> None:
