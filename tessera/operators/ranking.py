@@ -7,7 +7,11 @@ one task.  ``global_rank`` gets the same numbers with a distributed sort:
    sorts inside each partition;
 2. ``monotonically_increasing_id`` right after the sort encodes
    (partition index, offset inside the partition);
-3. a per-partition row count (one row per partition, so its size is bounded by
+3. the tagged rows are written once with a reliable ``checkpoint()``: the
+   range bounds come from a sample whose result depends on the order rows
+   arrive in after a shuffle, so the counts and the rows must be read from
+   one materialisation (this also makes the positions survive executor loss);
+4. a per-partition row count (one row per partition, so its size is bounded by
    the partition count, not by the data) gives each partition's start offset.
 
 The order must be total (add a unique key as the last sort column), otherwise
@@ -21,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -34,9 +40,9 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "pos",
     """
     pb = list(partition_by)
     cols = [F.col(c) for c in pb] + [c if isinstance(c, Column) else F.col(c) for c in order]
-    tagged = (df.orderBy(*cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+    tagged = cut_lineage(df.orderBy(*cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     if not pb:
         per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         offsets = per_part.select(
