@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["prices", "biomarkers", "modelprep", "evaluation", "fundamentals", "language", "modelling"]
+MODULES = ["prices", "biomarkers", "modelprep", "evaluation", "fundamentals", "language", "modelling", "search"]
 
 
 def load() -> None:
