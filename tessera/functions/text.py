@@ -35,16 +35,25 @@ def token_id(tok: Column, vocab_size: int = VOCAB_SIZE) -> Column:
     return (h % F.lit(vocab_size - 3) + F.lit(3)).cast("int")
 
 
-def encode(text, max_length: int, vocab_size: int = VOCAB_SIZE) -> Column:
-    """``[BOS] + ids + [EOS]`` truncated to ``max_length`` and padded with PAD."""
-    ids = F.transform(tokens(text), lambda t: token_id(t, vocab_size))
-    body = F.slice(ids, 1, max_length - 2)
+def encode_tokens(toks: Column, max_length: int, vocab_size: int = VOCAB_SIZE) -> Column:
+    """``[BOS] + ids + [EOS]`` truncated to ``max_length`` and padded with PAD.
+
+    Truncation happens on the token array, so only kept pieces are hashed."""
+    body = F.transform(F.slice(toks, 1, max_length - 2), lambda t: token_id(t, vocab_size))
     seq = F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)))
     pad = F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size(seq))
     return F.concat(seq, pad)
 
 
-def attention_mask(text, max_length: int) -> Column:
+def mask_tokens(toks: Column, max_length: int) -> Column:
     """1 for real positions (incl. BOS/EOS), 0 for padding."""
-    n_real = F.least(F.size(tokens(text)) + 2, F.lit(max_length))
+    n_real = F.least(F.size(toks) + 2, F.lit(max_length))
     return F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), F.lit(max_length) - n_real))
+
+
+def encode(text, max_length: int, vocab_size: int = VOCAB_SIZE) -> Column:
+    return encode_tokens(tokens(text), max_length, vocab_size)
+
+
+def attention_mask(text, max_length: int) -> Column:
+    return mask_tokens(tokens(text), max_length)

@@ -1,0 +1,18 @@
+"""Partition layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster can run at once.
+
+    Row-heavy operators (regex tokenisation of whole documents, n-gram
+    explodes) do all their work before the first shuffle; a single large
+    parquet row group would otherwise run them in one task.  On a large input
+    (thousands of file splits) this is a no-op, so no shuffle is added there.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as TX
+from tessera.operators.layout import spread
 
 
 def explode_articles(feed: DataFrame, col: str = "articles", keep: Sequence[str] = ()) -> DataFrame:
@@ -27,39 +28,63 @@ def tokenize_pad(df: DataFrame, col: str, max_length: int = 512, labels_from: st
                  label_length: int | None = None) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``labels`` (a copy of the ids, or the
     encoding of ``labels_from`` as in question/answer pairs)."""
-    out = df.withColumn("input_ids", TX.encode(col, max_length)) \
-            .withColumn("attention_mask", TX.attention_mask(col, max_length))
+    out = spread(df).withColumn("_tok", TX.tokens(col))          # whole text tokenised once
+    out = out.withColumn("input_ids", TX.encode_tokens(F.col("_tok"), max_length)) \
+             .withColumn("attention_mask", TX.mask_tokens(F.col("_tok"), max_length)).drop("_tok")
     if labels_from is None:
         return out.withColumn("labels", F.col("input_ids"))
     return out.withColumn("labels", TX.encode(labels_from, label_length or max_length))
 
 
-def _ngrams(df: DataFrame, key: str, text: str, n: int, side: str) -> DataFrame:
-    w = TX.words(text)
+def _grams(words_col: str, n: int):
+    """n-grams of a materialised word-array column (joined with single spaces)."""
+    w = F.col(words_col)
     if n == 1:
-        grams = w
-    else:
-        idx = F.sequence(F.lit(0), F.size(w) - n)
-        grams = F.when(F.size(w) >= n, F.transform(idx, lambda i: F.array_join(F.slice(w, i + 1, n), " "))) \
-                 .otherwise(F.array().cast("array<string>"))
-    ex = df.select(key, F.explode(grams).alias("gram"))
-    return ex.groupBy(key, "gram").agg(F.count(F.lit(1)).alias(side))
-
-
-def rouge_n(df: DataFrame, key: str, pred: str, ref: str, n: int = 1) -> DataFrame:
-    """ROUGE-n precision/recall/F1 per row: n-gram counts are exploded, counted per
-    (row, gram) with partial aggregation, and matched with an equi-join."""
-    p = _ngrams(df, key, pred, n, "cp")
-    r = _ngrams(df, key, ref, n, "cr")
-    j = p.join(r, [key, "gram"], "full")
-    agg = j.groupBy(key).agg(F.sum(F.least(F.coalesce("cp", F.lit(0)), F.coalesce("cr", F.lit(0)))).alias("hit"),
-                             F.sum(F.coalesce("cp", F.lit(0))).alias("np"), F.sum(F.coalesce("cr", F.lit(0))).alias("nr"))
-    prec = F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("np")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("nr")), F.lit(0.0))
-    f1 = F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    keys = df.select(key).distinct()
-    res = agg.select(key, prec.alias(f"rouge{n}_p"), rec.alias(f"rouge{n}_r"), f1.alias(f"rouge{n}_f"))
-    return keys.join(res, key, "left").fillna(0.0)
+        return w
+    idx = F.sequence(F.lit(0), F.size(w) - n)
+    return F.when(F.size(w) >= n, F.transform(idx, lambda i: F.array_join(F.slice(w, i + 1, n), " "))) \
+            .otherwise(F.array().cast("array<string>"))
+
+
+def rouge_n(df: DataFrame, key: str, pred: str, ref: str, ns: Sequence[int] | int = (1, 2)) -> DataFrame:
+    """ROUGE-n precision/recall/F1 per row for every n in ``ns``.
+
+    One scan: both texts are tokenised once, all their n-grams are emitted by a
+    single ``explode`` tagged with side and n (plus one empty marker per n so
+    rows without grams survive), counted per (row, n, gram) with map-side
+    partial aggregation, and the clipped overlaps summed per row.  No join.
+    """
+    ns = [ns] if isinstance(ns, int) else list(ns)
+    # one shuffle of the raw pair by key; both aggregates below are then local
+    w = df.select(key, pred, ref).repartition(key) \
+          .select(key, TX.words(pred).alias("_wp"), TX.words(ref).alias("_wr"))
+
+    def tag(n, side):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("p"),
+                                  F.lit(1 - side).alias("r"))
+
+    parts = []
+    for n in ns:
+        for col, side in (("_wp", 1), ("_wr", 0)):
+            parts.append(F.transform(_grams(col, n), tag(n, side)))
+        parts.append(F.array(F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("g"),
+                                      F.lit(0).alias("p"), F.lit(0).alias("r"))))
+    ex = w.select(key, F.explode(F.concat(*parts)).alias("_e")).select(key, "_e.*")
+    c = ex.groupBy(key, "n", "g").agg(F.sum("p").alias("cp"), F.sum("r").alias("cr"))
+    aggs = []
+    for n in ns:
+        on = F.col("n") == n
+        aggs += [F.sum(F.when(on, F.least("cp", "cr"))).alias(f"_hit{n}"),
+                 F.sum(F.when(on, F.col("cp"))).alias(f"_np{n}"), F.sum(F.when(on, F.col("cr"))).alias(f"_nr{n}")]
+    s = c.groupBy(key).agg(*aggs)
+    out = [key]
+    for n in ns:
+        hit = F.col(f"_hit{n}").cast("double")
+        prec = F.coalesce(F.try_divide(hit, F.col(f"_np{n}")), F.lit(0.0))
+        rec = F.coalesce(F.try_divide(hit, F.col(f"_nr{n}")), F.lit(0.0))
+        f1 = F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
+        out += [prec.alias(f"rouge{n}_p"), rec.alias(f"rouge{n}_r"), f1.alias(f"rouge{n}_f")]
+    return s.select(*out)
 
 
 def _lcs(a: list, b: list) -> int:
@@ -84,7 +109,7 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def rouge_l(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
     """ROUGE-L (longest common subsequence) per row; the LCS dynamic programme runs
     in an Arrow-batched pandas UDF over the tokenised pair (per-row work only)."""
-    w = df.select(key, TX.words(pred).alias("_p"), TX.words(ref).alias("_r"))
+    w = spread(df).select(key, TX.words(pred).alias("_p"), TX.words(ref).alias("_r"))
     w = w.withColumn("_l", _lcs_udf("_p", "_r"))
     prec = F.coalesce(F.try_divide(F.col("_l").cast("double"), F.size("_p")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("_l").cast("double"), F.size("_r")), F.lit(0.0))
@@ -108,13 +133,17 @@ def summarize(df: DataFrame, key: str, text: str, min_tokens: int = 30, max_toke
     """Extractive summary: sentences scored by their words' document frequency
     (normalised by the most frequent word), taken best-first while the token
     budget allows (at least ``min_tokens``), then printed in document order."""
-    sent = df.select(key, F.posexplode(sentences(text)).alias("sid", "s")).filter(F.length(F.trim("s")) > 0)
+    # One shuffle of the raw text by document: every later aggregate, join and
+    # window is keyed by (document, ...), which hash partitioning on the
+    # document already satisfies, so words are never shuffled.
+    docs = df.select(key, text).repartition(key)
+    sent = docs.select(key, F.posexplode(sentences(text)).alias("sid", "s")).filter(F.length(F.trim("s")) > 0)
     wds = sent.select(key, "sid", F.explode(TX.words("s")).alias("w"))
-    tf = wds.groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
+    wtf = wds.withColumn("tf", F.count(F.lit(1)).over(Window.partitionBy(key, "w")))
     # sum of word frequencies: an integer, so ranking is exact in any engine
     # (normalising by the document's top frequency does not change the order)
-    score = wds.join(tf, [key, "w"]).groupBy(key, "sid").agg(F.sum("tf").alias("score"))
-    sent = sent.join(score, [key, "sid"]).withColumn("ntok", F.size(TX.words("s")))
+    score = wtf.groupBy(key, "sid").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("ntok"))
+    sent = sent.join(score, [key, "sid"])
     w = Window.partitionBy(key).orderBy(F.desc("score"), "sid")
     sent = sent.withColumn("cum", F.sum("ntok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     keep = sent.filter(((F.col("cum") - F.col("ntok")) < min_tokens) | (F.col("cum") <= max_tokens))

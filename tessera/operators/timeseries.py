@@ -22,12 +22,18 @@ from tessera.functions.numeric import pct_change, pyround
 TK, DT, PX = "tk", "dt", "px"
 
 
-def _d(dt: str = DT) -> Column:
-    return F.unix_date(F.col(dt))
+DAY = "_d"
+
+
+def _with_day(df: DataFrame, dt: str) -> DataFrame:
+    """Materialise the day number once: windows ordered by the same column
+    share one sort (an inline ``unix_date`` gets a new alias per window and
+    forces a re-sort for each)."""
+    return df if DAY in df.columns else df.withColumn(DAY, F.unix_date(F.col(dt)))
 
 
 def _win(tk: str, dt: str):
-    return Window.partitionBy(tk).orderBy(_d(dt))
+    return Window.partitionBy(tk).orderBy(DAY)
 
 
 # ------------------------------------------------------------- sources S3/P8-P9/S10
@@ -54,6 +60,7 @@ def min_history(df: DataFrame, end_date: str, min_rows: int = 3, tk: str = TK, d
 
 # ------------------------------------------------------------- W1/W2/W3
 def _window_frame(series, size, stride, cap, tk, dt):
+    series = _with_day(series, dt)
     w = _win(tk, dt)
     i = F.row_number().over(w) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy(tk))
@@ -117,11 +124,11 @@ def forward_gain(series: DataFrame, horizons: Mapping[str, int] = HORIZONS,
                  tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """Max price over the next h calendar days (both ends included) and the gain in %."""
     w = _win(tk, dt)
-    out = series
+    out = _with_day(series, dt)
     for name, days in horizons.items():
         mx = F.max(px).over(w.rangeBetween(0, days))
         out = out.withColumn(f"{name}_max", mx).withColumn(f"{name}_gain", pct_change(px, f"{name}_max", None))
-    return out
+    return out if DAY in series.columns else out.drop(DAY)
 
 
 def forward_labels(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
@@ -176,7 +183,7 @@ def exclusive_bucket(gain, rungs: Sequence[float], prefix: str) -> Column:
 def trailing_window(series: DataFrame, days: int = 1825, tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """Per day, stats of the prices in the trailing ``days`` calendar days (inclusive)."""
     w = _win(tk, dt).rangeBetween(-days, 0)
-    return series.select(tk, dt, px,
+    return _with_day(series, dt).select(tk, dt, px,
                          F.count(px).over(w).alias("n_days"), F.min(px).over(w).alias("lo"),
                          F.max(px).over(w).alias("hi"), pyround(F.avg(px).over(w), 4).alias("mean"))
 
@@ -185,18 +192,23 @@ def _frame(w: int, nominal: bool):
     return (-(w - 1), 0) if nominal else (-w, 0)
 
 
-def sma(series: DataFrame, w: int = 26, nominal: bool = False, tk: str = TK, dt: str = DT,
+def sma(series: DataFrame, w=26, nominal: bool = False, tk: str = TK, dt: str = DT,
         px: str = PX, name: str | None = None) -> DataFrame:
-    """Simple moving average rounded to 2; NULL until the frame is full.
+    """Simple moving average(s) rounded to 2; NULL until the frame is full.
 
     The reference appends before averaging and pops after, so its frame holds
     w+1 prices and the first value is on row w+1; ``nominal=True`` uses w rows.
+    ``w`` may be a list: all widths share one sort.
     """
-    lo, hi = _frame(w, nominal)
+    widths = [w] if isinstance(w, int) else list(w)
     win = _win(tk, dt)
     i = F.row_number().over(win) - 1
-    v = F.when(i >= -lo, pyround(F.avg(px).over(win.rowsBetween(lo, hi)), 2))
-    return series.withColumn(name or f"sma{w}", v)
+    out = _with_day(series, dt)
+    for width in widths:
+        lo, hi = _frame(width, nominal)
+        v = F.when(i >= -lo, pyround(F.avg(px).over(win.rowsBetween(lo, hi)), 2))
+        out = out.withColumn(name if (name and len(widths) == 1) else f"sma{width}", v)
+    return out if DAY in series.columns else out.drop(DAY)
 
 
 def bollinger(series: DataFrame, w: int = 26, k: float = 2.0, nominal: bool = False,
@@ -208,7 +220,7 @@ def bollinger(series: DataFrame, w: int = 26, k: float = 2.0, nominal: bool = Fa
     full = (F.row_number().over(win) - 1) >= -lo
     mean = pyround(F.avg(px).over(frame), 2)
     sd = F.stddev_pop(px).over(frame)
-    return series.select(tk, dt, px, F.when(full, mean).alias("sma"),
+    return _with_day(series, dt).select(tk, dt, px, F.when(full, mean).alias("sma"),
                          F.when(full, pyround(mean + F.lit(k) * sd, 2)).alias("upper"),
                          F.when(full, pyround(mean - F.lit(k) * sd, 2)).alias("lower"))
 
@@ -220,7 +232,7 @@ def rsi(series: DataFrame, w: int = 12, tk: str = TK, dt: str = DT, px: str = PX
     """
     win = _win(tk, dt)
     chg = F.col(px) - F.lag(px).over(win)
-    s = series.withColumn("_i", F.row_number().over(win) - 1) \
+    s = _with_day(series, dt).withColumn("_i", F.row_number().over(win) - 1) \
               .withColumn("_up", F.greatest(chg, F.lit(0.0))).withColumn("_dn", F.greatest(-chg, F.lit(0.0)))
     frame = win.rowsBetween(-(w - 1), 0)
     avg_u = F.sum("_up").over(frame) / F.lit(float(w))

@@ -108,9 +108,7 @@ def _pairs(spark, sf):
 
 @register("rouge12", ROUGE_SQL)
 def q_rouge12(spark, sf):
-    q = _pairs(spark, sf)
-    return TO.rouge_n(q, "pair_id", "answer", "question", 1).join(TO.rouge_n(q, "pair_id", "answer", "question", 2),
-                                                                "pair_id")
+    return TO.rouge_n(_pairs(spark, sf), "pair_id", "answer", "question", (1, 2))
 
 
 @register("rouge_l")

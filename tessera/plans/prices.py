@@ -143,7 +143,7 @@ SELECT tk, dt, px,
   CASE WHEN row_number() OVER ({W}) - 1 >= 12 THEN round_even(avg(px) OVER ({W} ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 2) END AS sma12
 FROM series""")
 def q_sma(spark, sf):
-    return T.sma(T.sma(X.series(spark, sf), 26), 12)
+    return T.sma(X.series(spark, sf), [26, 12])
 
 
 @register("bollinger", f"""

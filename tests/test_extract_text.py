@@ -70,8 +70,10 @@ def _rouge_py(pred, ref, n):
 def test_rouge(spark):
     pairs = [(1, "the cat sat on the mat", "the cat is on the mat"), (2, "a b c", ""), (3, "x y", "x y")]
     df = spark.createDataFrame(pairs, "id int, pred string, ref string")
+    both = {r.id: r for r in TO.rouge_n(df, "id", "pred", "ref", (1, 2)).collect()}
     for n in (1, 2):
         got = {r.id: r for r in TO.rouge_n(df, "id", "pred", "ref", n).collect()}
+        assert all(getattr(both[i], f"rouge{n}_f") == getattr(got[i], f"rouge{n}_f") for i in got)
         for i, p, r in pairs:
             exp = _rouge_py(p, r, n)
             assert (getattr(got[i], f"rouge{n}_p"), getattr(got[i], f"rouge{n}_r"), getattr(got[i], f"rouge{n}_f")) \
