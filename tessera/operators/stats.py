@@ -25,39 +25,50 @@ def class_distribution(df: DataFrame, label: str = "label", ddof: int = 0) -> Da
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10, group_by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width histogram over [min, max]; the last bin is closed (numpy rule)."""
-    gb = list(group_by) or ["_all"]
-    if not group_by:
-        df = df.withColumn("_all", F.lit(0))
-    rng = df.groupBy(*gb).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = df.filter(F.col(value).isNotNull()).join(rng, gb)
-    width = F.col("_hi") - F.col("_lo")
+    """Equal-width histogram over [min, max]; the last bin is closed (numpy rule).
+
+    Per-group ranges are a small aggregate joined on the group key; without
+    groups the range is a pair of scalar subqueries (no join at all)."""
+    gb = list(group_by)
+    v = df.filter(F.col(value).isNotNull())
+    if gb:
+        rng = df.groupBy(*gb).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        j = v.join(rng, gb)
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:
+        j = v
+        lo, hi = df.select(F.min(value)).scalar(), df.select(F.max(value)).scalar()
+    width = hi - lo
     b = F.when(width == 0, F.lit(bins // 2 + 1)).otherwise(
-        F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins) + 1, F.lit(bins)))
-    out = j.groupBy(*gb, b.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
-    edge = lambda k: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * k / F.lit(float(bins))
-    res = out.select(*gb, "bin", edge(F.col("bin") - 1).alias("lo"), edge(F.col("bin")).alias("hi"), "n")
-    return res if group_by else res.drop("_all")
+        F.least(F.floor((F.col(value) - lo) / width * bins) + 1, F.lit(bins)))
+    out = j.groupBy(*gb, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    if gb:
+        out = out.join(rng, gb)
+    edge = lambda k: lo + (hi - lo) * k / F.lit(float(bins))
+    return out.select(*gb, "bin", edge(F.col("bin") - 1).alias("lo"), edge(F.col("bin")).alias("hi"), "n")
 
 
 def box_stats(df: DataFrame, value: str, group_by: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the extreme data inside
     ``whisker * IQR`` of the box, and the number of points outside."""
-    gb = list(group_by) or ["_all"]
-    if not group_by:
-        df = df.withColumn("_all", F.lit(0))
-    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], gb)
-    q = q.withColumn("iqr", F.col("q75") - F.col("q25")) \
-         .withColumn("fence_lo", F.col("q25") - F.lit(whisker) * F.col("iqr")) \
-         .withColumn("fence_hi", F.col("q75") + F.lit(whisker) * F.col("iqr"))
+    gb = list(group_by)
     v = F.col(value)
-    j = df.filter(v.isNotNull()).join(q, gb)    # one row per group
-    inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
-    agg = j.groupBy(*gb, "q25", "q50", "q75", "iqr").agg(
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], gb)
+    if gb:
+        j = df.filter(v.isNotNull()).join(q, gb)          # one row per group
+        q25, q50, q75 = F.col("q25"), F.col("q50"), F.col("q75")
+    else:
+        j = df.filter(v.isNotNull())
+        q25, q50, q75 = (q.select(c).scalar() for c in ("q25", "q50", "q75"))
+    iqr = q75 - q25
+    inside = (v >= q25 - F.lit(whisker) * iqr) & (v <= q75 + F.lit(whisker) * iqr)
+    agg = j.groupBy(*gb).agg(
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
-    return agg if group_by else agg.drop("_all")
+    if gb:
+        agg = agg.join(q, gb)
+    return agg.select(*gb, q25.alias("q25"), q50.alias("q50"), q75.alias("q75"), iqr.alias("iqr"),
+                      "whisker_lo", "whisker_hi", "n_outliers", "n")
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p", threshold=0.5,
@@ -155,3 +166,66 @@ def select_features(mi: DataFrame, c: float = 2.0, feature: str = "feature", sco
     """Keep features whose score is strictly above ``c`` times the mean score."""
     mean = mi.select(F.avg(score)).scalar()
     return mi.filter(F.col(score) > F.lit(c) * mean)
+
+
+_EULER = 0.5772156649015329
+# psi(n) = H(n-1) - Euler-Mascheroni for small integers (exact harmonic numbers)
+_PSI_SMALL = {n: sum(1.0 / j for j in range(1, n)) - _EULER for n in range(1, 11)}
+
+
+def digamma_int(n) -> Column:
+    """Digamma of a positive integer column: exact for n <= 10, asymptotic series
+    beyond (truncation error below 1e-14)."""
+    c = n if isinstance(n, Column) else F.col(n)
+    x = c.cast("double")
+    asym = (F.log(x) - F.lit(0.5) / x - F.lit(1.0 / 12) / (x * x) + F.lit(1.0 / 120) / F.pow(x, 4)
+            - F.lit(1.0 / 252) / F.pow(x, 6) + F.lit(1.0 / 240) / F.pow(x, 8))
+    expr = None
+    for k, v in _PSI_SMALL.items():
+        expr = F.when(c == k, F.lit(v)) if expr is None else expr.when(c == k, F.lit(v))
+    return expr.otherwise(asym)
+
+
+def mutual_info_knn(cells: DataFrame, labels: DataFrame, key: str, feature: str, value: str, y: str,
+                    k: int = 3) -> DataFrame:
+    """k-nearest-neighbour mutual information between a continuous feature and a
+    class (Ross 2014; the estimator behind scikit-learn's ``mutual_info_classif``,
+    without its random jitter).
+
+    1-D neighbours are adjacent in sort order, so the distance to the k-th
+    same-class neighbour comes from a +/-k row window per (feature, class).  The
+    number of points of any class strictly inside that radius comes from two
+    probe rows per point (x - d, x + d) merged into the sorted values of the
+    feature and a running count of data rows.  Classes seen once are dropped.
+    "Inside the radius" means inside the open interval (x - d, x + d) as
+    computed in IEEE arithmetic ([x, x] when d = 0); scikit-learn instead
+    jitters the data randomly so that boundary ties do not occur.
+    """
+    j = (cells.filter(F.col(value).isNotNull()).join(labels.filter(F.col(y).isNotNull()), key)
+              .select(feature, key, F.col(value).alias("_x"), F.col(y).alias("_y")))
+    j = j.withColumn("_ny", F.count(F.lit(1)).over(Window.partitionBy(feature, "_y"))).filter(F.col("_ny") > 1)
+    j = j.withColumn("_k", F.least(F.lit(k), F.col("_ny") - 1))
+    nb = Window.partitionBy(feature, "_y").orderBy("_x", key).rowsBetween(-k, k)
+    j = j.withColumn("_nb", F.collect_list("_x").over(nb))
+    j = j.withColumn("_d", F.element_at(F.array_sort(F.transform("_nb", lambda v: F.abs(v - F.col("_x")))),
+                                        (F.col("_k") + 1).cast("int")))
+    data = j.select(feature, F.col("_x").alias("_v"), F.lit(1).alias("_t"), F.lit(None).cast("string").alias("_pid"),
+                    F.lit(1).alias("_is"), F.lit(None).cast("string").alias("_side"),
+                    F.lit(None).cast("int").alias("_k"), F.lit(None).cast("long").alias("_ny"))
+    pos = F.col("_d") > 0
+    hi = j.select(feature, (F.col("_x") + F.col("_d")).alias("_v"), F.when(pos, 0).otherwise(2).alias("_t"),
+                  F.col(key).cast("string").alias("_pid"), F.lit(0).alias("_is"), F.lit("hi").alias("_side"),
+                  F.col("_k").cast("int").alias("_k"), F.col("_ny").cast("long").alias("_ny"))
+    lo = j.select(feature, (F.col("_x") - F.col("_d")).alias("_v"), F.when(pos, 2).otherwise(0).alias("_t"),
+                  F.col(key).cast("string").alias("_pid"), F.lit(0).alias("_is"), F.lit("lo").alias("_side"),
+                  F.col("_k").cast("int").alias("_k"), F.col("_ny").cast("long").alias("_ny"))
+    merged = data.unionByName(hi).unionByName(lo)
+    run = Window.partitionBy(feature).orderBy("_v", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("_cnt", F.sum("_is").over(run)).filter(F.col("_is") == 0)
+    m = merged.groupBy(feature, "_pid").agg(
+        F.sum(F.when(F.col("_side") == "hi", F.col("_cnt")).otherwise(-F.col("_cnt"))).alias("_m"),
+        F.max("_k").alias("_k"), F.max("_ny").alias("_ny"))
+    mi = m.groupBy(feature).agg(
+        (digamma_int(F.count(F.lit(1))) + F.avg(digamma_int("_k")) - F.avg(digamma_int("_ny"))
+         - F.avg(digamma_int("_m"))).alias("_mi"))
+    return mi.select(feature, F.greatest(F.col("_mi"), F.lit(0.0)).alias("mi"))

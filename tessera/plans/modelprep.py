@@ -278,3 +278,36 @@ def q_select_features(spark, sf):
     y = X.meta(spark, sf).select("patient_id", L.label_contains("status", "lung", case=False).alias("y"))
     mi = S.mutual_info_binned(X.cells(spark, sf), y, "patient_id", "feature", "beta", "y", bins=10)
     return S.select_features(mi, 1.5).select("feature", F.round("mi", 9).alias("mi"))
+
+
+def _psi_sql(n: str) -> str:
+    small = " ".join(f"WHEN {n} = {k} THEN {v!r}" for k, v in S._PSI_SMALL.items())
+    x = f"CAST({n} AS DOUBLE)"
+    asym = (f"ln({x}) - 0.5 / {x} - {1.0 / 12!r} / ({x} * {x}) + {1.0 / 120!r} / pow({x}, 4) "
+            f"- {1.0 / 252!r} / pow({x}, 6) + {1.0 / 240!r} / pow({x}, 8)")
+    return f"(CASE {small} ELSE {asym} END)"
+
+
+@register("mi_class_knn", f"""
+WITH yl AS ({CLASS_LABELS_SQL}),
+j AS (SELECT c.feature, c.patient_id, c.beta AS x, yl.y FROM cells c JOIN yl USING (patient_id)
+      WHERE c.beta IS NOT NULL AND yl.y IS NOT NULL),
+j2 AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny FROM j),
+j3 AS (SELECT *, least(3, ny - 1) AS k, list(x) OVER (PARTITION BY feature, y ORDER BY x, patient_id
+              ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS nb FROM j2 WHERE ny > 1),
+j4 AS (SELECT *, list_sort(list_transform(nb, lambda v: abs(v - x)))[k + 1] AS d FROM j3),
+pr AS (SELECT feature, x AS v, 1 AS t, NULL::VARCHAR AS pid, 1 AS is_data, NULL::VARCHAR AS side, NULL::INTEGER AS k,
+              NULL::BIGINT AS ny FROM j4
+       UNION ALL SELECT feature, x + d, CASE WHEN d > 0 THEN 0 ELSE 2 END, patient_id, 0, 'hi', k, ny FROM j4
+       UNION ALL SELECT feature, x - d, CASE WHEN d > 0 THEN 2 ELSE 0 END, patient_id, 0, 'lo', k, ny FROM j4),
+c AS (SELECT *, sum(is_data) OVER (PARTITION BY feature ORDER BY v, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             AS cnt FROM pr),
+m AS (SELECT feature, pid, sum(CASE WHEN side = 'hi' THEN cnt ELSE -cnt END) AS m, max(k) AS k, max(ny) AS ny
+      FROM c WHERE is_data = 0 GROUP BY feature, pid),
+r AS (SELECT feature, {_psi_sql('count(*)')} + avg({_psi_sql('k')}) - avg({_psi_sql('ny')}) - avg({_psi_sql('m')}) AS mi
+      FROM m GROUP BY feature)
+SELECT feature, round(greatest(mi, 0.0), 9) AS mi FROM r""")
+def q_mi_class_knn(spark, sf):
+    y = X.meta(spark, sf).select("patient_id", L.label_contains("status", "lung", case=False).alias("y"))
+    mi = S.mutual_info_knn(X.cells(spark, sf), y, "patient_id", "feature", "beta", "y", k=3)
+    return mi.select("feature", F.round("mi", 9).alias("mi"))

@@ -117,3 +117,54 @@ def test_class_distribution(spark):
     d = {r.label: r for r in S.class_distribution(df).collect()}
     assert d[1].pct == pytest.approx(25.0) and d[0].n == 3
     assert d[1].log_inv == pytest.approx(math.log(4))
+
+
+def _psi(n):
+    return sum(1.0 / j for j in range(1, int(n))) - 0.5772156649015329
+
+
+def _knn_mi_bruteforce(x, y, k=3):
+    x, y = np.asarray(x, float), np.asarray(y)
+    radius, kk, lc = {}, {}, {}
+    for lab in np.unique(y):
+        idx = np.where(y == lab)[0]
+        if len(idx) < 2:
+            continue
+        kl = min(k, len(idx) - 1)
+        for i in idx:
+            radius[i] = np.sort(np.abs(x[idx] - x[i]))[kl]
+            kk[i], lc[i] = kl, len(idx)
+    keep = sorted(radius)
+    xs = x[keep]
+    m = [int(np.sum((xs > x[i] - radius[i]) & (xs < x[i] + radius[i]))) if radius[i] > 0
+         else int(np.sum(xs == x[i])) for i in keep]
+    mi = _psi(len(keep)) + np.mean([_psi(kk[i]) for i in keep]) - np.mean([_psi(lc[i]) for i in keep]) \
+        - np.mean([_psi(v) for v in m])
+    return max(mi, 0.0)
+
+
+def test_knn_mutual_info_bruteforce(spark):
+    rnd = np.random.default_rng(4)
+    rows, labs = [], []
+    for p in range(120):
+        lab = int(p % 3 == 0)
+        labs.append((str(p), lab))
+        rows.append((str(p), "a", float(np.round(rnd.normal(lab * 1.5, 1.0), 2))))   # ties on purpose
+        rows.append((str(p), "b", float(rnd.normal())))
+    rows.append(("solo", "a", 0.5))
+    labs.append(("solo", 7))                                                         # class seen once
+    cells = spark.createDataFrame(rows, "patient_id string, feature string, beta double")
+    lab = spark.createDataFrame(labs, "patient_id string, y int")
+    got = {r.feature: r.mi for r in S.mutual_info_knn(cells, lab, "patient_id", "feature", "beta", "y").collect()}
+    ymap = dict(labs)
+    for f in ("a", "b"):
+        pts = [(v, ymap[p]) for (p, ff, v) in rows if ff == f]
+        exp = _knn_mi_bruteforce([v for v, _ in pts], [c for _, c in pts])
+        assert got[f] == pytest.approx(exp, abs=1e-9)
+    assert got["a"] > got["b"]
+
+
+def test_digamma_int(spark):
+    df = spark.createDataFrame([(n,) for n in (1, 2, 5, 10, 11, 50, 1000)], "n int")
+    got = [r.p for r in df.select(S.digamma_int("n").alias("p")).orderBy("n").collect()]
+    assert got == pytest.approx([_psi(n) for n in (1, 2, 5, 10, 11, 50, 1000)], abs=1e-12)
