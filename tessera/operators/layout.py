@@ -14,5 +14,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     parquet row group would otherwise run them in one task.  On a large input
     (thousands of file splits) this is a no-op, so no shuffle is added there.
     """
+    if df.isStreaming:          # micro-batches: partitioning follows the source
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
