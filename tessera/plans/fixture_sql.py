@@ -121,7 +121,8 @@ FIXTURES: dict[str, str] = {
            "WHERE role = 'user' AND next_role = 'assistant'"),
     "labelled_docs": "SELECT * FROM documents JOIN labels USING (doc_id)",
     "class_items": ("SELECT p_partkey AS item_id, p_type AS class, '/graphs/' || p_type || '/' || "
-                    "CAST(p_partkey AS VARCHAR) || '.png' AS path FROM part"),
+                    "CAST(p_partkey AS VARCHAR) || ['.png', '.PNG', '.jpg', '.jpeg', '.txt'][p_partkey % 5 + 1] AS path "
+                    "FROM part"),
 }
 
 _ORDER = list(FIXTURES)

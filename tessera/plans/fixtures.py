@@ -264,9 +264,13 @@ def labelled_docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
 
 
+EXTENSIONS = [".png", ".PNG", ".jpg", ".jpeg", ".txt"]
+
+
 def class_items(spark, sf_dir) -> DataFrame:
     """(item_id, class, path): catalogue of items per class (images stand-in)."""
     p = table(spark, sf_dir, "part")
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("p_partkey") % 5 + 1).cast("int"))
     return p.select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("class"),
                     F.concat(F.lit("/graphs/"), F.col("p_type"), F.lit("/"), F.col("p_partkey").cast("string"),
-                             F.lit(".png")).alias("path"))
+                             ext).alias("path"))

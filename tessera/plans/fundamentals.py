@@ -106,3 +106,10 @@ def q_html_catalog(spark, sf):
     return p.select("page_id", E.catalog_key("url").alias("key"),
                     F.regexp_extract("url", r"^[a-z]+://[^/]+/([^/]+)/", 1).alias("kind"),
                     F.length("html").alias("n_chars"))
+
+
+@register("image_catalog", r"""
+SELECT item_id, path, split_part(path, '/', -2) AS class FROM class_items WHERE regexp_matches(lower(path), '(png|jpg|jpeg)$')""")
+def q_image_catalog(spark, sf):
+    from tessera.sources.files import image_listing
+    return image_listing(X.class_items(spark, sf).select("item_id", "path"))

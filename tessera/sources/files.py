@@ -104,16 +104,20 @@ def html_catalog(spark: SparkSession, dirs: Mapping[str, str]) -> DataFrame:
     return out
 
 
+def image_listing(listing: DataFrame, path: str = "path", pattern: str = IMAGE_PATTERN) -> DataFrame:
+    """Keep image files (extension matched case-insensitively, no dot needed)
+    and label each with its parent directory."""
+    return (listing.filter(F.lower(F.col(path)).rlike(pattern))
+                   .withColumn("class", F.element_at(F.split(F.col(path), "/"), -2)))
+
+
 def image_catalog(spark: SparkSession, root: str, pattern: str = IMAGE_PATTERN) -> DataFrame:
-    """Labelled image directory -> ``(path, class, length)`` (S8).
+    """Labelled image directory -> ``(path, length, class)`` (S8).
 
-    The class is the parent directory; extensions are matched
-    case-insensitively.  Only metadata columns are selected, so the binary
-    file source never reads the image bytes."""
+    Only metadata columns are selected, so the binary file source never reads
+    the image bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return (df.select("path", "length")
-              .filter(F.lower("path").rlike(pattern))
-              .withColumn("class", F.element_at(F.split("path", "/"), -2)))
+    return image_listing(df.select("path", "length"), "path", pattern)
 
 
 def read_feed(spark: SparkSession, path, schema: StructType | str | None = None) -> DataFrame:
