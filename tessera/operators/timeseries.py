@@ -109,12 +109,16 @@ def window_points(series: DataFrame, size: int = 275, stride: int = 75, cap: int
 
 def window_arrays(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
                   tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
-    """Window contents as ``ARRAY<DOUBLE>`` at each label row (preceding ``size`` prices)."""
-    f = _window_frame(series, size, stride, cap, tk, dt)
-    f = f.withColumn("prices", F.collect_list(px).over(_win(tk, dt).rowsBetween(-size, -1)))
-    return (f.filter(_label_row(size, stride, cap))
-             .select(tk, ((F.col("_i") - size) / stride).cast("int").alias("window_no"),
-                     F.col(dt).alias("end_dt"), "prices"))
+    """Window contents as ``ARRAY<DOUBLE>`` in date order, one row per window.
+
+    Built from the window memberships and grouped by (ticker, window): the
+    rows are already hash-partitioned by ticker, so the grouping adds no
+    exchange, and only real windows build arrays (size is bounded by ``size``).
+    """
+    pts = window_points(series, size, stride, cap, tk, dt, px)
+    agg = pts.groupBy(tk, "window_no").agg(F.array_sort(F.collect_list(F.struct("pos", px))).alias("_s"),
+                                           F.max(dt).alias("last_dt"))
+    return agg.select(tk, "window_no", "last_dt", F.transform("_s", lambda e: e[px]).alias("prices"))
 
 
 HORIZONS = {"week": 8, "month": 31}
@@ -307,3 +311,14 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str
         pick(F.struct(F.col("_cd").alias(right_on), *rcols), F.when(F.col("_hit"), F.col("_cd"))).alias("_m"))
     return best.select("_l.*", F.col(f"_m.{right_on}").alias(f"match_{right_on}"),
                        *[F.col(f"_m.{c}").alias(c) for c in rcols])
+
+
+def labelled_windows(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
+                     tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
+    """Window price arrays with every label directory they belong to (what the
+    reference writes as one image per label); write with
+    ``sources.write_table(df, path, partition_by=["bucket"])``."""
+    labels = bucket_ladder(forward_labels(series, size, stride, cap, HORIZONS, tk, dt, px)) \
+        .select(tk, "window_no", "end_dt", "bucket")
+    arrays = window_arrays(series, size, stride, cap, tk, dt, px)
+    return labels.join(arrays, [tk, "window_no"])

@@ -147,3 +147,26 @@ def test_unpivot_drops_missing(spark):
                                  "dt date, a double, b double")
     long = T.nonzero_series(T.unpivot_prices(wide))
     assert sorted((r.tk, r.px) for r in long.collect()) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_window_arrays(spark):
+    s = _series(spark, [700])
+    arr = {r.window_no: r.prices for r in T.window_arrays(s).collect()}
+    px = [r.px for r in s.orderBy("dt").collect()]
+    assert sorted(arr) == [0, 1, 2, 3, 4] or sorted(arr) == list(range(len(reference_windows(700))))
+    for k, prices in arr.items():
+        assert prices == px[75 * k: 75 * k + 275]
+
+
+def test_labelled_windows_partitioned_sink(spark, tmpdir_path):
+    import os
+    from tessera.sources.files import write_table
+    s = _series(spark, [700, 620])
+    lw = T.labelled_windows(s)
+    out = os.path.join(tmpdir_path, "graphs")
+    write_table(lw, out, partition_by=["bucket"])
+    back = spark.read.parquet(out)
+    assert back.count() == lw.count() > 0
+    assert {d.split("=")[1] for d in os.listdir(out) if d.startswith("bucket=")} == \
+        {r.bucket for r in lw.select("bucket").distinct().collect()}
+    assert all(len(r.prices) == 275 for r in back.collect())
