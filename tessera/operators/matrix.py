@@ -89,9 +89,12 @@ def drop_null(cells: DataFrame, axis: str = "rows", value: str = BETA) -> DataFr
     return cells.join(bad, key, "left_anti")
 
 
-def pack(cells: DataFrame, order: DataFrame) -> DataFrame:
-    """Long cells -> ``(patient_id, x ARRAY<DOUBLE>)`` in ``order.pos`` layout."""
+def pack(cells: DataFrame, order: DataFrame, keys: Sequence[str] = (PID,)) -> DataFrame:
+    """Long cells -> ``(keys..., x ARRAY<DOUBLE>)`` in ``order.pos`` layout.
+
+    One row per entity; the array length is the feature count (bounded by the
+    feature dimension, never by the number of entities)."""
     j = cells.join(order, FEAT)
-    return (j.groupBy(PID)
+    return (j.groupBy(*keys)
              .agg(F.sort_array(F.collect_list(F.struct("pos", BETA))).alias("_s"))
-             .select(PID, F.transform("_s", lambda s: s[BETA]).alias("x")))
+             .select(*keys, F.transform("_s", lambda s: s[BETA]).alias("x")))

@@ -9,26 +9,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import matrix as M
+from tessera.operators.layout import spread
 
 PID = "patient_id"
 
 
-def feature_vectors(cells: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """Long cells -> ``(patient_id, features VECTOR)`` in feature-name order.
+def feature_vectors(cells: DataFrame, order: DataFrame | None = None, keys: Sequence[str] = (PID,)) -> DataFrame:
+    """Long cells -> ``(keys..., features VECTOR)`` in feature-name order.
 
     Features holding any NULL cell are dropped first (the reference drops them)."""
     clean = M.drop_null(cells, "features")
     order = order if order is not None else M.feature_order(clean)
-    rows = M.pack(clean, order)
-    return rows.select(PID, array_to_vector("x").alias("features"))
+    rows = M.pack(clean, order, keys)
+    return rows.select(*keys, array_to_vector("x").alias("features"))
 
 
 class ElasticNet:
@@ -93,24 +94,33 @@ def grid(**lists: Sequence) -> list[dict]:
     return out
 
 
-def grid_search(estimator, train: DataFrame, valid: DataFrame, param_maps: list[dict], evaluate) -> list[dict]:
-    """Fit every configuration (``fitMultiple``) and score it on ``valid``.
+def grid_search(estimator, train: DataFrame, valid: DataFrame, param_maps: list[dict], evaluate,
+                parallelism: int = 4) -> list[dict]:
+    """Fit every configuration and score it on ``valid``; ``parallelism`` trials
+    run as concurrent Spark jobs (the data is cached once and shared).
 
     ``evaluate(model, valid) -> dict`` returns the metrics of one trial."""
-    maps = [{estimator.getParam(k): v for k, v in pm.items()} for pm in param_maps]
-    rows = [None] * len(maps)
-    for idx, model in estimator.fitMultiple(train, maps):
-        rows[idx] = dict(param_maps[idx], **evaluate(model, valid))
+    from concurrent.futures import ThreadPoolExecutor
+    train, valid = train.cache(), valid.cache()
+
+    def run(pm):
+        model = estimator.copy({estimator.getParam(k): v for k, v in pm.items()}).fit(train)
+        return dict(pm, **evaluate(model, valid))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(run, param_maps))
+    train.unpersist()
+    valid.unpersist()
     return rows
 
 
-def sentiment_pipeline(text: str = "text", label: str = "label", num_features: int = 1 << 18) -> Pipeline:
-    """Term-frequency / IDF features and a logistic classifier."""
+def sentiment_pipeline(text: str = "text", label: str = "label", num_features: int = 1 << 16) -> Pipeline:
+    """Hashed term counts and a multinomial naive Bayes classifier: training is
+    one aggregation pass over the documents (no per-iteration jobs)."""
     tok = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False, toLowercase=True)
     tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf")
-    lr = LogisticRegression(featuresCol="_tfidf", labelCol=label, regParam=0.01, maxIter=50)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    nb = NaiveBayes(featuresCol="_tf", labelCol=label, smoothing=1.0, modelType="multinomial")
+    return Pipeline(stages=[tok, tf, nb])
 
 
 def save_model(model: PipelineModel, path: str) -> None:

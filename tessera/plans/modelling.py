@@ -9,6 +9,7 @@ from tessera.operators import models as MD
 from tessera.operators import sampling as SM
 from tessera.operators import stats as S
 from tessera.operators import text as TO
+from tessera.operators.layout import spread
 from tessera.operators.scaling import scaler_apply, scaler_fit
 from tessera.plans import fixtures as X
 from tessera.plans import modelprep as MP
@@ -82,25 +83,18 @@ def q_grid_search(spark, sf):
 
 @register("cohort_eval")
 def q_cohort_eval(spark, sf):
-    """Scaler and model fitted on the main cohort, applied to external cohorts a/b/c."""
+    """Scaler and model fitted on the main cohort, applied to external cohorts a/b/c
+    in one packed pass; confusion counts per cohort."""
     lab = MP._lab(spark, sf)
     cells = X.cells(spark, sf)
     fit = scaler_fit(cells)
     z = scaler_apply(cells, fit).drop("beta").withColumnRenamed("z", "beta")
-    train = MD.feature_vectors(z).join(lab, "patient_id")
-    model = MD.classifier().fit(train)
-    coh = X.cohorts(spark, sf)
-    zc = scaler_apply(coh, fit).drop("beta").withColumnRenamed("z", "beta")
     order = MD.M.feature_order(MD.M.drop_null(cells, "features"))
-    parts = []
-    for name in ("a", "b", "c"):
-        v = MD.feature_vectors(zc.filter(F.col("cohort") == name).drop("cohort"), order)
-        scored = MD.positive_probability(model.transform(v.join(lab, "patient_id")))
-        parts.append(S.confusion(scored, "label", "p", 0.6).withColumn("cohort", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    model = MD.classifier().fit(MD.feature_vectors(z, order).join(lab, "patient_id"))
+    zc = scaler_apply(X.cohorts(spark, sf), fit).drop("beta").withColumnRenamed("z", "beta")
+    vec = MD.feature_vectors(zc, order, keys=("cohort", "patient_id"))
+    scored = MD.positive_probability(model.transform(vec.join(lab, "patient_id")))
+    return S.confusion(scored, "label", "p", 0.6, ["cohort"])
 
 
 @register("score_batch")
@@ -114,7 +108,7 @@ def q_score_batch(spark, sf):
 
 
 def _sentiment(spark, sf):
-    docs = X.labelled_docs(spark, sf).select("text", F.col("quality").cast("double").alias("label"))
+    docs = spread(X.labelled_docs(spark, sf).select("text", F.col("quality").cast("double").alias("label")))
     model = MD.sentiment_pipeline("text", "label").fit(docs)
     return model
 
@@ -122,7 +116,7 @@ def _sentiment(spark, sf):
 @register("sentiment")
 def q_sentiment(spark, sf):
     model = _sentiment(spark, sf)
-    arts = TO.nonempty(X.articles(spark, sf)).select("doc_id", F.col("content").alias("text"))
+    arts = spread(TO.nonempty(X.articles(spark, sf)).select("doc_id", F.col("content").alias("text")))
     p = MD.positive_probability(model.transform(arts))
     return p.select("doc_id", F.when(F.col("p") > 0.5, F.lit("POSITIVE")).otherwise(F.lit("NEGATIVE")).alias("label"),
                     F.greatest("p", F.lit(1.0) - F.col("p")).alias("score"))
