@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than
-    the cluster can run at once.
+    """Round-robin repartition only when the input comes from fewer files than
+    the cluster can scan at once.
 
     Row-heavy operators (regex tokenisation of whole documents, n-gram
-    explodes) do all their work before the first shuffle; a single large
-    parquet row group would otherwise run them in one task.  On a large input
-    (thousands of file splits) this is a no-op, so no shuffle is added there.
+    explodes) do all their work before the first shuffle; a handful of large
+    single-row-group parquet files would otherwise run them in a few tasks.
+    The decision uses the file listing only (``inputFiles`` executes nothing);
+    on a large input (thousands of files) this is a no-op, so no shuffle is
+    added there.
     """
     if df.isStreaming:          # micro-batches: partitioning follows the source
         return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(target) if len(df.inputFiles()) < target else df

@@ -246,21 +246,26 @@ def rsi(series: DataFrame, w: int = 12, tk: str = TK, dt: str = DT, px: str = PX
     return s.select(tk, dt, px, F.when(F.col("_i") >= w, value).alias("rsi"))
 
 
+def _round2(y: float) -> float:
+    """numpy's 2-decimal rounding of a float64 scalar: scale, round half to even, unscale
+    (the reference's prices are numpy scalars, so this is the rounding it applies)."""
+    return round(y * 100.0) / 100.0
+
+
 def _ema_frame(pdf: pd.DataFrame, windows: Sequence[int], dt: str, px: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(dt, kind="stable")
-    prices = pdf[px].to_numpy(dtype=float)
-    out = pdf.copy()
+    pdf = pdf.sort_values(dt, kind="stable", ignore_index=True)
+    prices = pdf[px].tolist()                    # plain floats: fast scalar loop
+    n = len(prices)
     for w in windows:
-        a = 2.0 / (w + 1)
-        res = np.full(len(prices), np.nan)
-        prev = None
-        for i in range(w, len(prices)):
-            if prev is None:   # seeded with the same row's SMA over w+1 prices
-                prev = round(sum(prices[i - w:i + 1].tolist()) / (w + 1), 2)
-            prev = round(prices[i] * a + prev * (1 - a), 2)
-            res[i] = prev
-        out[f"ema{w}"] = res
-    return out
+        a, b = 2.0 / (w + 1), 1.0 - 2.0 / (w + 1)
+        res = [float("nan")] * n
+        if n > w:
+            prev = _round2(sum(prices[0:w + 1]) / (w + 1))      # seed: same-row SMA over w+1 prices
+            for i in range(w, n):
+                prev = _round2(prices[i] * a + prev * b)
+                res[i] = prev
+        pdf[f"ema{w}"] = np.array(res, dtype=float)
+    return pdf
 
 
 def ema(series: DataFrame, windows: Sequence[int] = (26, 12), tk: str = TK, dt: str = DT,

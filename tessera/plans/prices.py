@@ -119,7 +119,7 @@ def q_bucket_exclusive(spark, sf):
 
 
 @register("pct_change", f"""
-SELECT tk, dt, px, round_even((px - lag(px) OVER ({W})) / lag(px) OVER ({W}) * 100.0, 2) + 0.0 AS pct FROM series""")
+SELECT tk, dt, px, (round_even(((px - lag(px) OVER ({W})) / lag(px) OVER ({W}) * 100.0) * 100.0, 0) / 100.0 + 0.0) + 0.0 AS pct FROM series""")
 def q_pct_change(spark, sf):
     from pyspark.sql import Window
     s = X.series(spark, sf)
@@ -131,7 +131,7 @@ def q_pct_change(spark, sf):
 SELECT tk, dt, px, count(px) OVER ({W} RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW) AS n_days,
        min(px) OVER ({W} RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW) AS lo,
        max(px) OVER ({W} RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW) AS hi,
-       round_even(avg(px) OVER ({W} RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW), 4) AS mean
+       (round_even((avg(px) OVER ({W} RANGE BETWEEN 1825 PRECEDING AND CURRENT ROW)) * 10000.0, 0) / 10000.0 + 0.0) AS mean
 FROM series""")
 def q_trailing_window(spark, sf):
     return T.trailing_window(X.series(spark, sf))
@@ -139,8 +139,8 @@ def q_trailing_window(spark, sf):
 
 @register("sma", f"""
 SELECT tk, dt, px,
-  CASE WHEN row_number() OVER ({W}) - 1 >= 26 THEN round_even(avg(px) OVER ({W} ROWS BETWEEN 26 PRECEDING AND CURRENT ROW), 2) END AS sma26,
-  CASE WHEN row_number() OVER ({W}) - 1 >= 12 THEN round_even(avg(px) OVER ({W} ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 2) END AS sma12
+  CASE WHEN row_number() OVER ({W}) - 1 >= 26 THEN (round_even((avg(px) OVER ({W} ROWS BETWEEN 26 PRECEDING AND CURRENT ROW)) * 100.0, 0) / 100.0 + 0.0) END AS sma26,
+  CASE WHEN row_number() OVER ({W}) - 1 >= 12 THEN (round_even((avg(px) OVER ({W} ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)) * 100.0, 0) / 100.0 + 0.0) END AS sma12
 FROM series""")
 def q_sma(spark, sf):
     return T.sma(X.series(spark, sf), [26, 12])
@@ -148,11 +148,11 @@ def q_sma(spark, sf):
 
 @register("bollinger", f"""
 WITH b AS (SELECT tk, dt, px, row_number() OVER ({W}) - 1 AS i,
-  round_even(avg(px) OVER ({W} ROWS BETWEEN 26 PRECEDING AND CURRENT ROW), 2) AS m,
+  (round_even((avg(px) OVER ({W} ROWS BETWEEN 26 PRECEDING AND CURRENT ROW)) * 100.0, 0) / 100.0 + 0.0) AS m,
   stddev_pop(px) OVER ({W} ROWS BETWEEN 26 PRECEDING AND CURRENT ROW) AS sd FROM series)
 SELECT tk, dt, px, CASE WHEN i >= 26 THEN m END AS sma,
-  CASE WHEN i >= 26 THEN round_even(m + 2.0 * sd, 2) END AS upper,
-  CASE WHEN i >= 26 THEN round_even(m - 2.0 * sd, 2) END AS lower FROM b""")
+  CASE WHEN i >= 26 THEN (round_even((m + 2.0 * sd) * 100.0, 0) / 100.0 + 0.0) END AS upper,
+  CASE WHEN i >= 26 THEN (round_even((m - 2.0 * sd) * 100.0, 0) / 100.0 + 0.0) END AS lower FROM b""")
 def q_bollinger(spark, sf):
     return T.bollinger(X.series(spark, sf))
 
@@ -163,7 +163,7 @@ m AS (SELECT tk, dt, px, i,
   sum(greatest(chg, 0.0)) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) / 12.0 AS au,
   sum(greatest(-chg, 0.0)) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) / 12.0 AS ad FROM c)
 SELECT tk, dt, px, CASE WHEN i >= 12 THEN
-  CASE WHEN ad = 0 THEN CASE WHEN au > 0 THEN 100.0 END ELSE round_even(100.0 - 100.0 / (1.0 + au / ad), 2) END END AS rsi
+  CASE WHEN ad = 0 THEN CASE WHEN au > 0 THEN 100.0 END ELSE (round_even((100.0 - 100.0 / (1.0 + au / ad)) * 100.0, 0) / 100.0 + 0.0) END END AS rsi
 FROM m""")
 def q_rsi(spark, sf):
     return T.rsi(X.series(spark, sf))
@@ -173,9 +173,9 @@ def _ema_sql(w: int) -> str:
     a = f"(2.0 / {w + 1})"
     return f"""
 e{w}(tk, i, ema) AS (
-  SELECT tk, i, round_even(px * {a} + round_even(s{w} / {w + 1}, 2) * (1 - {a}), 2) FROM s WHERE i = {w}
+  SELECT tk, i, (round_even((px * {a} + (round_even((s{w} / {w + 1}) * 100.0, 0) / 100.0 + 0.0) * (1 - {a})) * 100.0, 0) / 100.0 + 0.0) FROM s WHERE i = {w}
   UNION ALL
-  SELECT s.tk, s.i, round_even(s.px * {a} + e{w}.ema * (1 - {a}), 2) FROM e{w} JOIN s ON s.tk = e{w}.tk AND s.i = e{w}.i + 1)"""
+  SELECT s.tk, s.i, (round_even((s.px * {a} + e{w}.ema * (1 - {a})) * 100.0, 0) / 100.0 + 0.0) FROM e{w} JOIN s ON s.tk = e{w}.tk AND s.i = e{w}.i + 1)"""
 
 
 _EMA_BASE = f"""
@@ -195,7 +195,7 @@ def q_ema(spark, sf):
 
 
 @register("macd", _EMA_BASE + """
-SELECT s.tk, s.dt, s.px, round_even(e26.ema - e12.ema, 2) + 0.0 AS macd FROM s
+SELECT s.tk, s.dt, s.px, (round_even((e26.ema - e12.ema) * 100.0, 0) / 100.0 + 0.0) + 0.0 AS macd FROM s
 LEFT JOIN e26 ON s.tk = e26.tk AND s.i = e26.i LEFT JOIN e12 ON s.tk = e12.tk AND s.i = e12.i""")
 def q_macd(spark, sf):
     return T.macd(X.series(spark, sf))
@@ -238,8 +238,8 @@ def q_asof_forward(spark, sf):
 @register("prior_avgs", _BACK_SQL + "," + _fwd_sql("far", FAR_OFFSETS) + "," + _fwd_sql("rec", RECENT_OFFSETS) + """
 SELECT t.tk, b.prior, b.sp_prior, f.far_avg, r.recent_avg FROM (SELECT DISTINCT tk FROM series) t
 LEFT JOIN (SELECT tk, avg(px) AS prior, avg(sp) AS sp_prior FROM back GROUP BY tk) b USING (tk)
-LEFT JOIN (SELECT tk, round_even(avg(px), 2) AS far_avg FROM far GROUP BY tk) f USING (tk)
-LEFT JOIN (SELECT tk, round_even(avg(px), 2) AS recent_avg FROM rec GROUP BY tk) r USING (tk)""")
+LEFT JOIN (SELECT tk, (round_even((avg(px)) * 100.0, 0) / 100.0 + 0.0) AS far_avg FROM far GROUP BY tk) f USING (tk)
+LEFT JOIN (SELECT tk, (round_even((avg(px)) * 100.0, 0) / 100.0 + 0.0) AS recent_avg FROM rec GROUP BY tk) r USING (tk)""")
 def q_prior_avgs(spark, sf):
     return R.prior_averages(X.series(spark, sf), X.index_series(spark, sf), BACK_OFFSETS, FAR_OFFSETS,
                             RECENT_OFFSETS)
@@ -249,9 +249,9 @@ def q_prior_avgs(spark, sf):
 j AS (SELECT l.tk, l.last_dt, l.current, i.sp AS sp_current, b.prior, b.sp_prior FROM last l
       LEFT JOIN index_series i ON i.dt = l.last_dt
       LEFT JOIN (SELECT tk, avg(px) AS prior, avg(sp) AS sp_prior FROM back GROUP BY tk) b USING (tk))
-SELECT tk, last_dt, current, sp_current, round_even((current - prior) / prior * 100.0, 2) AS year_prior_diff,
-       round_even((sp_current - sp_prior) / sp_prior * 100.0, 2) AS sp_year_prior,
-       round_even((current - prior) / prior * 100.0, 2) - round_even((sp_current - sp_prior) / sp_prior * 100.0, 2)
+SELECT tk, last_dt, current, sp_current, (round_even(((current - prior) / prior * 100.0) * 100.0, 0) / 100.0 + 0.0) AS year_prior_diff,
+       (round_even(((sp_current - sp_prior) / sp_prior * 100.0) * 100.0, 0) / 100.0 + 0.0) AS sp_year_prior,
+       (round_even(((current - prior) / prior * 100.0) * 100.0, 0) / 100.0 + 0.0) - (round_even(((sp_current - sp_prior) / sp_prior * 100.0) * 100.0, 0) / 100.0 + 0.0)
          AS outperformance
 FROM j""")
 def q_prior_year_return(spark, sf):

@@ -79,7 +79,10 @@ def test_exclusive_bucket(spark):
 
 
 def ref_indicators(prices, w=12):
-    """Direct transcription of the indicator semantics sheet (w+1 frames, RSI on w moves)."""
+    """Direct transcription of the indicator semantics sheet (w+1 frames, RSI on w moves);
+    prices are numpy scalars, so ``round`` is numpy's scalar rounding."""
+    import numpy as np
+    prices = [np.float64(p) for p in prices]
     sma, rsi, ema = [], [], []
     prev_ema = None
     a = 2 / (w + 1)
@@ -96,12 +99,13 @@ def ref_indicators(prices, w=12):
         dns = [max(prices[j - 1] - prices[j], 0) for j in range(i - w + 1, i + 1)]
         au, ad = sum(ups) / w, sum(dns) / w
         rsi.append(None if ad == 0 and au == 0 else 100.0 if ad == 0 else round(100 - 100 / (1 + au / ad), 2))
-    return sma, rsi, ema
+    as_float = lambda xs: [None if x is None else float(x) for x in xs]
+    return as_float(sma), as_float(rsi), as_float(ema)
 
 
 def test_sma_rsi_ema_against_reference(spark):
     rnd = random.Random(5)
-    prices = [round(50 + rnd.random() * 10, 2) for _ in range(60)]
+    prices = [round(50 + rnd.random() * 10, 3) for _ in range(200)]
     prices[20:33] = [prices[20]] * 13         # a flat stretch: RSI undefined
     rows = [(1, dt.date(2021, 1, 1) + dt.timedelta(days=i), p) for i, p in enumerate(prices)]
     s = spark.createDataFrame(rows, "tk long, dt date, px double")
