@@ -63,6 +63,13 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "pos",
                   .drop("_pid", "_row", "_off", "_start"))
 
 
+def row_count(df: DataFrame) -> int:
+    """One number to the driver.  Use on small or materialised frames (e.g. the
+    checkpointed output of ``global_rank``): a scalar subquery referenced
+    several times in a plan is planned and executed once per reference."""
+    return int(df.select(F.count(F.lit(1))).first()[0])
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by: Sequence[str] = (),
                     prefix: str = "q") -> DataFrame:
     """Linear-interpolation quantiles (numpy's default) per group, exactly.

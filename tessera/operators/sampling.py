@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.random import uniform
-from tessera.operators.ranking import global_rank
+import math
+
+from tessera.operators.ranking import global_rank, row_count
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "pos") -> DataFrame:
@@ -35,22 +37,22 @@ def sample_per_class(df: DataFrame, cls: str, key: str, k: int = 500, seed: int
 
 def sample_half(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """The first floor(n/2) rows of a seeded shuffle."""
-    ranked = shuffle(df, key, seed, "_pos")
-    n = df.select(F.count(F.lit(1))).scalar()
-    return ranked.filter(F.col("_pos") <= F.floor(n / 2)).drop("_pos")
+    ranked = shuffle(df, key, seed, "_pos")          # checkpointed positions
+    n = row_count(ranked)
+    return ranked.filter(F.col("_pos") <= n // 2).drop("_pos")
 
 
 def split3(df: DataFrame, key: str, test: float, val: float | None = None, seed: int = 42,
            name: str = "split") -> DataFrame:
     """Exact-size two-stage split (scikit-learn sizes): test = ceil(n*test),
     val = ceil((n - n_test) * val) of the remainder, the rest train."""
-    ranked = shuffle(df, key, seed, "_pos")
-    n = df.select(F.count(F.lit(1))).scalar()
-    n_test = F.ceil(n * F.lit(test))
+    ranked = shuffle(df, key, seed, "_pos")          # checkpointed positions
+    n = row_count(ranked)
+    n_test = math.ceil(n * test)
     pos = F.col("_pos")
     label = F.when(pos <= n_test, F.lit("test"))
     if val:
-        n_val = F.ceil((n - n_test) * F.lit(val))
+        n_val = math.ceil((n - n_test) * val)
         label = label.when(pos <= n_test + n_val, F.lit("val"))
     return ranked.withColumn(name, label.otherwise(F.lit("train"))).drop("_pos")
 
@@ -58,22 +60,21 @@ def split3(df: DataFrame, key: str, test: float, val: float | None = None, seed:
 def split_prefix(df: DataFrame, order: Sequence[str], frac: float = 0.8, name: str = "split") -> DataFrame:
     """Positional split: the first floor(frac*n) rows in ``order`` train, the rest eval."""
     ranked = global_rank(df, list(order), "_pos")
-    n = df.select(F.count(F.lit(1))).scalar()
-    return ranked.withColumn(name, F.when(F.col("_pos") <= F.floor(n * F.lit(frac)), F.lit("train"))
+    n = row_count(ranked)
+    return ranked.withColumn(name, F.when(F.col("_pos") <= math.floor(n * frac), F.lit("train"))
                              .otherwise(F.lit("eval"))).drop("_pos")
 
 
-def fold_of(pos0: Column, n: Column, k: int) -> Column:
+def fold_of(pos0: Column, n: int, k: int) -> Column:
     """Contiguous k-fold id of a 0-based position; the first n mod k folds are one larger."""
-    base = F.floor(n / k)
-    extra = n % k
+    base, extra = divmod(n, k)
     bound = extra * (base + 1)
     return F.when(pos0 < bound, F.floor(pos0 / (base + 1))).otherwise(
-        extra + F.floor((pos0 - bound) / base)).cast("int")
+        F.lit(extra) + F.floor((pos0 - bound) / max(base, 1))).cast("int")
 
 
 def kfold_ids(df: DataFrame, order: Sequence[str], k: int = 4, name: str = "fold") -> DataFrame:
     """Unshuffled contiguous k-fold assignment (scikit-learn ``KFold``)."""
     ranked = global_rank(df, list(order), "_pos", base=0)
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = row_count(ranked)
     return ranked.withColumn(name, fold_of(F.col("_pos"), n, k)).drop("_pos")

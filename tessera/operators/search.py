@@ -68,11 +68,11 @@ def evaluate_thresholds(df: DataFrame, trials: Sequence[Mapping], y: str = "y",
 
 
 def best_trial(trials: DataFrame, metric: str = "objective", mode: str = "max", key: str = "trial") -> DataFrame:
-    """The best trial (ties: lowest trial number), via a scalar subquery on the metric."""
-    best = trials.select((F.max if mode == "max" else F.min)(metric)).scalar()
-    winners = trials.filter(F.col(metric) == best)
-    first = winners.select(F.min(key)).scalar()
-    return winners.filter(F.col(key) == first)
+    """The best trial (ties: lowest trial number) in one ``max_by`` aggregate
+    ordered by (metric, -trial)."""
+    m = F.col(metric) if mode == "max" else -F.col(metric)
+    best = trials.agg(F.max_by(F.struct(*trials.columns), F.struct(m, -F.col(key))).alias("_b"))
+    return best.select("_b.*")
 
 
 def run_name(prefix: str, *params) -> Column:

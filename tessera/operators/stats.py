@@ -18,7 +18,8 @@ def class_distribution(df: DataFrame, label: str = "label", ddof: int = 0) -> Da
     ``log_inv`` is the log-odds style initial bias ``log(1/p)`` of the class.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.select(F.sum("n")).scalar()      # scalar subquery over the class counts
+    # one row per class: a window over this table is bounded by the class count
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     frac = F.col("n") / (total - F.lit(ddof))
     return counts.select(label, "n", frac.alias("frac"), (frac * 100.0).alias("pct"),
                          F.log(F.lit(1.0) / frac).alias("log_inv"))
@@ -37,7 +38,8 @@ def histogram(df: DataFrame, value: str, bins: int = 10, group_by: Sequence[str]
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         j = v
-        lo, hi = df.select(F.min(value)).scalar(), df.select(F.max(value)).scalar()
+        r = df.agg(F.min(value), F.max(value)).first()      # two numbers, read once
+        lo, hi = F.lit(r[0]), F.lit(r[1])
     width = hi - lo
     b = F.when(width == 0, F.lit(bins // 2 + 1)).otherwise(
         F.least(F.floor((F.col(value) - lo) / width * bins) + 1, F.lit(bins)))
@@ -59,7 +61,8 @@ def box_stats(df: DataFrame, value: str, group_by: Sequence[str] = (), whisker:
         q25, q50, q75 = F.col("q25"), F.col("q50"), F.col("q75")
     else:
         j = df.filter(v.isNotNull())
-        q25, q50, q75 = (q.select(c).scalar() for c in ("q25", "q50", "q75"))
+        r = q.first()                                         # three numbers, read once
+        q25, q50, q75 = F.lit(r["q25"]), F.lit(r["q50"]), F.lit(r["q75"])
     iqr = q75 - q25
     inside = (v >= q25 - F.lit(whisker) * iqr) & (v <= q75 + F.lit(whisker) * iqr)
     agg = j.groupBy(*gb).agg(
@@ -145,8 +148,8 @@ def mutual_info_binned(cells: DataFrame, labels: DataFrame, key: str, feature: s
     xb = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1)))
     if y_bins:
-        ylo = labels.select(F.min(y)).scalar()          # scalar subqueries, evaluated once
-        yhi = labels.select(F.max(y)).scalar()
+        r = labels.agg(F.min(y), F.max(y)).first()        # target range: two numbers, read once
+        ylo, yhi = F.lit(r[0]), F.lit(r[1])
         yw = yhi - ylo
         yb = F.when(yw == 0, F.lit(0)).otherwise(
             F.least(F.floor((F.col(y) - ylo) / yw * y_bins), F.lit(y_bins - 1)))

@@ -14,6 +14,7 @@ from tessera.operators.ranking import global_rank
 from tessera.plans import fixtures as X
 from tessera.plans.fixture_sql import sql_uniform
 from tessera.plans.registry import register
+from tessera.session import cut_lineage
 
 SEED = 42
 PERTURB_SEED = 7
@@ -164,15 +165,16 @@ pert AS (SELECT c.patient_id, c.feature, c.beta * f.fac AS beta, c.label FROM mc
 SELECT *, 0 AS replica FROM lab_cells UNION ALL
 SELECT *, unnest(range(1, (SELECT u FROM rep) + 1)) AS replica FROM pert""")
 def q_balance_minority(spark, sf):
-    lab = _lab(spark, sf)
-    lc = _lab_cells(spark, sf)
+    # the label dimension (one row per patient) is materialised once, so the class
+    # counts below do not re-scan the cells table
+    lab = cut_lineage(_lab(spark, sf))
+    lc = L.attach(X.cells(spark, sf), lab, "inner")
     k = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("c1"))
     k = k.select("n", F.when(F.col("c1") > F.col("n") - F.col("c1"), 0).otherwise(1).alias("minority"),
                  F.least(F.col("c1"), F.col("n") - F.col("c1")).alias("d"))
-    minority = k.select("minority").scalar()
-    u = k.select(B.minority_replicas(F.col("n"), F.col("d"))).scalar()
-    mc = lc.filter(F.col("label") == minority)
-    return B.upsample(lc, B.perturb(mc, mc.select("patient_id"), PCT, PERTURB_SEED), u)
+    r = k.select("minority", B.minority_replicas(F.col("n"), F.col("d")).alias("u")).first()   # two integers
+    mc = lc.filter(F.col("label") == r["minority"])
+    return B.upsample(lc, B.perturb(mc, mc.select("patient_id"), PCT, PERTURB_SEED), r["u"])
 
 
 WHOLE_SQL = f"""
@@ -202,17 +204,16 @@ dup AS (SELECT * FROM pert WHERE patient_id IN (SELECT patient_id FROM half_ids)
 SELECT *, 0 AS replica FROM lab_cells UNION ALL
 SELECT *, unnest(range(1, (SELECT u FROM rep) + 1)) AS replica FROM dup""")
 def q_balance_whole(spark, sf):
-    lab = _lab(spark, sf)
-    lc = _lab_cells(spark, sf)
+    lab = cut_lineage(_lab(spark, sf))          # one row per patient, materialised once
+    lc = L.attach(X.cells(spark, sf), lab, "inner")
     k = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("c1"))
     k = k.withColumn("half", F.lit(100.0) * F.col("c1") / (F.col("n") - 1) > 30)
-    half = k.select("half").scalar()
-    u = k.select(B.whole_replicas(F.col("n"), F.col("c1"), F.col("half"))).scalar()
+    r = k.select("half", B.whole_replicas(F.col("n"), F.col("c1"), F.col("half")).alias("u")).first()
     pert = B.perturb(lc, lc.select("patient_id"), PCT, PERTURB_SEED)
-    keep = SM.sample_half(lab.select("patient_id"), "patient_id", SEED)
-    halved = pert.join(keep, "patient_id", "left_semi").filter(half)
-    dup = halved.unionByName(pert.filter(~half))
-    return B.upsample(lc, dup, u)
+    if r["half"]:
+        keep = SM.sample_half(lab.select("patient_id"), "patient_id", SEED)
+        pert = pert.join(keep, "patient_id", "left_semi")
+    return B.upsample(lc, pert, r["u"])
 
 
 SCALER_SQL = f"""{SPLIT_SQL},
