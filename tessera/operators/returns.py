@@ -52,14 +52,27 @@ def forward_samples(series: DataFrame, offsets: Sequence[tuple[int, int]], toler
 
 
 def prior_averages(series: DataFrame, index: DataFrame, back_offsets, far_offsets, recent_offsets,
-                   tk: str = TK) -> DataFrame:
-    """Per ticker: prior (year-ago) mean price and index, far and recent averages."""
-    back = (backward_samples(series, index, back_offsets).groupBy(tk)
+                   tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
+    """Per ticker: prior (year-ago) mean price and index, far and recent averages.
+
+    Far and recent samples share one tagged as-of pass (one expansion, one join,
+    one grouping); the per-ticker last-point table doubles as the ticker list.
+    """
+    last = last_points(series, tk, dt, px)
+    back = (backward_samples(series, index, back_offsets, tk=tk, dt=dt, px=px).groupBy(tk)
             .agg(F.avg("px").alias("prior"), F.avg("sp").alias("sp_prior")))
-    far = forward_samples(series, far_offsets).groupBy(tk).agg(pyround(F.avg("px"), 2).alias("far_avg"))
-    rec = forward_samples(series, recent_offsets).groupBy(tk).agg(pyround(F.avg("px"), 2).alias("recent_avg"))
-    tickers = series.select(tk).distinct()
-    return tickers.join(back, tk, "left").join(far, tk, "left").join(rec, tk, "left")
+    tagged = [("far", z, d) for z, d in far_offsets] + [("recent", z, d) for z, d in recent_offsets]
+    offs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(z).alias("z"), F.lit(d).alias("days"))
+                               for k, z, d in tagged]))
+    targets = (last.select(tk, "last_dt", offs.alias("_o"))
+                   .select(tk, F.col("_o.kind").alias("kind"), F.col("_o.z").alias("b"),
+                           F.date_sub("last_dt", F.col("_o.days")).alias("target"))
+                   .filter(F.col("target") > F.lit(FORWARD_FLOOR).cast("date")))
+    fwd = asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", 9)
+    avgs = fwd.groupBy(tk).agg(
+        pyround(F.avg(F.when(F.col("kind") == "far", F.col(px))), 2).alias("far_avg"),
+        pyround(F.avg(F.when(F.col("kind") == "recent", F.col(px))), 2).alias("recent_avg"))
+    return last.select(tk).join(back, tk, "left").join(avgs, tk, "left")
 
 
 def year_prior_return(series: DataFrame, index: DataFrame, back_offsets, tk: str = TK, dt: str = DT,
