@@ -86,10 +86,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by:
     probe = counts.select(*gb, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
     probe = probe.withColumn("_h", (F.col("_n") - 1) * F.col("_p")) \
                  .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    lo = ranked.select(*gb, F.col("_k").alias("_lo"), F.col(value).alias("_vlo"))
-    hi = ranked.select(*gb, F.col("_k").alias("_hi"), F.col(value).alias("_vhi"))
-    j = probe.join(lo, [*gb, "_lo"]).join(hi, [*gb, "_hi"])
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo"))
-    j = j.withColumn("_q", q)
+    # both order statistics of every requested quantile in one equi-join
+    need = probe.select(*gb, "_p", "_h", "_lo", F.explode(F.array("_lo", "_hi")).alias("_k"))
+    j = need.join(ranked.select(*gb, "_k", F.col(value).alias("_v")), [*gb, "_k"])
+    per = j.groupBy(*gb, "_p").agg(F.first("_h").alias("_h"), F.first("_lo").alias("_lo"),
+                                   F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
+    j = per.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo")))
     return j.groupBy(*gb).agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
                                 for p in probs])
