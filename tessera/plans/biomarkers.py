@@ -127,11 +127,12 @@ def q_class_split(spark, sf):
 @register("class_distribution", f"""
 WITH l AS (SELECT * FROM ({LUNG_LABEL_SQL}) x WHERE EXISTS (SELECT 1 FROM cells c WHERE c.patient_id = x.patient_id)),
 k AS (SELECT label, count(*) AS n FROM l GROUP BY label)
-SELECT label, n, n / (SELECT sum(n) FROM k) AS frac, n / (SELECT sum(n) FROM k) * 100.0 AS pct,
-       ln(1.0 / (n / (SELECT sum(n) FROM k))) AS log_inv FROM k""")
+SELECT label, n, round(n / (SELECT sum(n) FROM k), 9) AS frac, round(n / (SELECT sum(n) FROM k) * 100.0, 9) AS pct,
+       round(ln(1.0 / (n / (SELECT sum(n) FROM k))), 9) AS log_inv FROM k""")
 def q_class_distribution(spark, sf):
     lab = _lung_labels(spark, sf).join(X.cells(spark, sf).select("patient_id"), "patient_id", "left_semi")
-    return S.class_distribution(lab, "label")
+    d = S.class_distribution(lab, "label")
+    return d.select("label", "n", *[F.round(c, 9).alias(c) for c in ("frac", "pct", "log_inv")])
 
 
 @register("distinct_values", "SELECT DISTINCT status FROM meta")
@@ -214,8 +215,11 @@ q AS (SELECT bucket, quantile_cont(pace, 0.25) AS q25, quantile_cont(pace, 0.5)
       FROM b GROUP BY bucket),
 j AS (SELECT b.*, q25, q50, q75, q75 - q25 AS iqr,
              pace >= q25 - 1.5 * (q75 - q25) AND pace <= q75 + 1.5 * (q75 - q25) AS inside FROM b JOIN q USING (bucket))
-SELECT bucket, q25, q50, q75, iqr, min(CASE WHEN inside THEN pace END) AS whisker_lo,
+SELECT bucket, round(q25, 9) AS q25, round(q50, 9) AS q50, round(q75, 9) AS q75, round(iqr, 9) AS iqr,
+       min(CASE WHEN inside THEN pace END) AS whisker_lo,
        max(CASE WHEN inside THEN pace END) AS whisker_hi, CAST(count_if(NOT inside) AS BIGINT) AS n_outliers, count(*) AS n
 FROM j GROUP BY bucket, q25, q50, q75, iqr""")
 def q_box_stats(spark, sf):
-    return S.box_stats(_buckets(spark, sf), "pace", ["bucket"])
+    b = S.box_stats(_buckets(spark, sf), "pace", ["bucket"])
+    return b.select("bucket", *[F.round(c, 9).alias(c) for c in ("q25", "q50", "q75", "iqr")],
+                    "whisker_lo", "whisker_hi", "n_outliers", "n")

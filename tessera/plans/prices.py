@@ -236,13 +236,16 @@ def q_asof_forward(spark, sf):
 
 
 @register("prior_avgs", _BACK_SQL + "," + _fwd_sql("far", FAR_OFFSETS) + "," + _fwd_sql("rec", RECENT_OFFSETS) + """
-SELECT t.tk, b.prior, b.sp_prior, f.far_avg, r.recent_avg FROM (SELECT DISTINCT tk FROM series) t
+SELECT t.tk, round(b.prior, 9) AS prior, round(b.sp_prior, 9) AS sp_prior, f.far_avg, r.recent_avg
+FROM (SELECT DISTINCT tk FROM series) t
 LEFT JOIN (SELECT tk, avg(px) AS prior, avg(sp) AS sp_prior FROM back GROUP BY tk) b USING (tk)
 LEFT JOIN (SELECT tk, (round_even((avg(px)) * 100.0, 0) / 100.0 + 0.0) AS far_avg FROM far GROUP BY tk) f USING (tk)
 LEFT JOIN (SELECT tk, (round_even((avg(px)) * 100.0, 0) / 100.0 + 0.0) AS recent_avg FROM rec GROUP BY tk) r USING (tk)""")
 def q_prior_avgs(spark, sf):
-    return R.prior_averages(X.series(spark, sf), X.index_series(spark, sf), BACK_OFFSETS, FAR_OFFSETS,
-                            RECENT_OFFSETS)
+    p = R.prior_averages(X.series(spark, sf), X.index_series(spark, sf), BACK_OFFSETS, FAR_OFFSETS,
+                         RECENT_OFFSETS)
+    return p.select("tk", F.round("prior", 9).alias("prior"), F.round("sp_prior", 9).alias("sp_prior"),
+                    "far_avg", "recent_avg")
 
 
 @register("prior_year_return", _BACK_SQL + """,
