@@ -41,26 +41,26 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "pos",
     pb = list(partition_by)
     cols = [F.col(c) for c in pb] + [c if isinstance(c, Column) else F.col(c) for c in order]
     tagged = cut_lineage(df.orderBy(*cols)
-                         .withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+                         .withColumn("__gr_part", F.spark_partition_id())
+                         .withColumn("__gr_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     if not pb:
-        per_part = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+        per_part = tagged.groupBy("__gr_part").agg(F.count(F.lit(1)).alias("__gr_n"))
         offsets = per_part.select(
-            "_pid",
-            F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0)).alias("_off"))
+            "__gr_part",
+            F.coalesce(F.sum("__gr_n").over(Window.orderBy("__gr_part").rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0)).alias("__gr_off"))
         # one row per shuffle partition: a proven size bound for the broadcast
-        return (tagged.join(F.broadcast(offsets), "_pid")
-                      .withColumn(name, (F.col("_off") + F.col("_row") + F.lit(base)).cast("bigint"))
-                      .drop("_pid", "_row", "_off"))
+        return (tagged.join(F.broadcast(offsets), "__gr_part")
+                      .withColumn(name, (F.col("__gr_off") + F.col("__gr_row") + F.lit(base)).cast("bigint"))
+                      .drop("__gr_part", "__gr_row", "__gr_off"))
     # rows of a group are contiguous inside a sorted partition: start = min(_row)
-    per = tagged.groupBy("_pid", *pb).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_start"))
-    before = Window.partitionBy(*pb).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_pid", *pb, "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    per = tagged.groupBy("__gr_part", *pb).agg(F.count(F.lit(1)).alias("__gr_n"), F.min("__gr_row").alias("__gr_start"))
+    before = Window.partitionBy(*pb).orderBy("__gr_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__gr_part", *pb, "__gr_start", F.coalesce(F.sum("__gr_n").over(before), F.lit(0)).alias("__gr_off"))
     # at most (partitions + groups) rows; AQE broadcasts it when it is small
-    return (tagged.join(per, ["_pid", *pb])
-                  .withColumn(name, (F.col("_off") + F.col("_row") - F.col("_start") + F.lit(base)).cast("bigint"))
-                  .drop("_pid", "_row", "_off", "_start"))
+    return (tagged.join(per, ["__gr_part", *pb])
+                  .withColumn(name, (F.col("__gr_off") + F.col("__gr_row") - F.col("__gr_start") + F.lit(base)).cast("bigint"))
+                  .drop("__gr_part", "__gr_row", "__gr_off", "__gr_start"))
 
 
 def row_count(df: DataFrame) -> int:
