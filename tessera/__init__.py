@@ -6,7 +6,7 @@ semantics allow, and uses seeded md5-based randomness so results are repeatable
 and reproducible in any SQL engine that has ``md5``.
 """
 
-from tessera.session import get_spark, checkpoint_dir
+from tessera.session import checkpoint_dir, get_spark, ship_package
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "ship_package"]
 __version__ = "0.1.0"

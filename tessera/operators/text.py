@@ -109,6 +109,8 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def rouge_l(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
     """ROUGE-L (longest common subsequence) per row; the LCS dynamic programme runs
     in an Arrow-batched pandas UDF over the tokenised pair (per-row work only)."""
+    from tessera.session import ship_package
+    ship_package(df.sparkSession)                 # workers import the LCS helper by module reference
     w = spread(df).select(key, TX.words(pred).alias("_p"), TX.words(ref).alias("_r"))
     w = w.withColumn("_l", _lcs_udf("_p", "_r"))
     prec = F.coalesce(F.try_divide(F.col("_l").cast("double"), F.size("_p")), F.lit(0.0))

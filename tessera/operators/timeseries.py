@@ -276,6 +276,8 @@ def ema(series: DataFrame, windows: Sequence[int] = (26, 12), tk: str = TK, dt:
     window sum; each ticker's series (bounded by the calendar) is folded in one
     Arrow batch by ``applyInPandas``.
     """
+    from tessera.session import ship_package
+    ship_package(series.sparkSession)             # workers import the fold by module reference
     fields = ", ".join(f"ema{w} double" for w in windows)
     schema = f"{series.schema.simpleString()[7:-1]}, {fields}"
     return series.groupBy(tk).applyInPandas(lambda p: _ema_frame(p, windows, dt, px), schema)

@@ -65,3 +65,26 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in Python workers.
+
+    Pandas UDFs and ``applyInPandas`` functions are pickled by module reference;
+    executors (and local workers started elsewhere) do not share the driver's
+    ``sys.path``.  The package is zipped once per application and distributed
+    with ``addPyFile``, Spark's standard way of shipping Python code.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tessera-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "tessera"), "zip", os.path.dirname(pkg_dir), "tessera")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
