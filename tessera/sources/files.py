@@ -39,7 +39,9 @@ def read_table(spark: SparkSession, path, schema: StructType | str | None = None
 
 
 def _lines(spark, path):
-    return spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
+    # unreadable files are skipped (the chunk reader reports missing paths separately)
+    return spark.read.option("ignoreCorruptFiles", True).text(path) \
+                .select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
 
 
 def read_matrix(spark: SparkSession, path, rows_are: str = "patients", key_header: str = "",
