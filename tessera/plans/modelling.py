@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import balance as MD_B
 from tessera.operators import models as MD
 from tessera.operators import sampling as SM
 from tessera.operators import stats as S
@@ -14,6 +15,7 @@ from tessera.operators.scaling import scaler_apply, scaler_fit
 from tessera.plans import fixtures as X
 from tessera.plans import modelprep as MP
 from tessera.plans.registry import register
+from tessera.session import cut_lineage
 
 
 def _vectors(spark, sf):
@@ -134,3 +136,54 @@ def q_news_report(spark, sf):
     titled = arts.filter(F.col("title").isNotNull()).select("doc_id", "title")
     return titled.join(summ, "doc_id").join(sent, "doc_id").select("doc_id", "title", "summary", "sentiment",
                                                                    "sentiment_score")
+
+
+@register("covariate_model")
+def q_covariate_model(spark, sf):
+    """The covariate-classification flow end to end: label, select
+    features by mutual information, balance the minority class with perturbed
+    copies, split by patient (copies never leak across splits), scale on the
+    training split, fit, and report confusion counts at the 0.60 threshold."""
+    lab = cut_lineage(MP._lab(spark, sf))                       # one row per patient
+    cells = X.cells(spark, sf)
+    mi = S.mutual_info_binned(cells, lab.withColumnRenamed("label", "y"), "patient_id", "feature", "beta", "y")
+    chosen = cut_lineage(S.select_features(mi, 1.5).select("feature"))     # small: computed once
+    lc = MD.M.project(cells, chosen).join(lab, "patient_id")
+    k = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("c1"))
+    r = k.select(F.when(F.col("c1") > F.col("n") - F.col("c1"), 0).otherwise(1).alias("minority"),
+                 MD_B.minority_replicas(F.col("n"), F.least(F.col("c1"), F.col("n") - F.col("c1"))).alias("u")).first()
+    mc = lc.filter(F.col("label") == r["minority"])
+    balanced = MD_B.upsample(lc, MD_B.perturb(mc, mc.select("patient_id"), MP.PCT, MP.PERTURB_SEED), r["u"])
+    split = SM.split3(lab.select("patient_id"), "patient_id", 0.2, 0.2, MP.SEED)
+    cells_s = balanced.join(split, "patient_id")
+    fit = scaler_fit(cells_s.filter(F.col("split") == "train"))
+    z = scaler_apply(cells_s, fit).drop("beta").withColumnRenamed("z", "beta")
+    order = MD.M.feature_order(chosen.join(cells.select("feature").distinct(), "feature"))
+    vec = MD.feature_vectors(z.select("patient_id", "replica", "split", "feature", "beta"), order,
+                             keys=("patient_id", "replica", "split")).join(lab, "patient_id")
+    vec = cut_lineage(vec)        # one packed row per (patient, replica): fit and scoring reuse it
+    model = MD.classifier().fit(vec.filter(F.col("split") == "train"))
+    scored = MD.positive_probability(model.transform(vec))
+    return S.confusion(scored, "label", "p", 0.6, ["split"])
+
+
+@register("tscore_model")
+def q_tscore_model(spark, sf):
+    """The regression flow end to end: target join, drop missing targets,
+    4-fold contiguous CV of the elastic net (mean -MAE), hold-out fit on a 90/10
+    split, error metrics and the least-squares line of prediction on truth."""
+    data = _reg_data(spark, sf)
+    folds = SM.kfold_ids(data, ["patient_id"], 4).cache()
+    cv = []
+    for f in range(4):
+        m = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(folds.filter(F.col("fold") != f))
+        held = m.transform(folds.filter(F.col("fold") == f))
+        cv.append(held.select(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0])
+    split = SM.split3(data, "patient_id", 0.1, None, MP.SEED).cache()
+    model = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(split.filter(F.col("split") == "train"))
+    val = model.transform(split.filter(F.col("split") == "test"))
+    line = S.fit_line(val, "y", "yhat").first()                 # two numbers
+    cv_mean = -float(sum(cv) / len(cv))
+    return S.regression_metrics(val, "y", "yhat").select(
+        "*", F.lit(line["slope"]).alias("slope"), F.lit(line["intercept"]).alias("intercept"),
+        F.lit(cv_mean).alias("cv_neg_mae"))
