@@ -90,3 +90,25 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out, "tessera"), "zip", os.path.dirname(pkg_dir), "tessera")
     sc.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+def cluster_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large run, sized from the input volume.
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input (at
+    least 2x the cores) and AQE coalesces the small ones and splits skewed
+    ones at run time.  Broadcasts stay behind AQE's measured-size threshold.
+    ``spark.checkpoint.dir`` must be added by the caller: a shared folder.
+    """
+    shuffle = max(2 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }

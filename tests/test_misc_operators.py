@@ -70,3 +70,10 @@ def test_forward_labels_flagship_counts(spark):
     # anchors from FIXTURES.md: 11 window rows and 10 tickers at sf0.001
     w = T.forward_labels(X.series(spark, SF001))
     assert w.count() == 11 and w.select("tk").distinct().count() == 10
+
+
+def test_cluster_conf_sizes_partitions():
+    from tessera.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40), 8000)            # 100 TB on 8000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
+    assert cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
