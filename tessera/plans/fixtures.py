@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tessera.functions.random import uniform
+from tessera.operators import extract as EX
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,29 +162,12 @@ def preds(spark, sf_dir) -> DataFrame:
 
 
 # ---------------------------------------------------------------- pages
-# Metric names on the primary site, in gather order.
+# Metrics carried by the stand-in pages (the metric list is a parameter of the extractor).
 METRICS = ["Trailing P/E", "Price/Sales", "Revenue", "Total Debt/Equity", "Enterprise Value", "Market Cap"]
-# Site alias of each metric on the backup site (None = no backup).
-BACKUP_ALIAS = {
-    "Total Debt/Equity": "Total Debt to Equity",
-    "Trailing P/E": "P/E",
-    "Price/Sales": "P/S",
-    "Price/Book": "P/B",
-    "PEG Ratio": "PEG",
-    "Revenue": "Revenue (ttm)",
-    "Gross Profit": "Gross Margin",
-    "Net Income Avi to Common": "Net Profit",
-    "Enterprise Value/Revenue": None,
-    "Enterprise Value/EBITDA": None,
-    "Enterprise Value": None,
-    "EBITDA": None,
-    "Cash Flow": None,
-}
-SORRY = "We're sorry we weren't able to find anything about this topic"
-# The eleven sector names in code order 0..10.
-SECTORS = ["Healthcare", "Basic Materials", "Technology", "Consumer Defensive", "Industrials",
-           "Utilities", "Consumer Cyclical", "Financial Services", "Real Estate", "Energy",
-           "Communication Services"]
+# The page markers, sector names and backup-site aliases are the operator's fixed values.
+BACKUP_ALIAS = EX.BACKUP_ALIAS
+SORRY = EX.NO_DATA_MARKER
+SECTORS = EX.SECTORS
 SUFFIXES = ["", "K", "M", "T"]
 
 
