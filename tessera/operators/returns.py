@@ -38,7 +38,7 @@ def backward_samples(series: DataFrame, index: DataFrame, offsets: Sequence[tupl
         tk, F.col("_o.z").alias("z"),
         F.when(F.col("_o.z") % 2 == 0, F.date_add("prior_dt", F.col("_o.days")))
          .otherwise(F.date_sub("prior_dt", F.col("_o.days"))).alias("target"))
-    return asof(targets, both.select(tk, dt, px, sp), tk, "target", dt, "backward", tolerance_days)
+    return asof(targets, both.select(tk, dt, px, sp), tk, "target", dt, "backward", tolerance_days, [tk, "z"])
 
 
 def forward_samples(series: DataFrame, offsets: Sequence[tuple[int, int]], tolerance_days: int = 9,
@@ -48,7 +48,7 @@ def forward_samples(series: DataFrame, offsets: Sequence[tuple[int, int]], toler
     targets = (last.select(tk, "last_dt", _offsets(offsets).alias("_o"))
                    .select(tk, F.col("_o.z").alias("b"), F.date_sub("last_dt", F.col("_o.days")).alias("target"))
                    .filter(F.col("target") > F.lit(floor).cast("date")))
-    return asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", tolerance_days)
+    return asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", tolerance_days, [tk, "b"])
 
 
 def prior_averages(series: DataFrame, index: DataFrame, back_offsets, far_offsets, recent_offsets,
@@ -68,7 +68,7 @@ def prior_averages(series: DataFrame, index: DataFrame, back_offsets, far_offset
                    .select(tk, F.col("_o.kind").alias("kind"), F.col("_o.z").alias("b"),
                            F.date_sub("last_dt", F.col("_o.days")).alias("target"))
                    .filter(F.col("target") > F.lit(FORWARD_FLOOR).cast("date")))
-    fwd = asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", 9)
+    fwd = asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", 9, [tk, "kind", "b"])
     avgs = fwd.groupBy(tk).agg(
         pyround(F.avg(F.when(F.col("kind") == "far", F.col(px))), 2).alias("far_avg"),
         pyround(F.avg(F.when(F.col("kind") == "recent", F.col(px))), 2).alias("recent_avg"))

@@ -293,7 +293,8 @@ def macd(series: DataFrame, long: int = 26, short: int = 12, sign: int = 1, tk:
 
 # ------------------------------------------------------------- J7-J10, G16, G17
 def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str,
-         direction: str = "backward", tolerance_days: int = 6) -> DataFrame:
+         direction: str = "backward", tolerance_days: int = 6,
+         left_key: Sequence[str] | None = None) -> DataFrame:
     """As-of join on dates with a day tolerance.
 
     ``backward``: the latest right date in [t - tol, t]; ``forward``: the
@@ -302,9 +303,12 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str
     key (fan-out is the tolerance, a parameter); the best candidate per left
     row is kept with ``max_by``/``min_by``.  Unmatched left rows are kept with
     NULL right columns.  ``right`` must hold one row per (by, day).
+    ``left_key`` names columns that identify a left row (deterministic under
+    recomputation); without it a generated row id is used.
     """
     step = -1 if direction == "backward" else 1
-    expanded = (left.withColumn("_lid", F.monotonically_increasing_id())
+    lid = F.struct(*left_key) if left_key else F.monotonically_increasing_id()
+    expanded = (left.withColumn("_lid", lid)
                     .select("_lid", F.struct(*left.columns).alias("_l"), F.col(by).alias("_by"),
                             F.explode(F.sequence(F.lit(0), F.lit(tolerance_days))).alias("_o"),
                             F.col(left_on).alias("_t"))
