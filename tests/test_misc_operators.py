@@ -77,3 +77,29 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(100 * (1 << 40), 8000)            # 100 TB on 8000 cores
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
     assert cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_label_rules(spark):
+    from tessera.operators import labels as L
+    df = spark.createDataFrame([("Healthy",), ("LUNG",), ("heme",), (None,), ("Lung; High Blood Pressure",)], "c string")
+    got = [(r.a, r.l, r.h, r.cs, r.ci) for r in df.select(
+        L.label_exact("c", "any").alias("a"), L.label_exact("c", "lung").alias("l"), L.label_exact("c", "heme").alias("h"),
+        L.label_contains("c", "Lung", case=True).alias("cs"), L.label_contains("c", "lung", case=False).alias("ci")).collect()]
+    # a missing clinic reads as the text "nan": not healthy -> 1 for 'any', 0 otherwise
+    assert got == [(0, 0, 0, 0, 0), (1, 1, 0, 0, 1), (1, 0, 1, 0, 0), (1, 0, 0, 0, 0), (1, 0, 0, 1, 1)]
+
+
+def test_range_bucket_bounds(spark):
+    from tessera.operators import labels as L
+    df = spark.createDataFrame([(0.5,), (0.78,), (0.9,), (1.02,), (1.5,), (None,)], "v double")
+    got = [r.b for r in df.select(L.range_bucket("v", 0.78, 1.02).alias("b")).collect()]
+    assert got == ["healthy", None, "average", None, "below", None]
+
+
+def test_normalize_and_missing(spark):
+    from tessera.operators import labels as L
+    cells = spark.createDataFrame([("1", "cg00", 0.1)], "patient_id string, feature string, beta double")
+    labels = spark.createDataFrame([("1", 1), ("2", 0)], "patient_id string, label int")
+    assert [r.patient_id for r in L.missing(labels, cells).collect()] == ["2"]
+    ids = spark.createDataFrame([("X123",)], "i string")
+    assert ids.select(L.normalize_id("i").alias("o")).first().o == "123"
