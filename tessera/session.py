@@ -86,6 +86,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     import shutil
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    # The archive only lives on the driver: addPyFile uploads it to every executor
+    # through Spark's file server.  It holds code, never job data or checkpoints.
     out = tempfile.mkdtemp(prefix="tessera-pyfiles-")
     archive = shutil.make_archive(os.path.join(out, "tessera"), "zip", os.path.dirname(pkg_dir), "tessera")
     sc.addPyFile(archive)
