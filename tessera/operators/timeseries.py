@@ -252,20 +252,33 @@ def _round2(y: float) -> float:
     return round(y * 100.0) / 100.0
 
 
-def _ema_frame(pdf: pd.DataFrame, windows: Sequence[int], dt: str, px: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(dt, kind="stable", ignore_index=True)
-    prices = pdf[px].tolist()                    # plain floats: fast scalar loop
-    n = len(prices)
-    for w in windows:
-        a, b = 2.0 / (w + 1), 1.0 - 2.0 / (w + 1)
-        res = [float("nan")] * n
-        if n > w:
-            prev = _round2(sum(prices[0:w + 1]) / (w + 1))      # seed: same-row SMA over w+1 prices
-            for i in range(w, n):
-                prev = _round2(prices[i] * a + prev * b)
-                res[i] = prev
-        pdf[f"ema{w}"] = np.array(res, dtype=float)
-    return pdf
+def _ema_batches(batches, windows: Sequence[int], tk: str, px: str):
+    """Fold the EMA over rows sorted by (ticker, day), one Arrow batch at a time.
+
+    The fold state (ticker, position, first prices for the seed, previous EMA)
+    is carried across batch boundaries, so a series may span batches and the
+    memory held is one batch, whatever the series length."""
+    coef = {w: (2.0 / (w + 1), 1.0 - 2.0 / (w + 1)) for w in windows}
+    need = max(windows) + 1
+    cur, i, head, prev = None, 0, [], {}
+    for pdf in batches:
+        out = {w: [float("nan")] * len(pdf) for w in windows}
+        for j, (t, p) in enumerate(zip(pdf[tk].tolist(), pdf[px].tolist())):
+            if t != cur:
+                cur, i, head, prev = t, 0, [], {w: None for w in windows}
+            if len(head) < need:
+                head.append(p)
+            for w in windows:
+                if i >= w:
+                    a, b = coef[w]
+                    if prev[w] is None:            # seed: same-row SMA over w+1 prices
+                        prev[w] = _round2(sum(head[:w + 1]) / (w + 1))
+                    prev[w] = _round2(p * a + prev[w] * b)
+                    out[w][j] = prev[w]
+            i += 1
+        for w in windows:
+            pdf[f"ema{w}"] = np.array(out[w], dtype=float)
+        yield pdf
 
 
 def ema(series: DataFrame, windows: Sequence[int] = (26, 12), tk: str = TK, dt: str = DT,
@@ -273,14 +286,17 @@ def ema(series: DataFrame, windows: Sequence[int] = (26, 12), tk: str = TK, dt:
     """EMA rounded to 2 decimals at every step (seed = same-row SMA).
 
     Per-step rounding makes the recurrence non-associative, so it cannot be a
-    window sum; each ticker's series (bounded by the calendar) is folded in one
-    Arrow batch by ``applyInPandas``.
+    window sum.  Rows are hash-partitioned by ticker and sorted by (ticker, day)
+    inside each partition; ``mapInPandas`` then folds the sorted Arrow batches
+    in order, carrying the state across batch boundaries (no per-ticker frame is
+    materialised).
     """
     from tessera.session import ship_package
     ship_package(series.sparkSession)             # workers import the fold by module reference
     fields = ", ".join(f"ema{w} double" for w in windows)
     schema = f"{series.schema.simpleString()[7:-1]}, {fields}"
-    return series.groupBy(tk).applyInPandas(lambda p: _ema_frame(p, windows, dt, px), schema)
+    ordered = series.repartition(tk).sortWithinPartitions(tk, dt)
+    return ordered.mapInPandas(lambda it: _ema_batches(it, tuple(windows), tk, px), schema)
 
 
 def macd(series: DataFrame, long: int = 26, short: int = 12, sign: int = 1, tk: str = TK,

@@ -174,3 +174,23 @@ def test_labelled_windows_partitioned_sink(spark, tmpdir_path):
     assert {d.split("=")[1] for d in os.listdir(out) if d.startswith("bucket=")} == \
         {r.bucket for r in lw.select("bucket").distinct().collect()}
     assert all(len(r.prices) == 275 for r in back.collect())
+
+
+def test_ema_across_arrow_batches(spark):
+    """Series spanning many Arrow batches (7 rows each) fold exactly as in one piece."""
+    rnd = random.Random(9)
+    rows, ref = [], {}
+    for tk in range(3):
+        prices = [round(20 + rnd.random() * 5, 3) for _ in range(40 + 13 * tk)]
+        ref[tk] = ref_indicators(prices, 12)[2]
+        rows += [(tk, dt.date(2022, 1, 1) + dt.timedelta(days=i), p) for i, p in enumerate(prices)]
+    s = spark.createDataFrame(rows, "tk long, dt date, px double").repartition(2)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = T.ema(s, (12,)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for tk in range(3):
+        series = [r.ema12 for r in sorted((r for r in got if r.tk == tk), key=lambda r: r.dt)]
+        assert [None if x != x else x for x in series] == ref[tk]
