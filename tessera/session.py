@@ -75,7 +75,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``tessera`` importable in Python workers.
 
-    Pandas UDFs and ``applyInPandas`` functions are pickled by module reference;
+    Pandas UDFs and ``mapInPandas`` functions are pickled by module reference;
     executors (and local workers started elsewhere) do not share the driver's
     ``sys.path``.  The package is zipped once per application and distributed
     with ``addPyFile``, Spark's standard way of shipping Python code.
