@@ -52,10 +52,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     machine-local one.  In local mode (tests) an unset value gets a fresh
     temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
+    # setCheckpointDir adds a subfolder of its own each time, so it is called once
+    active, configured = spark.sparkContext.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
+    if active or configured:
+        if not active:
+            spark.sparkContext.setCheckpointDir(configured)
+        return active or configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
