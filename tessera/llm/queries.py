@@ -41,6 +41,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+@register("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import decontam
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op3_kdtree_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import kdtree
@@ -77,7 +83,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import urls
-    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op7_forest_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import forest
+    return forest.classes(table(spark, sf_dir, "documents")).drop("h")
 
 
 def _op8_sql() -> str:
@@ -123,3 +135,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
     return quality.report(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op10_run_index_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import rindex
+    out = rindex.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import binary, partitions, ragged, shared_path, text_of
 
 BLOCK_IDS, END_ID, MAGIC = 65536, 1, b"TSB1"
-_CACHED_WORDS, _CACHED_WORD_BYTES = 400_000, 64
+_CACHED_WORDS = 600_000
 _HEAD = struct.Struct("<4sBIQ")
 BLOCK_SCHEMA = "part int, block int, start bigint, n_ids bigint, payload binary"
 
@@ -125,19 +125,27 @@ class Encoder:
         self.index[None] = 0
 
     def _learn(self) -> None:
-        found = self.tokenizer.encode_batch([w.decode() for w in self.fresh], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in self.fresh], add_special_tokens=False)
         ids = [e.ids for e in found]
         self.lens = np.concatenate([self.lens, np.fromiter(map(len, ids), np.int64, len(ids))])
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
+
+    def _forget(self, words: int, ids: int, looked_up: int) -> None:
+        """A full cache stays as it is: words beyond it are dropped again.  It starts anew once they are many."""
+        if len(self.fresh) > 0.2 * looked_up and words > _CACHED_WORDS:
+            return self._reset()
+        if len(self.index) > _CACHED_WORDS:
+            for w in self.fresh:
+                del self.index[w]
+            self.lens, self.flat = self.lens[:words], self.flat[:ids]
         self.fresh = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if not self.split_words:
-            ids = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            ids = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-        if len(self.index) > _CACHED_WORDS or len(self.flat) > 16 * _CACHED_WORDS:
-            self._reset()
+        known, flat = len(self.lens), len(self.flat)
         words: list = []
         ends = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -150,7 +158,9 @@ class Encoder:
         starts = np.cumsum(self.lens) - self.lens
         per_word = self.lens[numbers]
         upto = np.cumsum(per_word)[ends - 1]
-        return self.flat[ragged(starts[numbers], per_word)], np.diff(upto, prepend=0)
+        out = self.flat[ragged(starts[numbers], per_word)]
+        self._forget(known, flat, len(words))
+        return out, np.diff(upto, prepend=0)
 
 
 _ENCODERS: dict = {}

@@ -3,8 +3,9 @@
 The trees see lexical features only: length, depth, digit ratio, entropy, counts of
 parameters, hyphens and host labels, and two suffix statistics (smoothed share of
 blocked URLs by host suffix and by first path segment).  They are trained on the
-labelled URLs: those that a rule decides, and those whose host holds a word of the
-seed block list.  At most ``sample`` labelled URLs (smallest hashes of the url) are
+labelled URLs: those whose host holds a word of the seed block list (block), those
+that a rule decides, and those whose page is labelled (page_id is the doc_id of its
+text): block if it is toxic or of low quality, allow if not.  At most ``sample`` labelled URLs (smallest hashes of the url) are
 used for the fit; every URL is scored.  All features are built-in expressions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits
@@ -77,7 +78,7 @@ def _rates(labelled: DataFrame, key: str, prior: float) -> DataFrame:
     return labelled.groupBy(key).agg(((F.sum("label") + 10 * F.lit(prior)) / (F.count(F.lit(1)) + 10)).alias(f"{key}_rate"))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, block_words=BLOCK_WORDS,
+def judge(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url: str = "url", rules=RULES, block_words=BLOCK_WORDS,
           sample: int = SAMPLE, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the trees' probability of block; null without a model)."""
     from pyspark.ml.classification import GBTClassifier
@@ -91,7 +92,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RUL
     for w in block_words:
         seeded = seeded | F.col("host").contains(w)
     label = F.when(seeded | (F.col("by_rule.verdict") == "block"), 1.0).when(F.col("by_rule.verdict") == "allow", 0.0)
-    labelled = rows.withColumn("label", label).filter("label is not null").withColumn("pick", F.xxhash64("u"))
+    known = rows
+    if labels is not None:
+        bad = ((F.max(F.coalesce("toxic", F.lit(0))) > 0) | (F.min(F.coalesce("quality", F.lit(1))) < 1)).cast("double")
+        known = rows.join(labels.groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad")), "page_id", "left")
+        label = F.coalesce(label, "bad")
+    labelled = known.withColumn("label", label).filter("label is not null").withColumn("pick", F.xxhash64("u"))
     labelled = cut_lineage(lexical(labelled.orderBy("pick", "page_id").limit(sample)))
     n, blocked = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
     out = [F.col(c) for c in ("page_id", "host", "path")] + [F.col("by_rule.rule").alias("rule")]
