@@ -39,9 +39,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import binary, partitions, ragged, shared_path, text_of
+from tessera.llm.shingles import chunks
 
 BLOCK_IDS, END_ID, MAGIC = 65536, 1, b"TSB1"
-_CACHED_WORDS = 600_000
+_CACHED_WORDS, _CHUNK_BYTES = 900_000, 1 << 22
 _HEAD = struct.Struct("<4sBIQ")
 BLOCK_SCHEMA = "part int, block int, start bigint, n_ids bigint, payload binary"
 
@@ -202,10 +203,10 @@ def _blocks(path: str, end_id: int, split_words: bool, block_ids: int):
 
         for batch in batches:
             numbers, texts = batch.column(0).to_pylist(), binary(batch.column(1))
-            for lo in range(0, len(texts), 256):
-                ids, n = encoder.encode(texts[lo:lo + 256])
+            for lo, hi in chunks(texts, _CHUNK_BYTES):
+                ids, n = encoder.encode(texts[lo:hi])
                 ends = np.cumsum(n)
-                for k, (doc, size) in enumerate(zip(numbers[lo:lo + 256], n.tolist())):
+                for k, (doc, size) in enumerate(zip(numbers[lo:hi], n.tolist())):
                     if docs and held + size > block_ids:
                         yield flush()
                     docs.append(doc)
