@@ -4,6 +4,7 @@ Contract: every byte covered by a string of ``length`` bytes that also starts in
 document with a smaller id goes.  Matches are judged on the input and stay inside a
 document.
 
+0. Documents that equal one with a smaller id are covered whole; the rest is searched.
 1. Anchors (``anchors``) cut each text into stretches such that equal strings of
    ``length`` bytes lie in stretches with equal anchors.  The "twice" filter keeps the
    anchors that two places share; only those stretches, 50 to 84 bytes each, are shuffled,
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 from tessera.llm.anchors import stretches
 from tessera.llm.common import binary, partitions, ragged, text_of
 from tessera.llm.shingles import chunks
-from tessera.llm.twice import seen_twice, twice
+from tessera.llm.twice import MAX_BITS, seen_twice, twice
+from tessera.session import cut_lineage
 
-LENGTH, GRAM, BLOCK_BYTES, BITS = 50, 16, 1 << 21, 1 << 28
+LENGTH, GRAM, BLOCK_BYTES = 50, 16, 1 << 21
+#: A list of at most this many copies, about 40 MB, is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
 _END = 0xFF  # ends a stretch; no byte of UTF-8
 
@@ -240,23 +244,38 @@ def _remove(batches):
                                           pa.array(digests, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = BITS, block_bytes: int = BLOCK_BYTES,
+def filter_bits(n_bytes: int, length: int, gram: int) -> int:
+    """About 16 bits an anchor, from 2**22 to the filter's bound."""
+    wanted = 16 * n_bytes * 2 // (length - gram + 2)
+    return min(MAX_BITS, max(1 << 22, 1 << (wanted - 1).bit_length() if wanted > 1 else 0))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
                    id_col: str = "doc_id", text: str = "text", gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (what is left, binary) per row of ``docs``."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_of(text).alias("text"))
-    # positions carry 32 bits of the text's hash above them: several texts under one id keep their own ranges
+    # positions carry 31 bits of the text's hash above them: several texts under one id keep their own ranges
     rows = rows.withColumn("tag", F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 33), 32))
+    # whole copies of a text with a smaller id are covered from end to end, and need no search
+    facts = cut_lineage(rows.select("id", "tag", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").cast("bigint").alias("n")))
+    first = facts.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    copies = cut_lineage(facts.join(first, "h").filter(F.col("id") > F.col("first")).select("id", "tag", "n").distinct())
+    n_copies, n_bytes = copies.count(), facts.agg(F.sum("n")).first()[0] or 0
+    small = F.broadcast(copies) if n_copies <= BROADCAST_ROWS else copies
+    fresh = rows.join(small.select("id", "tag"), ["id", "tag"], "left_anti").select("id", "text", "tag")
 
     def hashes(batch):
         texts = binary(batch.column(1))
         for lo, hi in chunks(texts):
             yield stretches(texts[lo:hi], length, gram)[0]
 
-    bitmap = docs.sparkSession.sparkContext.broadcast(twice(rows, hashes, bits))  # bits / 8 bytes
-    parts = rows.mapInArrow(_suspects(bitmap, length, gram), "anchor bigint, id bigint, at bigint, part binary")
-    ranges = parts.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor") \
+    bitmap = spark.sparkContext.broadcast(twice(fresh, hashes, filter_bits(n_bytes, length, gram)))
+    parts = fresh.mapInArrow(_suspects(bitmap, length, gram), "anchor bigint, id bigint, at bigint, part binary")
+    ranges = parts.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor") \
         .mapInArrow(_ranges(length, block_bytes), "id bigint, a bigint, b bigint")
-    lists = ranges.groupBy(F.col("id").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    whole = copies.filter(F.col("n") >= length).select("id", F.col("tag").alias("a"), (F.col("tag") + F.col("n")).alias("b"))
+    lists = ranges.unionByName(whole).groupBy(F.col("id").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     both = rows.join(lists, F.col("id") == F.col("r"), "left").select("id", "text", "tag", "ranges")
     out = both.mapInArrow(_remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
