@@ -56,7 +56,7 @@ def _suspects(bitmap, min_chars: int):
             rows, keys = [], []
             for i, text in enumerate(binary(batch.column(2))):
                 own = list(_keys(text, min_chars))
-                for k in np.flatnonzero(seen_twice(_hashes(own), bitmap.value)).tolist():
+                for k in np.flatnonzero(seen_twice(_hashes(own), bitmap.value.bitmap())).tolist():
                     rows.append(i)
                     keys.append(xxhash.xxh3_128_digest(own[k]))
             at = pa.array(rows, pa.int64())

@@ -149,13 +149,13 @@ def _suspects(bitmap, length: int, k: int):
             tags = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(texts):
                 h, text, a, b, joined = stretches(texts[lo:hi], length, k)
-                keep = np.flatnonzero(seen_twice(h, bitmap.value))
+                keep = np.flatnonzero(seen_twice(h, bitmap.value.bitmap()))
                 h, text, a, b = h[keep], text[keep], a[keep], b[keep]
                 begin = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])
                 data = np.frombuffer(joined, np.uint8)[ragged(a, b - a)] if len(a) else np.zeros(0, np.uint8)
                 offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
                 part = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array((a - begin[text]) | tags[lo:hi][text]), part],
+                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(24)).astype(np.int64)), pa.array(ids[lo:hi][text]), pa.array((a - begin[text]) | tags[lo:hi][text]), part],
                                                  ["anchor", "id", "at", "part"])
     return run
 
@@ -255,15 +255,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     """doc_id, n_bytes, n_removed, n_spans, kept (what is left, binary) per row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_of(text).alias("text"))
-    # positions carry 31 bits of the text's hash above them: several texts under one id keep their own ranges
-    rows = rows.withColumn("tag", F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 33), 32))
+    # positions carry 16 bits of the text's hash above them: several texts under one id keep their own ranges
+    rows = rows.withColumn("tag", F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 48), 32))
     # whole copies of a text with a smaller id are covered from end to end, and need no search
     facts = cut_lineage(rows.select("id", "tag", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").cast("bigint").alias("n")))
     first = facts.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    copies = cut_lineage(facts.join(first, "h").filter(F.col("id") > F.col("first")).select("id", "tag", "n").distinct())
+    copies = cut_lineage(facts.filter(F.col("n") >= length).join(first, "h").filter(F.col("id") > F.col("first")).select("id", "tag", "n"))
     n_copies, n_bytes = copies.count(), facts.agg(F.sum("n")).first()[0] or 0
-    small = F.broadcast(copies) if n_copies <= BROADCAST_ROWS else copies
-    fresh = rows.join(small.select("id", "tag"), ["id", "tag"], "left_anti").select("id", "text", "tag")
+    known = copies.select("id", "tag").distinct()
+    fresh = rows.join(F.broadcast(known) if n_copies <= BROADCAST_ROWS else known, ["id", "tag"], "left_anti").select("id", "text", "tag")
 
     def hashes(batch):
         texts = binary(batch.column(1))
@@ -274,10 +274,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     parts = fresh.mapInArrow(_suspects(bitmap, length, gram), "anchor bigint, id bigint, at bigint, part binary")
     ranges = parts.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor") \
         .mapInArrow(_ranges(length, block_bytes), "id bigint, a bigint, b bigint")
-    whole = copies.filter(F.col("n") >= length).select("id", F.col("tag").alias("a"), (F.col("tag") + F.col("n")).alias("b"))
-    lists = ranges.unionByName(whole).groupBy(F.col("id").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    both = rows.join(lists, F.col("id") == F.col("r"), "left").select("id", "text", "tag", "ranges")
+    lists = ranges.groupBy(F.col("id").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    both = fresh.join(lists, F.col("id") == F.col("r"), "left").select("id", "text", "tag", "ranges")
     out = both.mapInArrow(_remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    out = out.unionByName(copies.select("id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
+                                        F.lit(b"").alias("kept")))
     return out.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 

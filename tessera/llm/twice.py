@@ -1,8 +1,8 @@
 """Two Bloom filters, for hashes seen once and seen twice, over all rows.
 
 ``twice`` returns a filter that holds every hash which two documents share.  Each
-task sends the bits it sets, sorted, as 16-bit offsets in segments of 65,536 bits
-(2 bytes a bit instead of 8 a hash); a bit set by two documents is set in the
+task sends the bits it sets, sorted, as steps in segments of 65,536 bits (about one byte
+a bit after Spark's compression, instead of 8 a hash); a bit set by two documents is set in the
 "twice" filter.  Segments merge independently, so no task sees more than its share.
 
 The filter's size is a parameter.  A fuller filter lets more hashes through as
@@ -12,6 +12,9 @@ traffic and never the result.  ``MAX_BITS`` bounds what is broadcast (128 MB).
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,17 @@ def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.uint32), ((hashes >> np.uint64(32)) & mask).astype(np.uint32)
 
 
+def _steps(offsets: np.ndarray) -> bytes:
+    """Sorted 16-bit offsets as differences, all low bytes before all high bytes (mostly zeros)."""
+    d = np.diff(offsets, prepend=0).astype("<u2").view(np.uint8)
+    return d[::2].tobytes() + d[1::2].tobytes()
+
+
+def _offsets(steps: bytes) -> np.ndarray:
+    low, high = np.frombuffer(steps, np.uint8).reshape(2, -1).astype(np.int64)
+    return np.cumsum(low | high << 8)
+
+
 def _sender(hashes_of, bits: int):
     def run(batches):
         held, n = [], 0
@@ -35,10 +49,10 @@ def _sender(hashes_of, bits: int):
         def flush():
             at, counts = np.unique(np.concatenate(held), return_counts=True)
             segments, first = np.unique(at >> 16, return_index=True)
-            low, many = (at & 0xFFFF).astype("<u2"), counts > 1
+            low, many = (at & 0xFFFF).astype(np.int64), counts > 1
             ends = np.append(first[1:], len(at))
-            once = [low[a:b].tobytes() for a, b in zip(first, ends)]
-            again = [low[a:b][many[a:b]].tobytes() for a, b in zip(first, ends)]
+            once = [_steps(low[a:b]) for a, b in zip(first, ends)]
+            again = [_steps(low[a:b][many[a:b]]) for a, b in zip(first, ends)]
             return pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.array(once, pa.binary()), pa.array(again, pa.binary())],
                                               ["segment", "once", "again"])
 
@@ -68,14 +82,29 @@ def _merge(batches):
                 if now is not None:
                     yield packed()
                 now, counts = segment, np.zeros(SEGMENT, np.uint8)
-            at = np.frombuffer(once, "<u2")
+            at = _offsets(once)
             counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[np.frombuffer(again, "<u2")] = 2
+            counts[_offsets(again)] = 2
     if now is not None:
         yield packed()
 
 
-def twice(docs: DataFrame, hashes_of, bits: int) -> np.ndarray:
+class Filter:
+    """A filter as it is broadcast: compressed, opened once in each worker."""
+
+    _open: dict = {}
+
+    def __init__(self, bitmap: np.ndarray):
+        self.key, self.data = uuid.uuid4().hex, zlib.compress(bitmap, 1)
+
+    def bitmap(self) -> np.ndarray:
+        if self.key not in self._open:
+            self._open.clear()
+            self._open[self.key] = np.frombuffer(zlib.decompress(self.data), np.uint8)
+        return self._open[self.key]
+
+
+def twice(docs: DataFrame, hashes_of, bits: int) -> Filter:
     """``hashes_of(batch)`` yields an array of different 64-bit hashes per document.
     Returns the "twice" filter (bits / 8 bytes, whatever the input)."""
     if bits > MAX_BITS or bits % SEGMENT or bits & (bits - 1):
@@ -86,7 +115,7 @@ def twice(docs: DataFrame, hashes_of, bits: int) -> np.ndarray:
     out = np.zeros((bits // SEGMENT, SEGMENT // 8), np.uint8)
     for row in merged.toLocalIterator():  # at most bits / 65,536 rows of 8 KB
         out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
+    return Filter(out.reshape(-1))
 
 
 def seen_twice(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
