@@ -10,8 +10,7 @@ fixes the diagonal, the words around it are aligned with the item by Smith-Water
 the item's length.  A passage in which fewer words of the item occur than the
 threshold needs is skipped; its score could not reach it.
 
-Words are split at ASCII white space, A-Z lower-cased, and stripped of punctuation
-at both ends.  Texts are scanned whole; nothing but the item blocks is broadcast.
+Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased.  Texts are scanned whole; nothing but the item blocks is broadcast.
 
 Defined cases: a null or empty text matches nothing; an item with fewer than ``n``
 words has no seed and matches nothing; equal items are reported each; repeated rows
@@ -25,45 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import binary, mix64, text_of
+from tessera.llm import shingles
+from tessera.llm.common import binary, text_of
 
 NGRAM, THRESHOLD, GAP, BLOCK_WORDS = 3, 0.55, 0.5, 2_000_000
-_PUNCTUATION = b".,;:!?\"'()[]{}<>*_-"
-_WORDS = 400_000
+#: Bytes that separate words: white space and punctuation.
+_BREAKS = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*_-"))
+_LOWER = shingles.BYTE_VALUES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
 
 
-class WordHashes(dict):
-    """64-bit hashes of normalised words; emptied when it has grown to its bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word.strip(_PUNCTUATION).lower())
-        if len(word) <= 64:
-            if len(self) >= _WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i:len(words) - n + 1 + i]
-    return mix64(out)
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and where each text's begin."""
+    return shingles.words_by_text(texts, _BREAKS, _LOWER)
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray, gap: float = GAP) -> tuple[float, int]:
@@ -87,11 +62,11 @@ class Block:
     """Items with their seeds, for one pass over the corpus."""
 
     def __init__(self, ids: list[int], texts: list[bytes], n: int):
-        self.n, self.ids, self.items = n, ids, [word_hashes(t) for t in texts]
-        per = [grams(w, n) for w in self.items]
-        self.seeds, first = np.unique(np.concatenate([*per, np.zeros(0, np.uint64)]), return_inverse=True)
-        owner = np.repeat(np.arange(len(per)), [len(g) for g in per])
-        at = np.concatenate([np.arange(len(g)) for g in per] + [np.zeros(0, np.int64)]).astype(np.int64)
+        words, begin = words_of(texts)
+        self.n, self.ids, self.items = n, ids, np.split(words, begin[1:-1])
+        g, owner = shingles.grams(words, begin, n)
+        self.seeds, first = np.unique(g, return_inverse=True)
+        at = np.arange(len(g)) - np.searchsorted(owner, owner)
         order = np.argsort(first, kind="stable")
         self.owner, self.at = owner[order], at[order]
         self.starts = np.searchsorted(first[order], np.arange(len(self.seeds) + 1))
@@ -109,19 +84,19 @@ class Block:
         self.seeds = self.seeds[used]
         self.starts = np.searchsorted(seed, np.append(used, np.iinfo(np.int64).max))
 
-    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in g that are seeds, and which."""
-        if not len(self.seeds):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Seeds found: number of the text, of the word, of the seed; all words, and where each text's begin."""
+        words, begin = words_of(texts)
+        g, who = shingles.grams(words, begin, self.n)
+        empty = np.zeros(0, np.int64)
+        if not len(self.seeds) or not len(g):
+            return empty, empty, empty, words, begin
         k = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
         p = np.flatnonzero(self.seeds[k] == g)
-        return p, k[p]
+        return who[p], p - np.searchsorted(who, who[p]), k[p], words, begin
 
-    def matches(self, words: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
+    def matches(self, words: np.ndarray, p: np.ndarray, k: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, seeds hit) for the best passage of each item found."""
-        p, k = self.hits(grams(words, self.n))
-        if not len(p):
-            return []
         pairs = [(int(self.owner[j]), int(a) - int(self.at[j])) for a, s in zip(p, k) for j in range(self.starts[s], self.starts[s + 1])]
         out: dict[int, tuple] = {}
         n_hits: dict[int, int] = {}
@@ -149,8 +124,10 @@ def _count(block):
         b = block.value
         total = np.zeros(len(b.seeds), np.int64)
         for batch in batches:
-            for text in binary(batch.column(1)):
-                total[np.unique(b.hits(grams(word_hashes(text), b.n))[1])] += 1
+            texts = binary(batch.column(1))
+            for lo, hi in shingles.chunks(texts):
+                who, _, k, _, _ = b.hits(texts[lo:hi])
+                total += np.bincount(np.unique(who * len(b.seeds) + k) % max(1, len(b.seeds)), minlength=len(b.seeds))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["seed", "n"])
     return run
@@ -161,10 +138,14 @@ def _align(block, threshold: float):
         b = block.value
         for batch in batches:
             rows, found = [], []
-            for i, text in enumerate(binary(batch.column(1))):
-                for m in b.matches(word_hashes(text), threshold):
-                    rows.append(i)
-                    found.append(m)
+            texts = binary(batch.column(1))
+            for lo, hi in shingles.chunks(texts):
+                who, p, k, words, begin = b.hits(texts[lo:hi])
+                hit, first = np.unique(who, return_index=True)
+                for i, x, y in zip(hit.tolist(), first, np.append(first[1:], len(who))):
+                    for m in b.matches(words[begin[i]:begin[i + 1]], p[x:y], k[x:y], threshold):
+                        rows.append(lo + i)
+                        found.append(m)
             cols = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([b.ids[i] for i in cols[0]], pa.int64()), pa.array(cols[1], pa.float64()),

@@ -11,7 +11,7 @@ from tessera.llm.common import mix64
 SHINGLE, _CHUNK, _TEXT_CHUNK = 5, 1 << 14, 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -31,7 +31,7 @@ class _Powers:
             cls.up, cls.down = _powers(_BASE, n), _powers(_INVERSE, n)
 
 
-def word_hashes(data: np.ndarray, breaks: np.ndarray = _SPACE, values: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, breaks: np.ndarray = _SPACE, values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first byte) of each word of a byte array: a word is a run of bytes that are not ``breaks``.
 
     A running sum of value x base^position gives every word's polynomial by one subtraction;
@@ -59,7 +59,7 @@ def chunks(texts: list[bytes], limit: int = _TEXT_CHUNK) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
-def words_by_text(texts: list[bytes], breaks: np.ndarray = _SPACE, values: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
+def words_by_text(texts: list[bytes], breaks: np.ndarray = _SPACE, values: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and where each text's words begin (texts + 1 numbers)."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     h, first = word_hashes(data, breaks, values)

@@ -42,7 +42,7 @@ from tessera.llm.common import binary, partitions, ragged, shared_path, text_of
 from tessera.llm.shingles import chunks
 
 BLOCK_IDS, END_ID, MAGIC = 65536, 1, b"TSB1"
-_CACHED_WORDS, _CHUNK_BYTES = 900_000, 1 << 22
+_CACHED_WORDS, _CHUNK_BYTES = 500_000, 1 << 22
 _HEAD = struct.Struct("<4sBIQ")
 BLOCK_SCHEMA = "part int, block int, start bigint, n_ids bigint, payload binary"
 
