@@ -2,8 +2,9 @@
 
 Test items are read in blocks of at most ``block_words`` words, and each block is
 matched against the whole corpus.  1. A scan counts, for every n-gram of the block's
-items, the documents that hold it.  2. Of each item the rarer half of its n-grams
-(ties included, so no item is left without) are its seeds.  3. A second scan joins
+items, the documents that hold it.  2. An item's seeds are its rare n-grams:
+those in at most ten times as many documents as its median n-gram, so common phrases go,
+but never more than half of an item's n-grams, however often the item itself was copied.  3. A second scan joins
 document passages to items by seed, inside the task that holds the text: a seed hit
 fixes the diagonal, the words around it are aligned with the item by Smith-Waterman
 (match 1, mismatch and gap -0.5, over normalised words), and the score is divided by
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import shingles
 from tessera.llm.common import binary, text_of
 
-NGRAM, THRESHOLD, GAP, BLOCK_WORDS = 3, 0.55, 0.5, 2_000_000
+NGRAM, THRESHOLD, GAP, BLOCK_WORDS, COMMON = 3, 0.55, 0.5, 2_000_000, 10
 #: Bytes that separate words: white space and punctuation.
 _BREAKS = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*_-"))
 _LOWER = shingles.BYTE_VALUES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
@@ -71,14 +72,14 @@ class Block:
         self.owner, self.at = owner[order], at[order]
         self.starts = np.searchsorted(first[order], np.arange(len(self.seeds) + 1))
 
-    def rarer_half(self, documents: np.ndarray) -> None:
-        """Drop from each item the n-grams above its median document count."""
+    def keep_rare(self, documents: np.ndarray) -> None:
+        """Drop from each item the n-grams in more than ``COMMON`` times its median count of documents."""
         seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.starts))
         keep = np.zeros(len(seed), bool)
         for rows in np.split(np.argsort(self.owner, kind="stable"), np.cumsum(np.bincount(self.owner, minlength=1))[:-1]):
             if len(rows):
                 df = documents[seed[rows]]
-                keep[rows] = df <= np.sort(df)[(len(df) - 1) // 2]
+                keep[rows] = df <= COMMON * max(1, np.sort(df)[len(df) // 2])
         self.owner, self.at, seed = self.owner[keep], self.at[keep], seed[keep]
         used = np.unique(seed)
         self.seeds = self.seeds[used]
@@ -182,7 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         # one row per n-gram of the block that occurs at all
         for r in rows.mapInArrow(_count(shared), "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
             df[r["seed"]] = r["n"]
-        block.rarer_half(df)
+        block.keep_rare(df)
         out = out.unionByName(rows.mapInArrow(_align(sc.broadcast(block), threshold), schema))
     return out
 

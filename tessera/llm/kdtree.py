@@ -3,7 +3,8 @@
 A node that has to give k shards is split where floor(k/2)/k of its bytes lie on
 the left, along the dimension in which it is widest, until every node is one
 shard.  The dimensions are the size, the metadata columns asked for (by default the
-language, which copies share) and the text's hash, each mapped to [0, 1).
+language; equal texts take the smallest of theirs) and the text's hash, each mapped to
+[0, 1).
 
 No level sorts or moves rows.  All nodes of a level are split by two histograms:
 bytes by (node, 4,096 bins of the dimension), then, for the rows of the bin that
@@ -52,13 +53,14 @@ def points(docs: DataFrame, dims: list[str], id_col: str, text: str, shards: int
         return base.withColumns({"row_h": F.xxhash64("doc_id", "h"), "spread": F.lit(False), "at": F.lit(0.0), "c0": F.lit(0.0)}).drop("h")
     # groups of equal texts above this weight do not stay whole
     limit = max(whole_group * total[0] / shards, total[1])
-    heavy = base.groupBy("h").agg(F.sum("size").alias("g")).filter(F.col("g") > limit).select("h", F.lit(True).alias("spread"))
-    base = base.join(heavy, "h", "left").withColumn("spread", F.coalesce("spread", F.lit(False)))
+    metas = [f"m{i}" for i in range(len(dims))]
+    groups = base.groupBy("h").agg(F.sum("size").alias("g"), *[F.min(F.col(m).cast("string")).alias(f"g_{m}") for m in metas])
+    base = base.drop(*metas).join(groups, "h").withColumn("spread", F.col("g") > limit)
     base = base.withColumn("row_h", F.xxhash64("doc_id", "h"))
     base = base.withColumn("at", _unit(F.when(F.col("spread"), F.xxhash64("row_h")).otherwise(F.col("h"))))
     big = math.log2(total[1] + 1)
     coords = [F.least(F.log2(F.col("size") + 1) / big, F.lit(1 - 1e-9))]
-    coords += [_unit(F.xxhash64(F.coalesce(F.col(f"m{i}").cast("string"), F.lit("\x00")))) for i in range(len(dims))]
+    coords += [_unit(F.xxhash64(F.coalesce(F.col(f"g_m{i}"), F.lit("\x00")))) for i in range(len(dims))]
     coords += [F.col("at")]
     return cut_lineage(base.select("doc_id", "size", "text_crc32", "row_h", "at", *[c.alias(f"c{i}") for i, c in enumerate(coords)]))
 
