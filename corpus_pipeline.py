@@ -16,9 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, forest, mixing, quality, tokens
-from tessera.llm.common import written
+from tessera.llm.common import prepare, written
 from tessera.llm.queries import table, word_tokenizer
-from tessera.session import ship_package
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _shipped(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return stage(spark, docs, sf_dir)
     return run
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, ship_package
 
+BATCH_ROWS = 2048
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -35,6 +36,13 @@ def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("bigint")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches of whole texts small (rows of a batch, not of the input)."""
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ import numpy as np
 
 from tessera.llm.common import mix64
 
-SHINGLE, _CHUNK, _TEXT_CHUNK = 5, 1 << 14, 1 << 21
+SHINGLE, _CHUNK, _TEXT_CHUNK = 5, 1 << 13, 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
