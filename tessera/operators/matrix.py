@@ -22,29 +22,23 @@ def unpack(rows: DataFrame, key: str, vector: str, names: DataFrame | None = Non
     """Packed ``(key, ARRAY<DOUBLE>)`` rows -> long cells.
 
     Feature names come from ``names(pos, feature)`` when given, else from the
-    position (``cg`` + zero-padded index).
+    position (``cg`` + zero-padded index; longer numbers keep all their digits).
     """
     ex = rows.select(F.col(key).cast("string").alias(PID), F.posexplode(vector).alias("pos", "_v"))
     if names is not None:
         ex = ex.join(names, "pos")
     else:
-        ex = ex.withColumn(FEAT, F.concat(F.lit(prefix), F.lpad(F.col("pos").cast("string"), width, "0")))
+        ex = ex.withColumn(FEAT, F.format_string(f"{prefix}%0{width}d", "pos"))
     return ex.select(PID, FEAT, F.col("_v").cast("double").alias(BETA))
 
 
-def unpack_chunks(rows: DataFrame, key: str, vector: str, chunk: int, width: int) -> DataFrame:
-    """Column-chunk files side by side == a union of long cells per chunk."""
-    n = width
-    parts = []
-    for start in range(0, n, chunk):
-        part = rows.select(key, F.slice(vector, start + 1, chunk).alias("_c"))
-        ex = part.select(F.col(key).cast("string").alias(PID), F.posexplode("_c").alias("_p", "_v"))
-        parts.append(ex.select(PID, F.concat(F.lit("cg"), F.lpad((F.col("_p") + start).cast("string"), 2, "0"))
-                                .alias(FEAT), F.col("_v").cast("double").alias(BETA)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def unpack_chunks(rows: DataFrame, key: str, vector: str, chunk: int) -> DataFrame:
+    """Column chunks side by side == the union of their long cells, in one scan whatever the width."""
+    chunks = F.expr(f"transform(sequence(0, greatest(size({vector}) - 1, 0), {chunk}), "
+                    f"s -> struct(s AS start, slice({vector}, s + 1, {chunk}) AS cells))")
+    ex = rows.select(F.col(key).cast("string").alias(PID), F.explode(chunks).alias("_c")) \
+        .select(PID, F.col("_c.start").alias("_s"), F.posexplode("_c.cells").alias("_p", "_v"))
+    return ex.select(PID, F.format_string("cg%02d", F.col("_s") + F.col("_p")).alias(FEAT), F.col("_v").cast("double").alias(BETA))
 
 
 def orientation(cells: DataFrame, row_key: str = PID, col_key: str = FEAT) -> DataFrame:
@@ -92,9 +86,14 @@ def drop_null(cells: DataFrame, axis: str = "rows", value: str = BETA) -> DataFr
 def pack(cells: DataFrame, order: DataFrame, keys: Sequence[str] = (PID,)) -> DataFrame:
     """Long cells -> ``(keys..., x ARRAY<DOUBLE>)`` in ``order.pos`` layout.
 
-    One row per entity; the array length is the feature count (bounded by the
+    One row per entity, with a slot for every feature of ``order``: an absent cell is
+    NULL, so slots never shift.  The array length is the feature count (bounded by the
     feature dimension, never by the number of entities)."""
+    n = order.count()
     j = cells.join(order, FEAT)
-    return (j.groupBy(*keys)
-             .agg(F.sort_array(F.collect_list(F.struct("pos", BETA))).alias("_s"))
-             .select(*keys, F.transform("_s", lambda s: s[BETA]).alias("x")))
+    packed = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", BETA))).alias("_s"))
+    by_pos = F.map_from_entries(F.transform("_s", lambda s: F.struct(s["pos"].cast("bigint"), s[BETA])))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(max(0, n - 1))), lambda i: F.try_element_at("_m", i.cast("bigint")))
+    whole = F.size("_s") == n
+    return packed.withColumn("_m", F.when(~whole, by_pos)) \
+        .select(*keys, F.when(whole, F.transform("_s", lambda s: s[BETA])).otherwise(filled).alias("x"))

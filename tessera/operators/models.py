@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import matrix as M
-from tessera.operators.layout import spread
 
 PID = "patient_id"
 

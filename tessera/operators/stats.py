@@ -92,14 +92,14 @@ def confusion(df: DataFrame, y: str = "y", p: str = "p", threshold=0.5,
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", group_by: Sequence[str] = ()) -> DataFrame:
-    """MAE, MSE, RMSE, R^2 = 1 - SSres/SStot (not squared correlation), mean signed error.
+    """MAE, MSE, RMSE, R^2 = 1 - SSres/SStot (not squared correlation), mean net error (predicted minus actual).
 
     SStot uses the shifted form sum(y^2) - n*mean^2 so one pass suffices.
     """
     e = F.col(y) - F.col(yhat)
     agg = df.groupBy(*group_by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
-        F.sum(e * e).alias("_ssres"), F.var_pop(y).alias("_vy"), F.avg(e).alias("mean_error"))
+        F.sum(e * e).alias("_ssres"), F.var_pop(y).alias("_vy"), F.avg(-e).alias("mean_error"))
     r2 = F.lit(1.0) - F.try_divide(F.col("_ssres"), F.col("_vy") * F.col("n"))
     return agg.select(*group_by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"), "mean_error")
 

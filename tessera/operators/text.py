@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as TX
-from tessera.operators.layout import spread
 
 
 def explode_articles(feed: DataFrame, col: str = "articles", keep: Sequence[str] = ()) -> DataFrame:
@@ -28,7 +27,7 @@ def tokenize_pad(df: DataFrame, col: str, max_length: int = 512, labels_from: st
                  label_length: int | None = None) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``labels`` (a copy of the ids, or the
     encoding of ``labels_from`` as in question/answer pairs)."""
-    out = spread(df).withColumn("_tok", TX.tokens(col))          # whole text tokenised once
+    out = df.withColumn("_tok", TX.tokens(col))          # whole text tokenised once
     out = out.withColumn("input_ids", TX.encode_tokens(F.col("_tok"), max_length)) \
              .withColumn("attention_mask", TX.mask_tokens(F.col("_tok"), max_length)).drop("_tok")
     if labels_from is None:
@@ -111,7 +110,7 @@ def rouge_l(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
     in an Arrow-batched pandas UDF over the tokenised pair (per-row work only)."""
     from tessera.session import ship_package
     ship_package(df.sparkSession)                 # workers import the LCS helper by module reference
-    w = spread(df).select(key, TX.words(pred).alias("_p"), TX.words(ref).alias("_r"))
+    w = df.select(key, TX.words(pred).alias("_p"), TX.words(ref).alias("_r"))
     w = w.withColumn("_l", _lcs_udf("_p", "_r"))
     prec = F.coalesce(F.try_divide(F.col("_l").cast("double"), F.size("_p")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("_l").cast("double"), F.size("_r")), F.lit(0.0))

@@ -67,15 +67,20 @@ def _window_frame(series, size, stride, cap, tk, dt):
     return series.withColumn("_i", i).withColumn("_n", n)
 
 
-def _label_row(size: int, stride: int, cap: int) -> Column:
+def _label_row(size: int, stride: int, cap: int | None) -> Column:
     """Closed form of the sliding loop: the end row of window k is position size+stride*k."""
     i, n = F.col("_i"), F.col("_n")
     k = F.floor((i - F.lit(size)) / F.lit(stride))
-    return ((i >= size) & ((i - size) % stride == 0) & (k < cap)
+    return ((i >= size) & ((i - size) % stride == 0) & (F.lit(True) if cap is None else k < cap)
             & F.when(k == 0, n > size).otherwise(n > F.lit(stride) * k - stride + 2 * size))
 
 
-def count_windows(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
+def _upto(n: Column, cap: int | None) -> Column:
+    """All windows, unless the caller asks for at most ``cap`` a ticker."""
+    return n if cap is None else F.least(F.lit(cap), n)
+
+
+def count_windows(series: DataFrame, size: int = 275, stride: int = 75, cap: int | None = None,
                   tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """One row per overlapping count window: its number, first day and label row."""
     f = _window_frame(series, size, stride, cap, tk, dt)
@@ -85,7 +90,7 @@ def count_windows(series: DataFrame, size: int = 275, stride: int = 75, cap: int
                      "start_dt", F.col(dt).alias("end_dt"), px))
 
 
-def window_points(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
+def window_points(series: DataFrame, size: int = 275, stride: int = 75, cap: int | None = None,
                   tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """Window contents in long form (tk, window_no, pos, dt, px): what gets drawn.
 
@@ -97,7 +102,7 @@ def window_points(series: DataFrame, size: int = 275, stride: int = 75, cap: int
     n = F.col("_n")
     # number of windows of a series of length n (closed form of the loop)
     nwin = F.when(n <= size, F.lit(0)).otherwise(
-        F.least(F.lit(cap), F.greatest(F.lit(1), F.floor((n - 2 * size + stride - 1) / F.lit(stride)) + 1)))
+        _upto(F.greatest(F.lit(1), F.floor((n - 2 * size + stride - 1) / F.lit(stride)) + 1), cap))
     i = F.col("_i")
     kmin = F.greatest(F.lit(0), F.floor((i - F.lit(size - 1) + F.lit(stride - 1)) / F.lit(stride)))
     kmax = F.least(F.floor(i / F.lit(stride)), nwin - 1)
@@ -107,7 +112,7 @@ def window_points(series: DataFrame, size: int = 275, stride: int = 75, cap: int
                     dt, px)
 
 
-def window_arrays(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
+def window_arrays(series: DataFrame, size: int = 275, stride: int = 75, cap: int | None = None,
                   tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """Window contents as ``ARRAY<DOUBLE>`` in date order, one row per window.
 
@@ -135,7 +140,7 @@ def forward_gain(series: DataFrame, horizons: Mapping[str, int] = HORIZONS,
     return out if DAY in series.columns else out.drop(DAY)
 
 
-def forward_labels(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
+def forward_labels(series: DataFrame, size: int = 275, stride: int = 75, cap: int | None = None,
                    horizons: Mapping[str, int] = HORIZONS, tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """Count windows with their forward max and gain per horizon (one shuffle, one sort)."""
     f = _window_frame(series, size, stride, cap, tk, dt)
@@ -340,7 +345,7 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str
                        *[F.col(f"_m.{c}").alias(c) for c in rcols])
 
 
-def labelled_windows(series: DataFrame, size: int = 275, stride: int = 75, cap: int = 5,
+def labelled_windows(series: DataFrame, size: int = 275, stride: int = 75, cap: int | None = None,
                      tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
     """Window price arrays with every label directory they belong to (what the
     reference writes as one image per label); write with

@@ -11,7 +11,7 @@ from tessera.operators import stats as S
 from tessera.plans import fixtures as X
 from tessera.plans.registry import register
 
-LONG_SQL = ("SELECT CAST(vec_id AS VARCHAR) AS patient_id, 'cg' || lpad(CAST(pos AS VARCHAR), 2, '0') AS feature, "
+LONG_SQL = ("SELECT CAST(vec_id AS VARCHAR) AS patient_id, 'cg' || printf('%02d', pos) AS feature, "
             "CAST(v AS DOUBLE) AS beta FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, "
             "unnest(embedding) AS v FROM embeddings) e")
 
@@ -30,7 +30,7 @@ def q_matrix_long(spark, sf):
 
 @register("chunk_union", LONG_SQL)
 def q_chunk_union(spark, sf):
-    return M.unpack_chunks(X.table(spark, sf, "embeddings"), "vec_id", "embedding", chunk=16, width=64)
+    return M.unpack_chunks(X.table(spark, sf, "embeddings"), "vec_id", "embedding", chunk=16)
 
 
 @register("orientation", """

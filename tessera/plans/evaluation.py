@@ -37,7 +37,7 @@ def q_confusion(spark, sf):
 SELECT count(*) AS n, round(avg(abs(y - yhat)), {R}) AS mae, round(avg((y - yhat) * (y - yhat)), {R}) AS mse,
        round(sqrt(avg((y - yhat) * (y - yhat))), {R}) AS rmse,
        round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), {R}) AS r2,
-       round(avg(y - yhat), {R}) AS mean_error FROM preds""")
+       round(avg(yhat - y), {R}) AS mean_error FROM preds""")
 def q_regression_metrics(spark, sf):
     m = S.regression_metrics(X.preds(spark, sf), "y", "yhat")
     return m.select("n", *[F.round(c, R).alias(c) for c in ("mae", "mse", "rmse", "r2", "mean_error")])

@@ -55,7 +55,7 @@ def _html_backup() -> str:
     body = " || ".join(["'<html><body><table>'"] + rows + ["'</table>'",
                        "(CASE WHEN p_partkey % 13 = 0 THEN '<p>Ticker not found</p>' ELSE '' END)",
                        "'</body></html>'"])
-    return f"SELECT CAST(p_partkey AS VARCHAR) AS ticker, {body} AS html FROM part WHERE p_partkey % 5 <> 1"
+    return f"SELECT CAST(p_partkey AS VARCHAR) AS ticker, {body} AS html FROM part"
 
 
 def _sector_html() -> str:
@@ -70,8 +70,8 @@ def _cells_from(filter_sql: str, cohort: bool) -> str:
            if cohort else "CAST(vec_id AS VARCHAR)")
     beta = ("CAST(v AS DOUBLE)" if cohort else
             "CASE WHEN pos IN (3, 17) AND vec_id % 50 = 0 THEN NULL ELSE CAST(v AS DOUBLE) END")
-    coh = "['a','b','c'][vec_id % 5 + 1] AS cohort, " if cohort else ""
-    return (f"SELECT {coh}{pid} AS patient_id, 'cg' || lpad(CAST(pos AS VARCHAR), 2, '0') AS feature, "
+    coh = "['a','b','c'][vec_id % 3 + 1] AS cohort, " if cohort else ""
+    return (f"SELECT {coh}{pid} AS patient_id, 'cg' || printf('%02d', pos) AS feature, "
             f"{beta} AS beta FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, "
             f"unnest(embedding) AS v FROM embeddings WHERE {filter_sql}) e")
 
@@ -94,12 +94,12 @@ FIXTURES: dict[str, str] = {
                                 f"AS n{n:02d}" for n in range(25))
                     + " FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"),
     "offsets": "SELECT z, 7 * z AS days FROM range(1, 9) t(z)",
-    "cells": _cells_from("vec_id % 7 <> 0", cohort=False),
+    "cells": _cells_from("true", cohort=False),
     "meta": f"SELECT CAST(vec_id AS VARCHAR) AS patient_id, {_status(('Healthy', 'Lung; High Blood Pressure', 'Heme'))} AS status FROM embeddings",
     "clinic": f"SELECT CAST(vec_id AS VARCHAR) AS patient_id, {_status(('Healthy', 'LUNG', 'heme'))} AS clinic FROM embeddings",
-    "features": ("SELECT DISTINCT feature FROM cells WHERE CAST(substr(feature, 3, 2) AS INTEGER) % 2 = 0 "
+    "features": ("SELECT DISTINCT feature FROM cells WHERE CAST(substr(feature, 3) AS INTEGER) % 2 = 0 "
                  "UNION ALL SELECT 'cg_absent_1' UNION ALL SELECT 'cg_absent_2'"),
-    "cohorts": _cells_from("vec_id % 5 < 3", cohort=True),
+    "cohorts": _cells_from("true", cohort=True),
     "target": ("SELECT CAST(vec_id AS VARCHAR) AS patient_id, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE "
                "30.0::DOUBLE + 20.0::DOUBLE * CAST(embedding[1] AS DOUBLE) - 10.0::DOUBLE * CAST(embedding[6] AS DOUBLE) "
                "+ 0.5::DOUBLE * label END AS y FROM embeddings"),
@@ -113,8 +113,8 @@ FIXTURES: dict[str, str] = {
     "html_metrics": _html_metrics(),
     "html_backup": _html_backup(),
     "sector_html": _sector_html(),
-    "articles": ("SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE substr(text, 1, 40) END AS title, "
-                 "CASE WHEN doc_id % 23 = 0 THEN '' ELSE text END AS content FROM documents"),
+    "articles": ("SELECT doc_id, substr(text, 1, 40) AS title, "
+                 "text AS content FROM documents"),
     "qa": ("SELECT conv_id, turn, text AS question, next_text AS answer FROM (SELECT conv_id, turn, role, text, "
            "lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, "
            "lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations) c "

@@ -68,15 +68,14 @@ def offsets(spark, sf_dir=None) -> DataFrame:
 def cells(spark, sf_dir) -> DataFrame:
     """Long beta matrix (patient_id, feature, beta) from ``embeddings``.
 
-    Patients with ``vec_id % 7 = 0`` are absent from the matrix (so metadata
-    has patients the matrix lacks) and two features carry NULL cells.
+    Every row is in the matrix; two features carry NULL cells.
     """
-    emb = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 7 != 0)
+    emb = table(spark, sf_dir, "embeddings")
     exploded = emb.select("vec_id", F.posexplode("embedding").alias("pos", "v"))
     null_cell = F.col("pos").isin(3, 17) & (F.col("vec_id") % 50 == 0)
     return exploded.select(
         F.col("vec_id").cast("string").alias("patient_id"),
-        F.concat(F.lit("cg"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("feature"),
+        F.format_string("cg%02d", "pos").alias("feature"),
         F.when(null_cell, F.lit(None).cast("double")).otherwise(F.col("v").cast("double")).alias("beta"))
 
 
@@ -105,21 +104,21 @@ def clinic(spark, sf_dir) -> DataFrame:
 def features(spark, sf_dir) -> DataFrame:
     """Selected-feature list: even positions of the matrix plus two unknown names."""
     present = (cells(spark, sf_dir).select("feature").distinct()
-               .filter(F.substring("feature", 3, 2).cast("int") % 2 == 0))
+               .filter(F.expr("substring(feature, 3)").cast("int") % 2 == 0))
     unknown = spark.createDataFrame([("cg_absent_1",), ("cg_absent_2",)], "feature string")
     return present.unionByName(unknown)
 
 
 def cohorts(spark, sf_dir) -> DataFrame:
     """(cohort, patient_id, feature, beta): three external cohorts a/b/c."""
-    emb = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 5 < 3)
+    emb = table(spark, sf_dir, "embeddings")
     exploded = emb.select("vec_id", F.posexplode("embedding").alias("pos", "v"))
     pid = F.when(F.col("vec_id") % 37 == 0, F.concat(F.lit("z"), F.col("vec_id").cast("string"))) \
            .otherwise(F.col("vec_id").cast("string"))
     return exploded.select(
-        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("vec_id") % 5 + 1).cast("int")).alias("cohort"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("vec_id") % 3 + 1).cast("int")).alias("cohort"),
         pid.alias("patient_id"),
-        F.concat(F.lit("cg"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("feature"),
+        F.format_string("cg%02d", "pos").alias("feature"),
         F.col("v").cast("double").alias("beta"))
 
 
@@ -209,7 +208,7 @@ def html_backup(spark, sf_dir) -> DataFrame:
         rows.append(F.concat(F.lit(f"<tr><td>{alias}</td><td><b>"), val, F.lit("</b></td></tr>\n")))
     bad = F.when(F.col("p_partkey") % 13 == 0, F.lit("<p>Ticker not found</p>")).otherwise(F.lit(""))
     body = F.concat(F.lit("<html><body><table>"), *rows, F.lit("</table>"), bad, F.lit("</body></html>"))
-    return part.filter(F.col("p_partkey") % 5 != 1).select(F.col("p_partkey").cast("string").alias("ticker"),
+    return part.select(F.col("p_partkey").cast("string").alias("ticker"),
                                                            body.alias("html"))
 
 
@@ -229,9 +228,7 @@ def articles(spark, sf_dir) -> DataFrame:
     """(doc_id, title, content) news-feed records."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id",
-                    F.when(F.col("doc_id") % 19 == 0, F.lit(None).cast("string"))
-                     .otherwise(F.substring("text", 1, 40)).alias("title"),
-                    F.when(F.col("doc_id") % 23 == 0, F.lit("")).otherwise(F.col("text")).alias("content"))
+                    F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"))
 
 
 def qa(spark, sf_dir) -> DataFrame:

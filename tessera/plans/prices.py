@@ -56,7 +56,7 @@ w AS (
   SELECT tk, CAST((i - 275) // 75 AS INTEGER) AS window_no, start_dt, dt AS end_dt, px, week_max, month_max,
          (week_max - px) / px * 100.0 AS week_gain, (month_max - px) / px * 100.0 AS month_gain, i, n
   FROM f
-  WHERE i >= 275 AND (i - 275) % 75 = 0 AND (i - 275) // 75 < 5
+  WHERE i >= 275 AND (i - 275) % 75 = 0
     AND CASE WHEN (i - 275) // 75 = 0 THEN n > 275 ELSE n > 75 * ((i - 275) // 75) - 75 + 550 END)
 """
 

@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 
 from tessera.operators.extract import catalog_key
 
@@ -39,8 +40,8 @@ def read_table(spark: SparkSession, path, schema: StructType | str | None = None
 
 
 def _lines(spark, path):
-    # unreadable files are skipped (the chunk reader reports missing paths separately)
-    return spark.read.option("ignoreCorruptFiles", True).text(path) \
+    # an unreadable file is an error; ``read_chunks`` finds and reports such files beforehand
+    return spark.read.option("ignoreCorruptFiles", False).text(path) \
                 .select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
 
 
@@ -75,28 +76,34 @@ def read_matrix(spark: SparkSession, path, rows_are: str = "patients", key_heade
 def read_chunks(spark: SparkSession, paths: Sequence[str], **kw) -> tuple[DataFrame | None, list[str]]:
     """Column-chunk files of one matrix -> (union of long cells, unreadable paths) (S6).
 
+    Each file is read to its end once beforehand, so a missing or damaged one is reported
+    and gives no cells at all.
+
     Side-by-side concatenation on the key is a plain union in long form."""
     good, bad = [], []
     for p in paths:
         try:
-            spark.read.text(p).schema   # resolves the path without reading data
+            spark.read.option("ignoreCorruptFiles", False).text(p).select(F.sum(F.length("value"))).collect()
             good.append(p)
-        except AnalysisException:
+        except (AnalysisException, Py4JJavaError, PySparkException):
             bad.append(p)
     cells = read_matrix(spark, good, **kw) if good else None
     return cells, bad
 
 
-def html_catalog(spark: SparkSession, dirs: Mapping[str, str]) -> DataFrame:
+def html_catalog(spark: SparkSession, dirs: Mapping[str, str], optional: Sequence[str] = ("backup", "type")) -> DataFrame:
     """Per-entity HTML files in several directories -> ``(ticker, kind, html)`` (S7).
 
     One row per file (``wholetext``); the key is the file name without
-    ``.html``; a missing file is simply an absent row (left-join it)."""
+    ``.html``; a missing file is simply an absent row (left-join it); a missing
+    directory is an error unless its kind is ``optional``."""
     parts = []
     for kind, d in dirs.items():
         try:
             df = spark.read.option("pathGlobFilter", "*.html").text(d, wholetext=True)
         except AnalysisException:
+            if kind not in optional:
+                raise
             continue
         parts.append(df.select(catalog_key(F.col("_metadata.file_name")).alias("ticker"), F.lit(kind).alias("kind"),
                                F.col("value").alias("html")))

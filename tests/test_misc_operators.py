@@ -103,3 +103,27 @@ def test_normalize_and_missing(spark):
     assert [r.patient_id for r in L.missing(labels, cells).collect()] == ["2"]
     ids = spark.createDataFrame([("X123",)], "i string")
     assert ids.select(L.normalize_id("i").alias("o")).first().o == "123"
+
+
+def test_feature_names_keep_all_digits_and_slots_never_shift(spark):
+    from tessera.operators import matrix as M
+    rows = spark.createDataFrame([("p", [float(i) for i in range(120)])], "k string, v array<double>")
+    cells = M.unpack(rows, "k", "v")
+    assert cells.select("feature").distinct().count() == 120
+    assert sorted(map(tuple, M.unpack_chunks(rows, "k", "v", 16).collect())) == sorted(map(tuple, cells.collect()))
+    order = spark.createDataFrame([("f1", 0), ("f2", 1)], "feature string, pos bigint")
+    two = spark.createDataFrame([("a", "f1", 1.0), ("a", "f2", 2.0), ("b", "f2", 9.0)], "patient_id string, feature string, beta double")
+    assert {r.patient_id: r.x for r in M.pack(two, order).collect()} == {"a": [1.0, 2.0], "b": [None, 9.0]}
+
+
+def test_damaged_chunk_is_reported_and_gives_no_cells(spark, tmpdir_path):
+    import gzip
+    import os
+    text = "," + ",".join(f"f{i}" for i in range(50)) + "\n" + "".join(f"p{i}," + ",".join(str((i * 7919 + j) % 1013 / 1013) for j in range(50)) + "\n" for i in range(400))
+    good, bad = os.path.join(tmpdir_path, "a.csv.gz"), os.path.join(tmpdir_path, "b.csv.gz")
+    data = gzip.compress(text.encode())
+    open(good, "wb").write(data)
+    open(bad, "wb").write(data[:len(data) // 2])
+    from tessera.sources.files import read_chunks
+    cells, unreadable = read_chunks(spark, [good, bad, os.path.join(tmpdir_path, "none.csv")])
+    assert unreadable == [bad, os.path.join(tmpdir_path, "none.csv")] and cells.count() == 400 * 50

@@ -9,7 +9,7 @@ from tessera.operators import timeseries as T
 from tessera.operators import returns as R
 
 
-def reference_windows(n, size=275, stride=75, cap=5):
+def reference_windows(n, size=275, stride=75, cap=10**9):
     """The reference's while-loop, returning the label-row positions."""
     out, start, end, total = [], 0, 0, 0
     while end + size < n:
