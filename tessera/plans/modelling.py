@@ -144,7 +144,7 @@ def q_covariate_model(spark, sf):
     copies, split by patient (copies never leak across splits), scale on the
     training split, fit, and report confusion counts at the 0.60 threshold."""
     lab = cut_lineage(MP._lab(spark, sf))                       # one row per patient
-    cells = X.cells(spark, sf)
+    cells = MD.M.drop_null(X.cells(spark, sf), "features")      # one feature list for selection, training and scoring
     mi = S.mutual_info_binned(cells, lab.withColumnRenamed("label", "y"), "patient_id", "feature", "beta", "y")
     chosen = cut_lineage(S.select_features(mi, 1.5).select("feature"))     # small: computed once
     lc = MD.M.project(cells, chosen).join(lab, "patient_id")
