@@ -27,6 +27,8 @@ from tessera.llm.common import n_words_of, text_of
 from tessera.session import cut_lineage
 
 MAX_EPOCHS, WEIGHTS, SEED = 3, (1, 2, 3), "mix-1"
+#: One row per source, about 100 bytes each, is broadcast up to this many sources.
+BROADCAST_SOURCES = 100_000
 _BIN_DIGITS = 4
 
 
@@ -60,6 +62,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words_of(t).alias("size"),
         draw_key(seed, F.col(id_col), t).alias("draw")))
     goal = cut_lineage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs, weights))
+    n_sources = goal.count()
     goal = goal.withColumn("whole", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(
         F.floor(F.col("target") / F.col("source_size")).cast("double"))) \
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -74,7 +77,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         .groupBy("g_source").agg(F.min(F.struct("bin", "before")).alias("x")) \
         .select(F.col("g_source").alias("x_source"), F.col("x.bin").alias("x_bin"), F.col("x.before").alias("x_before"))
     goal = goal.join(cross, F.col("source").eqNullSafe(F.col("x_source")), "left").drop("x_source")
-    tagged = rows.join(goal.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
+    goal = goal.withColumnRenamed("source", "g_source")
+    if n_sources <= BROADCAST_SOURCES:  # else a shuffle join, whose skewed side Spark can split
+        goal = F.broadcast(goal)
+    tagged = rows.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
     inside = here == F.col("x_bin")
     # rows of a source's one crossing bin, about 1 in 65,536 of its documents; equal draws are peers
     order = Window.partitionBy("source").orderBy("draw").rangeBetween(Window.unboundedPreceding, 0)
