@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare
+from tessera.session import ship_package
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +17,7 @@ def register(key: str, sql: str | None = None):
     def deco(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
         QUERIES[key] = run
         if sql is not None:
