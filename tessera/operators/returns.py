@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import pyround
@@ -19,8 +19,8 @@ def _offsets(offsets: Sequence[tuple[int, int]]) -> Column:
 
 
 def last_points(series: DataFrame, tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
-    """Latest trading day and price per ticker (``max_by``: one partial aggregate)."""
-    return series.groupBy(tk).agg(F.max(dt).alias("last_dt"), F.max_by(px, dt).alias("current"))
+    """First and latest trading day and latest price per ticker (one partial aggregate)."""
+    return series.groupBy(tk).agg(F.min(dt).alias("first_dt"), F.max(dt).alias("last_dt"), F.max_by(px, dt).alias("current"))
 
 
 def backward_samples(series: DataFrame, index: DataFrame, offsets: Sequence[tuple[int, int]],
@@ -30,24 +30,38 @@ def backward_samples(series: DataFrame, index: DataFrame, offsets: Sequence[tupl
 
     Target z lies ``days_z`` after (even z) or before (odd z) the prior-year
     date; the sample is the latest day within ``tolerance_days`` before the
-    target on which both the ticker and the index have a value.
+    target on which both the ticker and the index have a value.  Sampling stops at
+    the first target (in offset order) whose search runs past the ticker's first
+    day: that offset and all later ones give no row.
     """
     both = series.join(index, dt)           # index: one row per day, so no fan-out
-    anchor = last_points(series, tk, dt, px).select(tk, F.add_months("last_dt", -12).alias("prior_dt"))
-    targets = anchor.select(tk, "prior_dt", _offsets(offsets).alias("_o")).select(
-        tk, F.col("_o.z").alias("z"),
+    anchor = last_points(series, tk, dt, px).select(tk, "first_dt", F.add_months("last_dt", -12).alias("prior_dt"))
+    targets = anchor.select(tk, "first_dt", "prior_dt", _offsets(offsets).alias("_o")).select(
+        tk, "first_dt", F.col("_o.z").alias("z"),
         F.when(F.col("_o.z") % 2 == 0, F.date_add("prior_dt", F.col("_o.days")))
          .otherwise(F.date_sub("prior_dt", F.col("_o.days"))).alias("target"))
-    return asof(targets, both.select(tk, dt, px, sp), tk, "target", dt, "backward", tolerance_days, [tk, "z"])
+    found = asof(targets, both.select(tk, dt, px, sp), tk, "target", dt, "backward", tolerance_days, [tk, "z"])
+    past = F.col(f"match_{dt}").isNull() & (F.date_sub("target", tolerance_days) < F.col("first_dt"))
+    stop = F.min(F.when(past, F.col("z"))).over(Window.partitionBy(tk))     # one row per offset and ticker
+    return found.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("z") < F.col("_stop"))).drop("_stop", "first_dt")
+
+
+def _forward_targets(offsets: Sequence[tuple[int, int]], floor: str) -> Column:
+    """Array of (b, target) after ``floor``, up to the first target before the ticker's first day."""
+    every = F.array(*[F.struct(F.lit(z).alias("b"), F.date_sub("last_dt", d).alias("target")) for z, d in offsets])
+    asked = F.filter(every, lambda o: o["target"] > F.lit(floor).cast("date"))
+    stop = F.array_min(F.transform(F.filter(asked, lambda o: o["target"] < F.col("first_dt")), lambda o: o["b"]))
+    return F.filter(asked, lambda o: stop.isNull() | (o["b"] < stop))
 
 
 def forward_samples(series: DataFrame, offsets: Sequence[tuple[int, int]], tolerance_days: int = 9,
                     floor: str = FORWARD_FLOOR, tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
-    """Samples ``days_b`` before each ticker's last day: earliest price within the tolerance after it."""
+    """Samples ``days_b`` before each ticker's last day: earliest price within the tolerance after it.
+
+    Sampling stops at the first target before the ticker's first day (that offset and
+    later ones give no row)."""
     last = last_points(series, tk, dt, px)
-    targets = (last.select(tk, "last_dt", _offsets(offsets).alias("_o"))
-                   .select(tk, F.col("_o.z").alias("b"), F.date_sub("last_dt", F.col("_o.days")).alias("target"))
-                   .filter(F.col("target") > F.lit(floor).cast("date")))
+    targets = last.select(tk, F.explode(_forward_targets(offsets, floor)).alias("_o")).select(tk, "_o.b", "_o.target")
     return asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", tolerance_days, [tk, "b"])
 
 
@@ -61,13 +75,9 @@ def prior_averages(series: DataFrame, index: DataFrame, back_offsets, far_offset
     last = last_points(series, tk, dt, px)
     back = (backward_samples(series, index, back_offsets, tk=tk, dt=dt, px=px).groupBy(tk)
             .agg(F.avg("px").alias("prior"), F.avg("sp").alias("sp_prior")))
-    tagged = [("far", z, d) for z, d in far_offsets] + [("recent", z, d) for z, d in recent_offsets]
-    offs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(z).alias("z"), F.lit(d).alias("days"))
-                               for k, z, d in tagged]))
-    targets = (last.select(tk, "last_dt", offs.alias("_o"))
-                   .select(tk, F.col("_o.kind").alias("kind"), F.col("_o.z").alias("b"),
-                           F.date_sub("last_dt", F.col("_o.days")).alias("target"))
-                   .filter(F.col("target") > F.lit(FORWARD_FLOOR).cast("date")))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _forward_targets(o, FORWARD_FLOOR).alias("at"))
+                      for k, o in (("far", far_offsets), ("recent", recent_offsets))])
+    targets = last.select(tk, F.inline(kinds)).select(tk, "kind", F.inline("at"))
     fwd = asof(targets, series.select(tk, dt, px), tk, "target", dt, "forward", 9, [tk, "kind", "b"])
     avgs = fwd.groupBy(tk).agg(
         pyround(F.avg(F.when(F.col("kind") == "far", F.col(px))), 2).alias("far_avg"),

@@ -202,22 +202,26 @@ def q_macd(spark, sf):
 
 
 _BACK_SQL = f"""
-WITH last AS (SELECT tk, max(dt) AS last_dt, arg_max(px, dt) AS current FROM series GROUP BY tk),
+WITH last AS (SELECT tk, min(dt) AS first_dt, max(dt) AS last_dt, arg_max(px, dt) AS current FROM series GROUP BY tk),
 both_s AS (SELECT s.tk, s.dt, s.px, i.sp FROM series s JOIN index_series i USING (dt)),
 tg AS (SELECT tk, z, CASE WHEN z % 2 = 0 THEN CAST(last_dt - INTERVAL 12 MONTH + days * INTERVAL 1 DAY AS DATE)
                           ELSE CAST(last_dt - INTERVAL 12 MONTH - days * INTERVAL 1 DAY AS DATE) END AS target
        FROM last, {_sql_offsets(BACK_OFFSETS)}),
 bk AS (SELECT tg.tk, tg.z, tg.target, b.dt AS m_dt, b.px, b.sp FROM tg ASOF LEFT JOIN both_s b
        ON tg.tk = b.tk AND tg.target >= b.dt),
-back AS (SELECT tk, z, target, CASE WHEN m_dt >= target - 6 THEN m_dt END AS match_dt,
-                CASE WHEN m_dt >= target - 6 THEN px END AS px, CASE WHEN m_dt >= target - 6 THEN sp END AS sp FROM bk)
+bm AS (SELECT tk, z, target, CASE WHEN m_dt >= target - 6 THEN m_dt END AS match_dt,
+                CASE WHEN m_dt >= target - 6 THEN px END AS px, CASE WHEN m_dt >= target - 6 THEN sp END AS sp FROM bk),
+bs AS (SELECT tk, min(z) AS stop FROM bm JOIN last USING (tk) WHERE match_dt IS NULL AND target - 6 < first_dt GROUP BY tk),
+back AS (SELECT bm.* FROM bm LEFT JOIN bs USING (tk) WHERE stop IS NULL OR z < stop)
 """
 
 
 def _fwd_sql(name, offs):
     return f"""
-{name}_t AS (SELECT tk, z AS b, CAST(last_dt - days * INTERVAL 1 DAY AS DATE) AS target FROM last, {_sql_offsets(offs)}
+{name}_a AS (SELECT tk, first_dt, z AS b, CAST(last_dt - days * INTERVAL 1 DAY AS DATE) AS target FROM last, {_sql_offsets(offs)}
              WHERE CAST(last_dt - days * INTERVAL 1 DAY AS DATE) > DATE '2000-03-18'),
+{name}_s AS (SELECT tk, min(b) AS stop FROM {name}_a WHERE target < first_dt GROUP BY tk),
+{name}_t AS (SELECT a.tk, a.b, a.target FROM {name}_a a LEFT JOIN {name}_s s USING (tk) WHERE s.stop IS NULL OR a.b < s.stop),
 {name}_j AS (SELECT t.tk, t.b, t.target, s.dt AS m_dt, s.px FROM {name}_t t ASOF LEFT JOIN series s
              ON t.tk = s.tk AND t.target <= s.dt),
 {name} AS (SELECT tk, b, target, CASE WHEN m_dt <= target + 9 THEN m_dt END AS match_dt,
