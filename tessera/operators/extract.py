@@ -42,6 +42,22 @@ BACKUP_ALIAS = {
 }
 
 
+#: Kinds of extraction errors: nothing found, or an abbreviated number that cannot be read.
+NO_MATCH, NOT_A_NUMBER = "no match", "not a number"
+
+
+def _failed(raw: str, value: Column) -> Column:
+    """No text found, or text with a magnitude letter whose number cannot be read."""
+    return F.col(raw).isNull() | (F.element_at(F.split(F.col(raw), ">"), -1).rlike("[TBMK]") & value.isNull())
+
+
+def _bad_backup(html: str) -> Column:
+    out = F.lit(False)
+    for m in BAD_BACKUP_MARKERS:
+        out = out | F.col(html).contains(m)
+    return out
+
+
 def metric_regex(name: str, tail: str = PRIMARY_TAIL) -> str:
     """'>' + the literal name (quoted with \\Q..\\E) + the value pattern."""
     return ">\\Q" + name + "\\E" + tail
@@ -80,11 +96,7 @@ def page_status(primary: DataFrame, backup: DataFrame, key: str = "ticker", html
     """Per entity: primary page usable / no data; backup ok / bad / missing."""
     p = primary.select(key, F.when(F.col(html).contains(NO_DATA_MARKER), F.lit("no_data"))
                        .otherwise(F.lit("ok")).alias("primary_status"))
-    bad = None
-    for m in BAD_BACKUP_MARKERS:
-        c = F.col(html).contains(m)
-        bad = c if bad is None else bad | c
-    b = backup.select(key, F.when(bad, F.lit("bad")).otherwise(F.lit("ok")).alias("backup_status"))
+    b = backup.select(key, F.when(_bad_backup(html), F.lit("bad")).otherwise(F.lit("ok")).alias("backup_status"))
     return p.join(b, key, "left").fillna({"backup_status": "missing"})
 
 
@@ -103,11 +115,11 @@ def fallback(primary: DataFrame, backup: DataFrame, metrics: Sequence[str],
     back = extract_metrics(backup, with_backup, BACKUP_TAIL, names=names, key=key, html=html) \
         .withColumn("backup", clean_number("raw")).withColumnRenamed("raw", "backup_raw")
     j = prim.join(back, [key, "metric"], "left")
-    # a metric found on the primary page is final even when its text is not numeric
-    use_backup = F.col("primary_raw").isNull() & F.col("backup_raw").isNotNull()
+    # text whose number cannot be read counts as missed, as on the page itself
+    use_backup = _failed("primary_raw", F.col("primary")) & F.col("backup_raw").isNotNull()
     return j.select(key, "metric",
                     F.when(use_backup, F.col("backup")).otherwise(F.col("primary")).alias("value"),
-                    F.when(F.col("primary_raw").isNotNull(), F.lit("primary"))
+                    F.when(~_failed("primary_raw", F.col("primary")), F.lit("primary"))
                      .when(use_backup, F.lit("backup")).alias("source"))
 
 
@@ -121,20 +133,25 @@ def sector_code(html) -> Column:
 def extract_quality(primary: DataFrame, backup: DataFrame, metrics: Sequence[str],
                     alias: Mapping[str, str | None] = BACKUP_ALIAS, key: str = "ticker",
                     html: str = "html") -> DataFrame:
-    """Per entity: metrics missed on the primary page and missed again on the backup."""
+    """Per entity: metrics missed on the primary page and missed again on the backup, with the
+    kinds of errors.  An entity without a backup page, or with a bad one, has no second report."""
     usable = primary.filter(~F.col(html).contains(NO_DATA_MARKER))
     prim = extract_metrics(usable, metrics, PRIMARY_TAIL, key=key, html=html)
     with_backup = [m for m in metrics if alias.get(m, m) is not None]
     names = {m: (alias.get(m, m) or m) for m in with_backup}
-    back = extract_metrics(backup, with_backup, BACKUP_TAIL, names=names, key=key, html=html) \
-        .withColumnRenamed("raw", "braw")
+    back = extract_metrics(backup.filter(~_bad_backup(html)), with_backup, BACKUP_TAIL, names=names, key=key, html=html) \
+        .withColumnRenamed("raw", "braw").withColumn("there", F.lit(True))
     j = prim.join(back, [key, "metric"], "left")
-    miss = F.col("raw").isNull()
-    miss2 = miss & F.col("braw").isNull() & F.col("metric").isin(*with_backup)
+    miss = _failed("raw", clean_number("raw"))
+    miss2 = miss & F.col("there").isNotNull() & _failed("braw", clean_number("braw"))
+    error = lambda raw: F.when(F.col(raw).isNull(), F.lit(NO_MATCH)).otherwise(F.lit(NOT_A_NUMBER))
+    listed = lambda cond, c, agg: F.array_join(F.array_sort(agg(F.when(cond, c))), ",")
     return j.groupBy(key).agg(
         F.count_if(miss).alias("n_unmatched"),
-        F.array_join(F.array_sort(F.collect_list(F.when(miss, F.col("metric")))), ",").alias("unmatched"),
-        F.array_join(F.array_sort(F.collect_list(F.when(miss2, F.col("metric")))), ",").alias("backup_unmatched"))
+        listed(miss, F.col("metric"), F.collect_list).alias("unmatched"),
+        listed(miss, error("raw"), F.collect_set).alias("error_types"),
+        listed(miss2, F.col("metric"), F.collect_list).alias("backup_unmatched"),
+        listed(miss2, error("braw"), F.collect_set).alias("backup_error_types"))
 
 
 def catalog_key(path) -> Column:
