@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,14 +24,27 @@ def nonempty(df: DataFrame, col: str = "content") -> DataFrame:
 
 def tokenize_pad(df: DataFrame, col: str, max_length: int = 512, labels_from: str | None = None,
                  label_length: int | None = None) -> DataFrame:
-    """``input_ids``, ``attention_mask`` and ``labels`` (a copy of the ids, or the
-    encoding of ``labels_from`` as in question/answer pairs)."""
+    """``chunk_no``, ``input_ids``, ``attention_mask`` and ``labels`` (a copy of the ids, or the
+    encoding of ``labels_from`` as in question/answer pairs).
+
+    The whole text is encoded: pieces beyond ``max_length`` go on in rows with
+    ``chunk_no`` 1, 2, ...; chunk 0 is the row a truncating tokeniser gives."""
+    lengths = [max_length] if labels_from is None else [max_length, label_length or max_length]
     out = df.withColumn("_tok", TX.tokens(col))          # whole text tokenised once
-    out = out.withColumn("input_ids", TX.encode_tokens(F.col("_tok"), max_length)) \
-             .withColumn("attention_mask", TX.mask_tokens(F.col("_tok"), max_length)).drop("_tok")
+    if labels_from is not None:
+        out = out.withColumn("_lab", TX.tokens(labels_from))
+    toks = ["_tok", "_lab"][:len(lengths)]
+    n = F.greatest(F.lit(1), *[F.ceil(F.size(t) / (k - 2)).cast("int") for t, k in zip(toks, lengths)], F.lit(1))
+
+    def part(i):
+        return F.struct(*[F.slice(F.col(t), i * (k - 2) + 1, k - 2).alias(t) for t, k in zip(toks, lengths)])
+
+    out = out.select(*df.columns, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), part)).alias("chunk_no", "_part"))
+    out = out.withColumn("input_ids", TX.encode_tokens(F.col("_part._tok"), max_length)) \
+             .withColumn("attention_mask", TX.mask_tokens(F.col("_part._tok"), max_length))
     if labels_from is None:
-        return out.withColumn("labels", F.col("input_ids"))
-    return out.withColumn("labels", TX.encode(labels_from, label_length or max_length))
+        return out.drop("_part").withColumn("labels", F.col("input_ids"))
+    return out.withColumn("labels", TX.encode_tokens(F.col("_part._lab"), lengths[1])).drop("_part")
 
 
 def _grams(words_col: str, n: int):
@@ -87,17 +99,16 @@ def rouge_n(df: DataFrame, key: str, pred: str, ref: str, ns: Sequence[int] | in
 
 
 def _lcs(a: list, b: list) -> int:
-    if not a or not b:
-        return 0
-    bb = np.array(b, dtype=object)
-    prev = np.zeros(len(b) + 1, dtype=np.int64)
-    for x in a:
-        cur = np.zeros_like(prev)
-        eq = bb == x
-        for j in range(1, len(b) + 1):
-            cur[j] = prev[j - 1] + 1 if eq[j - 1] else max(prev[j], cur[j - 1])
-        prev = cur
-    return int(prev[-1])
+    """Longest common subsequence, bit-parallel: one big integer holds a row of the table."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    masks = {x: sum(1 << i for i in at) for x, at in where.items()}
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        hit = row & masks.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 @F.pandas_udf(T.LongType())

@@ -20,18 +20,26 @@ def _feed(spark, sf):
              .agg(F.collect_list(F.struct("doc_id", "title", "content")).alias("articles")))
 
 
+def _toks_sql(col: str) -> str:
+    return f"regexp_extract_all(coalesce({col}, ''), '{TX.TOKEN_PATTERN}')"
+
+
 def _ids_sql(col: str, n: int) -> str:
-    toks = f"regexp_extract_all(coalesce({col}, ''), '{TX.TOKEN_PATTERN}')"
-    ids = f"list_transform({toks}, lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {TX.VOCAB_SIZE - 3} + 3 AS INTEGER))"
-    seq = f"list_concat([{TX.BOS}], ({ids})[1:{n - 2}], [{TX.EOS}])"
+    ids = f"list_transform({_toks_sql(col)}, lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {TX.VOCAB_SIZE - 3} + 3 AS INTEGER))"
+    seq = f"list_concat([{TX.BOS}], ({ids})[chunk_no * {n - 2} + 1:(chunk_no + 1) * {n - 2}], [{TX.EOS}])"
     return f"list_concat({seq}, list_transform(range({n} - len({seq})), lambda x: {TX.PAD}))"
 
 
 def _mask_sql(col: str, n: int) -> str:
-    nreal = f"least(len(regexp_extract_all(coalesce({col}, ''), '{TX.TOKEN_PATTERN}')) + 2, {n})"
+    nreal = f"least(greatest(len({_toks_sql(col)}) - chunk_no * {n - 2}, 0) + 2, {n})"
     return f"list_concat(list_transform(range({nreal}), lambda x: 1), list_transform(range({n} - {nreal}), lambda x: 0))"
 
 
+def _chunks_sql(src: str, *cols: tuple[str, int]) -> str:
+    n = ", ".join(f"ceil(len({_toks_sql(c)}) / {k - 2})" for c, k in cols)
+    return f"(SELECT *, unnest(range(CAST(greatest(1, {n}) AS BIGINT))) AS chunk_no FROM {src}) c"
+
+
 def _join(c):
     return F.array_join(c, " ")
 
@@ -52,23 +60,23 @@ def q_qa_pairs(spark, sf):
 
 
 @register("tokenize_pad", f"""
-SELECT doc_id, array_to_string({_ids_sql('content', 512)}, ' ') AS input_ids,
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string({_ids_sql('content', 512)}, ' ') AS input_ids,
        array_to_string({_mask_sql('content', 512)}, ' ') AS attention_mask,
        array_to_string({_ids_sql('content', 512)}, ' ') AS labels
-FROM articles WHERE length(content) > 0""")
+FROM {_chunks_sql('articles WHERE length(content) > 0', ('content', 512))}""")
 def q_tokenize_pad(spark, sf):
     t = TO.tokenize_pad(TO.nonempty(X.articles(spark, sf)), "content", 512)
-    return t.select("doc_id", _join("input_ids").alias("input_ids"), _join("attention_mask").alias("attention_mask"),
+    return t.select("doc_id", "chunk_no", _join("input_ids").alias("input_ids"), _join("attention_mask").alias("attention_mask"),
                     _join("labels").alias("labels"))
 
 
 @register("tokenize_pairs", f"""
-SELECT conv_id, turn, array_to_string({_ids_sql('question', 128)}, ' ') AS input_ids,
+SELECT conv_id, turn, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string({_ids_sql('question', 128)}, ' ') AS input_ids,
        array_to_string({_mask_sql('question', 128)}, ' ') AS attention_mask,
-       array_to_string({_ids_sql('answer', 128)}, ' ') AS labels FROM qa""")
+       array_to_string({_ids_sql('answer', 128)}, ' ') AS labels FROM {_chunks_sql('qa', ('question', 128), ('answer', 128))}""")
 def q_tokenize_pairs(spark, sf):
     t = TO.tokenize_pad(X.qa(spark, sf), "question", 128, labels_from="answer", label_length=128)
-    return t.select("conv_id", "turn", _join("input_ids").alias("input_ids"),
+    return t.select("conv_id", "turn", "chunk_no", _join("input_ids").alias("input_ids"),
                     _join("attention_mask").alias("attention_mask"), _join("labels").alias("labels"))
 
 
@@ -111,7 +119,21 @@ def q_rouge12(spark, sf):
     return TO.rouge_n(_pairs(spark, sf), "pair_id", "answer", "question", (1, 2))
 
 
-@register("rouge_l")
+ROUGE_L_SQL = f"""
+WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS pair_id, {_words_sql('answer')} AS wp, {_words_sql('question')} AS wr FROM qa),
+t(pair_id, i, best) AS (
+  SELECT pair_id, 0, list_transform(range(len(wr) + 1), lambda x: 0) FROM w
+  UNION ALL
+  SELECT pair_id, i + 1, list_transform(range(len(cand)), lambda j: list_max(cand[1:j + 1])) FROM (
+    SELECT t.pair_id, t.i, list_transform(range(len(wr) + 1), lambda j: CASE WHEN j > 0 AND wr[j] = wp[i + 1]
+             THEN greatest(best[j + 1], best[j] + 1) ELSE best[j + 1] END) AS cand
+    FROM t JOIN w USING (pair_id) WHERE t.i < len(wp)) s),
+l AS (SELECT pair_id, len(wp) AS np, len(wr) AS nr, CAST(best[len(wr) + 1] AS BIGINT) AS lcs FROM t JOIN w USING (pair_id) WHERE i = len(wp)),
+r AS (SELECT *, coalesce(lcs / nullif(np, 0), 0.0) AS p, coalesce(lcs / nullif(nr, 0), 0.0) AS r FROM l)
+SELECT pair_id, lcs, p AS "rougeL_p", r AS "rougeL_r", CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END AS "rougeL_f" FROM r"""
+
+
+@register("rouge_l", ROUGE_L_SQL)
 def q_rouge_l(spark, sf):
     return TO.rouge_l(_pairs(spark, sf), "pair_id", "answer", "question")
 
