@@ -3,8 +3,8 @@
 Trials are plain rows.  Grids are Cartesian products of parameter lists;
 random search draws from a space with the same md5 uniform the rest of the
 library uses, so the draws are reproducible in SQL.  Evaluating a set of
-trials over data explodes the (bounded) trial list per row and aggregates per
-trial with map-side partial aggregation: one scan for all trials.
+trials over data counts rows by the interval of the sorted thresholds they fall
+in (one scan, one partial aggregate); trials are then sums over those intervals.
 """
 
 from __future__ import annotations
@@ -48,19 +48,35 @@ def param_random(space: Mapping[str, tuple], n: int, seed: int = 42) -> list[dic
     return rows
 
 
+def _interval(p: Column, edges: Sequence[float]) -> Column:
+    """How many of the sorted ``edges`` lie strictly below ``p``, by bisection."""
+    def go(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(p > F.lit(edges[mid]), go(mid + 1, hi)).otherwise(go(lo, mid))
+    return go(0, len(edges))
+
+
 def _trials_col(trials: Sequence[Mapping]) -> Column:
     return F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in t.items()]) for t in trials]))
 
 
 def evaluate_thresholds(df: DataFrame, trials: Sequence[Mapping], y: str = "y", p: str = "p") -> DataFrame:
     """Confusion counts of every trial's ``threshold`` and the trial objective
-    ``weight * recall + (1 - weight) * precision``."""
-    ex = df.select(y, p, _trials_col(trials).alias("_t")).select(y, p, "_t.*")
+    ``weight * recall + (1 - weight) * precision``.  Rows without a score or a label count nowhere."""
+    edges = sorted({float(t["threshold"]) for t in trials})
+    known = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    counts = known.groupBy(_interval(F.col(p), edges).alias("_at")) \
+        .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"))
+    # at most (thresholds + 1) x trials rows, whatever the data
+    ex = counts.select("*", _trials_col([dict(t, _edge=edges.index(float(t["threshold"]))) for t in trials]).alias("_t")) \
+        .select("_at", "_pos", "_neg", "_t.*")
     keys = list(trials[0].keys())
-    pred = F.col(p) > F.col("threshold")
-    pos = F.col(y) == 1
-    agg = ex.groupBy(*keys).agg(F.count_if(pred & pos).alias("tp"), F.count_if(pred & ~pos).alias("fp"),
-                                F.count_if(~pred & ~pos).alias("tn"), F.count_if(~pred & pos).alias("fn"))
+    pred = F.col("_at") > F.col("_edge")
+    total = lambda c, n: F.sum(F.when(c, F.col(n)).otherwise(F.lit(0))).alias
+    agg = ex.groupBy(*keys).agg(total(pred, "_pos")("tp"), total(pred, "_neg")("fp"),
+                                total(~pred, "_neg")("tn"), total(~pred, "_pos")("fn"))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
     return agg.withColumn("recall", rec).withColumn("precision", prec) \
