@@ -47,13 +47,17 @@ def orientation(cells: DataFrame, row_key: str = PID, col_key: str = FEAT) -> Da
     return agg.withColumn("transpose", F.col("n_cols") < F.col("n_rows"))
 
 
-def project(cells: DataFrame, features: DataFrame, feature: str = FEAT) -> DataFrame:
-    """Keep the cells of listed features (left-semi join; AQE broadcasts a small list)."""
+def project(cells: DataFrame, features: DataFrame, feature: str = FEAT, strict: bool = True) -> DataFrame:
+    """Keep the cells of listed features (left-semi join; AQE broadcasts a small list).
+
+    A listed feature that the matrix lacks is an error, unless ``strict`` is False."""
+    if strict and (absent := missing_features(cells, features, feature).limit(5).collect()):
+        raise ValueError("features not in the matrix: " + ", ".join(str(r[0]) for r in absent))
     return cells.join(features.select(feature).distinct(), feature, "left_semi")
 
 
 def missing_features(cells: DataFrame, features: DataFrame, feature: str = FEAT) -> DataFrame:
-    """Listed features absent from the matrix (the reference raises on these)."""
+    """Listed features absent from the matrix."""
     return features.select(feature).distinct().join(cells.select(feature), feature, "left_anti")
 
 

@@ -75,22 +75,42 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by:
     """Linear-interpolation quantiles (numpy's default) per group, exactly.
 
     Instead of ``percentile`` (which holds a whole group in one buffer) the
-    values are ranked with a distributed sort; only the two order statistics
-    around each requested position are joined back.
+    different values are counted and put in order (``value_positions``); a value
+    answers the positions it covers, so a value that fills most of a group is one row.
     """
     gb = list(group_by)
     vals = df.filter(F.col(value).isNotNull()).select(*gb, value)
-    ranked = global_rank(vals, [value], "_k", base=0, partition_by=gb) if gb else \
-        global_rank(vals, [value], "_k", base=0)
-    counts = vals.groupBy(*gb).agg(F.count(F.lit(1)).alias("_n"))
-    probe = counts.select(*gb, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
-    probe = probe.withColumn("_h", (F.col("_n") - 1) * F.col("_p")) \
-                 .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    # both order statistics of every requested quantile in one equi-join
-    need = probe.select(*gb, "_p", "_h", "_lo", F.explode(F.array("_lo", "_hi")).alias("_k"))
-    j = need.join(ranked.select(*gb, "_k", F.col(value).alias("_v")), [*gb, "_k"])
-    per = j.groupBy(*gb, "_p").agg(F.first("_h").alias("_h"), F.first("_lo").alias("_lo"),
-                                   F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
-    j = per.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo")))
+    at = value_positions(vals, value, gb)
+    if gb:
+        at = at.join(at.groupBy(*gb).agg(F.sum("n_rows").alias("_n")), gb)
+    else:
+        at = at.withColumn("_n", F.lit(at.agg(F.sum("n_rows")).first()[0]).cast("bigint"))   # one number
+    last = F.col("_n") - 1
+    need = F.array(*[F.struct(F.lit(float(p)).alias("_p"), (last * F.lit(float(p))).alias("_h"), k(last * F.lit(float(p))).alias("_k"))
+                     for p in probs for k in (F.floor, F.ceil)])
+    mine = F.filter(need, lambda x: (x["_k"] >= F.col("before")) & (x["_k"] < F.col("before") + F.col("n_rows")))
+    j = at.select(*gb, F.col(value).alias("_v"), F.explode(mine).alias("_x")).select(*gb, "_v", "_x.*")
+    per = j.groupBy(*gb, "_p").agg(F.first("_h").alias("_h"), F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"))
+    j = per.withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.floor("_h")))
     return j.groupBy(*gb).agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
                                 for p in probs])
+
+
+def value_positions(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """(group, value, n_rows, before): how many rows hold each different value and how many hold smaller ones.
+
+    Rows are counted per value before anything is sorted, so ties, however many, are one
+    row; a hot group is spread over sorted range partitions as in ``global_rank``."""
+    gb = list(group_by)
+    counts = df.groupBy(*gb, value).agg(F.count(F.lit(1)).alias("n_rows"))
+    tagged = cut_lineage(counts.orderBy(*gb, value).withColumn("__gr_part", F.spark_partition_id())
+                         .withColumn("__gr_row", F.monotonically_increasing_id()))
+    per = tagged.groupBy("__gr_part", *gb).agg(F.sum("n_rows").alias("__gr_n"))
+    # one row per partition and group in it
+    before = (Window.partitionBy(*gb) if gb else Window.partitionBy(F.lit(0))).orderBy("__gr_part") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__gr_part", *gb, F.coalesce(F.sum("__gr_n").over(before), F.lit(0)).alias("__gr_off"))
+    inside = Window.partitionBy("__gr_part", *gb).orderBy("__gr_row").rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.withColumn("__gr_in", F.coalesce(F.sum("n_rows").over(inside), F.lit(0)))
+                  .join(per, ["__gr_part", *gb])
+                  .select(*gb, value, "n_rows", (F.col("__gr_off") + F.col("__gr_in")).cast("bigint").alias("before")))

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import exact_quantiles
+from tessera.operators.ranking import exact_quantiles, value_positions
 
 
 def class_distribution(df: DataFrame, label: str = "label", ddof: int = 0) -> DataFrame:
@@ -114,23 +114,27 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks (ties share their mean rank)."""
-    rx = average_rank(df.select(x, y), x, "_rx")
-    rxy = average_rank(rx, y, "_ry")
-    return rxy.agg(F.corr("_rx", "_ry").alias("spearman"))
+    """Pearson correlation of average ranks (ties share their mean rank).
+
+    Rows are counted per (x, y) first and ranks come from counts of values, so a value
+    that most rows share is neither sorted nor joined more than once per pair."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = both.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    rank = lambda c, v, r: value_positions(both.select(F.col(c).alias(v)), v).select(
+        v, (F.col("before") + (F.col("n_rows") + 1) / 2.0).alias(r))
+    ranked = pairs.join(rank(x, "_x", "_rx"), "_x").join(rank(y, "_y", "_ry"), "_y")
+    # ranks have the mean (n + 1) / 2; halves are exact in floating point
+    mid = (F.lit(both.count()) + 1) / 2.0
+    dx, dy, w = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")
+    s = ranked.agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
+    return s.select(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("spearman"))
 
 
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Average rank (1-based; ties share the mean of their positions), distributed.
-
-    Rows get positions from a sort-based global rank (tied rows in any
-    order); a value's rank is the midpoint of its first and last position,
-    from one partial aggregate per value.
-    """
-    from tessera.operators.ranking import global_rank
-    ranked = global_rank(df.filter(F.col(value).isNotNull()), [value], "_pos", base=1)
-    span = ranked.groupBy(value).agg(((F.min("_pos") + F.max("_pos")) / 2.0).alias(name))
-    return ranked.drop("_pos").join(span, value)
+    """Average rank (1-based; ties share the mean of their positions): rows before the
+    value plus half of those that hold it."""
+    at = value_positions(df.filter(F.col(value).isNotNull()).select(value), value)
+    return df.join(at.select(value, (F.col("before") + (F.col("n_rows") + 1) / 2.0).alias(name)), value)
 
 
 def mutual_info_binned(cells: DataFrame, labels: DataFrame, key: str, feature: str, value: str,
@@ -165,10 +169,15 @@ def mutual_info_binned(cells: DataFrame, labels: DataFrame, key: str, feature: s
     return cnt.groupBy(feature).agg(F.sum(term).alias("mi"))
 
 
-def select_features(mi: DataFrame, c: float = 2.0, feature: str = "feature", score: str = "mi") -> DataFrame:
-    """Keep features whose score is strictly above ``c`` times the mean score."""
-    mean = mi.select(F.avg(score)).scalar()
-    return mi.filter(F.col(score) > F.lit(c) * mean)
+def select_features(mi: DataFrame, c: float | Sequence[float] = 2.0, feature: str = "feature", score: str = "mi") -> DataFrame:
+    """Keep features whose score is strictly above ``c`` times the mean score; several ``c``
+    give one selection each, told apart by ``factor``."""
+    mean = F.avg(score).over(Window.partitionBy(F.lit(0)))       # one row per feature
+    out = mi.withColumn("_mean", mean)
+    if isinstance(c, (int, float)):
+        return out.filter(F.col(score) > F.lit(float(c)) * F.col("_mean")).drop("_mean")
+    out = out.withColumn("factor", F.explode(F.array(*[F.lit(float(x)) for x in c])))
+    return out.filter(F.col(score) > F.col("factor") * F.col("_mean")).drop("_mean")
 
 
 _EULER = 0.5772156649015329

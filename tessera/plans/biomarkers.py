@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import labels as L
 from tessera.operators import matrix as M
 from tessera.operators import stats as S
+from tessera.operators.ranking import global_rank, row_count
 from tessera.plans import fixtures as X
 from tessera.plans.registry import register
 
@@ -42,7 +43,8 @@ def q_orientation(spark, sf):
 
 @register("project_features", "SELECT * FROM cells WHERE feature IN (SELECT feature FROM features)")
 def q_project_features(spark, sf):
-    return M.project(X.cells(spark, sf), X.features(spark, sf))
+    # the fixture's list names features the matrix lacks, an error by default
+    return M.project(X.cells(spark, sf), X.features(spark, sf), strict=False)
 
 
 @register("feature_intersect", "SELECT feature FROM features INTERSECT SELECT feature FROM cells")
@@ -135,9 +137,13 @@ def q_class_distribution(spark, sf):
     return d.select("label", "n", *[F.round(c, 9).alias(c) for c in ("frac", "pct", "log_inv")])
 
 
-@register("distinct_values", "SELECT DISTINCT status FROM meta")
+@register("distinct_values", """
+SELECT status, n, row_number() OVER (ORDER BY status NULLS FIRST) AS pos, count(*) OVER () AS n_distinct
+FROM (SELECT status, count(*) AS n FROM meta GROUP BY status) s""")
 def q_distinct_values(spark, sf):
-    return X.meta(spark, sf).select("status").distinct()
+    """Sorted distinct values (``pos``), rows per value and how many values there are."""
+    values = global_rank(X.meta(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n")), ["status"], "pos")
+    return values.withColumn("n_distinct", F.lit(row_count(values)).cast("bigint"))
 
 
 @register("id_normalize", """

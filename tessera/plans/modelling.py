@@ -29,21 +29,27 @@ def _reg_data(spark, sf):
 @register("elastic_net")
 def q_elastic_net(spark, sf):
     data = SM.split3(_reg_data(spark, sf), "patient_id", 0.1, None, MP.SEED)
-    train = data.filter(F.col("split") == "train").cache()
-    model = MD.ElasticNet(alpha=0.4, l1_ratio=0.5).fit(train)
+    model = MD.ElasticNet(alpha=0.4, l1_ratio=0.5).fit(data.filter(F.col("split") == "train"))
     return model.transform(data).select("patient_id", "split", "y", "yhat")
 
 
 @register("cv_mae")
 def q_cv_mae(spark, sf):
-    data = SM.kfold_ids(_reg_data(spark, sf), ["patient_id"], 4).cache()
-    rows = []
-    for k in range(4):
-        model = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(data.filter(F.col("fold") != k))
-        held = model.transform(data.filter(F.col("fold") == k))
-        mae = held.select(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0]
-        rows.append((k, -float(mae)))
-    return spark.createDataFrame(rows, "fold int, neg_mae double")
+    return spark.createDataFrame(list(enumerate(_cv_neg_mae(_reg_data(spark, sf)))), "fold int, neg_mae double")
+
+
+def _cv_neg_mae(data) -> list[float]:
+    """Negative MAE of each of four contiguous folds; the folds are cached for the fits only."""
+    folds = SM.kfold_ids(data, ["patient_id"], 4).cache()
+    try:
+        out = []
+        for k in range(4):
+            model = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(folds.filter(F.col("fold") != k))
+            held = model.transform(folds.filter(F.col("fold") == k))
+            out.append(-float(held.select(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0]))
+        return out
+    finally:
+        folds.unpersist()
 
 
 def _class_data(spark, sf):
@@ -54,7 +60,7 @@ def _class_data(spark, sf):
 
 @register("classify")
 def q_classify(spark, sf):
-    data = _class_data(spark, sf).cache()
+    data = _class_data(spark, sf)
     model = MD.classifier().fit(data.filter(F.col("split") == "train"))
     pred = MD.positive_probability(model.transform(data.filter(F.col("split") != "train")))
     return pred.select("patient_id", "split", "label", "p", (F.col("p") > 0.6).cast("int").alias("pred"))
@@ -62,7 +68,7 @@ def q_classify(spark, sf):
 
 @register("regress")
 def q_regress(spark, sf):
-    data = SM.split3(_reg_data(spark, sf), "patient_id", 0.1, None, MP.SEED).cache()
+    data = SM.split3(_reg_data(spark, sf), "patient_id", 0.1, None, MP.SEED)
     model = MD.regressor().fit(data.filter(F.col("split") == "train"))
     return model.transform(data).select("patient_id", "split", "y", F.col("prediction").alias("yhat"))
 
@@ -78,33 +84,38 @@ def q_grid_search(spark, sf):
         c = S.confusion(p, "label", "p", 0.5).first()
         return {"recall": float(c["recall"]), "accuracy": float(c["accuracy"])}
 
-    rows = MD.grid_search(MD.classifier(), train, valid, maps, evaluate)
+    try:
+        rows = MD.grid_search(MD.classifier(), train, valid, maps, evaluate)
+    finally:
+        data.unpersist()
     return spark.createDataFrame(rows, "regParam double, elasticNetParam double, maxIter int, recall double, accuracy double")
 
 
 @register("cohort_eval")
 def q_cohort_eval(spark, sf):
-    """Scaler and model fitted on the main cohort, applied to external cohorts a/b/c
-    in one packed pass; confusion counts per cohort."""
-    lab = MP._lab(spark, sf)
-    cells = X.cells(spark, sf)
+    """Scaler and model fitted on the training patients of the main cohort, applied in one packed
+    pass to those patients of the external cohorts a/b/c that the fit has not seen; confusion
+    counts per cohort."""
+    lab = SM.split3(MP._lab(spark, sf), "patient_id", 0.3, None, MP.SEED)
+    seen, held = (lab.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    cells = X.cells(spark, sf).join(seen.select("patient_id"), "patient_id", "left_semi")
     fit = scaler_fit(cells)
     z = scaler_apply(cells, fit).drop("beta").withColumnRenamed("z", "beta")
     order = MD.M.feature_order(MD.M.drop_null(cells, "features"))
-    model = MD.classifier().fit(MD.feature_vectors(z, order).join(lab, "patient_id"))
-    zc = scaler_apply(X.cohorts(spark, sf), fit).drop("beta").withColumnRenamed("z", "beta")
+    model = MD.classifier().fit(MD.feature_vectors(z, order).join(seen, "patient_id"))
+    cohorts = X.cohorts(spark, sf).join(held.select("patient_id"), "patient_id", "left_semi")
+    zc = scaler_apply(cohorts, fit).drop("beta").withColumnRenamed("z", "beta")
     vec = MD.feature_vectors(zc, order, keys=("cohort", "patient_id"))
-    scored = MD.positive_probability(model.transform(vec.join(lab, "patient_id")))
+    scored = MD.positive_probability(model.transform(vec.join(held, "patient_id")))
     return S.confusion(scored, "label", "p", 0.6, ["cohort"])
 
 
 @register("score_batch")
 def q_score_batch(spark, sf):
-    """Batch scoring of new items to (name, probability, class) with the fitted model."""
-    data = _class_data(spark, sf).cache()
+    """Batch scoring of items the model was not fitted on to (name, probability, class)."""
+    data = _class_data(spark, sf)
     model = MD.classifier().fit(data.filter(F.col("split") == "train"))
-    new = _vectors(spark, sf)
-    scored = MD.positive_probability(model.transform(new))
+    scored = MD.positive_probability(model.transform(data.filter(F.col("split") != "train")))
     return scored.select(F.col("patient_id").alias("name"), "p", F.bround("p", 0).cast("int").alias("prediction"))
 
 
@@ -146,13 +157,13 @@ def q_covariate_model(spark, sf):
     lab = cut_lineage(MP._lab(spark, sf))                       # one row per patient
     cells = MD.M.drop_null(X.cells(spark, sf), "features")      # one feature list for selection, training and scoring
     mi = S.mutual_info_binned(cells, lab.withColumnRenamed("label", "y"), "patient_id", "feature", "beta", "y")
-    chosen = cut_lineage(S.select_features(mi, 1.5).select("feature"))     # small: computed once
-    lc = MD.M.project(cells, chosen).join(lab, "patient_id")
+    chosen = cut_lineage(S.select_features(mi, MP.FACTORS[0]).select("feature"))     # small: computed once
+    lc = MD.M.project(cells, chosen, strict=False).join(lab, "patient_id")
     k = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("c1"))
     r = k.select(F.when(F.col("c1") > F.col("n") - F.col("c1"), 0).otherwise(1).alias("minority"),
                  MD_B.minority_replicas(F.col("n"), F.least(F.col("c1"), F.col("n") - F.col("c1"))).alias("u")).first()
     mc = lc.filter(F.col("label") == r["minority"])
-    balanced = MD_B.upsample(lc, MD_B.perturb(mc, mc.select("patient_id"), MP.PCT, MP.PERTURB_SEED), r["u"])
+    balanced = MD_B.upsample(lc, MD_B.perturb(mc, lab.filter(F.col("label") == r["minority"]), MP.PCT, MP.PERTURB_SEED), r["u"])
     split = SM.split3(lab.select("patient_id"), "patient_id", 0.2, 0.2, MP.SEED)
     cells_s = balanced.join(split, "patient_id")
     fit = scaler_fit(cells_s.filter(F.col("split") == "train"))
@@ -172,17 +183,12 @@ def q_tscore_model(spark, sf):
     4-fold contiguous CV of the elastic net (mean -MAE), hold-out fit on a 90/10
     split, error metrics and the least-squares line of prediction on truth."""
     data = _reg_data(spark, sf)
-    folds = SM.kfold_ids(data, ["patient_id"], 4).cache()
-    cv = []
-    for f in range(4):
-        m = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(folds.filter(F.col("fold") != f))
-        held = m.transform(folds.filter(F.col("fold") == f))
-        cv.append(held.select(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0])
-    split = SM.split3(data, "patient_id", 0.1, None, MP.SEED).cache()
+    cv = _cv_neg_mae(data)
+    split = SM.split3(data, "patient_id", 0.1, None, MP.SEED)
     model = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(split.filter(F.col("split") == "train"))
     val = model.transform(split.filter(F.col("split") == "test"))
     line = S.fit_line(val, "y", "yhat").first()                 # two numbers
-    cv_mean = -float(sum(cv) / len(cv))
+    cv_mean = sum(cv) / len(cv)
     return S.regression_metrics(val, "y", "yhat").select(
         "*", F.lit(line["slope"]).alias("slope"), F.lit(line["intercept"]).alias("intercept"),
         F.lit(cv_mean).alias("cv_neg_mae"))

@@ -19,6 +19,7 @@ from tessera.session import cut_lineage
 SEED = 42
 PERTURB_SEED = 7
 PCT = 5.0
+FACTORS = (1.5, 2.0, 2.5, 3.0)
 
 # labelled cells of the patients shared by metadata and matrix
 LAB_SQL = """lab AS (SELECT patient_id, coalesce(CAST(contains(lower(status), 'lung') AS INTEGER), 0) AS label FROM meta
@@ -48,10 +49,23 @@ def q_shuffle(spark, sf):
 
 @register("sample_per_class", f"""
 SELECT item_id, class, path FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {_u('item_id')}, item_id) AS r
-FROM class_items) s WHERE r <= 100""")
+FROM class_items) s WHERE r <= 500""")
 def q_sample_per_class(spark, sf):
     items = X.class_items(spark, sf)
-    return SM.sample_per_class(items, "class", "item_id", k=100, seed=SEED)
+    return SM.sample_per_class(items, "class", "item_id", k=500, seed=SEED)
+
+
+@register("two_class_set", f"""
+WITH m AS (SELECT min(class) AS neg, max(class) AS pos FROM class_items),
+s AS (SELECT item_id, class, path, CAST(class = m.pos AS INTEGER) AS label,
+             row_number() OVER (PARTITION BY class ORDER BY {_u('item_id')}, item_id) AS r FROM class_items, m WHERE class IN (m.neg, m.pos)),
+p AS (SELECT *, row_number() OVER (ORDER BY {_u('item_id', SEED + 1)}, item_id) AS p, count(*) OVER () AS n FROM s WHERE r <= 500)
+SELECT item_id, class, path, label, count(*) OVER (PARTITION BY label) / n AS share,
+       CASE WHEN p <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'eval' END AS split FROM p""")
+def q_two_class_set(spark, sf):
+    items = X.class_items(spark, sf)
+    names = items.agg(F.min("class"), F.max("class")).first()       # two names
+    return SM.two_class_set(items, "class", "item_id", names[1], names[0], 500, 0.8, SEED)
 
 
 @register("sample_half", f"""
@@ -124,8 +138,7 @@ pert AS (SELECT c.patient_id, c.feature, c.beta * f.fac AS beta, c.label FROM la
 
 @register("perturb", f"WITH {LAB_SQL}, {PERTURB_SQL} SELECT * FROM pert")
 def q_perturb(spark, sf):
-    lc = _lab_cells(spark, sf)
-    return B.perturb(lc, lc.select("patient_id"), PCT, PERTURB_SEED)
+    return B.perturb(_lab_cells(spark, sf), _lab(spark, sf), PCT, PERTURB_SEED)
 
 
 @register("upsample_union", f"""
@@ -141,7 +154,7 @@ WITH {LAB_SQL}, {PERTURB_SQL}
 SELECT *, 0 AS replica FROM lab_cells UNION ALL SELECT *, unnest(range(1, 3)) AS replica FROM pert""")
 def q_upsample_overall(spark, sf):
     lc = _lab_cells(spark, sf)
-    return B.upsample(lc, B.perturb(lc, lc.select("patient_id"), PCT, PERTURB_SEED), 2)
+    return B.upsample(lc, B.perturb(lc, _lab(spark, sf), PCT, PERTURB_SEED), 2)
 
 
 MINORITY_SQL = f"""
@@ -174,7 +187,7 @@ def q_balance_minority(spark, sf):
                  F.least(F.col("c1"), F.col("n") - F.col("c1")).alias("d"))
     r = k.select("minority", B.minority_replicas(F.col("n"), F.col("d")).alias("u")).first()   # two integers
     mc = lc.filter(F.col("label") == r["minority"])
-    return B.upsample(lc, B.perturb(mc, mc.select("patient_id"), PCT, PERTURB_SEED), r["u"])
+    return B.upsample(lc, B.perturb(mc, lab.filter(F.col("label") == r["minority"]), PCT, PERTURB_SEED), r["u"])
 
 
 WHOLE_SQL = f"""
@@ -209,7 +222,7 @@ def q_balance_whole(spark, sf):
     k = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("c1"))
     k = k.withColumn("half", F.lit(100.0) * F.col("c1") / (F.col("n") - 1) > 30)
     r = k.select("half", B.whole_replicas(F.col("n"), F.col("c1"), F.col("half")).alias("u")).first()
-    pert = B.perturb(lc, lc.select("patient_id"), PCT, PERTURB_SEED)
+    pert = B.perturb(lc, lab, PCT, PERTURB_SEED)
     if r["half"]:
         keep = SM.sample_half(lab.select("patient_id"), "patient_id", SEED)
         pert = pert.join(keep, "patient_id", "left_semi")
@@ -274,11 +287,12 @@ def q_mi_reg(spark, sf):
 
 
 @register("select_features", f"""WITH {_mi_sql(CLASS_LABELS_SQL, False)}
-SELECT feature, round(mi, 9) AS mi FROM mi WHERE mi > 1.5 * (SELECT avg(mi) FROM mi)""")
+SELECT CAST(factor AS DOUBLE) AS factor, feature, round(mi, 9) AS mi FROM mi, (VALUES (1.5), (2.0), (2.5), (3.0)) f(factor)
+WHERE mi > CAST(factor AS DOUBLE) * (SELECT avg(mi) FROM mi)""")
 def q_select_features(spark, sf):
     y = X.meta(spark, sf).select("patient_id", L.label_contains("status", "lung", case=False).alias("y"))
     mi = S.mutual_info_binned(X.cells(spark, sf), y, "patient_id", "feature", "beta", "y", bins=10)
-    return S.select_features(mi, 1.5).select("feature", F.round("mi", 9).alias("mi"))
+    return S.select_features(mi, FACTORS).select("factor", "feature", F.round("mi", 9).alias("mi"))
 
 
 def _psi_sql(n: str) -> str:
