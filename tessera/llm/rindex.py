@@ -17,6 +17,12 @@ document.
    class of equal strings begins; its smallest document decides.
 3. The covered ranges go to their documents, which lose those bytes.
 
+Hot anchors, found on one document in ``hot_sample``, take another route to the same
+result: their occurrences are first reduced to different stretches with the smallest id
+(partial aggregation), only those are indexed, and each stretch's verdict is joined back
+to its occurrences (a broadcast of checked size, or a shuffle whose skewed side Spark can
+split).  The sample only decides the route, never the result.
+
 Defined cases: a null text is empty; documents shorter than ``length`` keep everything;
 rows under one doc_id do not match each other; a null doc_id is the smallest; removal may
 cut through a UTF-8 character, so what is left is binary; an empty table gives an empty result.
@@ -40,6 +46,10 @@ from tessera.session import cut_lineage
 LENGTH, GRAM, BLOCK_BYTES = 50, 16, 1 << 21
 #: A list of at most this many copies, about 40 MB, is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Anchors with about this many occurrences or more are hot; at most ``HOT_LIST`` (8 MB), the most frequent first.
+HOT, HOT_SAMPLE, HOT_LIST = 100_000, 100, 1_000_000
+#: Verdicts on at most this many hot stretches, about 30 MB, are broadcast.
+BROADCAST_VERDICTS = 100_000
 _NO_ID = -(1 << 63)
 _END = 0xFF  # ends a stretch; no byte of UTF-8
 
@@ -142,7 +152,21 @@ def first_documents(parts: list[bytes], docs: np.ndarray, length: int) -> list[n
     return [found[s:s + n - length + 1] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
-def _suspects(bitmap, length: int, k: int):
+def _anchors(length: int, k: int):
+    def run(batches):
+        for batch in batches:
+            texts = binary(batch.column(1))
+            for lo, hi in chunks(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(_tag(stretches(texts[lo:hi], length, k)[0]))], ["anchor"])
+    return run
+
+
+def _tag(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(24)).astype(np.int64)
+
+
+def _suspects(bitmap, length: int, k: int, hot=None, only_hot: bool = False):
+    """Stretches that the filter suspects: those of hot anchors (sorted array ``hot``), or all others."""
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), binary(batch.column(1))
@@ -150,12 +174,14 @@ def _suspects(bitmap, length: int, k: int):
             for lo, hi in chunks(texts):
                 h, text, a, b, joined = stretches(texts[lo:hi], length, k)
                 keep = np.flatnonzero(seen_twice(h, bitmap.value.bitmap()))
+                if hot is not None:
+                    keep = keep[np.isin(_tag(h[keep]), hot.value) == only_hot]
                 h, text, a, b = h[keep], text[keep], a[keep], b[keep]
                 begin = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])
                 data = np.frombuffer(joined, np.uint8)[ragged(a, b - a)] if len(a) else np.zeros(0, np.uint8)
                 offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
                 part = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(24)).astype(np.int64)), pa.array(ids[lo:hi][text]), pa.array((a - begin[text]) | tags[lo:hi][text]), part],
+                yield pa.RecordBatch.from_arrays([pa.array(_tag(h)), pa.array(ids[lo:hi][text]), pa.array((a - begin[text]) | tags[lo:hi][text]), part],
                                                  ["anchor", "id", "at", "part"])
     return run
 
@@ -197,26 +223,71 @@ def _ranges(length: int, block_bytes: int):
         i, a, b = (np.concatenate(c) for c in zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(i), pa.array(a), pa.array(b)], ["id", "a", "b"])
 
-    def run(batches):
-        held: list = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(3).nbytes
-            if size < block_bytes:
-                continue
-            rows = pa.Table.from_batches(held)
-            anchor = rows.column(0).to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
-            if cut:
-                done = rows.slice(0, cut)
-                yield cover(anchor[:cut], done.column(1).to_numpy(), done.column(2).to_numpy(), done.column(3).to_pylist())
-            held = rows.slice(cut).combine_chunks().to_batches()
-            size = sum(b.column(3).slice(0).nbytes for b in held) if cut else size
-        rows = pa.Table.from_batches(held) if held else None
-        if rows is not None and rows.num_rows:
-            yield cover(rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(3).to_pylist())
-    return run
+    return lambda batches: _by_anchor(batches, block_bytes, cover)
+
+
+def _by_anchor(batches, block_bytes: int, work):
+    """``work`` on blocks of whole anchor groups; rows are sorted by anchor, the last column holds the stretches."""
+    held: list = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.num_columns - 1).nbytes
+        if size < block_bytes:
+            continue
+        rows = pa.Table.from_batches(held)
+        anchor = rows.column(0).to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
+        if cut:
+            yield work(*_columns(rows.slice(0, cut)))
+        held = rows.slice(cut).combine_chunks().to_batches()
+        size = sum(b.column(b.num_columns - 1).slice(0).nbytes for b in held) if cut else size
+    rows = pa.Table.from_batches(held) if held else None
+    if rows is not None and rows.num_rows:
+        yield work(*_columns(rows))
+
+
+def _columns(rows: pa.Table) -> list:
+    return [*(c.to_numpy() for c in rows.columns[:-1]), rows.columns[-1].to_pylist()]
+
+
+def _verdicts(length: int, block_bytes: int):
+    """Sorted rows (anchor, smallest id, stretch), all different, to the first document of every window:
+    runs (first, a, b) of windows a .. b of the stretch."""
+    def judge(anchor, ids, parts):
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        n = size - length + 1
+        firsts = np.concatenate(first_documents(parts, ids, length))
+        row = np.repeat(np.arange(len(parts)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (firsts[1:] != firsts[:-1])]))
+        end = np.append(start[1:], len(row)) - 1
+        offsets = np.searchsorted(row[start], np.arange(len(parts) + 1)).astype(np.int32)
+        runs = pa.StructArray.from_arrays([pa.array(firsts[start]), pa.array(place[start]), pa.array(place[end])], ["first", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(parts, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), runs)],
+                                          ["anchor", "part", "runs"])
+    return lambda batches: _by_anchor(batches, block_bytes, judge)
+
+
+def _hot_ranges(spots: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """Covered ranges of the stretches of hot anchors, (anchor, id, at, part) to (id, a, b)."""
+    spots = cut_lineage(spots)
+    different = spots.groupBy("anchor", "part").agg(F.min("id").alias("id")).select("anchor", "id", "part")
+    verdicts = cut_lineage(different.repartition(partitions(spots.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(
+        _verdicts(length, block_bytes), "anchor bigint, part binary, runs array<struct<first:bigint,a:bigint,b:bigint>>"))
+    if verdicts.count() <= BROADCAST_VERDICTS:
+        verdicts = F.broadcast(verdicts)
+    covered = F.explode(F.filter("runs", lambda r: r["first"] < F.col("id")))
+    return spots.join(verdicts, ["anchor", "part"]).select("id", "at", covered.alias("r")) \
+        .select("id", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + length).alias("b"))
+
+
+def hot_anchors(rows: DataFrame, length: int, gram: int, hot: int, hot_sample: int) -> np.ndarray:
+    """Sorted anchors that occur about ``hot`` times or more, from one document in ``hot_sample``."""
+    some = rows.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(hot_sample)) == 0)
+    counts = some.mapInArrow(_anchors(length, gram), "anchor bigint").groupBy("anchor").count()
+    often = counts.filter(F.col("count") * hot_sample >= hot).orderBy(F.desc("count"), "anchor").limit(HOT_LIST)
+    return np.sort(np.array([r["anchor"] for r in often.select("anchor").collect()], np.int64))
 
 
 def _remove(batches):
@@ -251,7 +322,7 @@ def filter_bits(n_bytes: int, length: int, gram: int) -> int:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
-                   id_col: str = "doc_id", text: str = "text", gram: int = GRAM) -> DataFrame:
+                   id_col: str = "doc_id", text: str = "text", gram: int = GRAM, hot: int = HOT, hot_sample: int = HOT_SAMPLE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (what is left, binary) per row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_of(text).alias("text"))
@@ -271,9 +342,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             yield stretches(texts[lo:hi], length, gram)[0]
 
     bitmap = spark.sparkContext.broadcast(twice(fresh, hashes, filter_bits(n_bytes, length, gram)))
-    parts = fresh.mapInArrow(_suspects(bitmap, length, gram), "anchor bigint, id bigint, at bigint, part binary")
+    often = spark.sparkContext.broadcast(hot_anchors(fresh, length, gram, hot, hot_sample))
+    schema = "anchor bigint, id bigint, at bigint, part binary"
+    parts = fresh.mapInArrow(_suspects(bitmap, length, gram, often), schema)
     ranges = parts.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor") \
         .mapInArrow(_ranges(length, block_bytes), "id bigint, a bigint, b bigint")
+    if len(often.value):
+        ranges = ranges.unionByName(_hot_ranges(fresh.mapInArrow(_suspects(bitmap, length, gram, often, True), schema), length, block_bytes))
     lists = ranges.groupBy(F.col("id").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     both = fresh.join(lists, F.col("id") == F.col("r"), "left").select("id", "text", "tag", "ranges")
     out = both.mapInArrow(_remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

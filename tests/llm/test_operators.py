@@ -285,11 +285,18 @@ def test_quality_counts_and_rules(docs, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if g.kept}
 
 
-def test_run_index_equals_brute_force(docs, rows):
+def test_run_index_equals_brute_force(docs, rows, monkeypatch):
     texts = {-1 if r[0] is None else r[0]: (r[1] or "").encode() for r in rows}
     want = rindex.brute_force(texts)
-    for block_bytes in (1 << 21, 3000):
-        for r in rindex.remove_repeats(docs, block_bytes=block_bytes).collect():
+    # with and without hot anchors: none, all (broadcast, then shuffled), and only the frequent ones
+    hot = len(rindex.hot_anchors(docs.selectExpr("doc_id as id", "coalesce(text, '') as text", "0L as tag"), 50, 16, 3, 1))
+    assert 0 < hot < len(rindex.hot_anchors(docs.selectExpr("doc_id as id", "coalesce(text, '') as text", "0L as tag"), 50, 16, 1, 1))
+    for block_bytes, options in ((1 << 21, {}), (3000, {}), (1 << 21, {"hot": 1, "hot_sample": 1}), (3000, {"hot": 1, "hot_sample": 1}),
+                                 (3000, {"hot": 3, "hot_sample": 1})):
+        monkeypatch.setattr(rindex, "BROADCAST_VERDICTS", 0 if block_bytes == 3000 else 100_000)
+        got = rindex.remove_repeats(docs, block_bytes=block_bytes, **options).collect()
+        assert len(got) == len(rows)
+        for r in got:
             i = -1 if r.doc_id is None else r.doc_id
             assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == (len(texts[i]), *want[i])
 
