@@ -48,14 +48,15 @@ def param_random(space: Mapping[str, tuple], n: int, seed: int = 42) -> list[dic
     return rows
 
 
-def _interval(p: Column, edges: Sequence[float]) -> Column:
-    """How many of the sorted ``edges`` lie strictly below ``p``, by bisection."""
-    def go(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(p > F.lit(edges[mid]), go(mid + 1, hi)).otherwise(go(lo, mid))
-    return go(0, len(edges))
+def _intervals(df: DataFrame, p: str, edges: Sequence[float], name: str) -> DataFrame:
+    """``name``: how many of the sorted ``edges`` lie strictly below ``p`` (not null).
+
+    The bucketizer searches by bisection; its buckets are closed below, so both sides are negated."""
+    from pyspark.ml.feature import Bucketizer
+    splits = [float("-inf"), *sorted(-e for e in edges), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_minus", outputCol="_from_top", handleInvalid="keep")
+    above = F.when(F.isnan("_minus"), F.lit(0)).otherwise(F.col("_from_top")).cast("int")     # NaN exceeds every edge
+    return cut.transform(df.withColumn("_minus", -F.col(p).cast("double"))).withColumn(name, F.lit(len(edges)) - above)
 
 
 def _trials_col(trials: Sequence[Mapping]) -> Column:
@@ -67,7 +68,7 @@ def evaluate_thresholds(df: DataFrame, trials: Sequence[Mapping], y: str = "y",
     ``weight * recall + (1 - weight) * precision``.  Rows without a score or a label count nowhere."""
     edges = sorted({float(t["threshold"]) for t in trials})
     known = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    counts = known.groupBy(_interval(F.col(p), edges).alias("_at")) \
+    counts = _intervals(known, p, edges, "_at").groupBy("_at") \
         .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"))
     # at most (thresholds + 1) x trials rows, whatever the data
     ex = counts.select("*", _trials_col([dict(t, _edge=edges.index(float(t["threshold"]))) for t in trials]).alias("_t")) \

@@ -190,11 +190,30 @@ def exclusive_bucket(gain, rungs: Sequence[float], prefix: str) -> Column:
 
 # ------------------------------------------------------------- W4-W9
 def trailing_window(series: DataFrame, days: int = 1825, tk: str = TK, dt: str = DT, px: str = PX) -> DataFrame:
-    """Per day, stats of the prices in the trailing ``days`` calendar days (inclusive)."""
-    w = _win(tk, dt).rangeBetween(-days, 0)
-    return _with_day(series, dt).select(tk, dt, px,
-                         F.count(px).over(w).alias("n_days"), F.min(px).over(w).alias("lo"),
-                         F.max(px).over(w).alias("hi"), pyround(F.avg(px).over(w), 4).alias("mean"))
+    """Per day, stats of the prices in the trailing ``days`` calendar days (inclusive).
+
+    Every frame starts at the beginning of its partition, so Spark extends it row by
+    row instead of aggregating the window anew: count and mean are differences of
+    running sums; for the extremes days are cut into blocks as wide as the window, which
+    then covers a block's beginning (running extremes) and at most the end of the block
+    before (running extremes from the end, looked up at the window's first row).
+    """
+    width = days + 1
+    s = _with_day(series, dt).select(tk, dt, px, DAY).withColumn("_b", F.floor(F.col(DAY) / width))
+    start, win = Window.unboundedPreceding, _win(tk, dt)
+    upto, gone = win.rangeBetween(start, 0), win.rangeBetween(start, -width)
+    fore = Window.partitionBy(tk, "_b").orderBy(DAY).rangeBetween(start, 0)
+    back = Window.partitionBy(tk, "_b").orderBy(F.desc(DAY)).rangeBetween(start, 0)
+    over = lambda agg, c: agg(c).over(upto) - F.coalesce(agg(c).over(gone), F.lit(0))
+    rows = s.select(tk, dt, px, "_b", F.count(F.lit(1)).over(gone).alias("_first"), over(F.count, px).alias("n_days"),
+                    over(F.sum, px).alias("_sum"), F.min(px).over(fore).alias("_lo"), F.max(px).over(fore).alias("_hi"))
+    ends = s.select(F.col(tk).alias("_tk"), F.col("_b").alias("_eb"), (F.row_number().over(win) - 1).alias("_i"),
+                    F.min(px).over(back).alias("_elo"), F.max(px).over(back).alias("_ehi"))
+    j = rows.join(ends, F.col(tk).eqNullSafe(F.col("_tk")) & (F.col("_first") == F.col("_i")), "left")
+    before = F.col("_eb") < F.col("_b")
+    return j.select(tk, dt, px, "n_days", F.least("_lo", F.when(before, F.col("_elo"))).alias("lo"),
+                    F.greatest("_hi", F.when(before, F.col("_ehi"))).alias("hi"),
+                    pyround(F.when(F.col("n_days") > 0, F.col("_sum") / F.col("n_days")), 4).alias("mean"))
 
 
 def _frame(w: int, nominal: bool):

@@ -137,7 +137,25 @@ def test_split_by_entity_ranks_ids_only(spark):
 
 
 def test_thresholds_by_interval(spark):
-    rows = [(0.1, 0), (0.4, 1), (0.5, 1), (0.5, 0), (0.9, 1), (None, 1), (0.9, None)]
+    rows = [(0.1, 0), (0.4, 1), (0.5, 1), (0.5, 0), (0.9, 1), (float("nan"), 0), (None, 1), (0.9, None)]
     df = spark.createDataFrame(rows, "p double, y int")
     out = {r.trial: (r.tp, r.fp, r.tn, r.fn) for r in SE.evaluate_thresholds(df, SE.param_grid(threshold=[0.5, 0.4, 0.95], weight=[0.5])).collect()}
-    assert out == {1: (1, 0, 2, 2), 2: (2, 1, 1, 1), 3: (0, 0, 2, 3)}
+    assert out == {1: (1, 1, 2, 2), 2: (2, 2, 1, 1), 3: (0, 1, 2, 3)}
+
+
+def test_trailing_window_against_brute_force(spark):
+    from tessera.operators import timeseries as T
+    rnd = random.Random(11)
+    base = _day("2020-01-01")
+    rows = []
+    for tk in "AB":
+        for d in sorted(rnd.sample(range(200), 90)):
+            rows.append((tk, base + dt.timedelta(d), None if rnd.random() < 0.1 else round(rnd.uniform(1, 9), 2)))
+    df = spark.createDataFrame(rows, "tk string, dt date, px double").repartition(5)
+    got = {(r.tk, r.dt): r for r in T.trailing_window(df, 20).collect()}
+    assert len(got) == len(rows)
+    for tk, day, _ in rows:
+        vals = [p for t, d, p in rows if t == tk and 0 <= (day - d).days <= 20 and p is not None]
+        r = got[tk, day]
+        assert r.n_days == len(vals) and r.lo == min(vals, default=None) and r.hi == max(vals, default=None)
+        assert r["mean"] == (pytest.approx(sum(vals) / len(vals), abs=1e-4) if vals else None)
