@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are read in blocks of at most ``block_words`` words, and each block is
-matched against the whole corpus.  1. A scan counts, for every n-gram of the block's
-items, the documents that hold it.  2. An item's seeds are its rare n-grams:
-those in at most ten times as many documents as its median n-gram, so common phrases go,
-but never more than half of an item's n-grams, however often the item itself was copied.  3. A second scan joins
-document passages to items by seed, inside the task that holds the text: a seed hit
+matched against the whole corpus in one scan, which joins document passages to items
+by seed, inside the task that holds the text.  1. Every n-gram of an item is a seed,
+however many documents hold it: a count of documents cannot tell a common phrase from
+copies of the item.  2. What common phrases hit is thinned out by a bound instead: an
+item of which fewer words occur in the text than the threshold needs is skipped; its
+score could not reach it.  3. A seed hit
 fixes the diagonal, the words around it are aligned with the item by Smith-Waterman
 (match 1, mismatch and gap -0.5, over normalised words), and the score is divided by
-the item's length.  A passage in which fewer words of the item occur than the
-threshold needs is skipped; its score could not reach it.
+the item's length.  A passage is skipped by the same bound.
 
 Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased.  Texts are scanned whole; nothing but the item blocks is broadcast.
 
 Defined cases: a null or empty text matches nothing; an item with fewer than ``n``
-words has no seed and matches nothing; equal items are reported each; repeated rows
+words has no seed and matches nothing; an item so short that a common phrase of its own
+reaches the threshold is found wherever the phrase stands; equal items are reported each; repeated rows
 are reported each; of several passages for one item the best is reported, ties to the
 first; an empty corpus or benchmark gives an empty result.
 """
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import binary, text_of
+from tessera.llm.common import binary, ragged, text_of
 
-NGRAM, THRESHOLD, GAP, BLOCK_WORDS, COMMON = 3, 0.55, 0.5, 2_000_000, 10
+NGRAM, THRESHOLD, GAP, BLOCK_WORDS = 3, 0.55, 0.5, 2_000_000
 #: Bytes that separate words: white space and punctuation.
 _BREAKS = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*_-"))
 _LOWER = shingles.BYTE_VALUES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
@@ -65,6 +66,8 @@ class Block:
     def __init__(self, ids: list[int], texts: list[bytes], n: int):
         words, begin = words_of(texts)
         self.n, self.ids, self.items = n, ids, np.split(words, begin[1:-1])
+        self.begin, self.sizes = begin[:-1], np.diff(begin)
+        self.vocab, self.word = np.unique(words, return_inverse=True)
         g, owner = shingles.grams(words, begin, n)
         self.seeds, first = np.unique(g, return_inverse=True)
         at = np.arange(len(g)) - np.searchsorted(owner, owner)
@@ -72,18 +75,16 @@ class Block:
         self.owner, self.at = owner[order], at[order]
         self.starts = np.searchsorted(first[order], np.arange(len(self.seeds) + 1))
 
-    def keep_rare(self, documents: np.ndarray) -> None:
-        """Drop from each item the n-grams in more than ``COMMON`` times its median count of documents."""
-        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.starts))
-        keep = np.zeros(len(seed), bool)
-        for rows in np.split(np.argsort(self.owner, kind="stable"), np.cumsum(np.bincount(self.owner, minlength=1))[:-1]):
-            if len(rows):
-                df = documents[seed[rows]]
-                keep[rows] = df <= COMMON * max(1, np.sort(df)[len(df) // 2])
-        self.owner, self.at, seed = self.owner[keep], self.at[keep], seed[keep]
-        used = np.unique(seed)
-        self.seeds = self.seeds[used]
-        self.starts = np.searchsorted(seed, np.append(used, np.iinfo(np.int64).max))
+    def possible(self, words: np.ndarray, k: np.ndarray, threshold: float) -> np.ndarray:
+        """Items hit by seeds ``k`` of which the text holds enough words to reach the threshold."""
+        k = np.unique(k)
+        items = np.unique(self.owner[ragged(self.starts[k], self.starts[k + 1] - self.starts[k])])
+        v = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
+        here = np.zeros(len(self.vocab), np.int64)
+        here[v[self.vocab[v] == words]] = 1
+        sizes = self.sizes[items]
+        held = np.add.reduceat(here[self.word[ragged(self.begin[items], sizes)]], np.cumsum(sizes) - sizes)
+        return items[held / sizes >= threshold]
 
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Seeds found: number of the text, of the word, of the seed; all words, and where each text's begin."""
@@ -98,7 +99,11 @@ class Block:
 
     def matches(self, words: np.ndarray, p: np.ndarray, k: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, seeds hit) for the best passage of each item found."""
-        pairs = [(int(self.owner[j]), int(a) - int(self.at[j])) for a, s in zip(p, k) for j in range(self.starts[s], self.starts[s + 1])]
+        items = set(self.possible(words, k, threshold).tolist())
+        if not items:
+            return []
+        pairs = [(int(self.owner[j]), int(a) - int(self.at[j])) for a, s in zip(p, k) for j in range(self.starts[s], self.starts[s + 1])
+                 if int(self.owner[j]) in items]
         out: dict[int, tuple] = {}
         n_hits: dict[int, int] = {}
         last = (-1, 0)
@@ -111,7 +116,7 @@ class Block:
             last = (item, start)
             lo = max(0, start - pad)
             passage = words[lo:start + len(own) + pad + pad // 2]
-            if np.isin(passage, own).sum() < threshold * len(own):
+            if np.isin(passage, own).sum() / len(own) < threshold:
                 continue
             score, end = smith_waterman(own, passage)
             score /= len(own)
@@ -120,20 +125,6 @@ class Block:
         return [(*x, n_hits[i]) for i, x in out.items()]
 
 
-def _count(block):
-    def run(batches):
-        b = block.value
-        total = np.zeros(len(b.seeds), np.int64)
-        for batch in batches:
-            texts = binary(batch.column(1))
-            for lo, hi in shingles.chunks(texts):
-                who, _, k, _, _ = b.hits(texts[lo:hi])
-                total += np.bincount(np.unique(who * len(b.seeds) + k) % max(1, len(b.seeds)), minlength=len(b.seeds))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["seed", "n"])
-    return run
-
-
 def _align(block, threshold: float):
     def run(batches):
         b = block.value
@@ -178,12 +169,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item_id, item_text, n, block_words):
-        shared = sc.broadcast(block)
-        df = np.zeros(len(block.seeds), np.int64)
-        # one row per n-gram of the block that occurs at all
-        for r in rows.mapInArrow(_count(shared), "seed int, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-            df[r["seed"]] = r["n"]
-        block.keep_rare(df)
         out = out.unionByName(rows.mapInArrow(_align(sc.broadcast(block), threshold), schema))
     return out
 

@@ -235,6 +235,17 @@ def test_decontamination_finds_exact_and_edited_passages(spark):
     assert decontam.contaminated(df, it.limit(0)).count() == 0
 
 
+def test_decontamination_finds_one_edited_copy_in_many_documents(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = " ".join("swap" if i % 5 == 4 else w for i, w in enumerate(item))  # 16 of 38 3-grams are left; (32 - 3.5) / 40
+    short = [f"s{i}" for i in range(8)]
+    lone = " ".join("swap" if i in (3, 6) else w for i, w in enumerate(short))  # one 3-gram is left
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id bigint, text string")
+    docs = [(i, f"{'before ' * i}{edited} after {lone}") for i in range(25)] + [(100 + i, f"only w{i} w{i + 1} w{i + 2} stands here") for i in range(30)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == sorted((i, *x) for i in range(25) for x in ((1, 0.7125), (2, 0.625)))
+
+
 def test_smith_waterman_equals_the_table():
     rng = np.random.default_rng(4)
     for _ in range(200):
