@@ -5,8 +5,11 @@ parameters, hyphens and host labels, and two suffix statistics (smoothed share o
 blocked URLs by host suffix and by first path segment).  They are trained on the
 labelled URLs: those whose host holds a word of the seed block list (block), those
 that a rule decides, and those whose page is labelled (page_id is the doc_id of its
-text): block if it is toxic or of low quality, allow if not.  At most ``sample`` labelled URLs (smallest hashes of the url) are
-used for the fit; every URL is scored.  All features are built-in expressions.
+text): block if it is toxic or of low quality, allow if not.  The suffix statistics and
+the prior are counted over all labelled rows.  Only the fit is sampled: at most ``sample``
+different labelled URLs, half of them of each class if there are as many, drawn by their
+number of rows and the hash of the url (priority sampling) and weighted so that they stand
+for all rows.  Every URL is scored.  All features are built-in expressions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits
 no rule and is scored like any other; with no labelled URL, or one class only, the
@@ -28,6 +31,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BLOCK_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads-")
 FEATURES = ("length", "host_length", "labels", "hyphens", "depth", "digit_ratio", "entropy", "params", "segment_length",
             "suffix_rate", "segment_rate")
+#: A suffix or segment table up to this size is broadcast, a larger one joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 SAMPLE, _UPPER, _LOWER = 20_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,8 +79,26 @@ def lexical(rows: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, key: str, prior: float) -> DataFrame:
-    """Smoothed share of blocked URLs; at most one row per row of the bounded sample."""
-    return labelled.groupBy(key).agg(((F.sum("label") + 10 * F.lit(prior)) / (F.count(F.lit(1)) + 10)).alias(f"{key}_rate"))
+    """Smoothed share of blocked rows, broadcast if its measured size allows it."""
+    out = cut_lineage(labelled.groupBy(key).agg(
+        ((F.sum(F.col("label") * F.col("w")) + 10 * F.lit(prior)) / (F.sum("w") + 10)).alias(f"{key}_rate")))
+    held = out.agg(F.sum(F.octet_length(key) + 16)).first()[0]
+    return F.broadcast(out) if held <= BROADCAST_BYTES else out
+
+
+def _sample(labelled: DataFrame, different: dict[float, int], sample: int) -> DataFrame:
+    """u, label, w: different URLs of each label by priority w / uniform hash; the lowest weight is the
+    priority of the first one left out, so the weights add up to all rows in expectation."""
+    uniform = (F.xxhash64("u").bitwiseAND(F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
+    ranked = labelled.withColumn("priority", F.col("w") / uniform)
+    out = None
+    for label, n in different.items():
+        k = min(n, max(sample // 2, sample - different[1.0 - label]))
+        own = ranked.filter(F.col("label") == label).orderBy(F.desc("priority"), "u")
+        floor = own.limit(k + 1).agg(F.min("priority")).first()[0] if n > k else 0.0
+        part = own.limit(k).select("u", "label", F.greatest(F.col("w").cast("double"), F.lit(floor)).alias("w"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url: str = "url", rules=RULES, block_words=BLOCK_WORDS,
@@ -97,23 +120,27 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page
         bad = ((F.max(F.coalesce("toxic", F.lit(0))) > 0) | (F.min(F.coalesce("quality", F.lit(1))) < 1)).cast("double")
         known = rows.join(labels.groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad")), "page_id", "left")
         label = F.coalesce(label, "bad")
-    labelled = known.withColumn("label", label).filter("label is not null").withColumn("pick", F.xxhash64("u"))
-    labelled = cut_lineage(lexical(labelled.orderBy("pick", "page_id").limit(sample)))
-    n, blocked = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
+    # one row per different labelled URL and label, w its rows
+    labelled = cut_lineage(known.withColumn("label", label).filter("label is not null").groupBy("u", "label").agg(F.count(F.lit(1)).alias("w")))
+    counts = {r["label"]: r for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("urls"), F.sum("w").alias("w")).collect()}
+    n, blocked = sum(r["w"] for r in counts.values()), counts[1.0]["w"] if 1.0 in counts else 0
     out = [F.col(c) for c in ("page_id", "host", "path")] + [F.col("by_rule.rule").alias("rule")]
     if not n or blocked in (0, n):
         return rows.select(*out, F.coalesce("by_rule.verdict", F.lit("block" if n and blocked == n else "allow")).alias("verdict"),
                            F.lit(None).cast("double").alias("score"))
     prior = blocked / n
-    rates = [(k, cut_lineage(_rates(labelled, k, prior))) for k in ("suffix", "segment")]
+    split = lambda df: lexical(df.withColumns(dict(zip(("host", "path"), host_and_path(F.col("u"))))))
+    keyed = split(labelled).select("suffix", "segment", "label", "w")
+    rates = [(k, _rates(keyed, k, prior)) for k in ("suffix", "segment")]
 
     def with_rates(df: DataFrame) -> DataFrame:
-        for key, table in rates:  # bounded by the sample
-            df = df.join(F.broadcast(table), key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(prior)))
+        for key, table in rates:
+            df = df.join(table, key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(prior)))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, checkpointInterval=-1) \
-        .fit(with_rates(labelled).select("features", "label"))
+    drawn = split(cut_lineage(_sample(labelled, {x: r["urls"] for x, r in counts.items()}, sample)))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, checkpointInterval=-1, weightCol="w") \
+        .fit(with_rates(drawn).select("features", "label", "w"))
     scored = model.transform(with_rates(lexical(rows)))
     verdict = F.coalesce(F.col("by_rule.verdict"), F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
     return scored.select(*out, verdict.alias("verdict"), vector_to_array("probability")[1].alias("score"))

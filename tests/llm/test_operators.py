@@ -172,6 +172,23 @@ def test_url_rules_and_trees(spark):
     assert [(r.verdict, r.score) for r in none] == [("allow", None)]
 
 
+def test_url_statistics_cover_all_labels_and_a_hot_url_leaves_the_sample_whole(spark, monkeypatch):
+    pages = [(100 * s + i, f"http://h{i}.s{s:02d}/p/{i}") for s in range(40) for i in range(10)]
+    labels = [(p, s % 2, 0) for p, _ in pages for s in [p // 100]]  # even suffixes are of low quality
+    # half of the rows are one URL, whose hash is the lowest
+    order = spark.createDataFrame([(f"http://hot{i}.s00/p/1",) for i in range(5000)], "u string").orderBy(F.xxhash64("u")).first()[0]
+    pages += [(10_000 + i, order) for i in range(400)]
+    labels += [(10_000 + i, 0, 0) for i in range(400)]
+    new = [(20_000 + s, f"http://hx.s{s:02d}/p/x") for s in range(40)]
+    df = spark.createDataFrame(pages + new, "page_id bigint, url string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    for limit in (32 << 20, -1):  # rates broadcast, and joined by shuffle
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", limit, raising=False)
+        got = {r.page_id: r.verdict for r in urls.judge(df, marks, sample=60).collect()}
+        assert len(got) == len(pages + new)
+        assert [got[20_000 + s] for s in range(40)] == ["allow" if s % 2 else "block" for s in range(40)]
+
+
 def _classes(texts):
     sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset() for t in texts]
     return sets
