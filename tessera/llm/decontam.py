@@ -7,9 +7,11 @@ however many documents hold it: a count of documents cannot tell a common phrase
 copies of the item.  2. What common phrases hit is thinned out by a bound instead: an
 item of which fewer words occur in the text than the threshold needs is skipped; its
 score could not reach it.  3. A seed hit
-fixes the diagonal, the words around it are aligned with the item by Smith-Waterman
-(match 1, mismatch and gap -0.5, over normalised words), and the score is divided by
-the item's length.  A passage is skipped by the same bound.
+fixes the diagonal, and the window reaches as far to both sides as an alignment that
+passes can: the item and (1 - threshold) / gap times its length.  Windows that meet are
+one passage, cut down by the same bound to where enough words of the item stand close
+together.  It is aligned with the item by Smith-Waterman (match 1, mismatch and gap
+-0.5, over normalised words), and the score is divided by the item's length.
 
 Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased.  Texts are scanned whole; nothing but the item blocks is broadcast.
 
@@ -22,6 +24,8 @@ first; an empty corpus or benchmark gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,21 +47,44 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shingles.words_by_text(texts, _BREAKS, _LOWER)
 
 
-def smith_waterman(item: np.ndarray, passage: np.ndarray, gap: float = GAP) -> tuple[float, int]:
-    """Best local score, and the passage word after its end.  A row at a time: gaps along the
-    passage are a running maximum."""
+def smith_waterman(item: np.ndarray, passage: np.ndarray, gap: float = GAP) -> tuple[float, int, int]:
+    """Best local score, and the passage word and the item word after its end (ties to the first in
+    the passage).  A row at a time: gaps along the passage are a running maximum."""
     drift = gap * np.arange(len(passage) + 1)
-    row, best, end = np.zeros(len(passage) + 1), 0.0, 0
-    for word in item:
+    row, best, end, used = np.zeros(len(passage) + 1), 0.0, 0, 0
+    for i, word in enumerate(item):
         step = np.where(passage == word, 1.0, -gap)
         new = np.empty_like(row)
         new[0] = 0.0
         new[1:] = np.maximum(np.maximum(row[:-1] + step, row[1:] - gap), 0.0)
         row = np.maximum.accumulate(new + drift) - drift
         k = int(row.argmax())
+        if row[k] > best or (row[k] == best and k < end):
+            best, end, used = float(row[k]), k, i + 1
+    return best, end, used
+
+
+def _words_back(item: np.ndarray, passage: np.ndarray, gap: float = GAP) -> int:
+    """Passage words of the best alignment that ends where both end."""
+    passage = passage[::-1]
+    drift = gap * np.arange(len(passage) + 1)
+    row, best, at = -drift, 0.0, 0
+    for word in item[::-1]:
+        new = row - gap
+        new[1:] = np.maximum(row[:-1] + np.where(passage == word, 1.0, -gap), new[1:])
+        row = np.maximum.accumulate(new + drift) - drift
+        k = int(row.argmax())
         if row[k] > best:
-            best, end = float(row[k]), k
-    return best, end
+            best, at = float(row[k]), k
+    return at
+
+
+def _joined(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges [first, last), those that meet as one."""
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.append(True, first[1:] > last[:-1]))
+    return first[new], last[np.append(new[1:], len(first)) - 1]
 
 
 class Block:
@@ -69,11 +96,18 @@ class Block:
         self.begin, self.sizes = begin[:-1], np.diff(begin)
         self.vocab, self.word = np.unique(words, return_inverse=True)
         g, owner = shingles.grams(words, begin, n)
-        self.seeds, first = np.unique(g, return_inverse=True)
+        self.seeds, s = np.unique(g, return_inverse=True)
         at = np.arange(len(g)) - np.searchsorted(owner, owner)
-        order = np.argsort(first, kind="stable")
-        self.owner, self.at = owner[order], at[order]
-        self.starts = np.searchsorted(first[order], np.arange(len(self.seeds) + 1))
+        order = np.lexsort((at, s, owner))
+        s, owner, at = s[order], owner[order], at[order]
+        # of each item and seed in it: its first and last place, and how many it has
+        new = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+        end = np.append(new[1:], len(s))[:len(new)]
+        self.seed, self.low, self.high, self.times = s[new], at[new], at[end - 1], end - new
+        self.of = np.searchsorted(owner[new], np.arange(len(ids) + 1))
+        order = np.argsort(self.seed, kind="stable")
+        self.owner = owner[new][order]
+        self.starts = np.searchsorted(self.seed[order], np.arange(len(self.seeds) + 1))
 
     def possible(self, words: np.ndarray, k: np.ndarray, threshold: float) -> np.ndarray:
         """Items hit by seeds ``k`` of which the text holds enough words to reach the threshold."""
@@ -99,30 +133,31 @@ class Block:
 
     def matches(self, words: np.ndarray, p: np.ndarray, k: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, seeds hit) for the best passage of each item found."""
-        items = set(self.possible(words, k, threshold).tolist())
-        if not items:
-            return []
-        pairs = [(int(self.owner[j]), int(a) - int(self.at[j])) for a, s in zip(p, k) for j in range(self.starts[s], self.starts[s + 1])
-                 if int(self.owner[j]) in items]
-        out: dict[int, tuple] = {}
-        n_hits: dict[int, int] = {}
-        last = (-1, 0)
-        for item, start in sorted(pairs):
-            n_hits[item] = n_hits.get(item, 0) + 1
-            own = self.items[item]
-            pad = max(4, len(own) // 3)
-            if last[0] == item and start - last[1] <= pad // 2:
-                continue  # the window of the diagonal before holds this one
-            last = (item, start)
-            lo = max(0, start - pad)
-            passage = words[lo:start + len(own) + pad + pad // 2]
-            if np.isin(passage, own).sum() / len(own) < threshold:
-                continue
-            score, end = smith_waterman(own, passage)
-            score /= len(own)
-            if score >= threshold and score > out.get(item, (0, 0))[1]:
-                out[item] = (item, score, lo + max(0, end - len(own)), lo + end)
-        return [(*x, n_hits[i]) for i, x in out.items()]
+        order = np.argsort(k, kind="stable")
+        p, k = p[order], k[order]
+        out = []
+        for item in self.possible(words, k, threshold).tolist():
+            own, mine = self.items[item], slice(self.of[item], self.of[item + 1])
+            pad = math.ceil((1 - threshold) / GAP * len(own))
+            lo = np.searchsorted(k, self.seed[mine])
+            count = np.searchsorted(k, self.seed[mine], "right") - lo
+            at = p[ragged(lo, count)]
+            windows = _joined(at - np.repeat(self.high[mine], count) - pad, at - np.repeat(self.low[mine], count) + len(own) + pad)
+            best = (0.0, 0, 0)
+            for a, z in zip(*(np.clip(x, 0, len(words)) for x in windows)):
+                # an alignment that passes spans at most this many words, and holds enough of the item's
+                span = min(len(own) + pad, z - a)
+                held = np.concatenate([[0], np.cumsum(np.isin(words[a:z], own))])
+                good = a + np.flatnonzero((held[span:] - held[:-span]) / len(own) >= threshold)
+                for lo_, hi_ in zip(*_joined(good, good + span)) if len(good) else ():
+                    score, end, used = smith_waterman(own, words[lo_:hi_])
+                    score /= len(own)
+                    if score >= threshold and score > best[0]:
+                        back = _words_back(own[:used], words[max(lo_, lo_ + end - len(own) - pad):lo_ + end])
+                        best = (score, int(lo_ + end - back), int(lo_ + end))
+            if best[0]:
+                out.append((item, *best, int((count * self.times[mine]).sum())))
+        return out
 
 
 def _align(block, threshold: float):

@@ -263,6 +263,17 @@ def test_decontamination_finds_one_edited_copy_in_many_documents(spark):
     assert sorted((r.doc_id, r.item_id, r.score) for r in got) == sorted((i, *x) for i in range(25) for x in ((1, 0.7125), (2, 0.625)))
 
 
+def test_decontamination_finds_copies_with_long_insertions(spark):
+    item = [f"w{i}" for i in range(40)]
+    before, foreign = ["before"] * 10, [f"x{i}" for i in range(40)]
+    docs = [(n, " ".join(before + item[:20] + foreign[:n] + item[20:] + before)) for n in (0, 25, 36, 37)]
+    docs += [(100, " ".join(["w0 w1 w2"] * 500 + item[:10] + foreign[:8] + item[10:30] + foreign[:8] + item[30:]))]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert sorted((r.doc_id, r.score, r.start_word, r.end_word) for r in got) == [
+        (0, 1.0, 10, 50), (25, 0.6875, 10, 75), (36, 0.55, 10, 86), (100, 0.8, 1500, 1556)]
+
+
 def test_smith_waterman_equals_the_table():
     rng = np.random.default_rng(4)
     for _ in range(200):
