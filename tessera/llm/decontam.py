@@ -208,7 +208,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return out
 
 
-def keep(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document holds no test item, with their own columns."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def keep(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no test item, with their own columns.  Rows go by id
+    and text together: one with a null id goes too, one that only shares the id of another stays."""
+    key = F.struct(F.col(id_col).alias("id"), F.sha2(text_of(text), 256).alias("text"))
+    keyed = docs.select(key.alias("key"), text_of(text).alias("text"))
+    bad = contaminated(keyed, items, id_col="key", **options).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key.eqNullSafe(bad["_bad"]), "left_anti")

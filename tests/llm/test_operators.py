@@ -274,6 +274,16 @@ def test_decontamination_finds_copies_with_long_insertions(spark):
         (0, 1.0, 10, 50), (25, 0.6875, 10, 75), (36, 0.55, 10, 86), (100, 0.8, 1500, 1556)]
 
 
+def test_decontamination_keeps_rows_by_id_and_text(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = [(None, "null id " + item), (None, "null id, clean"), (1, "bad " + item), (1, "clean, shares its id"), (1, None), (2, "clean"), (2, "clean")]
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontam.keep(df, items)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, docs[1:2] + docs[3:]))
+
+
 def test_smith_waterman_equals_the_table():
     rng = np.random.default_rng(4)
     for _ in range(200):
