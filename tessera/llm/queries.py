@@ -35,6 +35,11 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @register("op1_token_output")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import tokens
@@ -144,6 +149,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _twin(module: str, name: str) -> str:
+    import importlib
+    return getattr(importlib.import_module(f"tessera.llm.{module}"), name)
+
+
+@register("op11_filter_audit", _twin("filteraudit", "OP11_SQL"))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import filteraudit
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_vector_codes", _twin("vectorcodes", "OP12_SQL"))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import vectorcodes
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@register("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import packing
+    return packing.pack(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
