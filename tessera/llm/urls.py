@@ -6,14 +6,18 @@ blocked URLs by host suffix and by first path segment).  They are trained on the
 labelled URLs: those whose host holds a word of the seed block list (block), those
 that a rule decides, and those whose page is labelled (page_id is the doc_id of its
 text): block if it is toxic or of low quality, allow if not.  The suffix statistics and
-the prior are counted over all labelled rows.  Only the fit is sampled: at most ``sample``
+the prior are counted over all labelled rows, in ``FOLDS`` folds by the hash of the url: a URL,
+fitted or scored, gets the share in the other folds, so its own label never reaches its features.
+Only the fit is sampled: at most ``sample``
 different labelled URLs, half of them of each class if there are as many, drawn by their
 number of rows and the hash of the url (priority sampling) and weighted so that they stand
 for all rows.  Every URL is scored.  All features are built-in expressions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits
 no rule and is scored like any other; with no labelled URL, or one class only, the
-method's verdict is that class, or ``allow``; repeated rows get equal verdicts.
+method's verdict is that class, or ``allow``; repeated rows get equal verdicts; a tie of the
+trees (0.5) allows; long URLs are read whole; a null page_id has no label of a page; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ FEATURES = ("length", "host_length", "labels", "hyphens", "depth", "digit_ratio"
             "suffix_rate", "segment_rate")
 #: A suffix or segment table up to this size is broadcast, a larger one joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+FOLDS, SMOOTHING = 5, 10
 SAMPLE, _UPPER, _LOWER = 20_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,11 +62,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def _entropy(s: Column) -> Column:
     """Bits per character."""
     def of(chars: Column) -> Column:
+        # over the sorted characters: the running character, its number so far, and the sum of n log n of those before
+        start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+        done = lambda a: a["s"] + F.when(a["n"] > 0, a["n"] * F.log2(a["n"])).otherwise(0.0)
+        step = lambda a, x: F.when(x == a["c"], F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["s"].alias("s"))) \
+            .otherwise(F.struct(x.alias("c"), F.lit(1.0).alias("n"), done(a).alias("s")))
         n = F.size(chars).cast("double")
-        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-        parts = F.transform(F.array_distinct(chars), lambda c: let(share(c), lambda p: -p * F.log2(p)))
-        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.char_length(s) == 0, F.lit(0.0)).otherwise(let(F.split(s, ""), of))
+        return F.log2(n) - F.aggregate(chars, start, step, done) / n
+    return F.when(F.char_length(s) == 0, F.lit(0.0)).otherwise(let(F.array_sort(F.split(s, "")), of))
 
 
 def lexical(rows: DataFrame) -> DataFrame:
@@ -73,19 +81,29 @@ def lexical(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "length": F.char_length(u).cast("double"), "host_length": F.char_length(host).cast("double"),
         "labels": count(host, "."), "hyphens": count(host, "-"), "depth": count(path, "/"),
-        "digit_ratio": count(u, "0123456789") / n, "entropy": _entropy(F.substring(host, 1, 255)),
+        "digit_ratio": count(u, "0123456789") / n, "entropy": _entropy(host),
         "params": count(u, "=&"), "segment_length": F.char_length(segment).cast("double"),
         "suffix": F.substring_index(host, ".", -1), "segment": segment})
 
 
-def _rates(labelled: DataFrame, key: str, prior: float) -> DataFrame:
-    """Smoothed share of blocked rows, broadcast if its measured size allows it."""
-    out = cut_lineage(labelled.groupBy(key).agg(
-        ((F.sum(F.col("label") * F.col("w")) + 10 * F.lit(prior)) / (F.sum("w") + 10)).alias(f"{key}_rate")))
-    held = out.agg(F.sum(F.octet_length(key) + 16)).first()[0]
+def _fold(u: Column) -> Column:
+    return F.pmod(F.xxhash64(u, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _rates(labelled: DataFrame, key: str) -> DataFrame:
+    """Labelled and blocked rows of each value of ``key``, by fold; broadcast if its measured size allows it."""
+    by_fold = lambda x: F.array(*[F.sum(F.when(F.col("fold") == i, x).otherwise(0.0)) for i in range(FOLDS)])
+    out = cut_lineage(labelled.groupBy(key).agg(by_fold(F.col("w").cast("double")).alias("n"), by_fold(F.col("w") * F.col("label")).alias("bad")))
+    held = out.agg(F.sum(F.octet_length(key) + 16 * (FOLDS + 1))).first()[0]
     return F.broadcast(out) if held <= BROADCAST_BYTES else out
 
 
+def _rate(prior: float) -> Column:
+    """Smoothed share of blocked rows in the other folds."""
+    others = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) - F.get(c, F.col("fold"))
+    return F.coalesce((others(F.col("bad")) + SMOOTHING * F.lit(prior)) / (others(F.col("n")) + SMOOTHING), F.lit(prior))
+
+
 def _sample(labelled: DataFrame, different: dict[float, int], sample: int) -> DataFrame:
     """u, label, w: different URLs of each label by priority w / uniform hash; the lowest weight is the
     priority of the first one left out, so the weights add up to all rows in expectation."""
@@ -130,12 +148,13 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page
                            F.lit(None).cast("double").alias("score"))
     prior = blocked / n
     split = lambda df: lexical(df.withColumns(dict(zip(("host", "path"), host_and_path(F.col("u"))))))
-    keyed = split(labelled).select("suffix", "segment", "label", "w")
-    rates = [(k, _rates(keyed, k, prior)) for k in ("suffix", "segment")]
+    keyed = split(labelled).select("suffix", "segment", _fold(F.col("u")).alias("fold"), "label", "w")
+    rates = [(k, _rates(keyed, k)) for k in ("suffix", "segment")]
 
     def with_rates(df: DataFrame) -> DataFrame:
+        df = df.withColumn("fold", _fold(F.col("u")))
         for key, table in rates:
-            df = df.join(table, key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(prior)))
+            df = df.join(table, key, "left").withColumn(f"{key}_rate", _rate(prior)).drop("n", "bad")
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     drawn = split(cut_lineage(_sample(labelled, {x: r["urls"] for x, r in counts.items()}, sample)))
