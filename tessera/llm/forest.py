@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
-Each different text has ``trees`` labels, sequences of ``max_depth`` MinHash values of its
-word shingles.  Texts meet where they share a label's prefix.  Prefixes are shortened from
-``max_depth`` on until the chance that a pair at the threshold shares one in some tree
-reaches ``recall`` (longer matches are among the shorter ones).  Texts that meet, directly
-or through others, form a candidate group; inside it every pair is compared exactly, by
+Each different text has ``trees`` labels, sequences of MinHash values of its word shingles.
+Texts meet where they share a label's prefix.  The prefix is shortened from ``max_depth`` on
+until the chance that a pair at the threshold shares one in some tree reaches ``recall``: one
+length for the whole corpus (longer matches are among the shorter ones), so labels are joined
+by equality and no trie is built.  Texts that meet, directly or through others, form a candidate group; inside it every pair is compared exactly, by
 its shingle sets.  A group of more than ``block`` texts is compared block against block,
 so no task holds more than two blocks; only counts and stars leave a task, never pairs.
 
@@ -14,8 +14,10 @@ with it, directly or through others, and their copies), ``copy_id`` (smallest do
 
 Defined cases: a null text is empty; equal texts are one text, empty ones too; a text of
 one to four words is a single shingle of them all, one without words has none and no
-links; texts under one doc_id count as linked, a null doc_id is one id, the smallest;
-repeated rows give repeated rows; an empty table gives an empty result.
+links; a text is known by its hash (128 bits), never by its doc_id, so texts that share an id, or
+have none, are linked by their words only (a null doc_id is the smallest); repeated rows give
+repeated rows; long texts are read whole; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def depth_for(threshold: float, trees: int, max_depth: int, recall: float) -> in
 def _sketch(trees: int, max_depth: int, depth: int, n: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), binary(batch.column(1))
+            ids, texts, h = batch.column(0), binary(batch.column(1)), batch.column(2)
             for lo, hi in chunks(texts):
                 g, at = shingle_sets(texts[lo:hi], n)
                 sig = signatures(g, at, trees * max_depth).reshape(hi - lo, trees, max_depth)[:, :, :depth]
@@ -59,8 +60,7 @@ def _sketch(trees: int, max_depth: int, depth: int, n: int):
                 label = label.view(np.int64)
                 labels = [row if m else [] for row, m in zip(label.tolist(), np.diff(at).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([xxhash.xxh3_128_digest(t) for t in texts[lo:hi]], pa.binary()),
-                     pa.array(labels, pa.list_(pa.int64()))], ["id", "h", "labels"])
+                    [ids.slice(lo, hi - lo), h.slice(lo, hi - lo), pa.array(labels, pa.list_(pa.int64()))], ["id", "h", "labels"])
     return run
 
 
@@ -68,16 +68,11 @@ def _sets(n: int):
     def run(batches):
         for batch in batches:
             texts = binary(batch.column(3))
-            h = [xxhash.xxh3_128_digest(t) for t in texts]
             for lo, hi in chunks(texts):
-                own = [i for i in range(lo, hi) if h[i] == batch.column(1)[i].as_py()]
-                if not own:
-                    continue
-                g, at = shingle_sets([texts[i] for i in own], n)
-                rows = pa.array(own, pa.int64())
+                g, at = shingle_sets(texts[lo:hi], n)
                 data = [g[a:b].tobytes() for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), batch.column(4).take(rows),
-                                                  pa.array(data, pa.binary())], ["id", "grp", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(data, pa.binary())],
+                                                 ["node", "grp", "blocks", "shingles"])
     return run
 
 
@@ -117,7 +112,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         both, sizes = shared_counts(sets), np.array([len(s) for s in sets], float)
         linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
@@ -128,50 +123,60 @@ def _verify(threshold: float):
         np.fill_diagonal(linked, False)
         a, b = np.nonzero(np.triu(linked))
         root = _roots(len(sets), a, b)
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "root": ids[root], "n_links": linked.sum(axis=1)})
+        nodes = pdf["node"].to_numpy()
+        return pd.DataFrame({"node": nodes, "root": nodes[root], "n_links": linked.sum(axis=1)})
     return run
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, trees: int = TREES, max_depth: int = MAX_DEPTH,
             recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links, and the text's hash ``h`` per document."""
+    """doc_id, class_id, copy_id, n_copies, n_links, the text's hash ``h``, and whether the text leads its class
+    (that of the smallest doc_id; of several texts under it, of the smallest hash)."""
     depth = depth_for(threshold, trees, max_depth, recall)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_of(text).alias("text"))
+    rows = _rows(docs, id_col, text)
     sketch = cut_lineage(rows.mapInArrow(_sketch(trees, depth, depth, n), "id bigint, h binary, labels array<bigint>"))
-    texts = cut_lineage(sketch.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("labels").alias("labels")))
+    texts = sketch.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("labels").alias("labels"))
+    texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
     # where two texts share a prefix, each is tied to the bucket's first
-    at = texts.select(F.col("rep").alias("u"), F.posexplode("labels").alias("tree", "label"))
+    at = texts.select(F.col("node").alias("u"), F.posexplode("labels").alias("tree", "label"))
     first = at.groupBy("tree", "label").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = components(at.join(first, ["tree", "label"]).select("u", "v"))
-    met = met.select(F.col("u").alias("rep"), F.col("v").alias("grp")).unionByName(met.select(F.col("v").alias("rep"), F.col("v").alias("grp")).distinct())
+    met = met.select(F.col("u").alias("node"), F.col("v").alias("grp")).unionByName(met.select(F.col("v").alias("node"), F.col("v").alias("grp")).distinct())
     sizes = met.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    met = met.join(sizes, "grp").select("rep", "grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    members = cut_lineage(met.join(texts.select("rep", "h"), "rep"))
+    met = met.join(sizes, "grp").select("node", "grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    members = cut_lineage(met.join(texts.select("node", "rep", "h"), "node"))
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    held = rows.join(members, rows["id"] == members["rep"]).select("id", "h", "grp", "text", "blocks").mapInArrow(
-        _sets(n), "id bigint, grp bigint, blocks int, shingles binary").dropDuplicates(["id", "shingles"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # one row of each text: that of its smallest id
+    held = rows.join(members, (rows["id"] == members["rep"]) & (rows["h"] == members["h"])).select("node", "grp", "blocks", "text").mapInArrow(
+        _sets(n), "node bigint, grp bigint, blocks int, shingles binary").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = held.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("id", "grp", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "shingles")
-    found = cut_lineage(units.groupBy("grp", "x", "y").applyInPandas(_verify(threshold), "id bigint, root bigint, n_links bigint"))
-    links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    root = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    per_text = texts.select("h", "rep", "n_copies").join(links, F.col("rep") == F.col("id"), "left").drop("id") \
-        .join(root, F.col("rep") == F.col("u"), "left") \
-        .select("h", F.col("rep").alias("copy_id"), "n_copies", F.coalesce("v", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", "grp", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "shingles")
+    found = cut_lineage(units.groupBy("grp", "x", "y").applyInPandas(_verify(threshold), "node bigint, root bigint, n_links bigint"))
+    links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    root = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    linked = texts.select("node", "h", "rep", "n_copies").join(links, "node", "left") \
+        .join(root, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("v", "node"))
+    lead = linked.groupBy("root").agg(F.min(F.struct("rep", "h")).alias("lead"))
+    per_text = linked.join(lead, "root").select(
+        "h", F.col("rep").alias("copy_id"), "n_copies", F.col("lead.rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        (F.col("h") == F.col("lead.h")).alias("leads"))
     shown = lambda c: F.nullif(F.col(c), F.lit(_NO_ID)).alias(c)
     return sketch.select(F.col("id").alias("doc_id"), "h").join(per_text, "h") \
-        .select(*[shown(c) for c in ("doc_id", "class_id", "copy_id")], "n_copies", "n_links", "h")
+        .select(*[shown(c) for c in ("doc_id", "class_id", "copy_id")], "n_copies", "n_links", "h", "leads")
+
+
+def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_of(text).alias("text"),
+                       F.unhex(F.md5(text_of(text))).alias("h"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class: the one with the class's doc_id, with its own columns."""
+    """One row of each class, with its own columns: of the text that leads it the row with the smallest id
+    (of rows that repeat it, one)."""
     found = classes(docs, id_col=id_col, text=text, **options)
-    # one row per doc_id is kept, also where rows repeat it
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("stay")).agg(F.min("h").alias("stay_h"))
-    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"), F.xxhash64(text_of(text)).alias("t"))
-    joined = tagged.join(stay, F.col("d").eqNullSafe(F.col("stay")))
-    # several rows under one id: the smallest by text hash
-    return joined.groupBy("d").agg(F.min_by("row", "t").alias("row")).select("row.*")
+    stay = cut_lineage(found.filter(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("copy_id"))).select(F.col("doc_id").alias("stay"), F.col("h").alias("stay_h")).distinct())
+    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("d"), F.unhex(F.md5(text_of(text))).alias("h"), F.xxhash64("*").alias("x"))
+    joined = tagged.join(stay, (F.col("h") == F.col("stay_h")) & F.col("d").eqNullSafe(F.col("stay")))
+    return joined.groupBy("h").agg(F.min_by("row", "x").alias("row")).select("row.*")

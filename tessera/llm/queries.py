@@ -94,7 +94,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_forest_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import forest
-    return forest.classes(table(spark, sf_dir, "documents")).drop("h")
+    return forest.classes(table(spark, sf_dir, "documents")).drop("h", "leads")
 
 
 def _op8_sql() -> str:
