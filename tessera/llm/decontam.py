@@ -1,22 +1,30 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are read in blocks of at most ``block_words`` words, and each block is
-matched against the whole corpus in one scan, which joins document passages to items
-by seed, inside the task that holds the text.  1. Every n-gram of an item is a seed,
-however many documents hold it: a count of documents cannot tell a common phrase from
-copies of the item.  2. What common phrases hit is thinned out by a bound instead: an
-item of which fewer words occur in the text than the threshold needs is skipped; its
-score could not reach it.  3. A seed hit
+matched against the whole corpus, which joins document passages to items by seed, inside
+the task that holds the text.
+
+1. A first scan counts the items' words and pairs of words in the whole corpus.
+2. Seeds are the rarest of them, as many as no passing alignment can do without.  An alignment
+   that scores ``threshold`` of an item of L words has at most E = (1 - threshold) L / gap errors,
+   so it holds at least L - E - 1 of the item's L - 1 pairs intact, and threshold x L of its words:
+   all but so many, less one, of the most common are dropped.  Each item takes words or pairs,
+   whichever the corpus holds fewer times.  The counts decide the work, never the result: a pair
+   that many copies of an item hold is dropped only where rarer ones are left in each copy.
+3. In a second scan an item hit by a seed, of which fewer words occur in the text than the
+   threshold needs, is skipped; its score could not reach it.  A hit
 fixes the diagonal, and the window reaches as far to both sides as an alignment that
 passes can: the item and (1 - threshold) / gap times its length.  Windows that meet are
 one passage, cut down by the same bound to where enough words of the item stand close
 together.  It is aligned with the item by Smith-Waterman (match 1, mismatch and gap
 -0.5, over normalised words), and the score is divided by the item's length.
 
-Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased.  Texts are scanned whole; nothing but the item blocks is broadcast.
+Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased.  Texts are
+scanned whole; nothing but an item block is broadcast, one at a time.
 
-Defined cases: a null or empty text matches nothing; an item with fewer than ``n``
-words has no seed and matches nothing; an item so short that a common phrase of its own
+Defined cases: a null or empty text matches nothing; an item with fewer than ``min_words``
+words has no seed and matches nothing; long texts are read in the task that holds them; other
+columns are ignored; an item so short that a common phrase of its own
 reaches the threshold is found wherever the phrase stands; equal items are reported each; repeated rows
 are reported each; of several passages for one item the best is reported, ties to the
 first; an empty corpus or benchmark gives an empty result.
@@ -35,8 +43,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles
 from tessera.llm.common import binary, ragged, text_of
+from tessera.session import cut_lineage
 
-NGRAM, THRESHOLD, GAP, BLOCK_WORDS = 3, 0.55, 0.5, 2_000_000
+MIN_WORDS, THRESHOLD, GAP, BLOCK_WORDS = 3, 0.55, 0.5, 2_000_000
 #: Bytes that separate words: white space and punctuation.
 _BREAKS = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*_-"))
 _LOWER = shingles.BYTE_VALUES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
@@ -87,27 +96,76 @@ def _joined(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[new], last[np.append(new[1:], len(first)) - 1]
 
 
+def _number(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values that are in the sorted ``of``, and their numbers there."""
+    if not len(of) or not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = np.minimum(np.searchsorted(of, values), len(of) - 1)
+    at = np.flatnonzero(of[k] == values)
+    return at, k[at]
+
+
+def needless(size: int, threshold: float, kind: int) -> int:
+    """How many of an item's words (kind 0) or pairs (kind 1) a passing alignment holds for certain, less one."""
+    errors = math.floor((1 - threshold) * size / GAP + 1e-9)
+    return (math.ceil(threshold * size - 1e-9) if kind == 0 else size - errors - 1) - 1
+
+
 class Block:
     """Items with their seeds, for one pass over the corpus."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], n: int):
+    def __init__(self, ids: list[int], texts: list[bytes], min_words: int):
         words, begin = words_of(texts)
-        self.n, self.ids, self.items = n, ids, np.split(words, begin[1:-1])
-        self.begin, self.sizes = begin[:-1], np.diff(begin)
+        self.ids, self.items = ids, np.split(words, begin[1:-1])
+        self.begin, self.sizes, self.min_words = begin[:-1], np.diff(begin), min_words
         self.vocab, self.word = np.unique(words, return_inverse=True)
-        g, owner = shingles.grams(words, begin, n)
-        self.seeds, s = np.unique(g, return_inverse=True)
-        at = np.arange(len(g)) - np.searchsorted(owner, owner)
+        pairs, self.pair_of = shingles.grams(words, begin, 2)
+        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
+
+    def occurrences(self, texts: list[bytes]) -> np.ndarray:
+        """How often the items' words, and then their pairs, stand in the texts."""
+        words, begin = words_of(texts)
+        out = np.zeros(len(self.vocab) + len(self.pairs), np.int64)
+        out[:len(self.vocab)] = np.bincount(_number(words, self.vocab)[1], minlength=len(self.vocab))
+        out[len(self.vocab):] = np.bincount(_number(shingles.grams(words, begin, 2)[0], self.pairs)[1], minlength=len(self.pairs))
+        return out
+
+    def choose(self, counts: np.ndarray, threshold: float) -> None:
+        """Seeds of each item: its rarest words or pairs, whichever are fewer in the corpus."""
+        seed, owner, place, v = [], [], [], len(self.vocab)
+        pair_begin = np.searchsorted(self.pair_of, np.arange(len(self.ids) + 1))
+        for i, (a, n) in enumerate(zip(self.begin.tolist(), self.sizes.tolist())):
+            best = None
+            for kind in (0, 1) if n >= self.min_words else ():
+                own = self.word[a:a + n] if kind == 0 else v + self.pair[pair_begin[i]:pair_begin[i + 1]]
+                spare = needless(n, threshold, kind)
+                if spare < 0 or not len(own):
+                    continue
+                order = np.lexsort((own, counts[own]))
+                kept = own[order][:len(own) - spare]
+                cost = int(counts[kept].sum())
+                if best is None or cost < best[0]:
+                    best = cost, np.unique(kept), own
+            if best:
+                at = np.flatnonzero(np.isin(best[2], best[1]))
+                seed.append(best[2][at])
+                place.append(at)
+                owner.append(np.full(len(at), i))
+        s, owner, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seed, owner, place))
+        values, s = np.unique(s, return_inverse=True)  # words first, then pairs
+        split = int(np.searchsorted(values, v))
+        self.seed_words, self.seed_pairs, self.n_seeds = self.vocab[values[:split]], self.pairs[values[split:] - v], len(values)
         order = np.lexsort((at, s, owner))
         s, owner, at = s[order], owner[order], at[order]
         # of each item and seed in it: its first and last place, and how many it has
         new = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
         end = np.append(new[1:], len(s))[:len(new)]
         self.seed, self.low, self.high, self.times = s[new], at[new], at[end - 1], end - new
-        self.of = np.searchsorted(owner[new], np.arange(len(ids) + 1))
+        self.of = np.searchsorted(owner[new], np.arange(len(self.ids) + 1))
         order = np.argsort(self.seed, kind="stable")
         self.owner = owner[new][order]
-        self.starts = np.searchsorted(self.seed[order], np.arange(len(self.seeds) + 1))
+        self.starts = np.searchsorted(self.seed[order], np.arange(self.n_seeds + 1))
+        del self.pairs, self.pair, self.pair_of  # not sent again
 
     def possible(self, words: np.ndarray, k: np.ndarray, threshold: float) -> np.ndarray:
         """Items hit by seeds ``k`` of which the text holds enough words to reach the threshold."""
@@ -123,13 +181,16 @@ class Block:
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Seeds found: number of the text, of the word, of the seed; all words, and where each text's begin."""
         words, begin = words_of(texts)
-        g, who = shingles.grams(words, begin, self.n)
-        empty = np.zeros(0, np.int64)
-        if not len(self.seeds) or not len(g):
-            return empty, empty, empty, words, begin
-        k = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
-        p = np.flatnonzero(self.seeds[k] == g)
-        return who[p], p - np.searchsorted(who, who[p]), k[p], words, begin
+        owner = np.repeat(np.arange(len(texts)), np.diff(begin))
+        at, k = _number(words, self.seed_words)
+        pairs, who = shingles.grams(words, begin, 2)
+        at2, k2 = _number(pairs, self.seed_pairs)
+        text = np.concatenate([owner[at], who[at2]])
+        # pairs of a text: one fewer than its words
+        first = np.searchsorted(who, who[at2])
+        p = np.concatenate([at - begin[owner[at]], at2 - first])
+        order = np.argsort(text, kind="stable")
+        return text[order], p[order], np.concatenate([k, k2 + len(self.seed_words)])[order], words, begin
 
     def matches(self, words: np.ndarray, p: np.ndarray, k: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, seeds hit) for the best passage of each item found."""
@@ -160,6 +221,19 @@ class Block:
         return out
 
 
+def _count(block):
+    def run(batches):
+        total = None
+        for batch in batches:
+            texts = binary(batch.column(1))
+            for lo, hi in shingles.chunks(texts):
+                found = block.value.occurrences(texts[lo:hi])
+                total = found if total is None else total + found
+        at = np.flatnonzero(total) if total is not None else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at] if len(at) else at)], ["seed", "n"])
+    return run
+
+
 def _align(block, threshold: float):
     def run(batches):
         b = block.value
@@ -180,22 +254,22 @@ def _align(block, threshold: float):
     return run
 
 
-def _blocks(items: DataFrame, id_col: str, text: str, n: int, block_words: int) -> Iterator[Block]:
+def _blocks(items: DataFrame, id_col: str, text: str, min_words: int, block_words: int) -> Iterator[Block]:
     ids, texts, held = [], [], 0
     for row in items.select(F.col(id_col).alias("i"), text_of(text).alias("t")).orderBy("i", "t").toLocalIterator():
         t = row["t"].encode()
         size = len(t.split())
         if ids and held + size > block_words:
-            yield Block(ids, texts, n)
+            yield Block(ids, texts, min_words)
             ids, texts, held = [], [], 0
         ids.append(row["i"])
         texts.append(t)
         held += size
     if ids:
-        yield Block(ids, texts, n)
+        yield Block(ids, texts, min_words)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, block_words: int = BLOCK_WORDS,
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS,
                  id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, score, start_word, end_word, n_seeds."""
     sc = docs.sparkSession.sparkContext
@@ -203,8 +277,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     schema = f"doc_id {id_type}, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items, item_id, item_text, n, block_words):
-        out = out.unionByName(rows.mapInArrow(_align(sc.broadcast(block), threshold), schema))
+    blocks = _blocks(items, item_id, item_text, min_words, block_words)
+    block = next(blocks, None)
+    while block:
+        sent = sc.broadcast(block)
+        counted = rows.mapInArrow(_count(sent), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # block_words x 2 at most
+        sent.unpersist()
+        counts = np.zeros(len(block.vocab) + len(block.pairs), np.int64)
+        counts[[r["seed"] for r in counted]] = [r["n"] for r in counted]
+        block.choose(counts, threshold)
+        sent = sc.broadcast(block)
+        found = rows.mapInArrow(_align(sent, threshold), schema)
+        block = next(blocks, None)
+        if block:  # one block is out at a time
+            found = cut_lineage(found)
+            sent.unpersist()
+        out = out.unionByName(found)
     return out
 
 
