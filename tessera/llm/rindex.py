@@ -17,15 +17,20 @@ document.
    class of equal strings begins; its smallest document decides.
 3. The covered ranges go to their documents, which lose those bytes.
 
-Hot anchors, found on one document in ``hot_sample``, take another route to the same
-result: their occurrences are first reduced to different stretches with the smallest id
-(partial aggregation), only those are indexed, and each stretch's verdict is joined back
-to its occurrences (a broadcast of checked size, or a shuffle whose skewed side Spark can
-split).  The sample only decides the route, never the result.
+Hot anchors, found on all documents of ``long_text`` bytes or more and one in ``hot_sample``
+of the others, take another route to the same result: their occurrences are first reduced to
+different stretches with the smallest id (partial aggregation) and only those are indexed.
+Their verdicts are broadcast in blocks of ``VERDICT_BLOCK``; a scan of the texts looks up
+each stretch of a hot anchor and sends merged ranges a document, so no occurrence is ever a
+row of a join.  More than ``VERDICT_BLOCKS`` blocks of verdicts are joined by a shuffle instead.
+The sample only decides the route, never the result.
+
+A row is known by its doc_id and the 64-bit hash of its text.
 
 Defined cases: a null text is empty; documents shorter than ``length`` keep everything;
-rows under one doc_id do not match each other; a null doc_id is the smallest; removal may
-cut through a UTF-8 character, so what is left is binary; an empty table gives an empty result.
+rows under one doc_id do not match each other; a null doc_id is the smallest; repeated rows
+lose the same bytes; removal may cut through a UTF-8 character, so what is left is binary; a long
+text is cut into stretches alone; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,9 +52,9 @@ LENGTH, GRAM, BLOCK_BYTES = 50, 16, 1 << 21
 #: A list of at most this many copies, about 40 MB, is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Anchors with about this many occurrences or more are hot; at most ``HOT_LIST`` (8 MB), the most frequent first.
-HOT, HOT_SAMPLE, HOT_LIST = 100_000, 100, 1_000_000
-#: Verdicts on at most this many hot stretches, about 30 MB, are broadcast.
-BROADCAST_VERDICTS = 100_000
+HOT, HOT_SAMPLE, HOT_LIST, LONG_TEXT = 100_000, 100, 1_000_000, 1 << 18
+#: Verdicts on this many hot stretches, about 30 MB, are broadcast at once, and so many times at most.
+VERDICT_BLOCK, VERDICT_BLOCKS = 100_000, 8
 _NO_ID = -(1 << 63)
 _END = 0xFF  # ends a stretch; no byte of UTF-8
 
@@ -152,12 +157,16 @@ def first_documents(parts: list[bytes], docs: np.ndarray, length: int) -> list[n
     return [found[s:s + n - length + 1] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
-def _anchors(length: int, k: int):
+def _anchors(length: int, k: int, long_text: int, weight: int):
+    """Anchors of each chunk of texts with their number, times ``weight`` for sampled (short) texts."""
     def run(batches):
         for batch in batches:
             texts = binary(batch.column(1))
             for lo, hi in chunks(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(_tag(stretches(texts[lo:hi], length, k)[0]))], ["anchor"])
+                h, text, _, _, _ = stretches(texts[lo:hi], length, k)
+                times = np.where(np.array([len(t) for t in texts[lo:hi]]) >= long_text, 1, weight)[text]
+                anchor, own = np.unique(_tag(h), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.bincount(own, times, len(anchor)).astype(np.int64))], ["anchor", "n"])
     return run
 
 
@@ -169,8 +178,8 @@ def _suspects(bitmap, length: int, k: int, hot=None, only_hot: bool = False):
     """Stretches that the filter suspects: those of hot anchors (sorted array ``hot``), or all others."""
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), binary(batch.column(1))
-            tags = batch.column(2).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            texts = binary(batch.column(1))
             for lo, hi in chunks(texts):
                 h, text, a, b, joined = stretches(texts[lo:hi], length, k)
                 keep = np.flatnonzero(seen_twice(h, bitmap.value.bitmap()))
@@ -181,14 +190,14 @@ def _suspects(bitmap, length: int, k: int, hot=None, only_hot: bool = False):
                 data = np.frombuffer(joined, np.uint8)[ragged(a, b - a)] if len(a) else np.zeros(0, np.uint8)
                 offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
                 part = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(_tag(h)), pa.array(ids[lo:hi][text]), pa.array((a - begin[text]) | tags[lo:hi][text]), part],
-                                                 ["anchor", "id", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(_tag(h)), pa.array(ids[lo:hi][text]), pa.array(tags[lo:hi][text]), pa.array(a - begin[text]), part],
+                                                 ["anchor", "id", "tag", "at", "part"])
     return run
 
 
 def _ranges(length: int, block_bytes: int):
-    """Sorted rows (anchor, id, at, part) to covered ranges (id, a, b), a block of whole anchor groups at a time."""
-    def cover(anchor, ids, at, parts):
+    """Sorted rows (anchor, id, tag, at, part) to covered ranges (id, tag, a, b), a block of whole anchor groups at a time."""
+    def cover(anchor, ids, tags, at, parts):
         group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
         number: dict = {}
         own = np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
@@ -208,7 +217,7 @@ def _ranges(length: int, block_bytes: int):
                 best[i] = f
         whole = ~many[own] & (ids > low[own])
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        out = [(ids[whole], at[whole], (at + size)[whole])]
+        out = [(ids[whole], tags[whole], at[whole], (at + size)[whole])]
         rows = np.flatnonzero(many[own])
         if len(rows):
             n = size[rows] - length + 1
@@ -219,9 +228,8 @@ def _ranges(length: int, block_bytes: int):
             before = np.concatenate([[False], covered[:-1] & (row[1:] == row[:-1])])
             after = np.concatenate([covered[1:] & (row[1:] == row[:-1]), [False]])
             s, e = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
-            out.append((ids[row[s]], at[row[s]] + place[s], at[row[e]] + place[e] + length))
-        i, a, b = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(a), pa.array(b)], ["id", "a", "b"])
+            out.append((ids[row[s]], tags[row[s]], at[row[s]] + place[s], at[row[e]] + place[e] + length))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "tag", "a", "b"])
 
     return lambda batches: _by_anchor(batches, block_bytes, cover)
 
@@ -269,34 +277,70 @@ def _verdicts(length: int, block_bytes: int):
     return lambda batches: _by_anchor(batches, block_bytes, judge)
 
 
-def _hot_ranges(spots: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    """Covered ranges of the stretches of hot anchors, (anchor, id, at, part) to (id, a, b)."""
-    spots = cut_lineage(spots)
+def _look_up(verdicts, length: int, k: int):
+    """Texts to the ranges that the verdicts cover, (id, tag, a, b), merged in each text."""
+    def run(batches):
+        known = {(v["anchor"], bytes(v["part"])): v["runs"] for v in verdicts.value}
+        anchors = np.unique(np.array([a for a, _ in known], np.int64))
+        for batch in batches:
+            ids, texts, tags = batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist()
+            for lo, hi in chunks(texts):
+                h, text, a, b, joined = stretches(texts[lo:hi], length, k)
+                h = _tag(h)
+                begin = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])]).tolist()
+                out: list = []
+                keep = np.flatnonzero(np.isin(h, anchors))
+                for anchor, i, x, y in zip(h[keep].tolist(), text[keep].tolist(), a[keep].tolist(), b[keep].tolist()):
+                    for first, low, high in known.get((anchor, joined[x:y]), ()):
+                        if first < ids[lo + i]:
+                            start, end = x - begin[i] + low, x - begin[i] + high + length
+                            if out and out[-1][0] == i and out[-1][1] <= start <= out[-1][2]:
+                                out[-1][2] = max(out[-1][2], end)
+                            else:
+                                out.append([i, start, end])
+                own = [lo + r[0] for r in out]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([tags[i] for i in own], pa.int64()),
+                                                  *(pa.array([r[c] for r in out], pa.int64()) for c in (1, 2))], ["id", "tag", "a", "b"])
+    return run
+
+
+def _hot_ranges(fresh: DataFrame, spots: DataFrame, length: int, gram: int, block_bytes: int) -> DataFrame:
+    """Covered ranges (id, tag, a, b) of the stretches of hot anchors, which are ``spots`` (anchor, id, tag, at, part)."""
+    spark = fresh.sparkSession
     different = spots.groupBy("anchor", "part").agg(F.min("id").alias("id")).select("anchor", "id", "part")
-    verdicts = cut_lineage(different.repartition(partitions(spots.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(
-        _verdicts(length, block_bytes), "anchor bigint, part binary, runs array<struct<first:bigint,a:bigint,b:bigint>>"))
-    if verdicts.count() <= BROADCAST_VERDICTS:
-        verdicts = F.broadcast(verdicts)
-    covered = F.explode(F.filter("runs", lambda r: r["first"] < F.col("id")))
-    return spots.join(verdicts, ["anchor", "part"]).select("id", "at", covered.alias("r")) \
-        .select("id", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + length).alias("b"))
-
-
-def hot_anchors(rows: DataFrame, length: int, gram: int, hot: int, hot_sample: int) -> np.ndarray:
-    """Sorted anchors that occur about ``hot`` times or more, from one document in ``hot_sample``."""
-    some = rows.filter(F.pmod(F.xxhash64("id", "tag"), F.lit(hot_sample)) == 0)
-    counts = some.mapInArrow(_anchors(length, gram), "anchor bigint").groupBy("anchor").count()
-    often = counts.filter(F.col("count") * hot_sample >= hot).orderBy(F.desc("count"), "anchor").limit(HOT_LIST)
+    verdicts = different.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(
+        _verdicts(length, block_bytes), "anchor bigint, part binary, runs array<struct<first:bigint,a:bigint,b:bigint>>")
+    verdicts = cut_lineage(verdicts)
+    blocks = -(-verdicts.count() // VERDICT_BLOCK)
+    schema = "id bigint, tag bigint, a bigint, b bigint"
+    if blocks > VERDICT_BLOCKS:
+        covered = F.explode(F.filter("runs", lambda r: r["first"] < F.col("id")))
+        return spots.join(verdicts, ["anchor", "part"]).select("id", "tag", "at", covered.alias("r")) \
+            .select("id", "tag", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b") + length).alias("b"))
+    out = spark.createDataFrame([], schema)
+    for i in range(blocks):  # whole anchors go to a block, by their hash
+        part = verdicts.filter(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == i) if blocks > 1 else verdicts
+        held = [r.asDict() for r in part.select("anchor", "part", F.transform("runs", lambda r: F.array(r["first"], r["a"], r["b"])).alias("runs")).collect()]
+        found = fresh.mapInArrow(_look_up(spark.sparkContext.broadcast(held), length, gram), schema)
+        out = out.unionByName(found)
+    return out
+
+
+def hot_anchors(rows: DataFrame, length: int, gram: int, hot: int, hot_sample: int, long_text: int = LONG_TEXT) -> np.ndarray:
+    """Sorted anchors that occur about ``hot`` times or more, from all long texts and one other in ``hot_sample``."""
+    some = rows.filter((F.pmod(F.xxhash64("id", "tag"), F.lit(hot_sample)) == 0) | (F.octet_length("text") >= long_text))
+    counts = some.mapInArrow(_anchors(length, gram, long_text, hot_sample), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = counts.filter(F.col("n") >= hot).orderBy(F.desc("n"), "anchor").limit(HOT_LIST)
     return np.sort(np.array([r["anchor"] for r in often.select("anchor").collect()], np.int64))
 
 
 def _remove(batches):
     for batch in batches:
         size, gone, spans, digests = [], [], [], []
-        for text, tag, ranges in zip(binary(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for text, ranges in zip(binary(batch.column(1)), batch.column(2).to_pylist()):
             kept, last, n, k = [], 0, 0, 0
             end = -1
-            for r in sorted((x["a"] - tag, x["b"] - tag) for x in ranges or () if x["a"] >> 32 == tag >> 32):
+            for r in sorted((x["a"], x["b"]) for x in ranges or ()):
                 if r[0] > end:
                     kept.append(text[last:r[0]])
                     k += 1
@@ -322,12 +366,12 @@ def filter_bits(n_bytes: int, length: int, gram: int) -> int:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
-                   id_col: str = "doc_id", text: str = "text", gram: int = GRAM, hot: int = HOT, hot_sample: int = HOT_SAMPLE) -> DataFrame:
+                   id_col: str = "doc_id", text: str = "text", gram: int = GRAM, hot: int = HOT, hot_sample: int = HOT_SAMPLE,
+                   long_text: int = LONG_TEXT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (what is left, binary) per row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_of(text).alias("text"))
-    # positions carry 16 bits of the text's hash above them: several texts under one id keep their own ranges
-    rows = rows.withColumn("tag", F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 48), 32))
+    rows = rows.withColumn("tag", F.xxhash64("text"))  # with the id, the row: several texts under one id keep their own ranges
     # whole copies of a text with a smaller id are covered from end to end, and need no search
     facts = cut_lineage(rows.select("id", "tag", F.unhex(F.md5("text")).alias("h"), F.octet_length("text").cast("bigint").alias("n")))
     first = facts.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
@@ -342,15 +386,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             yield stretches(texts[lo:hi], length, gram)[0]
 
     bitmap = spark.sparkContext.broadcast(twice(fresh, hashes, filter_bits(n_bytes, length, gram)))
-    often = spark.sparkContext.broadcast(hot_anchors(fresh, length, gram, hot, hot_sample))
-    schema = "anchor bigint, id bigint, at bigint, part binary"
+    often = spark.sparkContext.broadcast(hot_anchors(fresh, length, gram, hot, hot_sample, long_text))
+    schema = "anchor bigint, id bigint, tag bigint, at bigint, part binary"
     parts = fresh.mapInArrow(_suspects(bitmap, length, gram, often), schema)
     ranges = parts.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor") \
-        .mapInArrow(_ranges(length, block_bytes), "id bigint, a bigint, b bigint")
+        .mapInArrow(_ranges(length, block_bytes), "id bigint, tag bigint, a bigint, b bigint")
     if len(often.value):
-        ranges = ranges.unionByName(_hot_ranges(fresh.mapInArrow(_suspects(bitmap, length, gram, often, True), schema), length, block_bytes))
-    lists = ranges.groupBy(F.col("id").alias("r")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    both = fresh.join(lists, F.col("id") == F.col("r"), "left").select("id", "text", "tag", "ranges")
+        spots = fresh.mapInArrow(_suspects(bitmap, length, gram, often, True), schema)
+        ranges = ranges.unionByName(_hot_ranges(fresh, spots, length, gram, block_bytes))
+    lists = ranges.groupBy(F.col("id").alias("r"), F.col("tag").alias("s")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    both = fresh.join(lists, (F.col("id") == F.col("r")) & (F.col("tag") == F.col("s")), "left").select("id", "text", "ranges")
     out = both.mapInArrow(_remove, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     out = out.unionByName(copies.select("id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
                                         F.lit(b"").alias("kept")))

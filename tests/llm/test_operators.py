@@ -189,6 +189,36 @@ def test_url_statistics_cover_all_labels_and_a_hot_url_leaves_the_sample_whole(s
         assert [got[20_000 + s] for s in range(40)] == ["allow" if s % 2 else "block" for s in range(40)]
 
 
+def test_url_labels_do_not_reach_their_own_features(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    # random labels: nothing to learn, so labelled URLs are not reproduced
+    pages = [(i, f"http://{word()}.net/{word()}/{word()}") for i in range(2000)]
+    labels = [(i, rnd.randint(0, 1), 0) for i in range(2000)]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id bigint, url string"), marks).collect()}
+    assert sum(got[i] == ("allow" if q else "block") for i, q, _ in labels) < 1400
+    # a clean signal (many digits) with 10 % wrong labels, each in a segment of its own
+    def url(bad):
+        return f"http://{word()}.net/{word()}/" + ("".join(rnd.choice("0123456789") for _ in range(12)) if bad else word() + word())
+    kinds = [rnd.random() < 0.5 for _ in range(2400)]
+    pages = [(i, url(b)) for i, b in enumerate(kinds)]
+    labels = [(i, int(b if rnd.random() < 0.1 else not b), 0) for i, b in enumerate(kinds[:2000])]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id bigint, url string"), marks).collect()}
+    right = [got[i] == ("block" if b else "allow") for i, b in enumerate(kinds)]
+    assert sum(right[2000:]) > 360 and sum(right[:2000]) > 1800
+
+
+def test_url_entropy_is_of_the_whole_host(spark):
+    rnd = random.Random(1)
+    hosts = ["", "a", "aab", "é" * 5 + "x", "".join(rnd.choice("abcdefghij") for _ in range(3000)) + "z" * 500]
+    df = spark.createDataFrame([(f"http://{h}/p",) for h in hosts], "u string").selectExpr("u", "'' as path", "regexp_extract(u, '^http://([^/]*)', 1) as host")
+    for h, r in zip(hosts, urls.lexical(df).collect()):
+        n = collections.Counter(h)
+        assert abs(r.entropy - -sum(c / len(h) * np.log2(c / len(h)) for c in n.values())) < 1e-9
+
+
 def _classes(texts):
     sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset() for t in texts]
     return sets
@@ -218,6 +248,20 @@ def test_forest_join_equals_brute_force(docs, rows):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({first[find(t)] for t in texts}, key=str)
 
 
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    rnd = random.Random(6)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    x, y, z = text(), text(), text()
+    near = x + " more"
+    rows = [(None, x), (None, y), (7, near), (7, z), (8, z), (7, z), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, 1, "g", 2, b"h") for i, t in rows], "doc_id bigint, text string, node int, grp string, id int, h binary").repartition(3)
+    got = sorted((str(r.doc_id), r.text or "") for r in forest.keep(df).collect())
+    assert got == sorted([("None", x), ("None", y), ("7", z), ("9", "")])
+    assert forest.keep(df).columns == df.columns
+    links = {(r.doc_id, r.class_id, r.copy_id, r.n_copies, r.n_links) for r in forest.classes(df).collect()}
+    assert links == {(None, None, None, 1, 1), (7, None, 7, 1, 1), (None, None, None, 1, 0), (7, 7, 7, 3, 0), (8, 7, 7, 3, 0), (9, 9, 9, 2, 0), (10, 9, 9, 2, 0)}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5)]
     got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
@@ -274,6 +318,32 @@ def test_decontamination_finds_copies_with_long_insertions(spark):
         (0, 1.0, 10, 50), (25, 0.6875, 10, 75), (36, 0.55, 10, 86), (100, 0.8, 1500, 1556)]
 
 
+def test_decontamination_equals_all_alignments(spark):
+    rnd = random.Random(21)
+    vocab = [f"w{i}" for i in range(60)] + ["the", "of"] * 10
+    words = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [words(n) for n in (1, 2, 3, 4, 5, 8, 10, 11, 12, 13, 20, 20, 40, 41)]
+    docs = [words(rnd.randint(0, 120)) for _ in range(60)]
+    for item in items[2:]:
+        broken = [x for i, w in enumerate(item) for x in ([w, "foreign"] if i % 2 else [w])]  # a foreign word after every two
+        sparse = [x for i, w in enumerate(item) for x in ([w, "odd"] if rnd.random() < 0.8 else [w])]
+        docs += [words(20) + broken + words(5), words(3) + sparse, [w for w in item if rnd.random() < 0.8] + words(9), words(4) + item * 2]
+    docs += [docs[-1], []]
+    df = spark.createDataFrame([(i, " ".join(d), "x", 1) for i, d in enumerate(docs)], "doc_id bigint, text string, item_id string, seed int").repartition(3)
+    it = spark.createDataFrame([(i, " ".join(t), "d") for i, t in enumerate(items)], "item_id bigint, text string, doc_id string")
+    number = {w: i for i, w in enumerate({w for d in docs + items for w in d})}
+    code = lambda ws: np.array([number[w] for w in ws], np.int64)
+    want = {}
+    for i, d in enumerate(docs):
+        for j, t in enumerate(items):
+            score = decontam.smith_waterman(code(t), code(d))[0] / len(t) if d else 0
+            if len(t) >= 3 and score >= 0.55:
+                want[i, j] = score
+    for block_words in (2_000_000, 90):
+        got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, it, block_words=block_words).collect()}
+        assert got == want and len(want) > 40
+
+
 def test_decontamination_keeps_rows_by_id_and_text(spark):
     item = " ".join(f"w{i}" for i in range(40))
     docs = [(None, "null id " + item), (None, "null id, clean"), (1, "bad " + item), (1, "clean, shares its id"), (1, None), (2, "clean"), (2, "clean")]
@@ -342,7 +412,8 @@ def test_run_index_equals_brute_force(docs, rows, monkeypatch):
     assert 0 < hot < len(rindex.hot_anchors(docs.selectExpr("doc_id as id", "coalesce(text, '') as text", "0L as tag"), 50, 16, 1, 1))
     for block_bytes, options in ((1 << 21, {}), (3000, {}), (1 << 21, {"hot": 1, "hot_sample": 1}), (3000, {"hot": 1, "hot_sample": 1}),
                                  (3000, {"hot": 3, "hot_sample": 1})):
-        monkeypatch.setattr(rindex, "BROADCAST_VERDICTS", 0 if block_bytes == 3000 else 100_000)
+        monkeypatch.setattr(rindex, "VERDICT_BLOCKS", 0 if block_bytes == 3000 and options.get("hot") == 1 else 1000)  # joined by a shuffle
+        monkeypatch.setattr(rindex, "VERDICT_BLOCK", 40 if options.get("hot") == 3 else 100_000)  # in several blocks
         got = rindex.remove_repeats(docs, block_bytes=block_bytes, **options).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -350,6 +421,15 @@ def test_run_index_equals_brute_force(docs, rows, monkeypatch):
             assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == (len(texts[i]), *want[i])
 
 
+def test_run_index_keeps_rows_apart_by_id_and_text(spark):
+    a, b = "the same long text stands here, " * 5, "another long text of the same document, " * 5
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, b), (6, "x" * 400), (7, "x" * 400 + "y")]
+    df = spark.createDataFrame([(i, t, 1, "p", 2) for i, t in rows], "doc_id bigint, text string, id int, part string, tag int").repartition(3)
+    for options in ({}, {"hot": 1, "hot_sample": 1}, {"hot": 100, "hot_sample": 1_000_000, "long_text": 100}):
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in rindex.remove_repeats(df, **options).collect())
+        assert got == sorted([("1", len(a), 0), ("5", len(a), len(a)), ("5", len(b), len(b)), ("5", len(b), len(b)), ("None", len(b), 0), ("6", 400, 0), ("7", 401, 400)])
+
+
 def test_suffix_array_and_statistics():
     rnd = random.Random(3)
     for _ in range(60):
