@@ -12,12 +12,11 @@ the task that holds the text.
    whichever the corpus holds fewer times.  The counts decide the work, never the result: a pair
    that many copies of an item hold is dropped only where rarer ones are left in each copy.
 3. In a second scan an item hit by a seed, of which fewer words occur in the text than the
-   threshold needs, is skipped; its score could not reach it.  A hit
-fixes the diagonal, and the window reaches as far to both sides as an alignment that
-passes can: the item and (1 - threshold) / gap times its length.  Windows that meet are
-one passage, cut down by the same bound to where enough words of the item stand close
-together.  It is aligned with the item by Smith-Waterman (match 1, mismatch and gap
--0.5, over normalised words), and the score is divided by the item's length.
+   threshold needs, is skipped; its score could not reach it.  For the others a running bound
+   (1 for each word of the text that the item has, less the gap for any other) shows where an
+   alignment that passes can end; the words before, as many as it can span, are its passage, if
+   a seed is there.  It is aligned with the item by Smith-Waterman (match 1, mismatch and gap
+   -0.5, over normalised words), and the score is divided by the item's length.
 
 Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased.  Texts are
 scanned whole; nothing but an item block is broadcast, one at a time.
@@ -132,7 +131,7 @@ class Block:
 
     def choose(self, counts: np.ndarray, threshold: float) -> None:
         """Seeds of each item: its rarest words or pairs, whichever are fewer in the corpus."""
-        seed, owner, place, v = [], [], [], len(self.vocab)
+        seed, owner, v = [], [], len(self.vocab)
         pair_begin = np.searchsorted(self.pair_of, np.arange(len(self.ids) + 1))
         for i, (a, n) in enumerate(zip(self.begin.tolist(), self.sizes.tolist())):
             best = None
@@ -141,83 +140,98 @@ class Block:
                 spare = needless(n, threshold, kind)
                 if spare < 0 or not len(own):
                     continue
-                order = np.lexsort((own, counts[own]))
-                kept = own[order][:len(own) - spare]
+                kept = own[np.lexsort((own, counts[own]))][:len(own) - spare]
                 cost = int(counts[kept].sum())
                 if best is None or cost < best[0]:
-                    best = cost, np.unique(kept), own
+                    best = cost, np.unique(kept)
             if best:
-                at = np.flatnonzero(np.isin(best[2], best[1]))
-                seed.append(best[2][at])
-                place.append(at)
-                owner.append(np.full(len(at), i))
-        s, owner, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seed, owner, place))
-        values, s = np.unique(s, return_inverse=True)  # words first, then pairs
+                seed.append(best[1])
+                owner.append(np.full(len(best[1]), i))
+        s, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seed, owner))
+        values, self.seed = np.unique(s, return_inverse=True)  # words first, then pairs
         split = int(np.searchsorted(values, v))
-        self.seed_words, self.seed_pairs, self.n_seeds = self.vocab[values[:split]], self.pairs[values[split:] - v], len(values)
-        order = np.lexsort((at, s, owner))
-        s, owner, at = s[order], owner[order], at[order]
-        # of each item and seed in it: its first and last place, and how many it has
-        new = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        end = np.append(new[1:], len(s))[:len(new)]
-        self.seed, self.low, self.high, self.times = s[new], at[new], at[end - 1], end - new
-        self.of = np.searchsorted(owner[new], np.arange(len(self.ids) + 1))
+        self.seed_of_word = np.full(v + 1, -1)
+        self.seed_of_word[values[:split]] = np.arange(split)
+        self.first_pair, self.seed_pairs = split, self.pairs[values[split:] - v]
+        self.of = np.searchsorted(owner, np.arange(len(self.ids) + 1))
         order = np.argsort(self.seed, kind="stable")
-        self.owner = owner[new][order]
-        self.starts = np.searchsorted(self.seed[order], np.arange(self.n_seeds + 1))
+        self.owner = owner[order]
+        self.starts = np.searchsorted(self.seed[order], np.arange(len(values) + 1))
         del self.pairs, self.pair, self.pair_of  # not sent again
 
-    def possible(self, words: np.ndarray, k: np.ndarray, threshold: float) -> np.ndarray:
-        """Items hit by seeds ``k`` of which the text holds enough words to reach the threshold."""
-        k = np.unique(k)
-        items = np.unique(self.owner[ragged(self.starts[k], self.starts[k + 1] - self.starts[k])])
-        v = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
-        here = np.zeros(len(self.vocab), np.int64)
-        here[v[self.vocab[v] == words]] = 1
-        sizes = self.sizes[items]
-        held = np.add.reduceat(here[self.word[ragged(self.begin[items], sizes)]], np.cumsum(sizes) - sizes)
-        return items[held / sizes >= threshold]
-
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Seeds found: number of the text, of the word, of the seed; all words, and where each text's begin."""
+        """Seeds found: number of the text, of the word, of the seed; all words, their numbers among
+        the items' words (their count for any other), and where each text's words begin."""
         words, begin = words_of(texts)
+        number = np.full(len(words), len(self.vocab))
+        at, k = _number(words, self.vocab)
+        number[at] = k
+        k = self.seed_of_word[number]
+        at = np.flatnonzero(k >= 0)
         owner = np.repeat(np.arange(len(texts)), np.diff(begin))
-        at, k = _number(words, self.seed_words)
         pairs, who = shingles.grams(words, begin, 2)
         at2, k2 = _number(pairs, self.seed_pairs)
         text = np.concatenate([owner[at], who[at2]])
-        # pairs of a text: one fewer than its words
-        first = np.searchsorted(who, who[at2])
-        p = np.concatenate([at - begin[owner[at]], at2 - first])
+        p = np.concatenate([at - begin[owner[at]], at2 - np.searchsorted(who, who[at2])])
+        k = np.concatenate([k[at], k2 + self.first_pair])
         order = np.argsort(text, kind="stable")
-        return text[order], p[order], np.concatenate([k, k2 + len(self.seed_words)])[order], words, begin
+        return text[order], p[order], k[order], words, number, begin
+
+    def possible(self, number: np.ndarray, k: np.ndarray, threshold: float) -> np.ndarray:
+        """Items hit by seeds ``k`` of which the text holds enough words to reach the threshold."""
+        k = np.unique(k)
+        items = np.unique(self.owner[ragged(self.starts[k], self.starts[k + 1] - self.starts[k])])
+        here = self._scratch()
+        here[number] = True
+        here[-1] = False
+        sizes = self.sizes[items]
+        held = np.add.reduceat(here[self.word[ragged(self.begin[items], sizes)]].astype(np.int64), np.cumsum(sizes) - sizes)
+        here[number] = False
+        return items[held / sizes >= threshold]
 
-    def matches(self, words: np.ndarray, p: np.ndarray, k: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
+    def _scratch(self) -> np.ndarray:
+        """One flag for each of the items' words, all down, and a last one for any other word."""
+        if "flags" not in self.__dict__:
+            self.flags = np.zeros(len(self.vocab) + 1, bool)
+        return self.flags
+
+    def passages(self, item: int, number: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """Word ranges that hold every alignment that passes.  In an alignment a word of the text counts 1 if the
+        item has it and costs the gap if not, at best; so it ends where that sum, over some words before, passes."""
+        own, size = self.word[self.begin[item]:self.begin[item] + self.sizes[item]], int(self.sizes[item])
+        flags = self._scratch()
+        flags[own] = True
+        total = np.cumsum(np.where(flags[number], 1.0, -GAP))
+        flags[own] = False
+        best = total - np.minimum(np.minimum.accumulate(np.append(0.0, total[:-1])), 0.0)
+        end = np.flatnonzero(best >= threshold * size - 1e-9)
+        if len(end):
+            span = size + math.ceil((1 - threshold) / GAP * size)
+            for a, z in zip(*_joined(np.maximum(end + 1 - span, 0), end + 1)):
+                if np.searchsorted(at, z) > np.searchsorted(at, a):
+                    yield a, z
+
+    def matches(self, words: np.ndarray, number: np.ndarray, p: np.ndarray, k: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, seeds hit) for the best passage of each item found."""
+        items = self.possible(number, k, threshold)
+        if not len(items):
+            return []
         order = np.argsort(k, kind="stable")
         p, k = p[order], k[order]
         out = []
-        for item in self.possible(words, k, threshold).tolist():
-            own, mine = self.items[item], slice(self.of[item], self.of[item + 1])
-            pad = math.ceil((1 - threshold) / GAP * len(own))
-            lo = np.searchsorted(k, self.seed[mine])
-            count = np.searchsorted(k, self.seed[mine], "right") - lo
-            at = p[ragged(lo, count)]
-            windows = _joined(at - np.repeat(self.high[mine], count) - pad, at - np.repeat(self.low[mine], count) + len(own) + pad)
+        for item in items.tolist():
+            own, mine = self.items[item], self.seed[self.of[item]:self.of[item + 1]]
+            lo = np.searchsorted(k, mine)
+            at = np.sort(p[ragged(lo, np.searchsorted(k, mine, "right") - lo)])
             best = (0.0, 0, 0)
-            for a, z in zip(*(np.clip(x, 0, len(words)) for x in windows)):
-                # an alignment that passes spans at most this many words, and holds enough of the item's
-                span = min(len(own) + pad, z - a)
-                held = np.concatenate([[0], np.cumsum(np.isin(words[a:z], own))])
-                good = a + np.flatnonzero((held[span:] - held[:-span]) / len(own) >= threshold)
-                for lo_, hi_ in zip(*_joined(good, good + span)) if len(good) else ():
-                    score, end, used = smith_waterman(own, words[lo_:hi_])
-                    score /= len(own)
-                    if score >= threshold and score > best[0]:
-                        back = _words_back(own[:used], words[max(lo_, lo_ + end - len(own) - pad):lo_ + end])
-                        best = (score, int(lo_ + end - back), int(lo_ + end))
+            for lo_, hi_ in self.passages(item, number, at, threshold):
+                score, end, used = smith_waterman(own, words[lo_:hi_])
+                score /= len(own)
+                if score >= threshold and score > best[0]:
+                    back = _words_back(own[:used], words[max(lo_, lo_ + end - 3 * len(own)):lo_ + end])
+                    best = (score, int(lo_ + end - back), int(lo_ + end))
             if best[0]:
-                out.append((item, *best, int((count * self.times[mine]).sum())))
+                out.append((item, *best, len(at)))
         return out
 
 
@@ -241,10 +255,11 @@ def _align(block, threshold: float):
             rows, found = [], []
             texts = binary(batch.column(1))
             for lo, hi in shingles.chunks(texts):
-                who, p, k, words, begin = b.hits(texts[lo:hi])
+                who, p, k, words, number, begin = b.hits(texts[lo:hi])
                 hit, first = np.unique(who, return_index=True)
                 for i, x, y in zip(hit.tolist(), first, np.append(first[1:], len(who))):
-                    for m in b.matches(words[begin[i]:begin[i + 1]], p[x:y], k[x:y], threshold):
+                    own = slice(begin[i], begin[i + 1])
+                    for m in b.matches(words[own], number[own], p[x:y], k[x:y], threshold):
                         rows.append(lo + i)
                         found.append(m)
             cols = list(zip(*found)) or [()] * 5
