@@ -326,3 +326,24 @@ def q_mi_class_knn(spark, sf):
     y = X.meta(spark, sf).select("patient_id", L.label_contains("status", "lung", case=False).alias("y"))
     mi = S.mutual_info_knn(X.cells(spark, sf), y, "patient_id", "feature", "beta", "y", k=3)
     return mi.select("feature", F.round("mi", 9).alias("mi"))
+
+
+@register("mi_reg_knn", f"""
+WITH yl AS (SELECT patient_id, y FROM target WHERE y IS NOT NULL),
+uy AS (SELECT stddev_pop(y) AS s FROM yl),
+j AS (SELECT c.feature, c.patient_id AS pid, c.beta, yl.y FROM cells c JOIN yl USING (patient_id) WHERE c.beta IS NOT NULL),
+ux AS (SELECT feature, stddev_pop(beta) AS s, count(*) AS n FROM j GROUP BY feature),
+z AS MATERIALIZED (SELECT j.feature, pid, beta / CASE WHEN ux.s = 0 THEN 1.0 ELSE ux.s END AS x, y / uy.s AS y, n
+                   FROM j JOIN ux USING (feature), uy),
+d AS MATERIALIZED (SELECT a.feature, a.pid, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[least(3, max(a.n) - 1)] AS d
+                   FROM z a JOIN z b ON a.feature = b.feature AND a.pid <> b.pid GROUP BY a.feature, a.pid),
+m AS (SELECT a.feature, a.pid, max(a.n) AS n, count_if(CASE WHEN d > 0 THEN abs(a.x - b.x) < d ELSE a.x = b.x END) AS nx,
+             count_if(CASE WHEN d > 0 THEN abs(a.y - b.y) < d ELSE a.y = b.y END) AS ny
+      FROM z a JOIN d USING (feature, pid) JOIN z b ON a.feature = b.feature GROUP BY a.feature, a.pid),
+r AS (SELECT feature, {_psi_sql('max(n)')} + {_psi_sql('least(3, max(n) - 1)')} - avg({_psi_sql('nx')} + {_psi_sql('ny')}) AS mi
+      FROM m GROUP BY feature)
+SELECT feature, round(greatest(mi, 0.0), 9) AS mi FROM r""")
+def q_mi_reg_knn(spark, sf):
+    from tessera.operators.neighbours import mutual_info_knn_target
+    mi = mutual_info_knn_target(X.cells(spark, sf), X.target(spark, sf), "patient_id", "feature", "beta", "y", k=3)
+    return mi.select("feature", F.round("mi", 9).alias("mi"))
