@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import balance as MD_B
 from tessera.operators import models as MD
+from tessera.operators import moments as MO
 from tessera.operators import sampling as SM
 from tessera.operators import stats as S
 from tessera.operators import text as TO
@@ -26,30 +27,87 @@ def _reg_data(spark, sf):
     return _vectors(spark, sf).join(t, "patient_id")
 
 
-@register("elastic_net")
+SWEEPS = 120
+ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.4)
+
+
+def _packed(spark, sf):
+    """(patient_id, x, y): features without NULL cells in name order, patients with a target."""
+    clean = MD.M.drop_null(X.cells(spark, sf), "features")
+    return MD.M.pack(clean, MD.M.feature_order(clean)).join(X.target(spark, sf).na.drop(subset=["y"]), "patient_id")
+
+
+ROWS_SQL = """bad AS (SELECT DISTINCT feature FROM cells WHERE beta IS NULL),
+rowsx AS MATERIALIZED (SELECT patient_id, x, y FROM (SELECT patient_id, list(beta ORDER BY feature) AS x FROM cells
+  WHERE feature NOT IN (SELECT feature FROM bad) GROUP BY patient_id) v JOIN target USING (patient_id) WHERE y IS NOT NULL),
+fp AS (SELECT *, row_number() OVER (ORDER BY patient_id) - 1 AS p, count(*) OVER () AS n FROM rowsx),
+folds AS MATERIALIZED (SELECT patient_id, x, y, CASE WHEN p < (n % 4) * (n // 4 + 1) THEN p // (n // 4 + 1)
+  ELSE n % 4 + (p - (n % 4) * (n // 4 + 1)) // (n // 4) END AS fold FROM fp)"""
+
+
+def _solve_sql(sets: str, alphas) -> str:
+    """Coordinate descent in SQL: ``sets`` gives (s, patient_id) of every training set; ``fits`` holds (s, alpha, b0, b)."""
+    return f"""sets AS ({sets}),
+cellx AS MATERIALIZED (SELECT patient_id, y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM rowsx),
+gram AS MATERIALIZED (SELECT s, i, list(g ORDER BY j) AS g FROM (SELECT s, a.i, b.i AS j, covar_pop(a.v, b.v) AS g
+  FROM cellx a JOIN cellx b USING (patient_id) JOIN sets USING (patient_id) GROUP BY s, a.i, b.i) q GROUP BY s, i),
+cy AS (SELECT s, i, covar_pop(v, y) AS c, avg(v) AS m, avg(y) AS ym FROM cellx JOIN sets USING (patient_id) GROUP BY s, i),
+mom AS MATERIALIZED (SELECT s, list(g ORDER BY i) AS g, list(c ORDER BY i) AS c, list(m ORDER BY i) AS m, any_value(ym) AS ym
+  FROM gram JOIN cy USING (s, i) GROUP BY s),
+cd(s, alpha, it, b) AS (
+  SELECT s, alpha, 0, list_transform(c, lambda q: 0.0::DOUBLE) FROM mom, (SELECT unnest({[float(a) for a in alphas]}::DOUBLE[]) AS alpha) al
+  UNION ALL
+  SELECT s, alpha, it + 1, list_reduce(list_concat([b], list_transform(range(1, len(c) + 1), lambda j: [j::DOUBLE])), lambda acc, e:
+    list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i <> e[1] THEN acc[i] ELSE
+      sign(c[i] - list_dot_product(g[i], acc) + g[i][i] * acc[i]) * greatest(abs(c[i] - list_dot_product(g[i], acc) + g[i][i] * acc[i]) - alpha * 0.5::DOUBLE, 0.0::DOUBLE)
+      / (g[i][i] + alpha * 0.5::DOUBLE) END))
+  FROM cd JOIN mom USING (s) WHERE it < {SWEEPS}),
+fits AS MATERIALIZED (SELECT s, alpha, ym - list_dot_product(m, b) AS b0, b FROM cd JOIN mom USING (s) WHERE it = {SWEEPS})"""
+
+
+CV_SETS = "SELECT k AS s, patient_id FROM folds, range(0, 4) r(k) WHERE fold <> k"
+HOLD_OUT_SQL = """hold AS MATERIALIZED (SELECT patient_id, CASE WHEN pos <= ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT patient_id, row_number() OVER (ORDER BY """ + MP._u("patient_id") + """, patient_id) AS pos, count(*) OVER () AS n FROM rowsx) h)"""
+TRAIN_SET = "SELECT -1 AS s, patient_id FROM hold WHERE split = 'train'"
+
+
+@register("elastic_net", f"""WITH RECURSIVE {ROWS_SQL}, {HOLD_OUT_SQL}, {_solve_sql(TRAIN_SET, [0.4])}
+SELECT patient_id, split, y, round(b0 + list_dot_product(x, b), 7) AS yhat FROM rowsx JOIN hold USING (patient_id), fits""")
 def q_elastic_net(spark, sf):
-    data = SM.split3(_reg_data(spark, sf), "patient_id", 0.1, None, MP.SEED)
-    model = MD.ElasticNet(alpha=0.4, l1_ratio=0.5).fit(data.filter(F.col("split") == "train"))
-    return model.transform(data).select("patient_id", "split", "y", "yhat")
+    data = cut_lineage(SM.split3(_packed(spark, sf), "patient_id", 0.1, None, MP.SEED))
+    fit = MO.path(MO.fold_moments(data.filter(F.col("split") == "train"), F.lit(0)).without(), [0.4])[0.4]
+    return MO.predict(data, fit).select("patient_id", "split", "y", F.round("yhat", 7).alias("yhat"))
+
+
+@register("cv_elastic_path", f"""WITH RECURSIVE {ROWS_SQL}, {_solve_sql(CV_SETS, ALPHAS)},
+names AS (SELECT feature, row_number() OVER (ORDER BY feature) AS i FROM (SELECT DISTINCT feature FROM cells WHERE feature NOT IN (SELECT feature FROM bad)) d),
+terms AS (SELECT s, alpha, '(intercept)' AS term, b0 AS coef FROM fits UNION ALL
+          SELECT s, alpha, feature, b[i] FROM fits, names WHERE b[i] <> 0)
+SELECT CAST(s AS INTEGER) AS fold, alpha, term, round(coef, 7) AS coef FROM terms""")
+def q_cv_elastic_path(spark, sf):
+    """Intercept and coefficients that are not 0, of every fold at every penalty."""
+    clean = MD.M.drop_null(X.cells(spark, sf), "features")
+    order = cut_lineage(MD.M.feature_order(clean))
+    rows = MD.M.pack(clean, order).join(X.target(spark, sf).na.drop(subset=["y"]), "patient_id")
+    fits = MO.cross_validate(cut_lineage(SM.kfold_ids(rows, ["patient_id"], 4)), ALPHAS)
+    terms = fits.select("fold", "alpha", F.posexplode("coef").alias("at", "coef")).filter((F.col("at") == 0) | (F.col("coef") != 0))
+    return terms.join(order, F.col("at") - 1 == F.col("pos"), "left").select(
+        "fold", "alpha", F.coalesce("feature", F.lit("(intercept)")).alias("term"), F.round("coef", 7).alias("coef"))
 
 
-@register("cv_mae")
+CV_SQL = """cv AS (SELECT CAST(fold AS INTEGER) AS fold, alpha, -avg(abs(y - b0 - list_dot_product(x, b))) AS neg_mae
+  FROM folds JOIN fits ON s = fold GROUP BY fold, alpha)"""
+
+
+@register("cv_mae", f"""WITH RECURSIVE {ROWS_SQL}, {_solve_sql(CV_SETS, [0.3])}, {CV_SQL} SELECT fold, round(neg_mae, 7) AS neg_mae FROM cv""")
 def q_cv_mae(spark, sf):
-    return spark.createDataFrame(list(enumerate(_cv_neg_mae(_reg_data(spark, sf)))), "fold int, neg_mae double")
+    return _cv_neg_mae(_packed(spark, sf)).select("fold", F.round("neg_mae", 7).alias("neg_mae"))
 
 
-def _cv_neg_mae(data) -> list[float]:
-    """Negative MAE of each of four contiguous folds; the folds are cached for the fits only."""
-    folds = SM.kfold_ids(data, ["patient_id"], 4).cache()
-    try:
-        out = []
-        for k in range(4):
-            model = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(folds.filter(F.col("fold") != k))
-            held = model.transform(folds.filter(F.col("fold") == k))
-            out.append(-float(held.select(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0]))
-        return out
-    finally:
-        folds.unpersist()
+def _cv_neg_mae(data):
+    """(fold, neg_mae) of four contiguous folds."""
+    folds = cut_lineage(SM.kfold_ids(data, ["patient_id"], 4))
+    return MO.cross_validate(folds, [0.3]).select("fold", (-F.col("mae")).alias("neg_mae"))
 
 
 def _class_data(spark, sf):
@@ -177,18 +235,22 @@ def q_covariate_model(spark, sf):
     return S.confusion(scored, "label", "p", 0.6, ["split"])
 
 
-@register("tscore_model")
+@register("tscore_model", f"""WITH RECURSIVE {ROWS_SQL}, {HOLD_OUT_SQL},
+{_solve_sql(CV_SETS + " UNION ALL " + TRAIN_SET, [0.3])}, {CV_SQL},
+val AS (SELECT y, b0 + list_dot_product(x, b) AS yhat FROM rowsx JOIN hold USING (patient_id) JOIN fits ON s = -1 WHERE split = 'test')
+SELECT count(*) AS n, round(avg(abs(y - yhat)), 6) AS mae, round(avg((y - yhat) * (y - yhat)), 6) AS mse, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse,
+       round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(yhat - y), 6) AS mean_error,
+       round(regr_slope(yhat, y), 6) AS slope, round(regr_intercept(yhat, y), 6) AS intercept, (SELECT round(avg(neg_mae), 6) FROM cv) AS cv_neg_mae FROM val""")
 def q_tscore_model(spark, sf):
     """The regression flow end to end: target join, drop missing targets,
     4-fold contiguous CV of the elastic net (mean -MAE), hold-out fit on a 90/10
     split, error metrics and the least-squares line of prediction on truth."""
-    data = _reg_data(spark, sf)
-    cv = _cv_neg_mae(data)
+    data = cut_lineage(_packed(spark, sf))                      # one packed row per patient: three scans share it
+    cv_mean = _cv_neg_mae(data).agg(F.avg("neg_mae")).first()[0]
     split = SM.split3(data, "patient_id", 0.1, None, MP.SEED)
-    model = MD.ElasticNet(alpha=0.3, l1_ratio=0.5).fit(split.filter(F.col("split") == "train"))
-    val = model.transform(split.filter(F.col("split") == "test"))
+    fit = MO.path(MO.fold_moments(split.filter(F.col("split") == "train"), F.lit(0)).without(), [0.3])[0.3]
+    val = cut_lineage(MO.predict(split.filter(F.col("split") == "test"), fit).select("y", "yhat"))
     line = S.fit_line(val, "y", "yhat").first()                 # two numbers
-    cv_mean = sum(cv) / len(cv)
-    return S.regression_metrics(val, "y", "yhat").select(
-        "*", F.lit(line["slope"]).alias("slope"), F.lit(line["intercept"]).alias("intercept"),
-        F.lit(cv_mean).alias("cv_neg_mae"))
+    out = S.regression_metrics(val, "y", "yhat").select(
+        "*", F.lit(line["slope"]).alias("slope"), F.lit(line["intercept"]).alias("intercept"), F.lit(cv_mean).alias("cv_neg_mae"))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns if c != "n"])
