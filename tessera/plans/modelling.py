@@ -9,6 +9,7 @@ from tessera.operators import balance as MD_B
 from tessera.operators import models as MD
 from tessera.operators import moments as MO
 from tessera.operators import sampling as SM
+from tessera.operators import stacked as ST
 from tessera.operators import stats as S
 from tessera.operators import text as TO
 from tessera.operators.scaling import scaler_apply, scaler_fit
@@ -111,17 +112,62 @@ def _cv_neg_mae(data):
 
 
 def _class_data(spark, sf):
-    lab = MP._lab(spark, sf)
-    data = _vectors(spark, sf).join(lab, "patient_id")
-    return SM.split3(data, "patient_id", 0.2, 0.2, MP.SEED)
+    """(patient_id, x, label, split), checkpointed: one packed row per labelled patient."""
+    clean = MD.M.drop_null(X.cells(spark, sf), "features")
+    data = MD.M.pack(clean, MD.M.feature_order(clean)).join(MP._lab(spark, sf), "patient_id")
+    return cut_lineage(SM.split3(data, "patient_id", 0.2, 0.2, MP.SEED))
+
+
+CLASS_ROWS_SQL = """bad AS (SELECT DISTINCT feature FROM cells WHERE beta IS NULL),
+clx AS MATERIALIZED (SELECT patient_id, x, label, split FROM (SELECT patient_id, list(beta ORDER BY feature) AS x FROM cells
+  WHERE feature NOT IN (SELECT feature FROM bad) GROUP BY patient_id) v JOIN split USING (patient_id))"""
+
+
+def _logistic_sql(configs, train: str = "SELECT patient_id, x, label FROM clx WHERE split = 'train'", rounds: int = 250) -> str:
+    """The same bounded steps in SQL: ``models`` holds (config, reg, ratio, b0, b) in the features' own units."""
+    rows = ", ".join(f"({i}, {reg!r}::DOUBLE, {ratio!r}::DOUBLE)" for i, (reg, ratio) in enumerate(configs))
+    entry = "(w[i] - list_dot_product(c4[i], acc) + c4[i][i] * acc[i])"
+    sweep = f"""list_reduce(list_concat([{{b}}], list_transform(range(1, len(w) + 1), lambda j: [j::DOUBLE])), lambda acc, e:
+      list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i <> e[1] THEN acc[i] ELSE
+        sign({entry}) * greatest(abs({entry}) - reg * ratio, 0.0::DOUBLE) / (c4[i][i] + reg * (1 - ratio)) END))"""
+    return f"""tr AS MATERIALIZED ({train}),
+trx AS (SELECT patient_id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM tr),
+fs AS MATERIALIZED (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM trx GROUP BY i),
+zx AS MATERIALIZED (SELECT patient_id, label, i, (v - m) / s AS z FROM trx JOIN fs USING (i)),
+zr AS MATERIALIZED (SELECT patient_id, label, list(z ORDER BY i) AS z FROM zx GROUP BY patient_id, label),
+zc AS MATERIALIZED (SELECT list(z ORDER BY i) AS zc FROM (SELECT i, list(z ORDER BY patient_id) AS z FROM zx GROUP BY i) q),
+c4 AS MATERIALIZED (SELECT list(g ORDER BY i) AS c4 FROM (SELECT i, list(g ORDER BY j) AS g FROM
+  (SELECT a.i, b.i AS j, covar_pop(a.z, b.z) / 4 AS g FROM zx a JOIN zx b USING (patient_id) GROUP BY a.i, b.i) q GROUP BY i) r),
+cfg(config, reg, ratio) AS (VALUES {rows}),
+lr(config, reg, ratio, it, b0, b) AS (
+  SELECT config, reg, ratio, 0, (SELECT ln(avg(label) / (1 - avg(label))) FROM tr), list_transform(zc, lambda q: 0.0::DOUBLE) FROM cfg, zc
+  UNION ALL
+  SELECT config, reg, ratio, it + 1, b0, {sweep.format(b="b1")} FROM (SELECT *, {sweep.format(b="b")} AS b1 FROM
+    (SELECT config, reg, ratio, it, b0 - 4 * list_avg(r) AS b0, b, c4,
+            list_transform(range(1, len(b) + 1), lambda i: list_dot_product(c4[i], b) - list_dot_product(zc[i], r) / len(r)) AS w
+     FROM (SELECT config, any_value(reg) AS reg, any_value(ratio) AS ratio, any_value(it) AS it, any_value(b0) AS b0, any_value(b) AS b,
+                  list(1 / (1 + exp(-(b0 + list_dot_product(z, b)))) - label ORDER BY patient_id) AS r
+           FROM lr, zr WHERE it < {rounds} GROUP BY config) g, zc, c4) h) k),
+ms AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM fs),
+models AS MATERIALIZED (SELECT config, reg, ratio, b0 - list_sum(list_transform(range(1, len(b) + 1), lambda i: b[i] / s[i] * m[i])) AS b0,
+  list_transform(range(1, len(b) + 1), lambda i: b[i] / s[i]) AS b FROM lr, ms WHERE it = {rounds})"""
 
 
-@register("classify")
-def q_classify(spark, sf):
+_P = "1 / (1 + exp(-(b0 + list_dot_product(x, b))))"
+CLASSIFIER = [(0.01, 0.0)]
+GRID = [(reg, ratio) for reg in (0.001, 0.01, 0.03, 0.1) for ratio in (0.0, 0.5, 1.0)]
+
+
+def _classified(spark, sf):
     data = _class_data(spark, sf)
-    model = MD.classifier().fit(data.filter(F.col("split") == "train"))
-    pred = MD.positive_probability(model.transform(data.filter(F.col("split") != "train")))
-    return pred.select("patient_id", "split", "label", "p", (F.col("p") > 0.6).cast("int").alias("pred"))
+    fit = ST.fit_logistic(data.filter(F.col("split") == "train"), CLASSIFIER)[0]
+    return ST.probability(data.filter(F.col("split") != "train"), fit)
+
+
+@register("classify", f"""WITH RECURSIVE {MP.LAB_SQL}, {MP.SPLIT_SQL}, {CLASS_ROWS_SQL}, {_logistic_sql(CLASSIFIER)}
+SELECT patient_id, split, label, round({_P}, 6) AS p, CAST({_P} > 0.6::DOUBLE AS INTEGER) AS pred FROM clx, models WHERE split <> 'train'""")
+def q_classify(spark, sf):
+    return _classified(spark, sf).select("patient_id", "split", "label", F.round("p", 6).alias("p"), (F.col("p") > 0.6).cast("int").alias("pred"))
 
 
 @register("regress")
@@ -131,22 +177,19 @@ def q_regress(spark, sf):
     return model.transform(data).select("patient_id", "split", "y", F.col("prediction").alias("yhat"))
 
 
-@register("grid_search")
+@register("grid_search", f"""WITH RECURSIVE {MP.LAB_SQL}, {MP.SPLIT_SQL}, {CLASS_ROWS_SQL}, {_logistic_sql(GRID)},
+c AS (SELECT reg, ratio, count_if({_P} > 0.5 AND label = 1) AS tp, count_if({_P} > 0.5 AND label = 0) AS fp,
+             count_if({_P} <= 0.5 AND label = 0) AS tn, count_if({_P} <= 0.5 AND label = 1) AS fn
+      FROM clx, models WHERE split = 'val' GROUP BY reg, ratio)
+SELECT reg AS "regParam", ratio AS "elasticNetParam", tp, fp, tn, fn, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall,
+       (tp + tn) / (tp + fp + tn + fn) AS accuracy FROM c""")
 def q_grid_search(spark, sf):
-    data = _class_data(spark, sf).cache()
-    train, valid = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val")
-    maps = MD.grid(regParam=[0.001, 0.01], elasticNetParam=[0.0, 0.5, 1.0], maxIter=[50, 100])
-
-    def evaluate(model, val):
-        p = MD.positive_probability(model.transform(val))
-        c = S.confusion(p, "label", "p", 0.5).first()
-        return {"recall": float(c["recall"]), "accuracy": float(c["accuracy"])}
-
-    try:
-        rows = MD.grid_search(MD.classifier(), train, valid, maps, evaluate)
-    finally:
-        data.unpersist()
-    return spark.createDataFrame(rows, "regParam double, elasticNetParam double, maxIter int, recall double, accuracy double")
+    """12 configurations: as many scans as one, and one to score them all."""
+    data = _class_data(spark, sf)
+    fits = ST.fit_logistic(data.filter(F.col("split") == "train"), GRID)
+    named = spark.createDataFrame([(i, r, e) for i, (r, e) in enumerate(GRID)], "config int, regParam double, elasticNetParam double")
+    return named.join(ST.confusion_of_all(data.filter(F.col("split") == "val"), fits, 0.5), "config") \
+        .select("regParam", "elasticNetParam", "tp", "fp", "tn", "fn", "recall", "accuracy")
 
 
 @register("cohort_eval")
@@ -168,13 +211,11 @@ def q_cohort_eval(spark, sf):
     return S.confusion(scored, "label", "p", 0.6, ["cohort"])
 
 
-@register("score_batch")
+@register("score_batch", f"""WITH RECURSIVE {MP.LAB_SQL}, {MP.SPLIT_SQL}, {CLASS_ROWS_SQL}, {_logistic_sql(CLASSIFIER)}
+SELECT patient_id AS name, round({_P}, 6) AS p, CAST({_P} > 0.5::DOUBLE AS INTEGER) AS prediction FROM clx, models WHERE split <> 'train'""")
 def q_score_batch(spark, sf):
     """Batch scoring of items the model was not fitted on to (name, probability, class)."""
-    data = _class_data(spark, sf)
-    model = MD.classifier().fit(data.filter(F.col("split") == "train"))
-    scored = MD.positive_probability(model.transform(data.filter(F.col("split") != "train")))
-    return scored.select(F.col("patient_id").alias("name"), "p", F.bround("p", 0).cast("int").alias("prediction"))
+    return _classified(spark, sf).select(F.col("patient_id").alias("name"), F.round("p", 6).alias("p"), F.bround("p", 0).cast("int").alias("prediction"))
 
 
 def _sentiment(spark, sf):
