@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import balance as MD_B
+from tessera.operators.adaptive import adaptive_search
 from tessera.operators import models as MD
 from tessera.operators import moments as MO
 from tessera.operators import sampling as SM
@@ -96,6 +97,18 @@ def q_cv_elastic_path(spark, sf):
         "fold", "alpha", F.coalesce("feature", F.lit("(intercept)")).alias("term"), F.round("coef", 7).alias("coef"))
 
 
+SEARCH = {"alpha": ("uniform", 0.001, 0.5), "l1_ratio": ("uniform", 0.0, 1.0)}
+
+
+@register("adaptive_search")
+def q_adaptive_search(spark, sf):
+    """200 cross-validated elastic nets in rounds of 20, all from one scan for the folds' cross products."""
+    moments = MO.fold_moments(cut_lineage(SM.kfold_ids(_packed(spark, sf), ["patient_id"], 4)))
+    trials = adaptive_search(SEARCH, lambda ts: [MO.cross_validated_mse(moments, t["alpha"], t["l1_ratio"]) for t in ts], 200, 20, MP.SEED)
+    rows = [(t["trial"], t["round"], t["alpha"], t["l1_ratio"], t["loss"]) for t in trials]
+    return spark.createDataFrame(rows, "trial int, round int, alpha double, l1_ratio double, mse double")
+
+
 CV_SQL = """cv AS (SELECT CAST(fold AS INTEGER) AS fold, alpha, -avg(abs(y - b0 - list_dot_product(x, b))) AS neg_mae
   FROM folds JOIN fits ON s = fold GROUP BY fold, alpha)"""
 
