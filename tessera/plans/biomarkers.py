@@ -137,6 +137,18 @@ def q_class_distribution(spark, sf):
     return d.select("label", "n", *[F.round(c, 9).alias(c) for c in ("frac", "pct", "log_inv")])
 
 
+@register("class_distribution_n1", f"""
+WITH l AS (SELECT * FROM ({LUNG_LABEL_SQL}) x WHERE EXISTS (SELECT 1 FROM cells c WHERE c.patient_id = x.patient_id)),
+k AS (SELECT label, count(*) AS n FROM l GROUP BY label)
+SELECT label, n, round(n / (SELECT sum(n) - 1 FROM k), 9) AS frac, round(n / (SELECT sum(n) - 1 FROM k) * 100.0, 9) AS pct,
+       round(ln(1.0 / (n / (SELECT sum(n) - 1 FROM k))), 9) AS log_inv FROM k""")
+def q_class_distribution_n1(spark, sf):
+    """The variant whose denominator is one less than the rows."""
+    lab = _lung_labels(spark, sf).join(X.cells(spark, sf).select("patient_id"), "patient_id", "left_semi")
+    d = S.class_distribution(lab, "label", ddof=1)
+    return d.select("label", "n", *[F.round(c, 9).alias(c) for c in ("frac", "pct", "log_inv")])
+
+
 @register("distinct_values", """
 SELECT status, n, row_number() OVER (ORDER BY status NULLS FIRST) AS pos, count(*) OVER () AS n_distinct
 FROM (SELECT status, count(*) AS n FROM meta GROUP BY status) s""")

@@ -87,6 +87,8 @@ PRICE = f"sum({CENTS}) / (sum(CAST(l_quantity AS BIGINT)) * 100.0)"
 
 FIXTURES: dict[str, str] = {
     "series": (f"SELECT l_suppkey AS tk, CAST(l_shipdate AS DATE) AS dt, {PRICE} AS px FROM lineitem GROUP BY 1, 2"),
+    "nation_series": ("SELECT 'n' || printf('%02d', s_nationkey) AS tk, CAST(l_shipdate AS DATE) AS dt, "
+                      f"{PRICE} AS px FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"),
     "index_series": f"SELECT CAST(l_shipdate AS DATE) AS dt, {PRICE} AS sp FROM lineitem GROUP BY 1",
     "prices_wide": ("SELECT CAST(l_shipdate AS DATE) AS dt, "
                     + ", ".join(f"sum(CASE WHEN s_nationkey = {n} THEN {CENTS} END) / "

@@ -45,6 +45,14 @@ def index_series(spark, sf_dir) -> DataFrame:
               .agg(_unit_price(F.sum(_cents()), F.sum(F.col("l_quantity").cast("bigint"))).alias("sp")))
 
 
+def nation_series(spark, sf_dir) -> DataFrame:
+    """(tk, dt, px): unit price per supplier nation and ship day, some 2,500 days a ticker (long series)."""
+    li, sup = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return (li.join(sup, li.l_suppkey == sup.s_suppkey)
+              .groupBy(F.format_string("n%02d", "s_nationkey").alias("tk"), F.to_date("l_shipdate").alias("dt"))
+              .agg(_unit_price(F.sum(_cents()), F.sum(F.col("l_quantity").cast("bigint"))).alias("px")))
+
+
 NATIONS = list(range(25))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import pct_change, pyround
 from tessera.operators import returns as R
 from tessera.operators import timeseries as T
+from tessera.operators.sampling import shuffle
+from tessera.plans.fixture_sql import sql_uniform
+from tessera.session import checkpoint_dir
+from tessera.sources.files import write_table
 from tessera.plans import fixtures as X
 from tessera.plans.registry import register
 
@@ -76,7 +82,7 @@ def q_forward_labels(spark, sf):
 
 @register("window_vectors", f"""
 WITH f AS (SELECT tk, dt, px, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY tk) AS n FROM series),
-g AS (SELECT *, CASE WHEN n <= 275 THEN 0 ELSE least(5, greatest(1, floor((n - 550 + 74) / 75) + 1)) END AS nwin FROM f),
+g AS (SELECT *, CASE WHEN n <= 275 THEN 0 ELSE greatest(1, floor((n - 550 + 74) / 75) + 1) END AS nwin FROM f),
 k AS (SELECT tk, dt, px, i, unnest(range(CAST(greatest(0, ceil((i - 274) / 75)) AS BIGINT),
                                         CAST(least(floor(i / 75), nwin - 1) + 1 AS BIGINT))) AS window_no FROM g)
 SELECT tk, CAST(window_no AS INTEGER) AS window_no, CAST(i - window_no * 75 AS INTEGER) AS pos, dt, px FROM k""")
@@ -103,6 +109,52 @@ def q_bucket_ladder(spark, sf):
     return T.bucket_ladder(w).select("tk", "window_no", "end_dt", "bucket")
 
 
+# the same over long series: some 26 windows a ticker
+_long = lambda sql: sql.replace("FROM series", "FROM nation_series")
+
+
+@register("long_windows", _long(_WIN_SQL) + """
+SELECT tk, window_no, start_dt, end_dt, px, week_max, round(week_gain, 6) AS week_gain, month_max, round(month_gain, 6) AS month_gain FROM w""")
+def q_long_windows(spark, sf):
+    df = T.forward_labels(X.nation_series(spark, sf))
+    return df.withColumn("week_gain", F.round("week_gain", 6)).withColumn("month_gain", F.round("month_gain", 6))
+
+
+@register("capped_windows", _long(_WIN_SQL) + "SELECT tk, window_no, start_dt, end_dt, px FROM w WHERE window_no < 5")
+def q_capped_windows(spark, sf):
+    """At most five windows a ticker."""
+    return T.count_windows(X.nation_series(spark, sf), cap=5)
+
+
+@register("labelled_sink", _long(_LADDER_SQL).replace("SELECT tk, window_no, end_dt, unnest(labels) AS bucket FROM lab", """,
+b AS (SELECT tk, window_no, end_dt, unnest(labels) AS bucket FROM lab)
+SELECT b.tk, b.window_no, b.end_dt, b.bucket, count(*) AS n, arg_min(f.px, f.i) AS first_px, arg_max(f.px, f.i) AS last_px, round(sum(f.px), 6) AS sum_px
+FROM b JOIN f ON b.tk = f.tk AND f.i >= 75 * b.window_no AND f.i < 75 * b.window_no + 275 GROUP BY b.tk, b.window_no, b.end_dt, b.bucket"""))
+def q_labelled_sink(spark, sf):
+    """Window arrays written to one directory per label, and what the directories hold."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-windows-{uuid.uuid4().hex}"
+    out = T.labelled_windows(X.nation_series(spark, sf))
+    write_table(out, path, partition_by=["bucket"])
+    back = spark.read.schema(out.schema).parquet(path)
+    at = lambda i: F.element_at("prices", i)
+    return back.select("tk", "window_no", "end_dt", "bucket", F.size("prices").cast("bigint").alias("n"), at(1).alias("first_px"), at(-1).alias("last_px"),
+                       F.round(F.aggregate("prices", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_px"))
+
+
+@register("unpivot_from_sixth", f"""
+SELECT dt, tk, px FROM (UNPIVOT prices_wide ON {", ".join(f"n{n:02d}" for n in range(5, 25))} INTO NAME tk VALUE px) WHERE px IS NOT NULL""")
+def q_unpivot_from_sixth(spark, sf):
+    """The leading columns of the matrix (the date is the first of six) are skipped."""
+    wide = X.prices_wide(spark, sf)
+    return T.unpivot_prices(wide, tickers=wide.columns[6:])
+
+
+@register("shuffle_tickers", f"""
+SELECT tk, n_days, row_number() OVER (ORDER BY {sql_uniform('42', 'tk')}, tk) AS pos FROM (SELECT tk, count(*) AS n_days FROM nation_series GROUP BY tk) t""")
+def q_shuffle_tickers(spark, sf):
+    return shuffle(X.nation_series(spark, sf).groupBy("tk").agg(F.count(F.lit(1)).alias("n_days")), "tk", 42)
+
+
 @register("bucket_exclusive", _WIN_SQL + """
 SELECT tk, window_no, end_dt,
   CASE WHEN month_gain < 50 THEN 'Month<50' WHEN month_gain < 70 THEN 'Month<70' WHEN month_gain < 90 THEN 'Month<90'
