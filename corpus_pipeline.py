@@ -9,6 +9,12 @@ near_dups  one document of each near-duplicate class stays (the smallest doc_id)
 decontam   documents that hold a test item go
 mix        each document as often as its source's target takes it
 tokens     packed token ids, read back: doc_id, start, n_tokens, ids_crc32
+
+Defined cases: a null text is empty and goes at the first stage; a row is known by its doc_id and
+its text together, so rows that share an id, or have none, stay or go by their own text; repeated
+rows are copies, of which one stays; ties go to the smaller doc_id (null first), then the smaller text
+hash; long texts are read whole; further columns, whatever their names, are carried to the last stage; an empty
+table stays empty.
 """
 
 from __future__ import annotations
