@@ -205,23 +205,39 @@ def q_grid_search(spark, sf):
         .select("regParam", "elasticNetParam", "tp", "fp", "tn", "fn", "recall", "accuracy")
 
 
-@register("cohort_eval")
+COHORT_SQL = f"""{MP.LAB_SQL},
+hs AS MATERIALIZED (SELECT patient_id, label, CASE WHEN pos <= ceil(n * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY {MP._u('patient_id')}, patient_id) AS pos, count(*) OVER () AS n FROM lab) s),
+bad AS (SELECT DISTINCT feature FROM cells JOIN hs USING (patient_id) WHERE split = 'train' AND beta IS NULL),
+coh AS (SELECT cohort, patient_id, list(beta ORDER BY feature) AS x FROM cohorts WHERE feature NOT IN (SELECT feature FROM bad) GROUP BY cohort, patient_id)"""
+TRAIN_ROWS = """SELECT patient_id, list(beta ORDER BY feature) AS x, any_value(label) AS label FROM cells JOIN hs USING (patient_id)
+  WHERE split = 'train' AND feature NOT IN (SELECT feature FROM bad) GROUP BY patient_id"""
+
+
+@register("cohort_eval", f"""WITH RECURSIVE {COHORT_SQL}, {_logistic_sql(CLASSIFIER, TRAIN_ROWS)},
+sc AS (SELECT cohort, patient_id, {_P} > 0.6::DOUBLE AS pos FROM coh, models),
+k AS (SELECT cohort, count(*) AS n_scored, count_if(pos) AS n_positive, count_if(split = 'test' AND pos AND label = 1) AS tp, count_if(split = 'test' AND pos AND label = 0) AS fp,
+             count_if(split = 'test' AND NOT pos AND label = 0) AS tn, count_if(split = 'test' AND NOT pos AND label = 1) AS fn
+      FROM sc LEFT JOIN hs USING (patient_id) GROUP BY cohort)
+SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall,
+       coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0.0) AS accuracy FROM k""")
 def q_cohort_eval(spark, sf):
-    """Scaler and model fitted on the training patients of the main cohort, applied in one packed
-    pass to those patients of the external cohorts a/b/c that the fit has not seen; confusion
-    counts per cohort."""
-    lab = SM.split3(MP._lab(spark, sf), "patient_id", 0.3, None, MP.SEED)
-    seen, held = (lab.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    cells = X.cells(spark, sf).join(seen.select("patient_id"), "patient_id", "left_semi")
-    fit = scaler_fit(cells)
-    z = scaler_apply(cells, fit).drop("beta").withColumnRenamed("z", "beta")
-    order = MD.M.feature_order(MD.M.drop_null(cells, "features"))
-    model = MD.classifier().fit(MD.feature_vectors(z, order).join(seen, "patient_id"))
-    cohorts = X.cohorts(spark, sf).join(held.select("patient_id"), "patient_id", "left_semi")
-    zc = scaler_apply(cohorts, fit).drop("beta").withColumnRenamed("z", "beta")
-    vec = MD.feature_vectors(zc, order, keys=("cohort", "patient_id"))
-    scored = MD.positive_probability(model.transform(vec.join(held, "patient_id")))
-    return S.confusion(scored, "label", "p", 0.6, ["cohort"])
+    """A model fitted on the training patients of the main cohort scores every row of the external
+    cohorts a/b/c; confusion counts are of the labelled patients that the fit has not seen."""
+    lab = cut_lineage(SM.split3(MP._lab(spark, sf), "patient_id", 0.3, None, MP.SEED))
+    seen = lab.filter(F.col("split") == "train")
+    clean = MD.M.drop_null(X.cells(spark, sf).join(seen.select("patient_id"), "patient_id", "left_semi"), "features")
+    order = cut_lineage(MD.M.feature_order(clean))
+    train = cut_lineage(MD.M.pack(clean, order).join(seen, "patient_id"))
+    rows = MD.M.pack(X.cohorts(spark, sf), order, ("cohort", "patient_id"))
+    scored = ST.probability(rows, ST.fit_logistic(train, CLASSIFIER)[0]).join(lab, "patient_id", "left")
+    pos, held = F.col("p") > 0.6, F.col("split") == "test"
+    count = lambda c, name: F.count_if(c).alias(name)
+    k = scored.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_scored"), count(pos, "n_positive"), *[
+        count(held & said & (F.col("label") == y), name) for said, y, name in ((pos, 1, "tp"), (pos, 0, "fp"), (~pos, 0, "tn"), (~pos, 1, "fn"))])
+    share = lambda a, b, name: F.coalesce(F.try_divide(a, b), F.lit(0.0)).alias(name)
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    return k.select("*", share(tp, tp + fp, "precision"), share(tp, tp + fn, "recall"), share(tp + tn, tp + fp + tn + fn, "accuracy"))
 
 
 @register("score_batch", f"""WITH RECURSIVE {MP.LAB_SQL}, {MP.SPLIT_SQL}, {CLASS_ROWS_SQL}, {_logistic_sql(CLASSIFIER)}
