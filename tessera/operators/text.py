@@ -144,7 +144,9 @@ def sentences(text):
 def summarize(df: DataFrame, key: str, text: str, min_tokens: int = 30, max_tokens: int = 150) -> DataFrame:
     """Extractive summary: sentences scored by their words' document frequency
     (normalised by the most frequent word), taken best-first while the token
-    budget allows (at least ``min_tokens``), then printed in document order."""
+    budget allows (at least ``min_tokens``), then printed in document order.  A sentence
+    that would pass ``max_tokens`` while there are too few is cut to its first words, so
+    no summary has more than ``max_tokens``."""
     # One shuffle of the raw text by document: every later aggregate, join and
     # window is keyed by (document, ...), which hash partitioning on the
     # document already satisfies, so words are never shuffled.
@@ -159,6 +161,9 @@ def summarize(df: DataFrame, key: str, text: str, min_tokens: int = 30, max_toke
     w = Window.partitionBy(key).orderBy(F.desc("score"), "sid")
     sent = sent.withColumn("cum", F.sum("ntok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     keep = sent.filter(((F.col("cum") - F.col("ntok")) < min_tokens) | (F.col("cum") <= max_tokens))
+    left = (F.lit(max_tokens) - (F.col("cum") - F.col("ntok"))).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all("s", F.lit(TX.WORD_PATTERN), 0), F.lit(1), F.greatest(left, F.lit(0))), " ")
+    keep = keep.withColumn("s", F.when(F.col("cum") > max_tokens, cut).otherwise(F.col("s"))).withColumn("ntok", F.least("ntok", left.cast("bigint")))
     out = keep.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sid", "s"))).alias("_ss"),
                                 F.sum("ntok").alias("summary_tokens"))
     return out.select(key, F.array_join(F.transform("_ss", lambda x: F.trim(x["s"])), " ").alias("summary"),

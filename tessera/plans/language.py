@@ -149,7 +149,8 @@ tf AS (SELECT doc_id, w, count(*) AS tf FROM wds GROUP BY ALL),
 sc AS (SELECT doc_id, sid, sum(tf) AS score FROM wds JOIN tf USING (doc_id, w) GROUP BY ALL),
 ss AS (SELECT sent.*, sc.score, len({_words_sql('s')}) AS ntok FROM sent JOIN sc USING (doc_id, sid)),
 cum AS (SELECT *, sum(ntok) OVER (PARTITION BY doc_id ORDER BY score DESC, sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM ss)
-SELECT doc_id, string_agg(trim(s), ' ' ORDER BY sid) AS summary, sum(ntok) AS summary_tokens
+SELECT doc_id, string_agg(CASE WHEN c > 150 THEN array_to_string(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+')[1:(150 - (c - ntok))::BIGINT], ' ') ELSE trim(s) END, ' ' ORDER BY sid) AS summary,
+       sum(least(ntok, 150 - (c - ntok))) AS summary_tokens
 FROM cum WHERE c - ntok < 30 OR c <= 150 GROUP BY doc_id"""
 
 

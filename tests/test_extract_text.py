@@ -1,4 +1,6 @@
 """HTML metric extraction and text preparation."""
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ PAGE = ("<table>\n<tr><td>Market Cap</td><td class=\"v\"><span>1.25T</span></td>
         "<tr><td>EBITDA</td><td><span>12.2%</span></td></tr>\n</table>")
 BACKUP = "<tr><td>Revenue (ttm)</td><td><b>-</b></td></tr>\n<tr><td>Total Debt to Equity</td><td><b>45.1M</b></td></tr>\n"
 
-
 def test_extract_and_clean(spark):
     pages = spark.createDataFrame([("AAA", PAGE)], "ticker string, html string")
     m = ["Market Cap", "Trailing P/E", "Price/Sales", "Revenue", "EBITDA", "Total Debt/Equity"]
@@ -95,3 +96,12 @@ def test_feed_explode(spark):
                                  "page int, articles array<struct<title:string,content:string>>")
     arts = TO.nonempty(TO.explode_articles(feed, keep=["page"]))
     assert [(r.title, r.content) for r in arts.collect()] == [("t1", "c1")]
+
+
+def test_summaries_are_bounded(spark):
+    word = re.compile(r"[^\W_]+")
+    long = " ".join(f"Word{i}" for i in range(5000))
+    rows = [(1, long), (2, "Short one. " + long + ". Another."), (3, "A b c. " * 200), (4, "tiny")]
+    got = {r.id: r for r in TO.summarize(spark.createDataFrame(rows, "id int, text string"), "id", "text", 30, 150).collect()}
+    assert all(len(word.findall(r.summary)) == r.summary_tokens <= 150 for r in got.values())
+    assert got[1].summary == " ".join(f"Word{i}" for i in range(150)) and got[4].summary_tokens == 1 and got[2].summary_tokens == 150
