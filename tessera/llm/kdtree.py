@@ -2,21 +2,26 @@
 
 A node that has to give k shards is split where floor(k/2)/k of its bytes lie on
 the left, along the dimension in which it is widest, until every node is one
-shard.  The dimensions are the size, the metadata columns asked for (by default the
-language; equal texts take the smallest of theirs) and the text's hash, each mapped to
-[0, 1).
-
-No level sorts or moves rows.  All nodes of a level are split by two histograms:
-bytes by (node, 4,096 bins of the dimension), then, for the rows of the bin that
-the split falls in, bytes by (node, 4,096 bins of the text hash).  So equal texts
-stay side by side and go to one shard, and a split misses its share by one hash
-bin at most.  A group of equal texts that weighs more than ``whole_group`` of a
-shard is spread by the hash of its row instead of being kept whole.  What comes
+shard.  The dimensions are the size and the metadata columns asked for (by default
+language and source; equal texts take the smallest of theirs), each mapped to [0, 1).
+
+Inside a node rows stand in one order: bin of the dimension (4,096), hash of the
+text (two digits of 4,096), hash of the row (4,096).  So equal texts are neighbours.
+The cut goes to the boundary between texts nearest to the median; only where that
+misses it by more than half of ``whole_group`` of a shard (a group of equal texts too
+heavy for either side) does it go through the group, by the hash of the row.  A cut
+parts one group at most; all other groups stay whole, whatever they weigh.
+
+No level sorts or moves rows: the cuts of all nodes of a level come from a histogram
+of bytes per digit, each over the rows that the digits before it left open.  What comes
 to the driver is one row per node and bin: at most shards x 4,096, at any input.
 
 Defined cases: a null text weighs 16 bytes and counts as empty; null metadata is
-a value of its own; equal rows may share a shard or not, with slots of their own;
-an empty table gives an empty result.
+a value of its own; equal rows (id and text) share shard and sit side by side, with slots
+of their own; texts of any length weigh their bytes, and one heavier than a shard makes its
+shard as heavy; metadata columns that are missing are left out, further columns are not
+read, whatever their names; ties of distance go to the smaller cut; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from tessera.operators.ranking import global_rank
 from tessera.session import cut_lineage
 
 BINS = 4096
+DIGITS = 4
 ROW_BYTES = 16
 
 
@@ -40,29 +46,22 @@ def _unit(h: Column) -> Column:
     return (h.bitwiseAND(F.lit((1 << 62) - 1)).cast("double")) / float(2 ** 62)
 
 
-def points(docs: DataFrame, dims: list[str], id_col: str, text: str, shards: int, whole_group: float) -> DataFrame:
-    """One narrow row per document: size, hash position, coordinates."""
+def points(docs: DataFrame, dims: list[str], id_col: str, text: str) -> DataFrame:
+    """One narrow row per document: size, hashes of text and row in [0, 1), coordinates c0, c1, ..."""
     t = text_of(text)
-    base = docs.select(
+    base = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(t) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"),
-        *[F.col(d).alias(f"m{i}") for i, d in enumerate(dims)])
-    base = cut_lineage(base)
-    total = base.agg(F.sum("size"), F.max("size")).first()
-    if total[0] is None:
-        return base.withColumns({"row_h": F.xxhash64("doc_id", "h"), "spread": F.lit(False), "at": F.lit(0.0), "c0": F.lit(0.0)}).drop("h")
-    # groups of equal texts above this weight do not stay whole
-    limit = max(whole_group * total[0] / shards, total[1])
+        *[F.col(d).cast("string").alias(f"m{i}") for i, d in enumerate(dims)]))
+    big = math.log2((base.agg(F.max("size")).first()[0] or 0) + 2)
     metas = [f"m{i}" for i in range(len(dims))]
-    groups = base.groupBy("h").agg(F.sum("size").alias("g"), *[F.min(F.col(m).cast("string")).alias(f"g_{m}") for m in metas])
-    base = base.drop(*metas).join(groups, "h").withColumn("spread", F.col("g") > limit)
+    if metas:
+        groups = base.groupBy("h").agg(*[F.min(m).alias(f"g_{m}") for m in metas])
+        base = base.drop(*metas).join(groups, "h")
     base = base.withColumn("row_h", F.xxhash64("doc_id", "h"))
-    base = base.withColumn("at", _unit(F.when(F.col("spread"), F.xxhash64("row_h")).otherwise(F.col("h"))))
-    big = math.log2(total[1] + 1)
-    coords = [F.least(F.log2(F.col("size") + 1) / big, F.lit(1 - 1e-9))]
-    coords += [_unit(F.xxhash64(F.coalesce(F.col(f"g_m{i}"), F.lit("\x00")))) for i in range(len(dims))]
-    coords += [F.col("at")]
-    return cut_lineage(base.select("doc_id", "size", "text_crc32", "row_h", "at", *[c.alias(f"c{i}") for i, c in enumerate(coords)]))
+    coords = [F.log2(F.col("size") + 1) / big] + [_unit(F.xxhash64(F.coalesce(F.col(f"g_{m}"), F.lit("\x00")))) for m in metas]
+    return cut_lineage(base.select("doc_id", "size", "text_crc32", "row_h", _unit(F.col("h")).alias("at"), _unit(F.xxhash64("row_h")).alias("row_at"),
+                                   *[c.alias(f"c{i}") for i, c in enumerate(coords)]))
 
 
 def _per_node(values: list, kind: str) -> Column:
@@ -78,10 +77,54 @@ def _bin(dims: list[str], widest: list[tuple]) -> Column:
     return F.greatest(F.least(at, F.lit(BINS - 1)), F.lit(0))
 
 
-def assign(pts: DataFrame, shards: int) -> DataFrame:
+def _place(dims: list[str], widest: list[tuple]) -> Column:
+    """A row's place in the order of its node: four digits of 4,096."""
+    digits = [_bin(dims, widest), F.floor(F.col("at") * BINS), F.floor(F.col("at") * BINS * BINS) % BINS, F.floor(F.col("row_at") * BINS)]
+    place = F.lit(0).cast("bigint")
+    for d in digits:
+        place = place * BINS + d.cast("bigint")
+    return place
+
+
+def _cuts(pts: DataFrame, gives: list[int], slack: float, near: float) -> list[int]:
+    """The place at which each node is cut: rows before it go left."""
+    n = len(gives)
+    goal, before, prefix = [0.0] * n, [0] * n, [0] * n
+    best = [(math.inf, 0)] * n  # distance from the goal, place
+    open_ = [k > 1 for k in gives]
+    for digit in range(DIGITS):
+        shift = 12 * (DIGITS - 1 - digit)
+        rows = pts if digit == 0 else pts.filter(F.shiftright("place", shift + 12) == _per_node([p if o else -1 for p, o in zip(prefix, open_)], "bigint"))
+        hist = np.zeros((n, BINS), np.int64)
+        for r in rows.groupBy("node", F.shiftright("place", shift).bitwiseAND(F.lit(BINS - 1)).cast("int").alias("d")) \
+                .agg(F.sum("size").alias("w")).collect():
+            hist[r["node"], r["d"]] = r["w"]
+        for i in range(n):
+            if not open_[i]:
+                continue
+            steps = before[i] + np.concatenate([[0], np.cumsum(hist[i])])
+            if digit == 0:
+                goal[i] = int(steps[-1]) * (gives[i] // 2) / gives[i]
+            j = int(np.argmin(np.abs(steps - goal[i])))
+            best[i] = min(best[i], (float(abs(steps[j] - goal[i])), (prefix[i] * BINS + j) << shift))
+            cross = max(0, min(int(np.searchsorted(steps[1:], goal[i])), BINS - 1))
+            before[i], prefix[i] = int(steps[cross]), prefix[i] * BINS + cross
+            # boundaries between texts first; through a group of equal texts only beyond the slack
+            open_[i] = best[i][0] > (slack if digit == DIGITS - 2 else near)
+        if not any(open_):
+            break
+    return [place for _, place in best]
+
+
+def assign(pts: DataFrame, shards: int, whole_group: float = 0.02) -> DataFrame:
     """``pts`` with ``shard``, 0 to shards - 1."""
     dims = [c for c in pts.columns if c[0] == "c" and c[1:].isdigit()]
+    total, largest = pts.agg(F.sum("size"), F.max("size")).first()
     pts = pts.withColumn("node", F.lit(0))
+    if total is None:
+        return pts.withColumnRenamed("node", "shard")
+    slack = max(whole_group * total / shards, largest) / 2
+    near = total / shards / 1000
     gives = [shards]  # shards of each node, from left to right
     while max(gives) > 1:
         spans = {r["node"]: r for r in pts.groupBy("node").agg(
@@ -91,45 +134,25 @@ def assign(pts: DataFrame, shards: int) -> DataFrame:
             ranges = [(spans[n][f"lo_{d}"], spans[n][f"hi_{d}"]) if n in spans else (0.0, 0.0) for d in dims]
             d = max(range(len(dims)), key=lambda i: (ranges[i][1] - ranges[i][0], -i))
             widest.append((d, *ranges[d]))
-        pts = pts.withColumn("bin", _bin(dims, widest))
-        # bytes by bin of the widest dimension: the bin in which the split falls
-        hist = np.zeros((len(gives), BINS), np.int64)
-        for r in pts.groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
-            hist[r["node"], r["bin"]] = r["w"]
-        run = np.cumsum(hist, axis=1)
-        goal = [int(run[n, -1]) * (k // 2) / k if k > 1 else math.inf for n, k in enumerate(gives)]
-        cross = [min(int(np.searchsorted(run[n], g)), BINS - 1) for n, g in enumerate(goal)]
-        # inside that bin, bytes by bin of the text's hash
-        fine = np.zeros((len(gives), BINS), np.int64)
-        for r in pts.filter(F.col("bin") == _per_node(cross, "int")) \
-                .groupBy("node", F.floor(F.col("at") * BINS).cast("int").alias("a")).agg(F.sum("size").alias("w")).collect():
-            fine[r["node"], r["a"]] = r["w"]
-        cut, left, right, grown = [], [], [], []
-        for n, k in enumerate(gives):
+        pts = pts.withColumn("place", _place(dims, widest))
+        cuts = _cuts(pts, gives, slack, near)
+        left, right, grown = [], [], []
+        for k in gives:
             left.append(len(grown))
-            if k == 1:
-                cut.append(1.0)
-                right.append(len(grown))
-                grown.append(1)
-                continue
-            before = int(run[n, cross[n] - 1]) if cross[n] else 0
-            steps = before + np.concatenate([[0], np.cumsum(fine[n])])
-            cut.append(int(np.argmin(np.abs(steps - goal[n]))) / BINS)
-            right.append(len(grown) + 1)
-            grown += [k // 2, k - k // 2]
-        at_bin = _per_node(cross, "int")
-        is_left = (F.col("bin") < at_bin) | ((F.col("bin") == at_bin) & (F.col("at") < _per_node(cut, "double")))
-        pts = pts.withColumn("node", F.when(is_left, _per_node(left, "int")).otherwise(_per_node(right, "int"))).drop("bin")
+            right.append(len(grown) + (k > 1))
+            grown += [k // 2, k - k // 2] if k > 1 else [1]
+        is_left = F.col("place") < _per_node([c if k > 1 else 1 << 60 for c, k in zip(cuts, gives)], "bigint")
+        pts = pts.withColumn("node", F.when(is_left, _per_node(left, "int")).otherwise(_per_node(right, "int"))).drop("place")
         pts = cut_lineage(pts)  # narrow rows; six nested levels would not compile as one expression
         gives = grown
     return pts.withColumnRenamed("node", "shard")
 
 
-def shard(docs: DataFrame, shards: int = 40, dims=("lang",), id_col: str = "doc_id", text: str = "text",
+def shard(docs: DataFrame, shards: int = 40, dims=("lang", "source"), id_col: str = "doc_id", text: str = "text",
           whole_group: float = 0.02) -> DataFrame:
     """doc_id, size, text_crc32, shard and a gapless slot from 0 in each shard (by row hash)."""
-    pts = points(docs, list(dims), id_col, text, shards, whole_group)
-    placed = assign(pts, shards).select("doc_id", "size", "text_crc32", "row_h", "shard")
+    pts = points(docs, [d for d in dims if d in docs.columns], id_col, text)
+    placed = assign(pts, shards, whole_group).select("doc_id", "size", "text_crc32", "row_h", "shard")
     return global_rank(placed, [F.col("doc_id").asc_nulls_first(), "row_h"], "slot", base=0, partition_by=["shard"]) \
         .select("doc_id", "size", "text_crc32", "shard", "slot")
 
