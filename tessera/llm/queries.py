@@ -82,7 +82,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import pii
     out = pii.find(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
-                      F.array_join(F.concat("base", "added"), ",").alias("spans"))
+                      F.array_join(F.concat("base", "added"), ",").alias("spans"), F.size("added").cast("bigint").alias("n_added"),
+                      (F.size("base") + F.size("added")).cast("bigint").alias("n_spans"))
 
 
 @register("op6_url_filter")
