@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
+from tessera.operators import rouge as RG
 from tessera.operators import text as TO
 from tessera.plans import fixtures as X
 from tessera.plans.registry import register
@@ -138,6 +139,47 @@ def q_rouge_l(spark, sf):
     return TO.rouge_l(_pairs(spark, sf), "pair_id", "answer", "question")
 
 
+@register("rouge_lsum")
+def q_rouge_lsum(spark, sf):
+    return RG.rouge_lsum(_pairs(spark, sf), "pair_id", "answer", "question")
+
+
+SAMPLES, SEED = 200, 11
+
+
+def _mix_sql(x: str, name: str, src: str) -> str:
+    """CTEs ``name``: the columns of ``src`` and m, the 32-bit finaliser of ``x``."""
+    def shift(c, n):
+        return f"xor({c}, {c} >> {n})"
+    return f"""{name}_1 AS (SELECT *, {x} AS m1 FROM {src}),
+{name}_2 AS (SELECT *, ({shift('m1', 16)} * {RG.MULT1}::UBIGINT) % 4294967296::UBIGINT AS m2 FROM {name}_1),
+{name}_3 AS (SELECT *, ({shift('m2', 13)} * {RG.MULT2}::UBIGINT) % 4294967296::UBIGINT AS m3 FROM {name}_2),
+{name} AS (SELECT * EXCLUDE (m1, m2, m3), {shift('m3', 16)} AS m FROM {name}_3)"""
+
+
+SCORES = [f"rouge{n}_{c}" for n in "12" for c in "prf"]
+BOOTSTRAP_SQL = f"""
+WITH rg AS ({ROUGE_SQL}),
+k AS (SELECT *, md5('{SEED}|' || pair_id) AS hex FROM rg),
+h AS (SELECT * EXCLUDE (hex), ('0x' || substr(hex, 1, 8))::UBIGINT AS hi, ('0x' || substr(hex, 9, 8))::UBIGINT AS lo FROM k),
+b AS (SELECT h.*, s.sample FROM h, (SELECT unnest(range({SAMPLES})) AS sample) s),
+{_mix_sql(f"(hi + (sample::UBIGINT * {RG.STEP}::UBIGINT) % 4294967296::UBIGINT) % 4294967296::UBIGINT", "x", "b")},
+y0 AS (SELECT * EXCLUDE (m), xor(m, lo) AS m0 FROM x),
+{_mix_sql("m0", "y", "y0")},
+z AS (SELECT *, {' + '.join(f"(m >= {m})::INTEGER" for m in RG.MARKS)} AS w FROM y),
+means AS (SELECT sample, {', '.join(f"sum(w * {c}) / sum(w) AS {c}" for c in SCORES)} FROM z GROUP BY sample HAVING sum(w) > 0),
+long AS (UNPIVOT means ON {', '.join(SCORES)} INTO NAME score VALUE v)
+SELECT score, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.5), 9) AS mid, round(quantile_cont(v, 0.975), 9) AS high
+FROM long GROUP BY score"""
+
+
+@register("rouge_bootstrap", BOOTSTRAP_SQL)
+def q_rouge_bootstrap(spark, sf):
+    scores = TO.rouge_n(_pairs(spark, sf), "pair_id", "answer", "question", (1, 2))
+    out = RG.bootstrap_scores(scores, "pair_id", SCORES, SAMPLES, 0.95, SEED)
+    return out.select("score", *[F.round(c, 9).alias(c) for c in ("low", "mid", "high")])
+
+
 SUMMARY_SQL = f"""
 WITH a AS (SELECT doc_id, content FROM articles WHERE length(content) > 0),
 s0 AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(content, ''), '{TO.SENTENCE_END}', '\\1' || chr(1), 'g'),
