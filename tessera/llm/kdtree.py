@@ -26,6 +26,7 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -38,6 +39,7 @@ from tessera.session import cut_lineage
 
 BINS = 4096
 DIGITS = 4
+HOT = 1024
 ROW_BYTES = 16
 
 
@@ -46,6 +48,22 @@ def _unit(h: Column) -> Column:
     return (h.bitwiseAND(F.lit((1 << 62) - 1)).cast("double")) / float(2 ** 62)
 
 
+def _one_place(base: DataFrame, metas: list[str]) -> DataFrame:
+    """``base`` with g_<meta>: the smallest of its text's, so equal texts share one.
+
+    Only texts whose rows differ need a join; those with more than one row in ``HOT`` of all (so
+    fewer than ``HOT`` texts) are broadcast and their rows not shuffled."""
+    differs = [(F.min(m) != F.max(m)) | ((F.count(m) > 0) & (F.count(m) < F.count(F.lit(1)))) for m in metas]
+    any_differs = functools.reduce(lambda a, b: a | b, [F.coalesce(d, F.lit(False)) for d in differs])
+    groups = cut_lineage(base.groupBy("h").agg(F.count(F.lit(1)).alias("n"), any_differs.alias("mixed"), *[F.min(m).alias(f"g_{m}") for m in metas])
+                         .filter("mixed").drop("mixed"))
+    busy = base.count() / HOT
+    hot, rest = groups.filter(F.col("n") > busy).drop("n"), groups.filter(F.col("n") <= busy).withColumn("found", F.lit(True)).drop("n")
+    cold = base.join(F.broadcast(hot.select("h")), "h", "left_anti").join(rest, "h", "left") \
+        .select(*base.columns, *[F.when(F.col("found"), F.col(f"g_{m}")).otherwise(F.col(m)).alias(f"g_{m}") for m in metas])
+    return cold.unionByName(base.join(F.broadcast(hot), "h").select(*cold.columns)).drop(*metas)
+
+
 def points(docs: DataFrame, dims: list[str], id_col: str, text: str) -> DataFrame:
     """One narrow row per document: size, hashes of text and row in [0, 1), coordinates c0, c1, ..."""
     t = text_of(text)
@@ -56,8 +74,7 @@ def points(docs: DataFrame, dims: list[str], id_col: str, text: str) -> DataFram
     big = math.log2((base.agg(F.max("size")).first()[0] or 0) + 2)
     metas = [f"m{i}" for i in range(len(dims))]
     if metas:
-        groups = base.groupBy("h").agg(*[F.min(m).alias(f"g_{m}") for m in metas])
-        base = base.drop(*metas).join(groups, "h")
+        base = _one_place(base, metas)
     base = base.withColumn("row_h", F.xxhash64("doc_id", "h"))
     coords = [F.log2(F.col("size") + 1) / big] + [_unit(F.xxhash64(F.coalesce(F.col(f"g_{m}"), F.lit("\x00")))) for m in metas]
     return cut_lineage(base.select("doc_id", "size", "text_crc32", "row_h", _unit(F.col("h")).alias("at"), _unit(F.xxhash64("row_h")).alias("row_at"),

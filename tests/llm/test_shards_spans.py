@@ -72,6 +72,17 @@ def test_shards_equal_a_brute_force_tree(spark):
         assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_metadata_of_equal_texts_is_the_smallest(spark, monkeypatch):
+    docs = _table(spark, 40)
+    want = None
+    for hot in (1, 16, 10 ** 9):  # all groups by shuffle, the large one by broadcast, all by broadcast
+        monkeypatch.setattr(kdtree, "HOT", hot)
+        got = sorted((str(r.doc_id), r.size, r.c1, r.c2) for r in kdtree.points(docs, ["lang", "source"], "doc_id", "text").collect())
+        assert len(got) == docs.count() and (want is None or got == want)
+        want = got
+    assert len({x[2:] for x in got if x[1] == 196 and 400 <= int(x[0]) < 440}) == 1
+
+
 def test_groups_of_equal_texts_are_cut_only_at_shard_borders(spark):
     got = kdtree.shard(_table(spark, 300), 12).collect()
     hot = [r for r in got if r.text_crc32 == zlib.crc32(("hot text " * 20).encode())]
