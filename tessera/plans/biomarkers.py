@@ -10,6 +10,7 @@ from tessera.operators import matrix as M
 from tessera.operators import stats as S
 from tessera.operators.ranking import global_rank, row_count
 from tessera.plans import fixtures as X
+from tessera.sources import chunks as C
 from tessera.plans.registry import register
 
 LONG_SQL = ("SELECT CAST(vec_id AS VARCHAR) AS patient_id, 'cg' || printf('%02d', pos) AS feature, "
@@ -34,6 +35,42 @@ def q_chunk_union(spark, sf):
     return M.unpack_chunks(X.table(spark, sf, "embeddings"), "vec_id", "embedding", chunk=16)
 
 
+PATIENTS_A_FILE, FEATURES_A_FILE = 500, 16
+
+
+def _chunk_files(spark, sf):
+    """The matrix as CSV files of 16 features and 500 patients: (path, content).  Of five files one has a
+    field too many in its last line and one a byte that is no text."""
+    chunk, block = F.floor(F.substring("feature", 3, 9).cast("int") / FEATURES_A_FILE), F.floor(F.col("patient_id").cast("bigint") / PATIENTS_A_FILE)
+    cells = X.cells(spark, sf).select(chunk.alias("chunk"), block.alias("block"), "patient_id", F.struct("feature", "beta").alias("x"))
+    lines = cells.groupBy("chunk", "block", "patient_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select(
+        "chunk", "block", F.concat(F.lit(","), F.array_join("x.feature", ",")).alias("header"),
+        F.concat_ws(",", "patient_id", F.array_join("x.beta", ",", "")).alias("line"))
+    files = lines.groupBy("chunk", "block").agg(F.min("header").alias("header"), F.sort_array(F.collect_list("line")).alias("lines"))
+    kind = (F.col("chunk") + 3 * F.col("block")) % 5
+    text = F.concat_ws("\n", "header", F.array_join("lines", "\n"))
+    content = F.when(kind == 1, F.encode(F.concat(text, F.lit(",9")), "UTF-8")).when(kind == 2, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("0AFF")))) \
+        .otherwise(F.encode(text, "UTF-8"))
+    return files.select(F.format_string("chunk_%d_%d.csv", "chunk", "block").alias("path"), content.alias("content"))
+
+
+_FILES_SQL = f"""
+WITH f AS (SELECT *, CAST(substr(feature, 3) AS INTEGER) // {FEATURES_A_FILE} AS chunk, CAST(patient_id AS BIGINT) // {PATIENTS_A_FILE} AS block FROM cells),
+g AS (SELECT *, 'chunk_' || chunk || '_' || block || '.csv' AS path, (chunk + 3 * block) % 5 AS kind FROM f)"""
+
+
+@register("chunk_cells", _FILES_SQL + " SELECT path, patient_id, feature, beta FROM g WHERE kind NOT IN (1, 2)")
+def q_chunk_cells(spark, sf):
+    return C.cells_of(C.parse_chunks(_chunk_files(spark, sf)))
+
+
+@register("chunk_report", _FILES_SQL + """, r AS (SELECT path, kind, count(DISTINCT patient_id) AS n, count(DISTINCT feature) AS m FROM g GROUP BY ALL)
+SELECT path, CASE kind WHEN 1 THEN 'row ' || n || ': ' || (m + 2) || ' fields, ' || (m + 1) || ' expected' WHEN 2 THEN 'not utf-8' END AS reason,
+       CASE WHEN kind IN (1, 2) THEN 0 ELSE n END AS n_rows, CASE WHEN kind IN (1, 2) THEN 0 ELSE m END AS n_features, 0::BIGINT AS n_bad FROM r""")
+def q_chunk_report(spark, sf):
+    return C.report_of(C.parse_chunks(_chunk_files(spark, sf)))
+
+
 @register("orientation", """
 SELECT count(DISTINCT patient_id) AS n_rows, count(DISTINCT feature) AS n_cols,
        count(DISTINCT feature) < count(DISTINCT patient_id) AS transpose FROM cells""")
