@@ -11,6 +11,7 @@ from tessera.operators import stats as S
 from tessera.operators.ranking import global_rank, row_count
 from tessera.plans import fixtures as X
 from tessera.sources import chunks as C
+from tessera.sources import tiles as TL
 from tessera.plans.registry import register
 
 LONG_SQL = ("SELECT CAST(vec_id AS VARCHAR) AS patient_id, 'cg' || printf('%02d', pos) AS feature, "
@@ -71,6 +72,55 @@ def q_chunk_report(spark, sf):
     return C.report_of(C.parse_chunks(_chunk_files(spark, sf)))
 
 
+WIDE_SLOTS, WIDE_DIM = 157, 64      # 10,048 columns
+
+
+def _wide_tiles(spark, sf):
+    """A matrix of 10,048 columns written as CSV row parts, read as tiles, and written as those.
+
+    Row ``cg<block>`` holds 157 vectors side by side, column ``p<slot>_<component>``."""
+    slot, block = F.pmod("vec_id", F.lit(WIDE_SLOTS)), F.floor(F.col("vec_id") / WIDE_SLOTS)
+    vectors = X.table(spark, sf, "embeddings").select(block.alias("block"), F.struct(slot.cast("int").alias("slot"), F.transform(
+        "embedding", lambda x: x.cast("double").cast("string")).alias("x")).alias("v"))
+    lines = vectors.groupBy("block").agg(F.map_from_entries(F.collect_list("v")).alias("m"))
+    blank = F.array_repeat(F.lit(""), WIDE_DIM)
+    filled = F.flatten(F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda s: F.coalesce(F.try_element_at("m", s), blank)))
+    lines = lines.select(F.concat(F.format_string("cg%05d,", "block"), F.array_join(filled, ",", "")).alias("value"))
+    header = spark.range(1).select(F.concat(F.lit(","), F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE_SLOTS - 1)), lambda s: F.transform(
+        F.sequence(F.lit(0), F.lit(WIDE_DIM - 1)), lambda j: F.concat(F.lit("p"), s, F.lit("_"), j)))), ",")).alias("value"))
+    folder = X.shared_folder(spark, "tiles")
+    header.unionByName(lines).write.text(folder + "/csv")
+    TL.read_tiles(spark, folder + "/csv").write.parquet(folder + "/tiles")
+    X.remove_folder(spark, folder + "/csv")
+    return spark.read.parquet(folder + "/tiles")
+
+
+_WIDE_SQL = f"""
+WITH v AS (SELECT vec_id // {WIDE_SLOTS} AS block, vec_id % {WIDE_SLOTS} AS slot, embedding FROM embeddings),
+x AS (SELECT block, slot, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS beta FROM v),
+g AS (SELECT b.block, s.slot, j.j FROM (SELECT DISTINCT block FROM v) b, (SELECT unnest(range({WIDE_SLOTS})) AS slot) s, (SELECT unnest(range({WIDE_DIM})) AS j) j),
+w AS (SELECT 'p' || g.slot || '_' || g.j AS patient_id, 'cg' || printf('%05d', g.block) AS feature, CASE WHEN isnan(x.beta) THEN NULL ELSE x.beta END AS beta
+      FROM g LEFT JOIN x USING (block, slot, j))"""
+
+
+@register("tile_cells", _WIDE_SQL + " SELECT * FROM w")
+def q_tile_cells(spark, sf):
+    return TL.cells(TL.transpose(_wide_tiles(spark, sf)))
+
+
+@register("tile_shape", _WIDE_SQL + """
+SELECT count(DISTINCT feature) AS n_rows, count(DISTINCT patient_id) AS n_cols,
+       count(DISTINCT patient_id) < count(DISTINCT feature) AS transpose FROM w""")
+def q_tile_shape(spark, sf):
+    return TL.shape(_wide_tiles(spark, sf))
+
+
+@register("tile_nulls", _WIDE_SQL + """
+SELECT patient_id AS col_key, count(*) AS n_cells, CAST(count_if(beta IS NULL) AS BIGINT) AS n_null FROM w GROUP BY ALL""")
+def q_tile_nulls(spark, sf):
+    return TL.column_nulls(_wide_tiles(spark, sf))
+
+
 @register("orientation", """
 SELECT count(DISTINCT patient_id) AS n_rows, count(DISTINCT feature) AS n_cols,
        count(DISTINCT feature) < count(DISTINCT patient_id) AS transpose FROM cells""")

@@ -9,12 +9,15 @@ recipes in DuckDB SQL for the oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tessera.functions.random import uniform
 from tessera.operators import extract as EX
+from tessera.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,17 @@ def offsets(spark, sf_dir=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- matrix
+def shared_folder(spark, name: str) -> str:
+    """A new folder beside the checkpoints."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark, path: str) -> None:
+    """Remove a folder that a fixture wrote and no longer needs."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cells(spark, sf_dir) -> DataFrame:
     """Long beta matrix (patient_id, feature, beta) from ``embeddings``.
 
