@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import rouge as RG
+from tessera.operators import sentence_graph as SG
 from tessera.operators import text as TO
 from tessera.plans import fixtures as X
 from tessera.plans.registry import register
@@ -199,3 +200,44 @@ FROM cum WHERE c - ntok < 30 OR c <= 150 GROUP BY doc_id"""
 @register("summarize", SUMMARY_SQL)
 def q_summarize(spark, sf):
     return TO.summarize(TO.nonempty(X.articles(spark, sf)), "doc_id", "content", 30, 150)
+
+
+def _round_sql(i: int) -> str:
+    """One round of the power iteration over the sentence graph: p<i> from p<i - 1>."""
+    return f"""y{i} AS (SELECT doc_id, w, sum(v * p / deg) AS y FROM vec JOIN deg USING (doc_id, sid) JOIN p{i - 1} USING (doc_id, sid) GROUP BY ALL),
+p{i} AS MATERIALIZED (SELECT doc_id, sid, {SG.DAMPING} + {1 - SG.DAMPING} * sum(v * y) AS p FROM vec JOIN y{i} USING (doc_id, w) GROUP BY ALL)"""
+
+
+GRAPH_SQL = f"""
+WITH RECURSIVE a AS (SELECT doc_id, content FROM articles WHERE length(content) > 0),
+s0 AS (SELECT doc_id, regexp_split_to_array(regexp_replace(content, '{TO.SENTENCE_END}', '\\1' || chr(1), 'g'), '[' || chr(1) || chr(10) || ']+') AS parts FROM a),
+s1 AS (SELECT doc_id, unnest(range(0, len(parts))) AS sid, unnest(parts) AS s FROM s0),
+sent AS MATERIALIZED (SELECT * FROM (SELECT *, len({_words_sql('s')}) AS ntok FROM s1) x WHERE ntok > 0),
+wds AS (SELECT doc_id, sid, w, count(*) AS c FROM (SELECT doc_id, sid, unnest({_words_sql('s')}) AS w FROM sent) x GROUP BY ALL),
+live AS (SELECT doc_id, count(*) AS n FROM sent GROUP BY doc_id),
+df AS (SELECT doc_id, w, count(*) AS df FROM wds GROUP BY ALL),
+raw AS (SELECT doc_id, sid, w, c * ln(1 + n / df) AS v FROM wds JOIN df USING (doc_id, w) JOIN live USING (doc_id)),
+vec AS MATERIALIZED (SELECT doc_id, sid, w, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, sid)) AS v FROM raw),
+tot AS (SELECT doc_id, w, sum(v) AS y FROM vec GROUP BY ALL),
+deg AS MATERIALIZED (SELECT doc_id, sid, sum(v * y) AS deg FROM vec JOIN tot USING (doc_id, w) GROUP BY ALL),
+p0 AS (SELECT doc_id, sid, 1.0::DOUBLE AS p FROM sent),
+{", ".join(_round_sql(i) for i in range(1, SG.ROUNDS + 1))},
+pairs AS (SELECT x.doc_id, x.sid, y.sid AS other FROM vec x JOIN vec y USING (doc_id, w) GROUP BY ALL HAVING round(sum(x.v * y.v), 9) >= {SG.REDUNDANT}),
+near AS (SELECT doc_id, sid, list(other) AS near FROM pairs GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT doc_id, sid, ntok, near, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 9) DESC, sid) AS k
+  FROM sent JOIN p{SG.ROUNDS} USING (doc_id, sid) JOIN near USING (doc_id, sid)),
+walk(doc_id, k, kept, used, go, sid, take) AS (
+  SELECT doc_id, 0::BIGINT, []::BIGINT[], 0::BIGINT, true, NULL::BIGINT, NULL::BIGINT FROM live
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN take > 0 THEN list_append(kept, sid) ELSE kept END, used + coalesce(take, 0), take IS NULL OR take > 0, sid, take FROM (
+    SELECT w.doc_id, r.k, w.kept, w.used, r.sid, CASE WHEN list_has_any(w.kept, r.near) THEN NULL
+      WHEN w.used + r.ntok <= 150 OR w.used < 30 THEN least(r.ntok, 150 - w.used) ELSE 0 END AS take
+    FROM walk w JOIN ranked r ON r.doc_id = w.doc_id AND r.k = w.k + 1 WHERE w.go) x)
+SELECT doc_id, string_agg(CASE WHEN take < ntok THEN array_to_string(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+')[1:take], ' ') ELSE trim(s) END, ' ' ORDER BY sid) AS summary,
+       CAST(sum(take) AS BIGINT) AS summary_tokens
+FROM walk JOIN sent USING (doc_id, sid) WHERE take > 0 GROUP BY doc_id"""
+
+
+@register("graph_summary", GRAPH_SQL)
+def q_graph_summary(spark, sf):
+    return SG.graph_summary(TO.nonempty(X.articles(spark, sf)), "doc_id", "content", 30, 150)
