@@ -1,11 +1,19 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
-Each different text has ``trees`` labels, sequences of MinHash values of its word shingles.
-Texts meet where they share a label's prefix.  The prefix is shortened from ``max_depth`` on
-until the chance that a pair at the threshold shares one in some tree reaches ``recall``: one
-length for the whole corpus (longer matches are among the shorter ones), so labels are joined
-by equality and no trie is built.  Texts that meet, directly or through others, form a candidate group; inside it every pair is compared exactly, by
-its shingle sets.  A group of more than ``block`` texts is compared block against block,
+Each different text has ``trees`` labels of ``max_depth`` MinHash values of its word shingles, kept as
+byte strings in which a prefix of values is a prefix of bytes: the sorted labels of a tree are its prefix trie, and
+the texts below a node at depth d are those whose labels agree on d values.
+
+Texts meet at the longest prefixes first.  Texts that meet, directly or through others, form a
+candidate group; inside it every pair is compared exactly, by its shingle sets.  The similarities
+of the links found so far tell how many the prefixes of that length miss: a pair of
+similarity s is met with probability 1 - (1 - s^d)^trees, so each stands for the inverse of that, and one more
+pair at the threshold is added for what was not seen.  The prefixes are then shortened to the
+longest that brings the estimated recall to ``recall``, and a single pair at the threshold to ``single``; only
+groups that grow are compared again.  It ends where the estimate holds, or at the length
+that reaches ``recall`` even for pairs at the threshold.
+
+A group is compared block against block (``block`` texts and ``_BLOCK_SHINGLES`` shingles about),
 so no task holds more than two blocks; only counts and stars leave a task, never pairs.
 
 Result: one row per document with ``class_id`` (smallest doc_id among the texts linked
@@ -33,7 +41,9 @@ from tessera.llm.graph import components
 from tessera.llm.shingles import SHINGLE, chunks, shingle_sets, signatures
 from tessera.session import cut_lineage
 
-THRESHOLD, TREES, MAX_DEPTH, RECALL, BLOCK = 0.8, 18, 8, 0.9999, 256
+THRESHOLD, TREES, MAX_DEPTH, RECALL, SINGLE, BLOCK = 0.8, 18, 6, 0.9999, 0.999, 256
+#: Similarities of links are counted in this many bins; a block holds about this many shingles.
+_BINS, _BLOCK_SHINGLES = 20, 1 << 21
 #: A table of at most this many (id, group) rows, about 64 MB, is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
@@ -47,32 +57,48 @@ def depth_for(threshold: float, trees: int, max_depth: int, recall: float) -> in
     raise ValueError(f"{trees} trees cannot reach a recall of {recall}")
 
 
-def _sketch(trees: int, max_depth: int, depth: int, n: int):
+def _met(s: np.ndarray | float, depth: int, trees: int):
+    """Chance that a pair of similarity s shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - np.asarray(s, float) ** depth) ** trees
+
+
+def shorten(found: np.ndarray, depth: int, threshold: float, trees: int, recall: float, single: float) -> int:
+    """The longest prefix, of ``depth`` values at most, at which the estimated recall is reached.
+
+    ``found``: links per bin of similarity, from the threshold to 1, met at ``depth``."""
+    s = threshold + (1 - threshold) * np.arange(len(found)) / len(found)
+    there = found / _met(s, depth, trees)
+    there[0] += 1
+    for d in range(depth, 0, -1):
+        if there @ _met(s, d, trees) >= recall * there.sum() and _met(threshold, d, trees) >= single:
+            return d
+    raise ValueError(f"{trees} trees cannot reach a recall of {recall}")
+
+
+def _sketch(trees: int, depth: int, n: int):
     def run(batches):
         for batch in batches:
             ids, texts, h = batch.column(0), binary(batch.column(1)), batch.column(2)
             for lo, hi in chunks(texts):
                 g, at = shingle_sets(texts[lo:hi], n)
-                sig = signatures(g, at, trees * max_depth).reshape(hi - lo, trees, max_depth)[:, :, :depth]
-                label = np.zeros((hi - lo, trees), np.uint64)
-                for k in range(depth):
-                    label = label * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k]
-                label = label.view(np.int64)
-                labels = [row if m else [] for row, m in zip(label.tolist(), np.diff(at).tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), h.slice(lo, hi - lo), pa.array(labels, pa.list_(pa.int64()))], ["id", "h", "labels"])
+                size = np.diff(at)
+                label = (signatures(g, at, trees * depth)[size > 0] >> np.uint64(32)).astype(">u4")
+                ends = np.concatenate([[0], np.cumsum(np.where(size > 0, trees, 0))])
+                flat = pa.Array.from_buffers(pa.binary(4 * depth), ends[-1], [None, pa.py_buffer(label.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), h.slice(lo, hi - lo), pa.array(size, pa.int64()),
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "h", "n", "labels"])
     return run
 
 
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            texts = binary(batch.column(3))
+            texts = binary(batch.column(4))
             for lo, hi in chunks(texts):
                 g, at = shingle_sets(texts[lo:hi], n)
                 data = [g[a:b].tobytes() for a, b in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(data, pa.binary())],
-                                                 ["node", "grp", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(4)), pa.array(data, pa.binary())],
+                                                 ["node", "grp", "size", "blocks", "shingles"])
     return run
 
 
@@ -115,7 +141,8 @@ def _verify(threshold: float):
         pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         both, sizes = shared_counts(sets), np.array([len(s) for s in sets], float)
-        linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+        either = sizes[:, None] + sizes[None, :] - both
+        linked = both >= threshold * either - 1e-6
         one, other = int(pdf["x"][0]), int(pdf["y"][0])
         mine = pdf["own"].to_numpy()
         if one != other:  # pairs inside a block are counted where it meets itself
@@ -124,36 +151,71 @@ def _verify(threshold: float):
         a, b = np.nonzero(np.triu(linked))
         root = _roots(len(sets), a, b)
         nodes = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": nodes, "root": nodes[root], "n_links": linked.sum(axis=1)})
+        bins = (both[a, b] / either[a, b] - threshold) / max(1 - threshold, 1e-9) * _BINS
+        counts = np.bincount(np.clip(bins, 0, _BINS - 1).astype(int), minlength=_BINS)
+        return pd.DataFrame({"node": nodes, "root": nodes[root], "n_links": linked.sum(axis=1), "grp": pdf["grp"], "size": pdf["size"],
+                             "bins": [counts.tolist()] + [None] * (len(nodes) - 1)})
     return run
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, trees: int = TREES, max_depth: int = MAX_DEPTH,
-            recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links, the text's hash ``h``, and whether the text leads its class
-    (that of the smallest doc_id; of several texts under it, of the smallest hash)."""
-    depth = depth_for(threshold, trees, max_depth, recall)
-    rows = _rows(docs, id_col, text)
-    sketch = cut_lineage(rows.mapInArrow(_sketch(trees, depth, depth, n), "id bigint, h binary, labels array<bigint>"))
-    texts = sketch.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("labels").alias("labels"))
-    texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
-    # where two texts share a prefix, each is tied to the bucket's first
-    at = texts.select(F.col("node").alias("u"), F.posexplode("labels").alias("tree", "label"))
+def _groups(texts: DataFrame, depth: int, block: int) -> DataFrame:
+    """node, grp, size, blocks of the texts that share a trie node at ``depth`` with others, directly or through others."""
+    at = texts.select(F.col("node").alias("u"), F.posexplode("labels").alias("tree", "label")).withColumn("label", F.substring("label", 1, 4 * depth))
+    # each text below a node of the trie is tied to the node's first
     first = at.groupBy("tree", "label").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = components(at.join(first, ["tree", "label"]).select("u", "v"))
     met = met.select(F.col("u").alias("node"), F.col("v").alias("grp")).unionByName(met.select(F.col("v").alias("node"), F.col("v").alias("grp")).distinct())
-    sizes = met.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    met = met.join(sizes, "grp").select("node", "grp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    members = cut_lineage(met.join(texts.select("node", "rep", "h"), "node"))
+    met = met.join(texts.select("node", "rep", "h", "n"), "node")
+    sizes = met.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    blocks = F.least("size", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("n") / _BLOCK_SHINGLES))).cast("int")
+    return cut_lineage(met.drop("n").join(sizes.select("grp", "size", blocks.alias("blocks")), "grp").select("node", "grp", "size", "blocks", "rep", "h"))
+
+
+def _compared(rows: DataFrame, members: DataFrame, threshold: float, n: int) -> DataFrame:
+    """node, root, n_links, grp, size, bins of every text of the groups and block of its group."""
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     # one row of each text: that of its smallest id
-    held = rows.join(members, (rows["id"] == members["rep"]) & (rows["h"] == members["h"])).select("node", "grp", "blocks", "text").mapInArrow(
-        _sets(n), "node bigint, grp bigint, blocks int, shingles binary").dropDuplicates(["node"])
+    held = rows.join(members, (rows["id"] == members["rep"]) & (rows["h"] == members["h"])).select("node", "grp", "size", "blocks", "text").mapInArrow(
+        _sets(n), "node bigint, grp bigint, size bigint, blocks int, shingles binary").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = held.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("node", "grp", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "shingles")
-    found = cut_lineage(units.groupBy("grp", "x", "y").applyInPandas(_verify(threshold), "node bigint, root bigint, n_links bigint"))
+        .select("node", "grp", "size", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "shingles")
+    return cut_lineage(units.groupBy("grp", "x", "y").applyInPandas(
+        _verify(threshold), "node bigint, root bigint, n_links bigint, grp bigint, size bigint, bins array<bigint>"))
+
+
+def _linked(rows: DataFrame, texts: DataFrame, threshold: float, n: int, trees: int, max_depth: int, recall: float, single: float, block: int) -> DataFrame:
+    """``_compared`` at the longest prefixes, then at shorter ones while the estimated recall asks for it."""
+    depth, found, done = max_depth, None, None
+    while True:
+        groups = _groups(texts, depth, block)
+        if found is None:
+            found = _compared(rows, groups, threshold, n)
+        else:  # a group of the same first text and size is the same group
+            same = groups.select("grp", "size").distinct().join(done, ["grp", "size"], "left_semi")
+            found = found.join(same, ["grp", "size"], "left_semi").unionByName(
+                _compared(rows, groups.join(done, ["grp", "size"], "left_anti"), threshold, n))
+        done = groups.select("grp", "size").distinct()
+        counts = np.zeros(_BINS)
+        for r in found.filter("bins is not null").select(F.posexplode("bins").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect():
+            counts[r["i"]] = r["c"]
+        shorter = shorten(counts, depth, threshold, trees, recall, single)
+        if shorter == depth:
+            return found
+        depth = shorter
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, trees: int = TREES, max_depth: int = MAX_DEPTH,
+            recall: float = RECALL, single: float = SINGLE, block: int = BLOCK, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, copy_id, n_copies, n_links, the text's hash ``h``, and whether the text leads its class
+    (that of the smallest doc_id; of several texts under it, of the smallest hash)."""
+    depth_for(threshold, trees, max_depth, max(recall, single))  # raises where the trees cannot reach the recall
+    rows = _rows(docs, id_col, text)
+    sketch = cut_lineage(rows.mapInArrow(_sketch(trees, max_depth, n), "id bigint, h binary, n bigint, labels array<binary>"))
+    texts = sketch.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
+    found = _linked(rows, texts, threshold, n, trees, max_depth, recall, single, block)
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     root = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked = texts.select("node", "h", "rep", "n_copies").join(links, "node", "left") \
