@@ -43,8 +43,9 @@ from tessera.session import cut_lineage
 
 THRESHOLD, TREES, MAX_DEPTH, RECALL, SINGLE, BLOCK = 0.8, 18, 6, 0.9999, 0.999, 256
 #: Similarities of links are counted in this many bins; a block holds about this many shingles.
-_BINS, _BLOCK_SHINGLES = 20, 1 << 21
-#: A table of at most this many (id, group) rows, about 64 MB, is broadcast; a larger one is joined by shuffle.
+#: A value is kept by its top ``_VALUE`` bytes (others that agree by chance are compared and found unlike).
+_BINS, _BLOCK_SHINGLES, _VALUE = 20, 1 << 21, 2
+#: A table of at most this many (id, group) or (trie node, first text) rows, about 64 MB, is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
 
@@ -82,11 +83,10 @@ def _sketch(trees: int, depth: int, n: int):
             for lo, hi in chunks(texts):
                 g, at = shingle_sets(texts[lo:hi], n)
                 size = np.diff(at)
-                label = (signatures(g, at, trees * depth)[size > 0] >> np.uint64(32)).astype(">u4")
-                ends = np.concatenate([[0], np.cumsum(np.where(size > 0, trees, 0))])
-                flat = pa.Array.from_buffers(pa.binary(4 * depth), ends[-1], [None, pa.py_buffer(label.tobytes())]).cast(pa.binary())
+                label = (signatures(g, at, trees * depth) >> np.uint64(48)).astype(">u2")
+                labels = [row.tobytes() if m else None for row, m in zip(label, size)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), h.slice(lo, hi - lo), pa.array(size, pa.int64()),
-                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "h", "n", "labels"])
+                                                  pa.array(labels, pa.binary())], ["id", "h", "n", "labels"])
     return run
 
 
@@ -158,12 +158,16 @@ def _verify(threshold: float):
     return run
 
 
-def _groups(texts: DataFrame, depth: int, block: int) -> DataFrame:
+def _groups(texts: DataFrame, depth: int, trees: int, max_depth: int, block: int) -> DataFrame:
     """node, grp, size, blocks of the texts that share a trie node at ``depth`` with others, directly or through others."""
-    at = texts.select(F.col("node").alias("u"), F.posexplode("labels").alias("tree", "label")).withColumn("label", F.substring("label", 1, 4 * depth))
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(
+        t, F.substring("labels", t * (_VALUE * max_depth) + 1, F.lit(_VALUE * depth))))
+    at = texts.filter("labels is not null").select(F.col("node").alias("u"), F.explode(prefixes).alias("at"))
     # each text below a node of the trie is tied to the node's first
-    first = at.groupBy("tree", "label").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = components(at.join(first, ["tree", "label"]).select("u", "v"))
+    first = cut_lineage(at.groupBy("at").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
+    met = components(at.join(first, "at").select("u", "v"))
     met = met.select(F.col("u").alias("node"), F.col("v").alias("grp")).unionByName(met.select(F.col("v").alias("node"), F.col("v").alias("grp")).distinct())
     met = met.join(texts.select("node", "rep", "h", "n"), "node")
     sizes = met.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
@@ -189,7 +193,7 @@ def _linked(rows: DataFrame, texts: DataFrame, threshold: float, n: int, trees:
     """``_compared`` at the longest prefixes, then at shorter ones while the estimated recall asks for it."""
     depth, found, done = max_depth, None, None
     while True:
-        groups = _groups(texts, depth, block)
+        groups = _groups(texts, depth, trees, max_depth, block)
         if found is None:
             found = _compared(rows, groups, threshold, n)
         else:  # a group of the same first text and size is the same group
@@ -212,7 +216,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, tre
     (that of the smallest doc_id; of several texts under it, of the smallest hash)."""
     depth_for(threshold, trees, max_depth, max(recall, single))  # raises where the trees cannot reach the recall
     rows = _rows(docs, id_col, text)
-    sketch = cut_lineage(rows.mapInArrow(_sketch(trees, max_depth, n), "id bigint, h binary, n bigint, labels array<binary>"))
+    sketch = cut_lineage(rows.mapInArrow(_sketch(trees, max_depth, n), "id bigint, h binary, n bigint, labels binary"))
     texts = sketch.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
     texts = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))
     found = _linked(rows, texts, threshold, n, trees, max_depth, recall, single, block)

@@ -289,7 +289,7 @@ def test_the_forest_matches_longest_prefixes_first(spark, monkeypatch):
     base = [word() for _ in range(400)]
     near = [(100 + i, " ".join(base[:-3] + [word() for _ in range(3)])) for i in range(60)]  # 1,770 links far above the threshold
     met, compared, groups, pairs = [], [], forest._groups, forest._compared
-    monkeypatch.setattr(forest, "_groups", lambda texts, depth, block: met.append(depth) or groups(texts, depth, block))
+    monkeypatch.setattr(forest, "_groups", lambda texts, depth, *a: met.append(depth) or groups(texts, depth, *a))
     monkeypatch.setattr(forest, "_compared", lambda rows, members, *a: compared.append(members.count()) or pairs(rows, members, *a))
     for rows, depths in ((far, [6, 4]), (far + near, [6, 5])):
         met.clear()
