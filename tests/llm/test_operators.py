@@ -274,31 +274,6 @@ def test_depth_meets_the_recall():
         forest.depth_for(0.1, 2, 8, 0.9999)
 
 
-def test_prefixes_are_shortened_as_the_links_ask():
-    alike, edge = np.zeros(20), np.zeros(20)
-    alike[18], edge[0] = 5000, 5000
-    assert [forest.shorten(x, 6, 0.8, 18, 0.9999, 0.999) for x in (alike, edge, np.zeros(20))] == [5, 4, 4]
-    assert forest.shorten(alike, 6, 0.8, 18, 0.9999, 0.9) == 6 and forest.shorten(alike, 6, 0.8, 40, 0.9999, 0.999) == 6
-    assert forest.shorten(edge, 4, 0.8, 18, 0.9999, 0.999) == 4
-
-
-def test_the_forest_matches_longest_prefixes_first(spark, monkeypatch):
-    rnd = random.Random(8)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
-    far = [(i, " ".join(word() for _ in range(40))) for i in range(40)]
-    base = [word() for _ in range(400)]
-    near = [(100 + i, " ".join(base[:-3] + [word() for _ in range(3)])) for i in range(60)]  # 1,770 links far above the threshold
-    met, compared, groups, pairs = [], [], forest._groups, forest._compared
-    monkeypatch.setattr(forest, "_groups", lambda texts, depth, *a: met.append(depth) or groups(texts, depth, *a))
-    monkeypatch.setattr(forest, "_compared", lambda rows, members, *a: compared.append(members.count()) or pairs(rows, members, *a))
-    for rows, depths in ((far, [6, 4]), (far + near, [6, 5])):
-        met.clear()
-        compared.clear()
-        got = {r.doc_id: (r.class_id, r.n_links) for r in forest.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-        assert met == depths and got == {i: (i, 0) if i < 100 else (100, 59) for i, _ in rows}
-    assert compared == [60, 0]  # the group did not grow, so it is not compared again
-
-
 def test_decontamination_finds_exact_and_edited_passages(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
