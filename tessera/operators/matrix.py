@@ -57,12 +57,14 @@ def project(cells: DataFrame, features: DataFrame, feature: str = FEAT, strict:
 
 
 def missing_features(cells: DataFrame, features: DataFrame, feature: str = FEAT) -> DataFrame:
-    """Listed features absent from the matrix."""
-    return features.select(feature).distinct().join(cells.select(feature), feature, "left_anti")
+    """Listed features absent from the matrix.  Only the names of the matrix are shuffled, each once a task."""
+    return features.select(feature).distinct().join(cells.select(feature).distinct(), feature, "left_anti")
 
 
 def feature_intersect(cells: DataFrame, features: DataFrame, feature: str = FEAT) -> DataFrame:
-    return features.select(feature).intersect(cells.select(feature))
+    """Listed features that the matrix has.  Names are made distinct before they are shuffled: a task gets
+    names, whatever the number of cells that carry them."""
+    return features.select(feature).distinct().intersect(cells.select(feature).distinct())
 
 
 def feature_order(cells: DataFrame, feature: str = FEAT) -> DataFrame:

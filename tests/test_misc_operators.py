@@ -127,3 +127,19 @@ def test_damaged_chunk_is_reported_and_gives_no_cells(spark, tmpdir_path):
     from tessera.sources.files import read_chunks
     cells, unreadable = read_chunks(spark, [good, bad, os.path.join(tmpdir_path, "none.csv")])
     assert unreadable == [bad, os.path.join(tmpdir_path, "none.csv")] and cells.count() == 400 * 50
+
+
+def test_feature_names_are_distinct_before_they_are_shuffled(spark):
+    from tessera.operators import matrix as M
+    cells = spark.range(6000).selectExpr("cast(id % 400 as string) patient_id", "if(id % 15 = 0, null, concat('cg', id % 15)) feature", "rand() beta")
+    listed = spark.createDataFrame([("cg3",), ("cg3",), (None,), ("absent",)], "feature string")
+    both, missing = M.feature_intersect(cells, listed), M.missing_features(cells, listed)
+    assert sorted(r[0] or "" for r in both.collect()) == ["", "cg3"] and {r[0] for r in missing.collect()} == {"absent", None}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (M.feature_intersect(cells, listed), M.missing_features(cells, listed)):
+            lines = [x.strip(" +-:*()0123456789") for x in df._jdf.queryExecution().sparkPlan().toString().splitlines()]
+            at = next(i for i, x in enumerate(lines) if "Join" in x)
+            assert sum("HashAggregate" in x for x in lines[at:]) == 4, lines      # both sides, in the task and after
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
