@@ -105,3 +105,23 @@ def test_summaries_are_bounded(spark):
     got = {r.id: r for r in TO.summarize(spark.createDataFrame(rows, "id int, text string"), "id", "text", 30, 150).collect()}
     assert all(len(word.findall(r.summary)) == r.summary_tokens <= 150 for r in got.values())
     assert got[1].summary == " ".join(f"Word{i}" for i in range(150)) and got[4].summary_tokens == 1 and got[2].summary_tokens == 150
+
+
+def _texts(n):
+    rnd = __import__("random").Random(4)
+    return [(i, *[None if rnd.random() < 0.05 else "".join(rnd.choice("ab cd e.f\n !G") for _ in range(rnd.randrange(0, 400))) for _ in "pr"]) for i in range(n)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rouge_of_own_keys_shuffles_nothing_and_shared_keys_are_summed(spark):
+    df = spark.createDataFrame(_texts(60), "id int, pred string, ref string")
+    got = TO.rouge_n(df, "id", "pred", "ref", (1, 2, 3))
+    assert "Exchange" not in _plan(got) and "Sort" not in _plan(got)
+    twice = df.unionByName(df).unionByName(spark.createDataFrame([(None, "a b b", "b"), (None, "b", "b c b"), (99, "x", "x")], df.schema))
+    both = {r.id: r for r in TO.rouge_n(twice, "id", "pred", "ref", (1, 2, 3)).collect()}
+    rows = got.collect()
+    assert len(both) == len(rows) + 2 == 62 and all(both[r.id] == r for r in rows)      # doubled counts, equal shares
+    assert (both[None].rouge1_p, both[None].rouge1_r) == (0.75, 0.75) and both[99].rouge1_f == 1.0
