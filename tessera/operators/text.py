@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,22 +180,89 @@ def sentences(text):
     return F.split(marked, SENTENCE_SEP)
 
 
+def token_blocks(words: pa.Array, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Texts given as arrays of sentences of words, in runs of about ``block`` words (whole texts): sentences
+    of each text, words of each sentence, all words."""
+    texts, inner = words.offsets.to_numpy(), words.values
+    sents = inner.offsets.to_numpy()
+    upto, at = sents[texts], 0                              # words before each text
+    while at < len(texts) - 1:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + block, side="right")) - 1)
+        first, last = texts[at], texts[end]
+        yield np.diff(texts[at:end + 1]), np.diff(sents[first:last + 1]), inner.values.slice(upto[at], upto[end] - upto[at])
+        at = end
+
+
+def picks(counts: np.ndarray, sid: np.ndarray, take: np.ndarray) -> pa.Array:
+    """Arrow array of one list of (sid, take) per text, from the number of picks in each and the picks in order."""
+    at = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(sid, pa.int32()), pa.array(take, pa.int32())], ["sid", "take"]))
+
+
+def _frequent(min_tokens: int, max_tokens: int):
+    """Sentences of most frequent words, best first, within the budget."""
+    def run(words: pa.Array) -> pa.Array:
+        out = []
+        for n_sents, size, word in token_blocks(words):
+            n = len(size)
+            doc = np.repeat(np.arange(len(n_sents)), n_sents)
+            code, sent = word.dictionary_encode().indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), size)
+            _, at, tf = np.unique(doc[sent] * (code.max(initial=0) + 1) + code, return_inverse=True, return_counts=True)
+            # sum of word frequencies: an integer, so ranking is exact in any engine
+            # (normalising by the text's top frequency does not change the order)
+            score = np.bincount(sent, tf[at], n)
+            order = np.lexsort((np.arange(n), -score, doc))
+            order = order[size[order] > 0]
+            used, d = np.cumsum(size[order]) - size[order], doc[order]
+            used -= used[np.searchsorted(d, d)]             # words taken before the sentence
+            keep = (used < min_tokens) | (used + size[order] <= max_tokens)
+            order, take = order[keep], np.minimum(size[order], max_tokens - used)[keep]
+            shown = np.argsort(order)
+            order, take = order[shown], take[shown]
+            first = np.cumsum(n_sents) - n_sents
+            out.append(picks(np.bincount(doc[order], minlength=len(n_sents)), order - first[doc[order]], take))
+        return pa.concat_arrays(out) if out else picks(*[np.zeros(0, np.int64)] * 3)
+    return run
+
+
+def picked_summary(df: DataFrame, key: str, text: str, pick) -> DataFrame:
+    """``key``, ``summary`` and ``summary_tokens`` of each row of which ``pick`` takes a sentence.
+
+    ``pick`` gets the sentences' words of a batch of texts and gives, per text, the sentences it takes and how many
+    words of each.  A text is worked on in the task that reads it: nothing is shuffled."""
+    from tessera.session import ship_package
+    ship_package(df.sparkSession)                 # workers import the helpers by module reference
+    pick = F.arrow_udf(pick, "array<struct<sid:int,take:int>>")
+    parts = df.select(key, sentences(text).alias("_s"))
+    picked = parts.withColumn("_w", F.transform("_s", lambda s: TX.words(s))).withColumn("_p", pick("_w")).filter(F.size("_p") > 0)
+
+    def shown(p):
+        s = F.col("_s")[p["sid"]]
+        return F.when(p["take"] < F.size(F.col("_w")[p["sid"]]),
+                      F.array_join(F.slice(F.regexp_extract_all(s, F.lit(TX.WORD_PATTERN), 0), F.lit(1), F.greatest(p["take"], F.lit(0))), " ")).otherwise(F.trim(s))
+
+    total = F.aggregate("_p", F.lit(0).cast("bigint"), lambda a, p: a + p["take"])
+    return picked.select(key, F.array_join(F.transform("_p", shown), " ").alias("summary"), total.alias("summary_tokens"))
+
 
 def summarize(df: DataFrame, key: str, text: str, min_tokens: int = 30, max_tokens: int = 150) -> DataFrame:
     """Extractive summary: sentences scored by their words' document frequency
     (normalised by the most frequent word), taken best-first while the token
     budget allows (at least ``min_tokens``), then printed in document order.  A sentence
     that would pass ``max_tokens`` while there are too few is cut to its first words, so
-    no summary has more than ``max_tokens``."""
-    # One shuffle of the raw text by document: every later aggregate, join and
-    # window is keyed by (document, ...), which hash partitioning on the
-    # document already satisfies, so words are never shuffled.
-    docs = df.select(key, text).repartition(key)
+    no summary has more than ``max_tokens``.
+
+    Rows that share a key are one document, the only ones that are shuffled; rows without key are left out."""
+    own, shared = _by_key(df.select(key, text).filter(F.col(key).isNotNull()), key)
+    out = picked_summary(own, key, text, _frequent(min_tokens, max_tokens))
+    return out if shared is None else out.unionByName(_shared_summary(shared, key, text, min_tokens, max_tokens))
+
+
+def _shared_summary(docs: DataFrame, key: str, text: str, min_tokens: int, max_tokens: int) -> DataFrame:
+    """Summaries of documents of several rows: words are counted and sentences ranked across them."""
     sent = docs.select(key, F.posexplode(sentences(text)).alias("sid", "s")).filter(F.length(F.trim("s")) > 0)
     wds = sent.select(key, "sid", F.explode(TX.words("s")).alias("w"))
     wtf = wds.withColumn("tf", F.count(F.lit(1)).over(Window.partitionBy(key, "w")))
-    # sum of word frequencies: an integer, so ranking is exact in any engine
-    # (normalising by the document's top frequency does not change the order)
     score = wtf.groupBy(key, "sid").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("ntok"))
     sent = sent.join(score, [key, "sid"])
     w = Window.partitionBy(key).orderBy(F.desc("score"), "sid")

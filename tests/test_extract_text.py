@@ -125,3 +125,14 @@ def test_rouge_of_own_keys_shuffles_nothing_and_shared_keys_are_summed(spark):
     rows = got.collect()
     assert len(both) == len(rows) + 2 == 62 and all(both[r.id] == r for r in rows)      # doubled counts, equal shares
     assert (both[None].rouge1_p, both[None].rouge1_r) == (0.75, 0.75) and both[99].rouge1_f == 1.0
+
+
+def test_summaries_of_own_keys_shuffle_nothing_and_equal_the_counts_by_key(spark):
+    df = spark.createDataFrame([r[:2] for r in _texts(80)] + [(None, "no key"), (80, ""), (81, "... !")], "id int, text string")
+    got = TO.summarize(df, "id", "text", 10, 25)
+    assert "Exchange" not in _plan(got) and "Sort" not in _plan(got)
+    want = TO._shared_summary(df.filter("id is not null"), "id", "text", 10, 25)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 60
+    mixed = TO.summarize(df.unionByName(spark.createDataFrame([(5, "One more. Text here!")], df.schema)), "id", "text", 10, 25)
+    assert {tuple(r) for r in mixed.collect() if r.id != 5} == {tuple(r) for r in got.collect() if r.id != 5}
+    assert [r.summary_tokens <= 25 for r in mixed.collect() if r.id == 5] == [True]
