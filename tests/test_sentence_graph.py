@@ -3,8 +3,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.operators import sentence_graph as SG
+from tessera.operators.text import token_blocks
 
 
 def _dense(words, rounds=SG.ROUNDS, damping=SG.DAMPING):
@@ -55,3 +57,16 @@ def test_graph_summaries(spark):
     assert by[1].summary == " ".join(f"Word{i}" for i in range(150)) and by[5].summary == "Cats chase mice." and by[6].summary_tokens == 150
     assert sorted(r.summary for r in got if r.id == 7) == ["One two.", "One two. Two three. Three one!"]
     assert SG.graph_summary(spark.createDataFrame([], "id int, text string"), "id", "text").collect() == []
+
+
+def test_texts_scored_in_runs_equal_texts_alone():
+    rng = np.random.default_rng(8)
+    texts = [[[f"w{x}" for x in rng.zipf(1.5, int(rng.integers(0, 12))) % 20] for _ in range(int(rng.integers(0, 15)))] for _ in range(60)]
+    run = SG._pick(10, 30, 0.7)
+    kind = pa.list_(pa.list_(pa.string()))
+    alone = [run(pa.array([t], kind)).to_pylist()[0] for t in texts]
+    assert run(pa.array(texts, kind)).to_pylist() == alone and any(len(p) > 1 for p in alone)
+    blocks = list(token_blocks(pa.array(texts, kind), 50))
+    assert len(blocks) > 10 and sum(len(n) for n, _, _ in blocks) == len(texts)
+    assert [w for _, _, b in blocks for w in b.to_pylist()] == [w for t in texts for s in t for w in s]
+    assert run(pa.array([], kind)).to_pylist() == []
