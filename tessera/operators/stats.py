@@ -200,55 +200,6 @@ def digamma_int(n) -> Column:
 
 def mutual_info_knn(cells: DataFrame, labels: DataFrame, key: str, feature: str, value: str, y: str,
                     k: int = 3) -> DataFrame:
-    """k-nearest-neighbour mutual information between a continuous feature and a
-    class (Ross 2014; the estimator behind scikit-learn's ``mutual_info_classif``,
-    without its random jitter).
-
-    Built only from distributed sorts and equi-joins, so a feature (or class)
-    holding a large share of the cells is spread over many tasks:
-
-    * 1-D neighbours are adjacent in sort order: positions inside (feature,
-      class) come from ``global_rank`` and the 2k candidates are an equi-join on
-      (feature, class, position + offset), fan-out 2k + 1;
-    * the number of points of any class strictly inside the radius d is counted
-      with two probe rows per point (x - d, x + d): a probe's rank in the merged
-      order of data and probes minus its rank among the probes alone is the
-      number of data rows before it.
-
-    "Inside the radius" means inside the open interval (x - d, x + d) as computed
-    in IEEE arithmetic ([x, x] when d = 0); scikit-learn instead jitters the data
-    randomly so that boundary ties do not occur.  Classes seen once are dropped.
-    """
-    from tessera.operators.ranking import global_rank
-    j = (cells.filter(F.col(value).isNotNull()).join(labels.filter(F.col(y).isNotNull()), key)
-              .select(feature, F.col(key).cast("string").alias("_pid"), F.col(value).alias("_x"), F.col(y).alias("_y")))
-    ny = j.groupBy(feature, "_y").agg(F.count(F.lit(1)).alias("_ny"))       # features x classes rows
-    j = j.join(ny.filter(F.col("_ny") > 1), [feature, "_y"]).withColumn("_k", F.least(F.lit(k), F.col("_ny") - 1))
-    ranked = global_rank(j, ["_x", "_pid"], "_r", base=0, partition_by=[feature, "_y"])
-    cand = (ranked.select(feature, "_y", "_pid", "_x", "_k", "_ny", "_r",
-                          F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("_o"))
-                  .select(feature, "_y", "_pid", "_x", "_k", "_ny", (F.col("_r") + F.col("_o")).alias("_q")))
-    nbr = ranked.select(feature, "_y", F.col("_r").alias("_q"), F.col("_x").alias("_nx"))
-    pts = (cand.join(nbr, [feature, "_y", "_q"])
-               .groupBy(feature, "_pid", "_x", "_k", "_ny")
-               .agg(F.array_sort(F.collect_list(F.abs(F.col("_nx") - F.col("_x")))).alias("_ds")))
-    pts = pts.withColumn("_d", F.element_at("_ds", (F.col("_k") + 1).cast("int"))).drop("_ds")
-    pos = F.col("_d") > 0
-    data = pts.select(feature, F.col("_x").alias("_v"), F.lit(1).alias("_t"), "_pid", F.lit("d").alias("_side"))
-    probes = pts.select(feature, (F.col("_x") + F.col("_d")).alias("_v"), F.when(pos, 0).otherwise(2).alias("_t"),
-                        "_pid", F.lit("hi").alias("_side")) \
-        .unionByName(pts.select(feature, (F.col("_x") - F.col("_d")).alias("_v"),
-                                F.when(pos, 2).otherwise(0).alias("_t"), "_pid", F.lit("lo").alias("_side")))
-    order = ["_v", "_t", "_pid", "_side"]
-    merged = global_rank(data.unionByName(probes), order, "_mp", base=0, partition_by=[feature]) \
-        .filter(F.col("_side") != "d")
-    alone = global_rank(probes, order, "_pp", base=0, partition_by=[feature])
-    cnt = merged.join(alone.select(feature, "_pid", "_side", "_pp"), [feature, "_pid", "_side"]) \
-        .withColumn("_cnt", F.col("_mp") - F.col("_pp"))
-    m = cnt.groupBy(feature, "_pid").agg(
-        F.sum(F.when(F.col("_side") == "hi", F.col("_cnt")).otherwise(-F.col("_cnt"))).alias("_m"))
-    m = m.join(pts.select(feature, "_pid", "_k", "_ny"), [feature, "_pid"])
-    mi = m.groupBy(feature).agg(
-        (digamma_int(F.count(F.lit(1))) + F.avg(digamma_int("_k")) - F.avg(digamma_int("_ny"))
-         - F.avg(digamma_int("_m"))).alias("_mi"))
-    return mi.select(feature, F.greatest(F.col("_mi"), F.lit(0.0)).alias("mi"))
+    """k-nearest-neighbour mutual information between a continuous feature and a class, see ``class_neighbours``."""
+    from tessera.operators.class_neighbours import mutual_info_knn as by_blocks
+    return by_blocks(cells, labels, key, feature, value, y, k)

@@ -164,6 +164,34 @@ def test_knn_mutual_info_bruteforce(spark):
     assert got["a"] > got["b"]
 
 
+@pytest.mark.parametrize("block_values", [1 << 15, 60, 7])
+def test_knn_mutual_info_in_blocks(spark, block_values):
+    from tessera.operators.class_neighbours import mutual_info_knn
+    rnd = np.random.default_rng(9)
+    n = 500
+    lab = np.where(rnd.random(n) < 0.03, 2, (rnd.random(n) < 0.4).astype(int))      # a rare class reaches over many blocks
+    lab[0] = 9                                                                     # a class seen once
+    feats = {"normal": rnd.normal(lab, 1.0), "ties": np.round(rnd.normal(lab, 1.0), 1), "hot": np.where(rnd.random(n) < 0.5, 0.25, rnd.normal(size=n)),
+             "constant": np.full(n, 3.0), "skewed": np.exp(4 * rnd.normal(size=n)), "few": rnd.normal(size=n)}
+    rows = [(f"p{i}", f, None if i % 17 == 5 else float(v[i])) for f, v in feats.items() for i in range(n if f != "few" else 5)]
+    cells = spark.createDataFrame(rows, "pid string, feature string, beta double").repartition(3)
+    labels = spark.createDataFrame([(f"p{i}", int(c)) for i, c in enumerate(lab)] + [("none", 1), ("null", None)], "pid string, y int")
+    got = {r.feature: r.mi for r in mutual_info_knn(cells, labels, "pid", "feature", "beta", "y", 3, block_values).collect()}
+    assert set(got) == set(feats)
+    for f, v in feats.items():
+        keep = [i for i in range(n if f != "few" else 5) if i % 17 != 5]
+        assert got[f] == pytest.approx(_knn_mi_bruteforce([v[i] for i in keep], [lab[i] for i in keep]), abs=1e-9), f
+    # rows of a key that come twice: one point at distance 0 from itself
+    twice = {r.feature: r.mi for r in mutual_info_knn(cells.unionByName(cells), labels, "pid", "feature", "beta", "y", 3, block_values).collect()}
+    keep = [i for i in range(n) if i % 17 != 5]
+    known = [i for i in keep if (lab[keep] == lab[i]).sum() * 2 > 1]
+    want = _psi(len(known)) + _psi(3) * (1 - 1 / len(known) * (lab[0] == 9)) + _psi(1) / len(known) * (lab[0] == 9) \
+        - np.mean([_psi(2 * (lab[keep] == lab[i]).sum()) for i in known]) - _psi(1)
+    assert twice["normal"] == pytest.approx(max(0.0, want), abs=1e-9)
+    empty = spark.createDataFrame([], cells.schema)
+    assert mutual_info_knn(empty, labels, "pid", "feature", "beta", "y", 3, block_values).collect() == []
+
+
 def test_digamma_int(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 5, 10, 11, 50, 1000)], "n int")
     got = [r.p for r in df.select(S.digamma_int("n").alias("p")).orderBy("n").collect()]
