@@ -68,3 +68,47 @@ def test_nearest_distances_count_weights_and_hidden_own_points():
     d = nearest_distances(x, y, w, x, y, np.arange(5), 2)
     assert d.tolist() == [[0, 0], [0, 0], [0, 0], [0, 1], [4, 4]]
     assert nearest_distances(x, y, w, np.array([1.0]), np.array([3.0]), np.array([-1]), 3).tolist() == [[3, 3, 3]]
+
+
+@pytest.mark.parametrize("kind", ["plain", "rounded", "constant", "skewed"])
+def test_nearest_distances_of_many_points(kind):
+    rng = np.random.default_rng(3)
+    x, y, w = rng.normal(size=900), rng.normal(size=900), rng.integers(1, 4, 900)
+    x, y = {"plain": (x, y), "rounded": (np.round(x, 1), np.round(y, 1)), "constant": (np.ones(900), y), "skewed": (np.exp(4 * x), np.where(x > 0, 0, y))}[kind]
+    d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+
+    def want(d, w):
+        return np.array([np.sort(np.repeat(row, np.minimum(weight, 3)))[:3] for row, weight in zip(d, w)])
+    assert (nearest_distances(x, y, w, x, y, np.arange(900), 3) == want(d, w - np.eye(900, dtype=int))).all()
+    others, within = want(d, np.tile(w, (900, 1))), np.abs(rng.normal(size=900)) / 9
+    got = nearest_distances(x, y, w, x, y, np.full(900, -1), 3, within)
+    assert (got == np.where(others < within[:, None], others, np.inf)).all()
+
+
+def test_points_are_dealt_few_times(spark):
+    """Shuffles and checkpoints of all points were most of the time: 155 stages without, and more with several strips."""
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(i, f, float(v)) for f in "ab" for i, v in enumerate(rng.normal(size=300))], "pid int, feature string, beta double")
+    target = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=300))], "pid int, y double")
+    sc, stages = spark.sparkContext, []
+    for points in (1 << 16, 64):
+        sc.setJobGroup(f"neighbours-{points}", "")
+        mutual_info_knn_target(cells, target, "pid", "feature", "beta", "y", 3, points, points).collect()
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"neighbours-{points}")]
+        stages.append(len({s for j in jobs for s in j.stageIds}))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[0] < 60 and stages[1] < 200, stages
+
+
+def test_same_result_in_any_order_and_cut(spark):
+    """Equal distances hang on the last bit of a standard deviation."""
+    rng = np.random.default_rng(6)
+    y = np.round(rng.normal(size=400), 2) * 4
+    x = np.where(rng.random(400) < 0.4, 1.0, y)
+    target = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "pid int, y double")
+    found = set()
+    for points, order in ((1 << 16, np.arange(400)), (50, rng.permutation(400)), (90, rng.permutation(400))):
+        cells = spark.createDataFrame([(int(i), "f", float(x[i])) for i in order], "pid int, feature string, beta double").repartition(5)
+        found.add(round(mutual_info_knn_target(cells, target.orderBy("y"), "pid", "feature", "beta", "y", 3, points, points).first().mi, 12))
+    assert len(found) == 1
+    assert abs(found.pop() - brute(x, y, y.std(), 3)) < 1e-9
