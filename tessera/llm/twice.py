@@ -3,7 +3,8 @@
 ``twice`` returns a filter that holds every hash which two documents share.  Each
 task sends the bits it sets, sorted, as steps in segments of 65,536 bits (about one byte
 a bit after Spark's compression, instead of 8 a hash); a bit set by two documents is set in the
-"twice" filter.  Segments merge independently, so no task sees more than its share.
+"twice" filter.  Segments merge independently and at once, so no task sees more than its share;
+the driver gets them compressed.
 
 The filter's size is a parameter.  A fuller filter lets more hashes through as
 suspects, and every caller confirms suspects exactly, so the size decides the
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions
+from tessera.session import cut_lineage
 
 SEGMENT, MAX_BITS = 1 << 16, 1 << 30
-_HOLD = 1 << 21
+_HOLD, _FETCHES = 1 << 21, 8
 
 
 def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,15 +33,33 @@ def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.uint32), ((hashes >> np.uint64(32)) & mask).astype(np.uint32)
 
 
-def _steps(offsets: np.ndarray) -> bytes:
-    """Sorted 16-bit offsets as differences, all low bytes before all high bytes (mostly zeros)."""
-    d = np.diff(offsets, prepend=0).astype("<u2").view(np.uint8)
-    return d[::2].tobytes() + d[1::2].tobytes()
-
-
-def _offsets(steps: bytes) -> np.ndarray:
-    low, high = np.frombuffer(steps, np.uint8).reshape(2, -1).astype(np.int64)
-    return np.cumsum(low | high << 8)
+def _steps(at: np.ndarray, segments: np.ndarray) -> pa.Array:
+    """Sorted positions as one value a segment: 16-bit offsets as differences, all low bytes before all high bytes (mostly zeros)."""
+    starts = np.searchsorted(at, segments.astype(np.uint64) << np.uint64(16))
+    n = np.diff(np.append(starts, len(at)))
+    d = np.diff(at, prepend=at[:1]).astype(np.uint16)
+    d[starts[n > 0]] = at[starts[n > 0]] & 0xFFFF
+    low = np.arange(len(at)) + np.repeat(starts, n)
+    out = np.empty(2 * len(at), np.uint8)
+    out[low] = d & 0xFF
+    out[low + np.repeat(n, n)] = d >> 8
+    offsets = 2 * np.append(starts, len(at)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(segments), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _offsets(steps: pa.Array) -> np.ndarray:
+    """The offsets in all values of ``steps``, one value after the other."""
+    if not len(steps):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(steps.buffers()[1], np.int32)[steps.offset:steps.offset + len(steps) + 1].astype(np.int64)
+    if ends[-1] == ends[0]:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(steps.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    starts, n = (ends[:-1] - ends[0]) // 2, np.diff(ends) // 2
+    low = np.arange(len(data) // 2) + np.repeat(starts, n)
+    d = data[low] | data[low + np.repeat(n, n)].astype(np.int64) << 8
+    run = np.concatenate([[0], np.cumsum(d)])
+    return run[1:] - np.repeat(run[starts], n)
 
 
 def _sender(hashes_of, bits: int):
@@ -47,14 +67,13 @@ def _sender(hashes_of, bits: int):
         held, n = [], 0
 
         def flush():
-            at, counts = np.unique(np.concatenate(held), return_counts=True)
-            segments, first = np.unique(at >> 16, return_index=True)
-            low, many = (at & 0xFFFF).astype(np.int64), counts > 1
-            ends = np.append(first[1:], len(at))
-            once = [_steps(low[a:b]) for a, b in zip(first, ends)]
-            again = [_steps(low[a:b][many[a:b]]) for a, b in zip(first, ends)]
-            return pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.array(once, pa.binary()), pa.array(again, pa.binary())],
-                                              ["segment", "once", "again"])
+            at = np.concatenate(held)
+            at.sort()
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            many, at = np.diff(np.append(first, len(at))) > 1, at[first]
+            segments = (at >> 16).astype(np.int32)
+            segments = segments[np.concatenate([[True], segments[1:] != segments[:-1]])]
+            return pa.RecordBatch.from_arrays([pa.array(segments), _steps(at, segments), _steps(at[many], segments)], ["segment", "once", "again"])
 
         for batch in batches:
             for hashes in hashes_of(batch):
@@ -73,34 +92,38 @@ def _merge(batches):
     now, counts = None, None
 
     def packed():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())],
-                                          ["segment", "bits"])
+        bits = np.packbits(counts > 1, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(bits, 1)], pa.binary())], ["segment", "bits"])
 
     for batch in batches:
-        for segment, once, again in zip(*(c.to_pylist() for c in batch.columns)):
-            if segment != now:
+        segments = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], segments[1:] != segments[:-1]])) if len(segments) else segments
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(segments)).tolist()):
+            if segments[lo] != now:
                 if now is not None:
                     yield packed()
-                now, counts = segment, np.zeros(SEGMENT, np.uint8)
-            at = _offsets(once)
-            counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[_offsets(again)] = 2
+                now, counts = int(segments[lo]), np.zeros(SEGMENT, np.int64)
+            counts += np.bincount(_offsets(batch.column(1).slice(lo, hi - lo)), minlength=SEGMENT)
+            counts[_offsets(batch.column(2).slice(lo, hi - lo))] = 2
     if now is not None:
         yield packed()
 
 
 class Filter:
-    """A filter as it is broadcast: compressed, opened once in each worker."""
+    """A filter as it is broadcast: compressed by segment, opened once in each worker."""
 
     _open: dict = {}
 
-    def __init__(self, bitmap: np.ndarray):
-        self.key, self.data = uuid.uuid4().hex, zlib.compress(bitmap, 1)
+    def __init__(self, bits: int, segments: dict[int, bytes]):
+        self.key, self.bits, self.segments = uuid.uuid4().hex, bits, segments
 
     def bitmap(self) -> np.ndarray:
         if self.key not in self._open:
             self._open.clear()
-            self._open[self.key] = np.frombuffer(zlib.decompress(self.data), np.uint8)
+            out = np.zeros((self.bits // SEGMENT, SEGMENT // 8), np.uint8)
+            for segment, data in self.segments.items():
+                out[segment] = np.frombuffer(zlib.decompress(data), np.uint8)
+            self._open[self.key] = out.reshape(-1)
         return self._open[self.key]
 
 
@@ -112,10 +135,9 @@ def twice(docs: DataFrame, hashes_of, bits: int) -> Filter:
     sent = docs.mapInArrow(_sender(hashes_of, bits), "segment int, once binary, again binary")
     merged = sent.repartition(partitions(docs.sparkSession), "segment").sortWithinPartitions("segment") \
         .mapInArrow(_merge, "segment int, bits binary")
-    out = np.zeros((bits // SEGMENT, SEGMENT // 8), np.uint8)
-    for row in merged.toLocalIterator():  # at most bits / 65,536 rows of 8 KB
-        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(out.reshape(-1))
+    # merged by all tasks at once, then fetched in a few parts: at most bits / 65,536 rows of 8 KB
+    fetched = cut_lineage(merged).coalesce(_FETCHES).toLocalIterator(prefetchPartitions=True)
+    return Filter(bits, {row["segment"]: bytes(row["bits"]) for row in fetched})
 
 
 def seen_twice(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
